@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,3 +31,15 @@ def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII takes the fast built-in; the rest is translated letter by letter."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def most_frequent(df: DataFrame, n: Column, limit: int) -> DataFrame:
+    """The rows with the largest ``n`` (> 0), at most ``limit`` of them.
+
+    Rows are ranked by sixteenths of an octave of n and a level that would pass the limit is left out with all
+    below it, so equal counts are treated alike and only a histogram of a few hundred rows is gathered."""
+    level = F.floor(F.log2(n) * 16)
+    seen = df.groupBy(level.alias("level")).count()
+    above = F.sum("count").over(Window.orderBy(F.desc("level")))
+    least = seen.withColumn("above", above).where(F.col("above") <= limit).agg(F.min("level")).first()[0]
+    return df.where(level >= (F.lit(None) if least is None else F.lit(least)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import simhash
+from signalspark.llm import language_id, lsm_dedup, matroska, mixing, packing, simhash, token_counts
 from signalspark.llm.common import documents
 
 
@@ -15,9 +15,49 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken so that sources weigh 5, 2, 1 in turn."""
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins of 4096 words, duplicates apart and eight pieces of a source at most in one."""
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents; the one with the largest id stays."""
+    return lsm_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest").withColumnRenamed("sha", "text_sha256")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as the payload of a Matroska file and read back from its packets."""
+    return matroska.read_back(matroska.store(documents(spark, sf_dir)))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under the 32k piece vocabulary."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_mixing": op2_mixing,
+        "op3_packing": op3_packing,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
+        "op6_matroska": op6_matroska,
+        "op7_token_counts": op7_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.MIX_SQL, "op4_exact_dedup": lsm_dedup.DEDUP_SQL}
