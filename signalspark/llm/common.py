@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +44,16 @@ def most_frequent(df: DataFrame, n: Column, limit: int) -> DataFrame:
     above = F.sum("count").over(Window.orderBy(F.desc("level")))
     least = seen.withColumn("above", above).where(F.col("above") <= limit).agg(F.min("level")).first()[0]
     return df.where(level >= (F.lit(None) if least is None else F.lit(least)))
+
+
+def slot_filter(df: DataFrame, hashed: Column, bits: int = 26) -> np.ndarray:
+    """Bit set of the top ``bits`` bits of a 64-bit hash: 8 MB at 26, whatever the number of rows.
+
+    Bit i of byte j stands for slot 8 j + i. A slot that is not set proves that a row is absent from ``df``."""
+    slot = F.shiftrightunsigned(hashed, 64 - bits)
+    maps = df.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("part"))
+    maps = maps.agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in maps.toLocalIterator():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out

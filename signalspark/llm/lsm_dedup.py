@@ -13,13 +13,13 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, ensure_checkpoint_dir
+from signalspark.llm.common import cut, ensure_checkpoint_dir, slot_filter
 
+SLOT_BITS = 26
 RUN_SCHEMA = "run string, digest binary, first_id long, last_id long, n long"
 
 
@@ -100,21 +100,11 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> D
     return rows.mapInArrow(run, "doc_id long, sha binary, digest binary")
 
 
-def _hit_filter(hits: DataFrame, bits: int = 26) -> np.ndarray:
-    """Bit set of the hits' digests, 2**bits bits at most (8 MB at 26); false positives only cost a comparison."""
-    slot = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    slot = F.shiftright(slot, 32 - bits)
-    maps = hits.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in maps.toLocalIterator():
-        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _texts_of_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
     """(digest, doc_id, text) of the rows whose digest the filter lets through; other texts are not shuffled."""
-    bits = 26
-    seen = docs.sparkSession.sparkContext.broadcast(_hit_filter(hits, bits))
+    # The first 32 bits of a digest, at the top of a long.
+    head = F.shiftleft(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32)
+    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(hits, head, SLOT_BITS))
     size = digest_bits // 8
 
     def run(batches):
@@ -124,7 +114,7 @@ def _texts_of_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str,
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = t.lower() if t else b""
                 digest = hashlib.sha256(text).digest()[:size]
-                slot = int.from_bytes(digest[:4].rjust(4, b"\0"), "big") >> (32 - bits)
+                slot = int.from_bytes(digest[:4], "big") >> (32 - SLOT_BITS)
                 if filled[slot >> 3] >> (slot & 7) & 1:
                     out.append((digest, i, text))
             if out:

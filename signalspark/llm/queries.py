@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signalspark.llm import language_id, lsm_dedup, matroska, mixing, packing, simhash, token_counts
+from signalspark.llm import language_id, license_scan, lsm_dedup, matroska, mixing, packing, sentence_dedup, simhash, token_counts
 from signalspark.llm.common import documents
 
 
@@ -47,6 +48,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and license templates in all documents."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of repeated three-sentence spans, as digests."""
+    out = sentence_dedup.dedup_sentences(documents(spark, sf_dir))
+    return out.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -56,8 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_matroska": op6_matroska,
         "op7_token_counts": op7_token_counts,
+        "op9_license_scan": op9_license_scan,
+        "op10_sentence_dedup": op10_sentence_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL, "op4_exact_dedup": lsm_dedup.DEDUP_SQL}
+    return {"op2_mixing": mixing.MIX_SQL, "op4_exact_dedup": lsm_dedup.DEDUP_SQL, "op9_license_scan": license_scan.oracle_sql()}
