@@ -1,7 +1,75 @@
-"""The corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing and packing of the documents table.
+
+Each stage takes what its predecessor kept, as written to Parquet and read again; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from signalspark.llm import language_id, lsm_dedup, mixing, packing, simhash
+from signalspark.llm.common import ensure_checkpoint_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language: those without letters, or without a likely language, go."""
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
+
+
+def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the largest id of each group of equal ones, once."""
+    kept = lsm_dedup.exact_duplicates(docs, keep="largest").where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
+    return rows.withColumn("copy", first).where("copy = 1").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component."""
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = found.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["kept_id"]), "left_semi").select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; sources weigh 5, 2, 1 in turn."""
+    taken = mixing.mix(docs, whole_documents=True).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in bins of 4096 words."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_duplicates),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_bins),
+]
+
+#: SQL cannot express SimHash components or best-fit packing; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written in the shared folder and read again."""
+    ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import language_id, license_scan, lsm_dedup, matroska, mixing, packing, sentence_dedup, simhash, token_counts
+from signalspark.llm import language_id, license_scan, lsm_dedup, matroska, mixing, packing, sentence_dedup, simhash, suffix_dedup, token_counts
 from signalspark.llm.common import documents
 
 
@@ -48,6 +48,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes covered by 50-byte strings of earlier ones, as digests."""
+    out = suffix_dedup.dedup_substrings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and license templates in all documents."""
     return license_scan.scan(documents(spark, sf_dir))
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_matroska": op6_matroska,
         "op7_token_counts": op7_token_counts,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_sentence_dedup": op10_sentence_dedup,
     }

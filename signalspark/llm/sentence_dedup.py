@@ -29,45 +29,58 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s]
 
 
-def spans(parts: list[str], span: int, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences covered, digest) of every run of ``span`` sentences with some words in them.
+def spans(parts: list[str], span: int, min_words: int, long_words: int) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentences covered, digest) of the run that starts at each sentence.
 
-    Sentences without letters or digits belong to runs but are not counted; case and white space do not matter.
-    A text of fewer sentences is one run. Runs of fewer than ``min_words`` words are left out."""
+    A run has ``span`` sentences, or more until it has ``min_words`` words, or fewer as soon as it has
+    ``long_words`` words. Sentences without letters or digits belong to runs but are not counted; case and white
+    space do not matter. Runs that the text's end cuts short are left out, but for a text that is one such run."""
     words = [p.lower().split() for p in parts]
     solid = [i for i, w in enumerate(words) if any(c.isalnum() for x in w for c in x)]
-    out = []
-    for k in range(max(1, len(solid) - span + 1) if solid else 0):
-        run = solid[k : k + span]
-        inside = [x for i in run for x in words[i]]
-        if len(inside) >= min_words:
-            out.append((run[0], run[-1] - run[0] + 1, xxhash.xxh3_128_digest(" ".join(inside).encode())))
+    sizes = [len(words[i]) for i in solid]
+    out, end, total = [], 0, 0
+    for k in range(len(solid)):
+        while end < len(solid) and total < long_words and (end - k < span or total < min_words):
+            total += sizes[end]
+            end += 1
+        whole = total >= long_words or (end - k >= span and total >= min_words)
+        if not whole and (k or total < min_words):
+            break
+        run = solid[k:end]
+        inside = " ".join([x for i in run for x in words[i]])
+        out.append((run[0], run[-1] - run[0] + 1, xxhash.xxh3_128_digest(inside.encode())))
+        total -= sizes[k]
+        # The next run starts at its own sentence and may end earlier.
+        while end - 1 > k + 1 and (total - sizes[end - 1] >= long_words or (end - 1 - (k + 1) >= span and total - sizes[end - 1] >= min_words)):
+            end -= 1
+            total -= sizes[end]
     return out
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 12) -> DataFrame:
-    """(row, cut): for rows that lose sentences, the ranges of them as (first, number). ``row`` tells rows apart."""
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 12, long_words: int = 30) -> DataFrame:
+    """(ord, row, cut): for rows that lose sentences, the ranges of them as (first, number)."""
 
     def run(batches):
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for first, n, digest in spans(sentences(t), span, min_words) if t else ():
+                for first, n, digest in spans(sentences(t), span, min_words, long_words) if t else ():
                     for c, v in zip(cols, (i, r, first, n, digest), strict=True):
                         c.append(v)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "first", "n", "digest"])
 
-    found = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, row long, first int, n int, digest binary")
-    # Null ids come after all others.
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row").alias("row"), F.col("first").alias("first"))
+    found = _rows(docs, id_col, text_col).select("ord", "row", "text").mapInArrow(run, "ord long, row long, first int, n int, digest binary")
+    place = F.struct("ord", "row", "first")
     firsts = found.groupBy("digest").agg(F.min(place).alias("leader"), F.count("*").alias("times")).where("times > 1")
-    again = found.join(firsts.select("digest", "leader"), "digest").where((F.col("row") != F.col("leader.row")) | (F.col("first") != F.col("leader.first")))
-    return again.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("cut"))
+    again = found.join(firsts.select("digest", "leader"), "digest").where(F.struct("ord", "row", "first") != F.col("leader"))
+    return again.groupBy("ord", "row").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("cut"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    """(ord, row, text, doc_id): a row is told by its id (null last) and its text's hash."""
+    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(F.coalesce(ident, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(text).alias("row"), text.alias("text"), ident.alias("doc_id"))
 
 
 def strip(text: str, cuts) -> tuple[str, int, int]:
@@ -81,27 +94,26 @@ def strip(text: str, cuts) -> tuple[str, int, int]:
     return kept, int(gone.sum()), int((gone & ~np.roll(gone, 1)).sum())
 
 
-def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 12) -> DataFrame:
+def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 12, long_words: int = 30) -> DataFrame:
     """One row per input row: (doc_id, text, n_sentences, n_removed, n_spans), text without the repeated sentences.
 
     n_removed counts sentences, n_spans maximal runs of removed ones. Null texts stay null with no sentences;
-    empty and wordless ones are left alone. A text of fewer than ``span`` sentences is one span. Of repeated
-    rows the first in the input keeps its sentences. No rows: no result rows; further columns are ignored."""
-    cuts = cut(removals(docs, id_col, text_col, span, min_words))
-    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(cuts, F.xxhash64("row"), SLOT_BITS))
-    slot = F.shiftrightunsigned(F.xxhash64("row"), 64 - SLOT_BITS)
-    schema = "doc_id long, row long, text string, n_sentences long, maybe boolean"
+    empty and wordless ones are left alone. Rows with equal id and text are one document. Runs are those of ``spans``. No rows: no result rows; further columns are ignored."""
+    cuts = cut(removals(docs, id_col, text_col, span, min_words, long_words))
+    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(cuts, F.xxhash64("ord", "row"), SLOT_BITS))
+    slot = F.shiftrightunsigned(F.xxhash64("ord", "row"), 64 - SLOT_BITS)
+    schema = "ord long, row long, text string, doc_id long, n_sentences long, maybe boolean"
 
     def count(batches):
         for b in batches:
-            slots, texts = b.column(3).to_numpy(), b.column(2).to_pylist()
+            slots, texts = b.column(4).to_numpy(), b.column(2).to_pylist()
             maybe = (seen.value[slots >> 3] >> (slots & 7)) & 1 if len(slots) else slots
             n = [len(sentences(t)) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(maybe.astype(bool))], schema_names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.array(maybe.astype(bool))], names)
 
-    schema_names = ["doc_id", "row", "text", "n_sentences", "maybe"]
+    names = ["ord", "row", "text", "doc_id", "n_sentences", "maybe"]
     rows = _rows(docs, id_col, text_col).withColumn("slot", slot).mapInArrow(count, schema)
-    hit = rows.where("maybe").join(cuts, "row", "left")
+    hit = rows.where("maybe").join(cuts, ["ord", "row"], "left")
 
     def take(batches):
         for b in batches:
