@@ -91,20 +91,21 @@ def higuchi_fd(x: Column, kmax: int = 10) -> Column:
     """Slope of ln L(k) on ln 1/k; the sum for (k, m) stops one step before the last that fits."""
     n = F.size(x)
 
-    def path(k: int, m: int) -> Column:
-        steps = F.floor((n - m - 1) / k).cast("int")
-
+    def path(k: Column, m: Column) -> Column:
         def step(j: Column) -> Column:
             return F.abs(F.element_at(x, m + j * k + 1) - F.element_at(x, m + (j - 1) * k + 1))
 
-        whole = F.when(steps > 1, total(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), steps - 1)), step))).otherwise(0.0)
-        return whole / k * (n - 1) / (k * steps)
+        def scaled(steps: Column) -> Column:
+            whole = F.when(steps > 1, total(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), steps - 1)), step))).otherwise(0.0)
+            return whole / k * (n - 1) / (k * steps)
+
+        return let(F.floor((n - m - 1) / k).cast("int"), scaled)
 
-    def length(k: int) -> Column:
-        return sum((path(k, m) for m in range(1, k)), path(k, 0)) / k
+    def length(k: Column) -> Column:
+        return F.ln(total(F.transform(F.sequence(F.lit(0), k - 1), lambda m: path(k, m))) / k)
 
-    lengths = F.array(*(F.ln(length(k)) for k in range(1, kmax + 1)))
-    return linear_fit(F.array(*(F.lit(-math.log(k)) for k in range(1, kmax + 1))), lengths)["slope"]
+    lags = F.sequence(F.lit(1), F.lit(kmax))
+    return linear_fit(F.transform(lags, lambda k: -F.ln(k)), F.transform(lags, length))["slope"]
 
 
 def acw(x: Column, srate: float, drop: float = 0.5) -> Column:

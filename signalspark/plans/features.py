@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from signalspark.functions import nonlinear as nl
 from signalspark.functions import spectral as sp
+from signalspark.functions.kernels import map_epochs, welch
 from signalspark.schema import FeatureSpec
 
+#: Epochs up to this length are transformed by a direct sum in the plan; longer ones by an FFT on Arrow batches.
+DIRECT = 128
+
 
 def generate_features(epochs: DataFrame, keys: list[str], srate: float, samples: int, spec: FeatureSpec | None = None, value: str = "x") -> DataFrame:
     """Features of epochs of ``samples`` values each.
@@ -22,7 +26,10 @@ def generate_features(epochs: DataFrame, keys: list[str], srate: float, samples:
     df = epochs.select(*keys, value)
     columns = []
     if {"psd", "aperiodic"} & set(spec.families):
-        df = df.withColumn("psd of epoch", sp.periodogram(x, samples, srate))
+        if samples <= DIRECT:
+            df = df.withColumn("psd of epoch", sp.periodogram(x, samples, srate))
+        else:
+            df = map_epochs(df, [*keys, value], lambda b: {"psd of epoch": welch(b, srate, samples)[1]}, "`psd of epoch` array<double>", value)
     if "psd" in spec.families:
         whole = sp.band_power(p, step, low, high) if spec.relative else F.lit(1.0)
         columns += [F.try_divide(sp.band_power(p, step, a, b), whole).alias(f"{n}_PSD") for a, b, n in spec.bands]
