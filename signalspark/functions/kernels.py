@@ -165,12 +165,12 @@ def band_pass(x: np.ndarray, srate: float, low: float | None, high: float | None
     wide = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1) if pad > 0 else x
     f = np.fft.rfftfreq(wide.shape[1], 1 / srate)
     warp = lambda v: np.tan(np.pi * np.minimum(v, srate / 2 * (1 - 1e-9)) / srate)
-    gain = np.ones_like(f)
-    if low:
-        with np.errstate(divide="ignore"):
-            gain *= 1 / (1 + (warp(low) / np.maximum(warp(f), 1e-300)) ** (2 * order))
-    if high:
-        gain *= 1 / (1 + (warp(f) / warp(high)) ** (2 * order))
+    w = np.maximum(warp(f), 1e-12)
+    if low and high:
+        shift = (w * w - warp(low) * warp(high)) / (w * (warp(high) - warp(low)))
+    else:
+        shift = w / warp(high) if high else warp(low) / w
+    gain = 1 / (1 + np.minimum(np.abs(shift), 1e9) ** (2 * order))
     out = np.fft.irfft(np.fft.rfft(wide, axis=1) * gain, wide.shape[1], axis=1)
     return out[:, pad : pad + x.shape[1]] if pad > 0 else out
 
