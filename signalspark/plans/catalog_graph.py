@@ -171,7 +171,7 @@ SELECT g, a AS node, MIN(b) AS component FROM reach GROUP BY 1, 2"""
 )
 def graph_components(spark, d):
     e, n = _graph(spark, d)
-    return graph.components(graph.percentile_graph(e, n, ["g"]), n, ["g"], rounds=3)
+    return graph.components(graph.percentile_graph(e, n, ["g"]), n, ["g"])
 
 
 MODELS = "md AS (SELECT c_custkey AS item, 1 AS model, c_nationkey AS label FROM customer UNION ALL SELECT c_custkey, 2, c_custkey % 50 FROM customer UNION ALL SELECT c_custkey, 3, FLOOR(c_acctbal / 200)::BIGINT FROM customer)"
