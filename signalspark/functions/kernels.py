@@ -308,3 +308,78 @@ def sift(x: np.ndarray, rounds: int = 8, modes: int = 4) -> np.ndarray:
         out.append((h**2).mean())
         rest = rest - h
     return np.array([*out, (rest**2).mean()])
+
+
+def morlet_power(x: np.ndarray, srate: float, freqs: list[float], cycles: float = 5.0) -> np.ndarray:
+    """Mean power per epoch and frequency (epochs x frequencies) under Morlet wavelets of unit energy."""
+    n = x.shape[1]
+    out = np.empty((len(x), len(freqs)))
+    for k, f in enumerate(freqs):
+        sigma = cycles / (2 * np.pi * f)
+        half = min(int(np.ceil(5 * sigma * srate)), n)
+        t = np.arange(-half, half + 1) / srate
+        w = np.exp(-(t**2) / (2 * sigma**2)) * np.exp(2j * np.pi * f * t)
+        w /= np.sqrt((np.abs(w) ** 2).sum())
+        size = 1 << int(np.ceil(np.log2(n + len(w))))
+        y = np.fft.ifft(np.fft.fft(x, size, axis=1) * np.fft.fft(w, size), axis=1)[:, half : half + n]
+        out[:, k] = (np.abs(y) ** 2).mean(axis=1)
+    return out
+
+
+def r_peaks(x: np.ndarray, srate: float) -> list[np.ndarray]:
+    """Places of R peaks in each epoch: steep stretches of the band-passed signal, their largest value, at most one in
+    0.3 s. Epochs that point down are turned first."""
+    y = band_pass(x, srate, 5.0, min(30.0, srate / 2.2))
+    down = np.abs(np.quantile(x, 0.15, axis=1)) > np.abs(np.quantile(x, 0.85, axis=1))
+    y = np.where(down[:, None], -y, y)
+    slope = np.abs(np.gradient(y, axis=1))
+    width = max(1, int(0.1 * srate))
+    box = np.ones(width) / width
+    out = []
+    for v, s in zip(y, slope, strict=True):
+        smooth = np.convolve(s, box, "same")
+        steep = smooth > 1.5 * smooth.mean()
+        edges = np.flatnonzero(np.diff(np.r_[0, steep.astype(int), 0]))
+        found: list[int] = []
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            p = a + int(v[a:b].argmax())
+            if found and p - found[-1] < 0.3 * srate:
+                if v[p] > v[found[-1]]:
+                    found[-1] = p
+            else:
+                found.append(p)
+        out.append(np.array(found, float))
+    return out
+
+
+def pair_substitutions(symbols: np.ndarray) -> int:
+    """Effort to compress: rounds of replacing the most frequent pair by a new symbol until the sequence is constant."""
+    s, rounds = list(symbols), 0
+    while len(s) > 1 and len(set(s)) > 1:
+        counts: dict = {}
+        for a, b in zip(s, s[1:], strict=False):
+            counts[a, b] = counts.get((a, b), 0) + 1
+        pair = max(counts, key=lambda q: (counts[q], -q[0], -q[1]))
+        new, out, i = max(s) + 1, [], 0
+        while i < len(s):
+            if i + 1 < len(s) and (s[i], s[i + 1]) == pair:
+                out.append(new)
+                i += 2
+            else:
+                out.append(s[i])
+                i += 1
+        s, rounds = out, rounds + 1
+    return rounds
+
+
+def compression_causality(x: np.ndarray, y: np.ndarray, bins: int = 2, past: int = 15, ahead: int = 8, step: int = 8) -> float:
+    """Mean drop in the effort of y's next stretch once x's past stands in for part of y's."""
+    cut = lambda v: np.minimum((v - v.min()) / max(np.ptp(v), 1e-12) * bins, bins - 1).astype(int)
+    x, y = cut(x), cut(y)
+    drops = []
+    for t in range(past, len(y) - ahead + 1, step):
+        own, next_ = y[t - past : t], y[t : t + ahead]
+        joint = own * bins + x[t - past : t]
+        rate = lambda a, b: (pair_substitutions(np.r_[a, b]) - pair_substitutions(a)) / ahead
+        drops.append(rate(own, next_) - rate(joint, next_ * bins + x[t : t + ahead]))
+    return float(np.mean(drops)) if drops else float("nan")

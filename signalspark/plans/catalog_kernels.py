@@ -140,3 +140,33 @@ def class_probabilities(spark, d):
     model = Pipeline(stages=[PCA(k=6, inputCol="v", outputCol="features"), RandomForestClassifier(numTrees=20, maxDepth=5, seed=42)]).fit(rows)
     p = F.array_max(vector_to_array("probability"))
     return model.transform(rows).select("vec_id", F.col("prediction").cast("int").alias("prediction"), rnd(p).alias("probability"))
+
+
+@query()
+def wavelet_power(spark, d):
+    """Morlet power at six frequencies."""
+    freqs = [4.0, 6.0, 8.0, 12.0, 16.0, 24.0]
+    out = k.map_epochs(epochs(spark, d), ["vec_id"], lambda x: {"p": k.morlet_power(x, SRATE, freqs)}, "p array<double>")
+    return out.select("vec_id", *(rnd(F.col("p")[i]).alias(f"p{int(f)}") for i, f in enumerate(freqs)))
+
+
+@query()
+def beat_detection(spark, d):
+    """Peaks of each epoch by the R-peak detector, and the mean distance between them."""
+
+    def kernel(x):
+        found = k.r_peaks(x, SRATE)
+        return {"n": np.array([len(f) for f in found], float), "rr": np.array([np.diff(f).mean() / SRATE if len(f) > 1 else np.nan for f in found])}
+
+    return _rounded(k.map_epochs(epochs(spark, d), ["vec_id"], kernel, "n double, rr double"), ["vec_id"], ["n", "rr"])
+
+
+@query()
+def directed_compression(spark, d):
+    """Compression causality between the halves of each epoch, both ways."""
+
+    def kernel(x):
+        h = x.shape[1] // 2
+        return {"forth": np.array([k.compression_causality(v[:h], v[h:]) for v in x]), "back": np.array([k.compression_causality(v[h:], v[:h]) for v in x])}
+
+    return _rounded(k.map_epochs(epochs(spark, d), ["vec_id"], kernel, "forth double, back double"), ["vec_id"], ["forth", "back"])

@@ -129,3 +129,37 @@ def test_map_epochs_keeps_odd_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None), (3, []), (4, [1.0, 1.0])], "id long, x array<double>")
     got = {r["id"]: r["m"] for r in kernels.map_epochs(df, ["id"], lambda x: {"m": x.mean(axis=1)}, "m double").collect()}
     assert got == {1: 2.0, 2: None, 3: None, 4: 1.0}
+
+
+def test_wavelet_power_peaks_at_the_tone():
+    x = np.sin(2 * np.pi * 10 * np.arange(512) / 128)[None]
+    p = kernels.morlet_power(x, 128.0, [5.0, 10.0, 20.0])[0]
+    assert p.argmax() == 1 and p[1] > 20 * max(p[0], p[2])
+
+
+def test_r_peaks():
+    t = np.arange(2560) / 256
+    beats = np.arange(0.5, 10, 0.8)
+    x = sum(np.exp(-((t - b) ** 2) / (2 * 0.012**2)) for b in beats) + 0.02 * np.random.default_rng(0).normal(size=len(t))
+    for sign in (1, -1):
+        found = kernels.r_peaks(sign * x[None], 256.0)[0] / 256
+        assert len(found) == len(beats) and np.abs(found - beats).max() < 0.02
+
+
+def test_effort_to_compress():
+    assert kernels.pair_substitutions(np.array([1, 1, 1, 1])) == 0
+    assert kernels.pair_substitutions(np.array([0, 1, 0, 1, 0, 1])) == 1
+    assert kernels.pair_substitutions(np.random.default_rng(0).integers(0, 2, 40)) > 5
+
+
+def test_frames(spark):
+    from signalspark.operators import frames
+
+    df = spark.createDataFrame([("r", "a", 0, 1.0), ("r", "a", 1, 3.0), ("r", "b", 0, 5.0)], "rec string, chan string, t int, x double")
+    got = {(r["chan"], r["t"]): r["y"] for r in frames.waveform_frame(df, ["rec"], "chan", 10.0).collect()}
+    assert got == {("a", 0): 9.0, ("a", 1): 11.0, ("b", 0): 0.0}
+    stages = spark.createDataFrame([(0,), (4,), (3,), (9,)], "code int")
+    assert [r["level"] for r in frames.hypnogram_frame(stages).collect()] == [5, 4, 1, 0]
+    p = spark.createDataFrame([("Cz", 0.0, 0.0, 1.0), ("Fpz", 0.0, 1.0, 0.0)], "chan string, x double, y double, z double")
+    uv = {r["chan"]: (r["u"], r["v"]) for r in frames.scalp_frame(p).collect()}
+    assert uv["Cz"] == pytest.approx((0, 0)) and uv["Fpz"] == pytest.approx((0, 1))
