@@ -2,8 +2,8 @@
 
 A word that the model knows scores its smoothed log frequency in each language. An unknown word backs off to
 its character n-grams, longest first: it takes the longest order of which the model knows one of its n-grams
-and scores their mean log frequency there, less a penalty for each order passed over. A text's score in a
-language is the sum over its words and the language's log share of documents.
+and scores their mean log frequency there (a penalty for the orders passed over would be the same in every
+language). A text's score in a language is the sum over its words and the language's log share of documents.
 
 Counts cover all training rows; what a prediction uses is bounded: the ``max_words`` words and, per order, the
 ``max_ngrams`` n-grams with the largest share in any language. That table is what is sent to the tasks.
@@ -24,7 +24,6 @@ from signalspark.llm.common import cut, most_frequent
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 FLUSH = 200_000  # distinct entries that a task holds before it passes them on
-BACKOFF = 1.0
 
 
 def words(text: str) -> list[str]:
@@ -69,10 +68,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(shares)
-    model: dict = {"langs": langs, "prior": np.log(np.array([shares[x] for x in langs], float) / max(1, sum(shares.values()))), "table": {n: {} for n in (0, *ORDERS)}}
+    model: dict = {"langs": langs, "prior": np.log(np.array([shares[x] for x in langs], float) / max(1, sum(shares.values()))), "table": {n: {} for n in (0, *ORDERS)}, "scores": np.zeros((0, len(langs)))}
     if not langs:
         return model
     counts = cut(_word_counts(rows, langs))
+    scores: list[np.ndarray] = []
     for order, limit in ((0, max_words), *((n, max_ngrams) for n in ORDERS)):
         entries = _ngrams(counts, order, langs) if order else counts
         entries = entries if order == 0 else cut(entries)
@@ -80,40 +80,43 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
         totals = np.array([t or 0 for t in totals], float)
         share = F.greatest(*(F.col("n")[i] / F.lit(float(max(1.0, t))) for i, t in enumerate(totals)), F.lit(0.0))
         for r in most_frequent(entries, share, limit).toLocalIterator():
-            model["table"][order][r["word"]] = np.log(np.array(r["n"], float) + 1.0) - np.log(totals + 1.0)
+            model["table"][order][r["word"]] = len(scores)
+            scores.append(np.log(np.array(r["n"], float) + 1.0) - np.log(totals + 1.0))
+    model["scores"] = np.array(scores).reshape(-1, len(langs))
     return model
 
 
-def score_word(word: str, model: dict) -> np.ndarray | None:
-    """Log scores of a word by language, None if no n-gram of it is known."""
-    table = model["table"]
+def look_up(word: str, table: dict[int, dict[str, int]]) -> list[int]:
+    """Rows of the score matrix for a word: its own, or those of its n-grams of the longest order that has any."""
     known = table[0].get(word)
     if known is not None:
-        return known
+        return [known]
     marked = f"\x02{word}\x03"
-    for passed, n in enumerate(ORDERS):
-        grams = table[n]
-        found = [s for i in range(len(marked) - n + 1) if (s := grams.get(marked[i : i + n])) is not None]
+    for n in ORDERS:
+        get = table[n].get
+        found = [i for k in range(len(marked) - n + 1) if (i := get(marked[k : k + n])) is not None]
         if found:
-            return sum(found) / len(found) - BACKOFF * (passed + 1)
-    return None
+            return found
+    return []
 
 
-def predict_text(text: str | None, model: dict, memo: dict) -> tuple[str, float]:
+def predict_text(text: str | None, model: dict) -> tuple[str, float]:
     """(language, share of it among all languages); ("und", 0.0) without letters or a model."""
     counts = Counter(words(text)) if text else None
     if not counts or not model["langs"]:
         return "und", 0.0
-    scores = []
-    for w in counts:
-        s = memo.get(w)
-        if s is None:
-            s = score_word(w, model)
-            s = np.zeros(len(model["langs"])) if s is None else s
-            if len(memo) < FLUSH:
-                memo[w] = s
-        scores.append(s)
-    total = model["prior"] + np.fromiter(counts.values(), float, len(counts)) @ np.array(scores)
+    table, rows, weights = model["table"], [], []
+    known = table[0].get
+    for w, n in counts.items():
+        i = known(w)
+        if i is not None:
+            rows.append(i)
+            weights.append(n)
+        else:
+            found = look_up(w, table)
+            rows += found
+            weights += [n / len(found)] * len(found) if found else []
+    total = model["prior"] + np.array(weights, float) @ model["scores"][np.array(rows, np.int64)] if rows else model["prior"]
     best = int(total.argmax())
     return model["langs"][best], float(1.0 / np.exp(total - total[best]).sum())
 
@@ -124,9 +127,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        memo: dict = {}
         for b in batches:
-            found = [predict_text(t, sent.value, memo) for t in b.column("text to score").to_pylist()]
+            found = [predict_text(t, sent.value) for t in b.column("text to score").to_pylist()]
             langs, scores = zip(*found, strict=True) if found else ((), ())
             rest = b.drop_columns(["text to score"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest.schema.names, "lang_pred", "score"])

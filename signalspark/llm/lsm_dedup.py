@@ -103,7 +103,7 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> D
 def _texts_of_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
     """(digest, doc_id, text) of the rows whose digest the filter lets through; other texts are not shuffled."""
     # The first 32 bits of a digest, at the top of a long.
-    head = F.shiftleft(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32)
+    head = F.shiftleft(F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long"), 32)
     seen = docs.sparkSession.sparkContext.broadcast(slot_filter(hits, head, SLOT_BITS))
     size = digest_bits // 8
 
@@ -114,7 +114,7 @@ def _texts_of_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str,
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = t.lower() if t else b""
                 digest = hashlib.sha256(text).digest()[:size]
-                slot = int.from_bytes(digest[:4], "big") >> (32 - SLOT_BITS)
+                slot = int.from_bytes(digest[:4].ljust(4, b"\0"), "big") >> (32 - SLOT_BITS)
                 if filled[slot >> 3] >> (slot & 7) & 1:
                     out.append((digest, i, text))
             if out:
@@ -130,10 +130,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when their bytes are, after lower-casing A-Z; null counts as empty. ``keep`` says whether the
     smallest or largest id of a group stays. Of repeated rows with the id that stays one is kept. Null ids stay
-    only in groups without any other. ``digest_bits`` (a multiple of 8, 32 to 256) is the length of the indexed
+    only in groups without any other. ``digest_bits`` (a multiple of 8, 8 to 256) is the length of the indexed
     digest; short ones collide and rely on the byte verification. No rows: no result rows."""
-    if keep not in ("smallest", "largest") or digest_bits % 8 or not 32 <= digest_bits <= 256:
-        raise ValueError("keep is smallest or largest; digest_bits a multiple of 8 from 32 to 256")
+    if keep not in ("smallest", "largest") or digest_bits % 8 or not 8 <= digest_bits <= 256:
+        raise ValueError("keep is smallest or largest; digest_bits a multiple of 8 from 8 to 256")
     best = (lambda c: F.min(c)) if keep == "smallest" else (lambda c: F.max(c))
     rows = cut(_digests(docs, id_col, text_col, digest_bits))
     index = DigestIndex(docs.sparkSession)

@@ -12,9 +12,9 @@ the search walk through its many bins.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,8 @@ SCHEMA = "doc_id long, piece int, n_tokens long, source string, cluster long, bi
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int) -> tuple[list[int], list[int]]:
     """Bin number and offset in the bin of each piece, in the order given. A null cluster conflicts with none."""
     source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
-    counts = pd.Series(clusters, dtype=object).value_counts()
-    cluster_bit = {c: 1 << i for i, c in enumerate(counts.index[counts > 1])}
+    repeated = [c for c, n in Counter(clusters).items() if n > 1 and c is not None]
+    cluster_bit = {c: 1 << i for i, c in enumerate(repeated)}
     residuals: list[int] = []  # ordered; of bins that are open
     bins: dict[int, dict[tuple, list[int]]] = {}  # residual -> (source levels, clusters) -> bins
     fresh = (0,) * per_source + (0,)
@@ -93,14 +93,15 @@ def pack(
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards).cast("long")))
 
     def run(key, t):
-        t = t.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        nulls = t["cluster"].isna()
-        clusters = [None if null else c for c, null in zip(t["cluster"], nulls, strict=True)]
-        sources = [s if isinstance(s, str) else None for s in t["source"]]
-        bin_of, offset = best_fit(t["n_tokens"].tolist(), sources, clusters, capacity, per_source)
-        bin_of = np.array(bin_of, np.int64)
-        tokens = np.bincount(bin_of, weights=t["n_tokens"]).astype(np.int64)
-        t = t.assign(bin_id=bin_of + (int(key[0]) << 32), bin_offset=offset, bin_tokens=tokens[bin_of])
-        return t[["doc_id", "piece", "n_tokens", "source", "cluster", "bin_id", "bin_offset", "bin_tokens"]]
+        t = t.drop_columns(["shard"]).sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
+        sizes = t.column("n_tokens").to_pylist()
+        bin_of, offset = best_fit(sizes, t.column("source").to_pylist(), t.column("cluster").to_pylist(), capacity, per_source)
+        tokens = [0] * (max(bin_of) + 1)
+        for k, n in zip(bin_of, sizes, strict=True):
+            tokens[k] += n
+        first = key[0].as_py() << 32
+        for name, values in (("bin_id", [first + k for k in bin_of]), ("bin_offset", offset), ("bin_tokens", [tokens[k] for k in bin_of])):
+            t = t.append_column(name, pa.array(values, pa.int64()))
+        return t.select(["doc_id", "piece", "n_tokens", "source", "cluster", "bin_id", "bin_offset", "bin_tokens"])
 
-    return rows.groupBy("shard").applyInPandas(run, SCHEMA)
+    return rows.groupBy("shard").applyInArrow(run, SCHEMA)

@@ -1,13 +1,18 @@
 """Substring dedup: bytes covered by long strings that start in an earlier document too.
 
-Every ``length``-byte window of a text belongs to the ``gram``-byte string in it with the least hash, its
-anchor, so equal windows have equal anchors wherever they stand. A first pass counts anchors; windows whose
-anchor occurs once in the corpus cannot repeat. What the others cover is cut into snippets, one per stretch of
-windows with the same anchor. Equal snippets are merged, keeping the earliest document, and dealt to shards by
-anchor: all copies of a window meet in one shard, however many documents hold it. Each shard is sorted by
-induced sorting (``induced_sort``), its queues on disk beyond a memory limit; suffixes that share ``length``
-bytes with their neighbours are copies of one window, and the earliest document among them is the window's.
-Joined back to where each snippet occurs, that gives the ranges to remove.
+Exact copies are told by digest first and leave the work to their first document. In the others, every
+``length``-byte window belongs to the ``GRAM``-byte string in it with the least hash, its anchor, so equal
+windows have equal anchors wherever they stand. A first pass counts anchors; windows whose anchor occurs once
+in the corpus cannot repeat. What the others cover is cut into snippets, one per stretch of windows with the
+same anchor. Equal snippets of a task are merged, keeping the earliest and latest document, and dealt to shards
+by anchor: all copies of a window meet in one shard, and a passage that a third of all documents share brings
+it one row per task. An anchor with a single distinct snippet is settled by that. The snippets of all others
+are sorted by induced sorting (``induced_sort``), with queues on disk beyond a memory limit; suffixes that share
+``length`` bytes with their neighbours are copies of one window, and the earliest document among them is the
+window's. Joined back to where each snippet occurs, that gives the ranges to remove.
+
+Bit sets of bounded size tell tasks which rows, anchors and snippets can matter. Where they fill up, more rows
+are passed on than need be, and the exact joins behind them still decide.
 """
 
 from __future__ import annotations
@@ -18,29 +23,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, slot_filter
+from signalspark.llm.common import cut, slot_filter, store
 from signalspark.llm.induced_sort import suffix_order
 
 GRAM = 20
 SLOT_BITS = 27
-SEGMENT = 4 << 20  # bytes hashed at once; positions take 24 bits
+ROW_BITS = 26
+FLUSH = 100_000  # distinct snippets that a task holds before it passes them on
+SEGMENT = 1 << 17  # bytes hashed at once, so that arrays stay in the cache; positions take 24 bits
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of all GRAM-byte strings of a byte array."""
+    n = len(data) - GRAM + 1
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    eight = np.zeros(len(data), np.uint64)
+    eight = np.empty((len(data) // 8 + 1) * 8, np.uint64)  # the eight bytes from each place on
     for k in range(8):
-        eight |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(8 * k)
-    n = len(data) - GRAM + 1
-    h = np.zeros(n, np.uint64)
-    for at in (0, 8, GRAM - 8):
-        h ^= eight[at : at + n]
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        part = padded[k : k + (len(padded) - k) // 8 * 8].view("<u8")[: len(eight) // 8]
+        eight[k : k + 8 * len(part) : 8] = part
+    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += eight[8 : 8 + n]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h += eight[GRAM - 8 : GRAM - 8 + n]
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -65,17 +74,16 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     hashes = _gram_hashes(data)
     keys = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
     anchor = (_least_in_windows(keys, length - GRAM + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-    text = np.searchsorted(ends, np.arange(n), "right")
-    inside = np.arange(n) + length <= ends[text]
-    new = np.ones(n, bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    new[ends[ends < n]] = True
     starts = np.flatnonzero(new)
-    stops = np.append(starts[1:], n)
-    good = inside[starts]
-    starts, stops = starts[good], stops[good]
+    end = ends[np.searchsorted(ends, starts, "right")]
     # The last stretch of a text ends where its windows do.
-    stops = np.minimum(stops, ends[text[starts]] - length + 1)
-    return starts, stops, hashes[anchor[starts]]
+    stops = np.minimum(np.append(starts[1:], n), end - length + 1)
+    good = stops > starts
+    return starts[good], stops[good], hashes[anchor[starts[good]]]
 
 
 def _segments(texts: list[bytes], length: int):
@@ -106,12 +114,35 @@ def _stretched(texts: list[bytes], length: int):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, hash, text): a row is told by its id (null last) and its text's hash."""
+    """(ord, hash, text, doc_id, slot): a row is told by its id (null last) and its text's hash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("hash"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.withColumn("slot", F.shiftrightunsigned(F.xxhash64("ord", "hash"), 64 - ROW_BITS))
+
+
+def _set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> 3] >> (slots & 7)) & 1).astype(bool)
 
 
-def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+def copies(rows: DataFrame) -> DataFrame:
+    """(ord, hash, size): rows whose whole text an earlier document has."""
+    ids = cut(rows.select("ord", "hash", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha")))
+    firsts = ids.groupBy("sha").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
+    return cut(ids.join(firsts, "sha").where("ord > first").select("ord", "hash", "size").distinct())
+
+
+def _passed(bits, rest: bool):
+    """Rows that the bit set holds, or with ``rest`` all others."""
+
+    def run(batches):
+        for b in batches:
+            hit = _set(bits.value, b.column(3).to_numpy())
+            yield b.filter(pa.array(~hit if rest else hit))
+
+    return run
+
+
+def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
     """(anchor): hashes that anchor windows in more than one place."""
 
     def run(batches):
@@ -120,34 +151,59 @@ def repeated_anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -
                 values, times = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["anchor", "times"])
 
-    counts = _rows(docs, id_col, text_col).select("text").mapInArrow(run, "anchor long, times byte")
+    counts = rows.select("text").mapInArrow(run, "anchor long, times byte")
     return counts.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
 
 
-def _snippets(docs: DataFrame, id_col: str, text_col: str, length: int, shards: int, seen, with_bytes: bool) -> DataFrame:
-    """Snippets whose anchor may be repeated: (snippet digest, ord) with shard and bytes, or with hash and offset."""
+def _cut_out(batches, seen: np.ndarray, length: int):
+    """(ords, hashes, offsets, anchors, bytes) of the snippets whose anchor may be repeated, by stretch of text."""
+    for b in batches:
+        ords, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for joined, first, stop, h, text, offset in _stretched(b.column(2).to_pylist(), length):
+            keep = np.flatnonzero(_set(seen, (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)))
+            parts = [joined[s:e] for s, e in zip(first[keep].tolist(), (stop[keep] + length - 1).tolist(), strict=True)]
+            yield ords[text[keep]], hashes[text[keep]], offset[keep], h[keep].view(np.int64), parts
+
+
+def _digest(part: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(part)[:12]
+
+
+def snippets(rows: DataFrame, seen, length: int) -> DataFrame:
+    """(anchor, bytes, first, last): distinct snippets of each task with their earliest and latest document."""
 
     def run(batches):
-        filled = seen.value
-        for b in batches:
-            ords, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for joined, first, stop, h, text, offset in _stretched(b.column(2).to_pylist(), length):
-                slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-                keep = np.flatnonzero((filled[slot >> 3] >> (slot & 7)) & 1)
-                if not len(keep):
-                    continue
-                parts = [joined[s:e] for s, e in zip(first[keep].tolist(), (stop[keep] + length - 1).tolist(), strict=True)]
-                digests = pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary())
-                ord_ = pa.array(ords[text[keep]], pa.int64())
-                if with_bytes:
-                    arrays = [digests, ord_, pa.array((h[keep] % np.uint64(shards)).astype(np.int32)), pa.array(parts, pa.binary())]
-                else:
-                    arrays = [digests, ord_, pa.array(hashes[text[keep]], pa.int64()), pa.array(offset[keep], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = ["snippet", "ord", "shard", "bytes"] if with_bytes else ["snippet", "ord", "hash", "offset"]
-    schema = "snippet binary, ord long, shard int, bytes binary" if with_bytes else "snippet binary, ord long, hash long, offset long"
-    return _rows(docs, id_col, text_col).select("ord", "hash", "text").mapInArrow(run, schema)
+        table: dict = {}
+
+        def out():
+            if table:
+                keys, values = zip(*table.items(), strict=True)
+                first, last, anchors = zip(*values, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["anchor", "bytes", "first", "last"])
+                table.clear()
+
+        for ords, _, _, anchors, parts in _cut_out(batches, seen.value, length):
+            for o, a, p in zip(ords.tolist(), anchors.tolist(), parts, strict=True):
+                old = table.get(p)
+                table[p] = (o, o, a) if old is None else (min(o, old[0]), max(o, old[1]), a)
+            if len(table) > FLUSH:
+                yield from out()
+        yield from out()
+
+    return rows.select("ord", "hash", "text").mapInArrow(run, "anchor long, bytes binary, first long, last long")
+
+
+def places(rows: DataFrame, seen, wanted, length: int) -> DataFrame:
+    """(snippet, ord, hash, offset): where the snippets stand whose digests are wanted."""
+
+    def run(batches):
+        for ords, hashes, offset, _, parts in _cut_out(batches, seen.value, length):
+            digests = [_digest(p) for p in parts]
+            slots = np.array([int.from_bytes(d[:8], "big") >> (64 - ROW_BITS) for d in digests], np.int64)
+            k = np.flatnonzero(_set(wanted.value, slots)) if len(slots) else slots
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in k.tolist()], pa.binary()), pa.array(ords[k]), pa.array(hashes[k]), pa.array(offset[k])], ["snippet", "ord", "hash", "offset"])
+
+    return rows.select("ord", "hash", "text").mapInArrow(run, "snippet binary, ord long, hash int, offset long")
 
 
 def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> list[tuple[list[int], list[int], list[int]]]:
@@ -174,30 +230,50 @@ def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: i
     return out
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 4 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
-    """(ord, hash, cut): for rows that lose bytes, ranges (start, stop) that cover what goes; they may overlap."""
-    context = docs.sparkSession.sparkContext
-    seen = context.broadcast(slot_filter(repeated_anchors(docs, id_col, text_col, length), F.col("anchor"), SLOT_BITS))
-    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    merged = _snippets(docs, id_col, text_col, length, shards, seen, True).groupBy("shard", "snippet", "bytes")
-    merged = merged.agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+def _settle(length: int, memory_bytes: int):
+    """A shard's snippets -> (snippet, at, windows, earliest) of those that take something from a document."""
 
-    def sort_shard(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
+        anchors, parts = t.column("anchor").to_numpy(), t.column("bytes").to_pylist()
         first, last = t.column("first").to_numpy(), t.column("last").to_numpy()
-        runs = earliest(t.column("bytes").to_pylist(), first, length, memory_bytes)
-        # What only the earliest document has takes nothing from anyone.
-        rows = [(s, r) for s, r, lo in zip(t.column("snippet").to_pylist(), runs, last.tolist(), strict=True) if min(r[2]) < lo]
-        s, r = zip(*rows, strict=True) if rows else ((), ())
-        lists = [pa.array([x[k] for x in r], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int32()), (2, pa.int64()))]
-        return pa.table([pa.array(s, pa.binary()), *lists], ["snippet", "at", "windows", "earliest"])
-
-    sorted_ = merged.groupBy("shard").applyInArrow(sort_shard, "snippet binary, at array<int>, windows array<int>, earliest array<long>")
-    places = _snippets(docs, id_col, text_col, length, shards, seen, False)
-    hit = places.join(sorted_, "snippet").select("ord", "hash", "offset", F.explode(F.arrays_zip("at", "windows", "earliest")).alias("r"))
+        kinds, of, times = np.unique(anchors, return_inverse=True, return_counts=True)
+        rows = []
+        alone = times[of] == 1
+        for i in np.flatnonzero(alone & (first < last)).tolist():
+            rows.append((_digest(parts[i]), [0], [len(parts[i]) - length + 1], [int(first[i])]))
+        mixed = np.flatnonzero(~alone)
+        if len(mixed):
+            runs = earliest([parts[i] for i in mixed.tolist()], first[mixed], length, memory_bytes)
+            rows += [(_digest(parts[i]), *r) for i, r in zip(mixed.tolist(), runs, strict=True) if min(r[2]) < last[i]]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        types = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["snippet", "at", "windows", "earliest"])
+
+    return run
+
+
+def removals(rows: DataFrame, total_bytes: int, length: int, shard_bytes: int, memory_bytes: int) -> DataFrame:
+    """(ord, hash, cut): for rows that lose bytes, ranges (start, stop) that cover what goes; they may overlap."""
+    context = rows.sparkSession.sparkContext
+    again = copies(rows)
+    whole = again.where(F.col("size") >= length).select("ord", "hash", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))).alias("cut"))
+    skipped = context.broadcast(slot_filter(again, F.xxhash64("ord", "hash"), ROW_BITS))
+    schema, text = "ord long, hash int, text binary, slot long", rows.select("ord", "hash", "text", "slot")
+    # Rows that share a bit with a copy are looked up; those that are none go on with the rest.
+    kept = cut(text.mapInArrow(_passed(skipped, False), schema).join(again, ["ord", "hash"], "left_anti"))
+    work = text.mapInArrow(_passed(skipped, True), schema).unionByName(kept)
+    seen = context.broadcast(slot_filter(repeated_anchors(work, length), F.col("anchor"), SLOT_BITS))
+    shards = max(1, -(-total_bytes // shard_bytes))
+    parts = snippets(work, seen, length).withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard")
+    merged = parts.groupBy("shard", "anchor", "bytes").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    settled = store(merged.groupBy("shard").applyInArrow(_settle(length, memory_bytes), "snippet binary, at array<int>, windows array<int>, earliest array<long>"))
+    head = F.conv(F.hex(F.substring("snippet", 1, 8)), 16, -10).cast("long")
+    wanted = context.broadcast(slot_filter(settled, head, ROW_BITS))
+    hit = places(work, seen, wanted, length).join(settled, "snippet")
+    hit = hit.select("ord", "hash", "offset", F.explode(F.arrays_zip("at", "windows", "earliest")).alias("r")).where("r.earliest < ord")
     start = F.col("offset") + F.col("r.at")
-    hit = hit.where("r.earliest < ord").select("ord", "hash", start.alias("start"), (start + F.col("r.windows") + (length - 1)).alias("stop"))
-    return hit.groupBy("ord", "hash").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
+    hit = hit.select("ord", "hash", start.alias("start"), (start + F.col("r.windows") + (length - 1)).alias("stop"))
+    return hit.groupBy("ord", "hash").agg(F.collect_set(F.struct("start", "stop")).alias("cut")).unionByName(whole)
 
 
 def strip(text: bytes, starts, stops) -> tuple[bytes, int, int]:
@@ -210,26 +286,24 @@ def strip(text: bytes, starts, stops) -> tuple[bytes, int, int]:
     return kept, int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 4 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 2 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
     """One row per input row: (doc_id, kept, n_bytes, n_removed, n_spans), kept the bytes that stay.
 
     A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller id, by the
     texts as they came in. Rows of one id are one document to each other; a null id comes after all others.
     Null texts are empty; texts shorter than ``length`` stay whole. No rows: no result rows; further columns
     are ignored."""
-    cuts = cut(removals(docs, id_col, text_col, length, shard_bytes, memory_bytes))
-    key = F.xxhash64("ord", "hash")
-    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(cuts, key, 26))
-    rows = _rows(docs, id_col, text_col).withColumn("slot", F.shiftrightunsigned(key, 64 - 26))
-    names = ["doc_id", "ord", "hash", "text", "maybe"]
+    rows = _rows(docs, id_col, text_col)
+    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    cuts = store(removals(rows, total, length, shard_bytes, memory_bytes))
+    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(cuts, F.xxhash64("ord", "hash"), ROW_BITS))
+    names = ["ord", "hash", "text", "doc_id", "maybe"]
 
     def split(batches):
         for b in batches:
-            slot = b.column(4).to_numpy()
-            maybe = ((seen.value[slot >> 3] >> (slot & 7)) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in (3, 0, 1, 2)] + [pa.array(maybe)], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(_set(seen.value, b.column(4).to_numpy()))], names)
 
-    rows = rows.select("ord", "hash", "text", "doc_id", "slot").mapInArrow(split, "doc_id long, ord long, hash long, text binary, maybe boolean")
+    rows = rows.mapInArrow(split, "ord long, hash int, text binary, doc_id long, maybe boolean")
     hit = rows.where("maybe").join(cuts, ["ord", "hash"], "left").select("doc_id", "text", F.col("cut.start").alias("starts"), F.col("cut.stop").alias("stops"))
 
     def take(batches):
