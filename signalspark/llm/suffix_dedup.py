@@ -31,6 +31,8 @@ SLOT_BITS = 27
 ROW_BITS = 26
 FLUSH = 100_000  # distinct snippets that a task holds before it passes them on
 SEGMENT = 1 << 17  # bytes hashed at once, so that arrays stay in the cache; positions take 24 bits
+SLICE = 1000  # rows of a batch whose texts are Python objects at a time
+SORT_BYTES = 1 << 20  # bytes of snippets sorted at once, but never less than all of an anchor
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
@@ -131,35 +133,44 @@ def copies(rows: DataFrame) -> DataFrame:
     return cut(ids.join(firsts, "sha").where("ord > first").select("ord", "hash", "size").distinct())
 
 
-def _passed(bits, rest: bool):
-    """Rows that the bit set holds, or with ``rest`` all others."""
+def _pieces(batches, skipped: np.ndarray | None = None):
+    """Batches of SLICE rows at most, less the rows whose slot (third column; -1: always passed) the bit set holds."""
+    for b in batches:
+        if skipped is not None:
+            slots = b.column(2).to_numpy()
+            b = b.filter(pa.array((slots < 0) | ~_set(skipped, np.maximum(slots, 0))))
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _shared_slot(skipped):
+    """Rows whose slot the bit set holds."""
 
     def run(batches):
         for b in batches:
-            hit = _set(bits.value, b.column(3).to_numpy())
-            yield b.filter(pa.array(~hit if rest else hit))
+            yield b.filter(pa.array(_set(skipped.value, b.column(2).to_numpy())))
 
     return run
 
 
-def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
+def repeated_anchors(rows: DataFrame, skipped, length: int) -> DataFrame:
     """(anchor): hashes that anchor windows in more than one place."""
 
     def run(batches):
-        for b in batches:
-            for _, _, _, h, _, _ in _stretched(b.column(0).to_pylist(), length):
+        for b in _pieces(batches, skipped.value):
+            for _, _, _, h, _, _ in _stretched(b.column(3).to_pylist(), length):
                 values, times = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["anchor", "times"])
 
-    counts = rows.select("text").mapInArrow(run, "anchor long, times byte")
+    counts = rows.mapInArrow(run, "anchor long, times byte")
     return counts.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
 
 
-def _cut_out(batches, seen: np.ndarray, length: int):
+def _cut_out(batches, skipped: np.ndarray, seen: np.ndarray, length: int):
     """(ords, hashes, offsets, anchors, bytes) of the snippets whose anchor may be repeated, by stretch of text."""
-    for b in batches:
+    for b in _pieces(batches, skipped):
         ords, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for joined, first, stop, h, text, offset in _stretched(b.column(2).to_pylist(), length):
+        for joined, first, stop, h, text, offset in _stretched(b.column(3).to_pylist(), length):
             keep = np.flatnonzero(_set(seen, (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)))
             parts = [joined[s:e] for s, e in zip(first[keep].tolist(), (stop[keep] + length - 1).tolist(), strict=True)]
             yield ords[text[keep]], hashes[text[keep]], offset[keep], h[keep].view(np.int64), parts
@@ -169,7 +180,7 @@ def _digest(part: bytes) -> bytes:
     return xxhash.xxh3_128_digest(part)[:12]
 
 
-def snippets(rows: DataFrame, seen, length: int) -> DataFrame:
+def snippets(rows: DataFrame, skipped, seen, length: int) -> DataFrame:
     """(anchor, bytes, first, last): distinct snippets of each task with their earliest and latest document."""
 
     def run(batches):
@@ -182,7 +193,7 @@ def snippets(rows: DataFrame, seen, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["anchor", "bytes", "first", "last"])
                 table.clear()
 
-        for ords, _, _, anchors, parts in _cut_out(batches, seen.value, length):
+        for ords, _, _, anchors, parts in _cut_out(batches, skipped.value, seen.value, length):
             for o, a, p in zip(ords.tolist(), anchors.tolist(), parts, strict=True):
                 old = table.get(p)
                 table[p] = (o, o, a) if old is None else (min(o, old[0]), max(o, old[1]), a)
@@ -190,20 +201,20 @@ def snippets(rows: DataFrame, seen, length: int) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return rows.select("ord", "hash", "text").mapInArrow(run, "anchor long, bytes binary, first long, last long")
+    return rows.mapInArrow(run, "anchor long, bytes binary, first long, last long")
 
 
-def places(rows: DataFrame, seen, wanted, length: int) -> DataFrame:
+def places(rows: DataFrame, skipped, seen, wanted, length: int) -> DataFrame:
     """(snippet, ord, hash, offset): where the snippets stand whose digests are wanted."""
 
     def run(batches):
-        for ords, hashes, offset, _, parts in _cut_out(batches, seen.value, length):
+        for ords, hashes, offset, _, parts in _cut_out(batches, skipped.value, seen.value, length):
             digests = [_digest(p) for p in parts]
             slots = np.array([int.from_bytes(d[:8], "big") >> (64 - ROW_BITS) for d in digests], np.int64)
             k = np.flatnonzero(_set(wanted.value, slots)) if len(slots) else slots
             yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in k.tolist()], pa.binary()), pa.array(ords[k]), pa.array(hashes[k]), pa.array(offset[k])], ["snippet", "ord", "hash", "offset"])
 
-    return rows.select("ord", "hash", "text").mapInArrow(run, "snippet binary, ord long, hash int, offset long")
+    return rows.mapInArrow(run, "snippet binary, ord long, hash int, offset long")
 
 
 def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> list[tuple[list[int], list[int], list[int]]]:
@@ -230,6 +241,44 @@ def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: i
     return out
 
 
+def _chunks(rows: np.ndarray, anchor: np.ndarray, parts: list[bytes]):
+    """Row numbers in groups of about SORT_BYTES that keep the rows of an anchor together."""
+    rows = rows[np.argsort(anchor[rows], kind="stable")]
+    if not len(rows):
+        return
+    kinds = anchor[rows]
+    before = np.cumsum([len(parts[i]) for i in rows.tolist()]) - len(parts[rows[0]])
+    starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
+    bin_of = before[starts] // SORT_BYTES
+    yield from np.split(rows, starts[1:][bin_of[1:] != bin_of[:-1]])
+
+
+def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
+    """Whether a snippet may share a window with another one of its anchor.
+
+    A shared window agrees around the anchor, so on one side of it in half of what a window has besides it."""
+    side = (length - GRAM) // 2
+    left, right = (np.zeros(len(parts), np.uint64) for _ in range(2))
+    has_left, has_right = (np.zeros(len(parts), bool) for _ in range(2))
+    before = np.cumsum([0, *map(len, parts)])
+    bounds = np.unique(np.searchsorted(before, np.arange(0, before[-1], SORT_BYTES)))
+    for s, e in zip(bounds, [*bounds[1:], len(parts)], strict=True):
+        if e == s:
+            continue
+        start, stop = before[s:e] - before[s], before[s + 1 : e + 1] - before[s]
+        h = _gram_hashes(np.frombuffer(b"".join(parts[s:e]), np.uint8))
+        keys = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        at = (_least_in_windows(keys, length - GRAM + 1)[start] & np.uint64(0xFFFFFF)).astype(np.int64)
+        has_left[s:e], has_right[s:e] = at - side >= start, at + side + GRAM <= stop
+        left[s:e], right[s:e] = h[np.maximum(at - side, 0)], h[np.minimum(at + side, len(h) - 1)]
+    out = np.zeros(len(parts), bool)
+    for has, h in ((has_left, left), (has_right, right)):
+        rows = np.flatnonzero(has)
+        _, of, times = np.unique(h[rows] + anchor[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
+        out[rows] |= times[of] > 1
+    return out
+
+
 def _settle(length: int, memory_bytes: int):
     """A shard's snippets -> (snippet, at, windows, earliest) of those that take something from a document."""
 
@@ -239,10 +288,12 @@ def _settle(length: int, memory_bytes: int):
         kinds, of, times = np.unique(anchors, return_inverse=True, return_counts=True)
         rows = []
         alone = times[of] == 1
+        some = np.flatnonzero(~alone)
+        if len(some):
+            alone[some] = ~comparable([parts[i] for i in some.tolist()], of[some], length)
         for i in np.flatnonzero(alone & (first < last)).tolist():
             rows.append((_digest(parts[i]), [0], [len(parts[i]) - length + 1], [int(first[i])]))
-        mixed = np.flatnonzero(~alone)
-        if len(mixed):
+        for mixed in _chunks(np.flatnonzero(~alone), of, parts):
             runs = earliest([parts[i] for i in mixed.tolist()], first[mixed], length, memory_bytes)
             rows += [(_digest(parts[i]), *r) for i, r in zip(mixed.tolist(), runs, strict=True) if min(r[2]) < last[i]]
         cols = list(zip(*rows, strict=True)) if rows else [()] * 4
@@ -258,18 +309,18 @@ def removals(rows: DataFrame, total_bytes: int, length: int, shard_bytes: int, m
     again = copies(rows)
     whole = again.where(F.col("size") >= length).select("ord", "hash", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))).alias("cut"))
     skipped = context.broadcast(slot_filter(again, F.xxhash64("ord", "hash"), ROW_BITS))
-    schema, text = "ord long, hash int, text binary, slot long", rows.select("ord", "hash", "text", "slot")
+    text = rows.select("ord", "hash", "slot", "text")
     # Rows that share a bit with a copy are looked up; those that are none go on with the rest.
-    kept = cut(text.mapInArrow(_passed(skipped, False), schema).join(again, ["ord", "hash"], "left_anti"))
-    work = text.mapInArrow(_passed(skipped, True), schema).unionByName(kept)
-    seen = context.broadcast(slot_filter(repeated_anchors(work, length), F.col("anchor"), SLOT_BITS))
+    kept = text.mapInArrow(_shared_slot(skipped), text.schema).join(again, ["ord", "hash"], "left_anti")
+    work = text.unionByName(cut(kept.withColumn("slot", F.lit(-1).cast("long"))))
+    seen = context.broadcast(slot_filter(repeated_anchors(work, skipped, length), F.col("anchor"), SLOT_BITS))
     shards = max(1, -(-total_bytes // shard_bytes))
-    parts = snippets(work, seen, length).withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard")
+    parts = snippets(work, skipped, seen, length).withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard")
     merged = parts.groupBy("shard", "anchor", "bytes").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     settled = store(merged.groupBy("shard").applyInArrow(_settle(length, memory_bytes), "snippet binary, at array<int>, windows array<int>, earliest array<long>"))
     head = F.conv(F.hex(F.substring("snippet", 1, 8)), 16, -10).cast("long")
     wanted = context.broadcast(slot_filter(settled, head, ROW_BITS))
-    hit = places(work, seen, wanted, length).join(settled, "snippet")
+    hit = places(work, skipped, seen, wanted, length).join(settled, "snippet")
     hit = hit.select("ord", "hash", "offset", F.explode(F.arrays_zip("at", "windows", "earliest")).alias("r")).where("r.earliest < ord")
     start = F.col("offset") + F.col("r.at")
     hit = hit.select("ord", "hash", start.alias("start"), (start + F.col("r.windows") + (length - 1)).alias("stop"))
