@@ -11,6 +11,10 @@ are sorted by induced sorting (``induced_sort``), with queues on disk beyond a m
 ``length`` bytes with their neighbours are copies of one window, and the earliest document among them is the
 window's. Joined back to where each snippet occurs, that gives the ranges to remove.
 
+An anchor that occurs very often among different bytes, as at the end of a passage that many documents share and
+go on from in their own ways, would bring one shard a snippet per document. Its stretches are cut into single
+windows, each dealt by a hash of its own bytes: equal windows still meet, and no anchor's rows are unbounded.
+
 Bit sets of bounded size tell tasks which rows, anchors and snippets can matter. Where they fill up, more rows
 are passed on than need be, and the exact joins behind them still decide.
 """
@@ -32,6 +36,8 @@ ROW_BITS = 26
 FLUSH = 100_000  # distinct snippets that a task holds before it passes them on
 SEGMENT = 1 << 17  # bytes hashed at once, so that arrays stay in the cache; positions take 24 bits
 SLICE = 1000  # rows of a batch whose texts are Python objects at a time
+HOT = 20_000  # an anchor in more places than that, with many different snippets, is dealt by window
+SKETCH_BITS = 4  # one snippet in 2 ** SKETCH_BITS counts in the sketch of how many an anchor has
 SORT_BYTES = 1 << 20  # bytes of snippets sorted at once, but never less than all of an anchor
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 
@@ -65,11 +71,12 @@ def _least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid end to end in ``data`` -> (first window, one past the last window, anchor hash) of each stretch.
+def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end in ``data`` -> (first window, one past the last window, anchor hash, sum of the hashes
+    of all GRAM-byte strings) of each stretch.
 
     ``ends``: where each text ends. Windows lie inside one text."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     n = len(data) - length + 1
     if n < 1:
         return none
@@ -85,7 +92,9 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     # The last stretch of a text ends where its windows do.
     stops = np.minimum(np.append(starts[1:], n), end - length + 1)
     good = stops > starts
-    return starts[good], stops[good], hashes[anchor[starts[good]]]
+    starts, stops = starts[good], stops[good]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
+    return starts, stops, hashes[anchor[starts]], sums[stops + length - GRAM] - sums[starts]
 
 
 def _segments(texts: list[bytes], length: int):
@@ -104,15 +113,17 @@ def _segments(texts: list[bytes], length: int):
         yield group
 
 
-def _stretched(texts: list[bytes], length: int):
-    """Per group: joined bytes, first and last+1 windows, hashes, text numbers and each stretch's offset in its text."""
+def _stretched(texts: list[bytes], length: int, contents: bool = False):
+    """Per group: joined bytes, first and last+1 windows, hashes, text numbers and each stretch's offset in its text;
+    with ``contents`` a hash of each stretch's bytes too."""
     for group in _segments(texts, length):
         joined = b"".join(g[2] for g in group)
         ends = np.cumsum([len(g[2]) for g in group])
-        first, stop, h = stretches(np.frombuffer(joined, np.uint8), ends, length)
+        first, stop, h, content = stretches(np.frombuffer(joined, np.uint8), ends, length)
         part = np.searchsorted(ends, first, "right")
         shift = np.array([g[1] for g in group]) - np.r_[0, ends[:-1]]
-        yield joined, first, stop, h, np.array([g[0] for g in group])[part], first + shift[part]
+        out = joined, first, stop, h, np.array([g[0] for g in group])[part], first + shift[part]
+        yield (*out, content) if contents else out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,26 +165,63 @@ def _shared_slot(skipped):
 
 
 def repeated_anchors(rows: DataFrame, skipped, length: int) -> DataFrame:
-    """(anchor): hashes that anchor windows in more than one place."""
+    """(anchor, hot): hashes that anchor windows in more than one place; hot if in over HOT places with many different
+    snippets: so many that they set all 32 bits of ``kinds``, as over HOT different ones do. A snippet sets one bit or,
+    mostly, none, so that the column packs well; with 4 SKETCH_BITS about 2000 set all."""
 
     def run(batches):
         for b in _pieces(batches, skipped.value):
-            for _, _, _, h, _, _ in _stretched(b.column(3).to_pylist(), length):
-                values, times = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["anchor", "times"])
+            for _, _, _, h, _, _, content in _stretched(b.column(3).to_pylist(), length, contents=True):
+                order = np.argsort(h, kind="stable")
+                starts = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]][: len(order)])
+                times = np.diff(np.append(starts, len(order)))
+                mixed = (content[order] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 5 - SKETCH_BITS)).astype(np.int64)
+                bit = np.where(mixed & ((1 << SKETCH_BITS) - 1), 0, np.left_shift(1, mixed >> SKETCH_BITS))
+                bits = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
+                cols = [pa.array(h[order[starts]].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(bits.astype(np.uint32).view(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "times", "kinds"])
+
+    counts = rows.mapInArrow(run, "anchor long, times int, kinds int")
+    counts = counts.groupBy("anchor").agg(F.sum("times").alias("times"), F.bit_or("kinds").alias("kinds"))
+    return counts.where("times > 1").select("anchor", ((F.col("times") > HOT) & (F.col("kinds") == -1)).alias("hot"))
+
+
+def _anchor_filters(anchors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(bit set of the slots of all anchors, sorted slots of the hot ones) from one pass over ``anchors``."""
+    half = F.shiftrightunsigned("anchor", 1)
+    marks = F.when(F.col("hot"), F.array(half, half.bitwiseOR(F.lit(-(1 << 63))))).otherwise(F.array(half))
+    both = slot_filter(anchors.select(F.explode(marks).alias("mark")), F.col("mark"), SLOT_BITS + 1)
+    seen, hot = np.split(both, 2)
+    some = np.flatnonzero(hot)
+    at, bit = np.nonzero(np.unpackbits(hot[some, None], axis=1, bitorder="little"))
+    return seen.copy(), some[at] * 8 + bit
+
+
+def _window_key(window: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(window)
 
-    counts = rows.mapInArrow(run, "anchor long, times byte")
-    return counts.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
 
+def _cut_out(batches, skipped: np.ndarray, seen: tuple[np.ndarray, np.ndarray], length: int):
+    """(ords, hashes, offsets, anchors, bytes) of the snippets whose anchor may be repeated, by stretch of text.
 
-def _cut_out(batches, skipped: np.ndarray, seen: np.ndarray, length: int):
-    """(ords, hashes, offsets, anchors, bytes) of the snippets whose anchor may be repeated, by stretch of text."""
+    A hot anchor's windows are a snippet each, with a hash of their bytes as anchor."""
+    repeated, hot = seen
     for b in _pieces(batches, skipped):
         ords, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
         for joined, first, stop, h, text, offset in _stretched(b.column(3).to_pylist(), length):
-            keep = np.flatnonzero(_set(seen, (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)))
+            slots = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            taken = _set(repeated, slots)
+            split = taken & np.isin(slots, hot)
+            keep = np.flatnonzero(taken & ~split)
             parts = [joined[s:e] for s, e in zip(first[keep].tolist(), (stop[keep] + length - 1).tolist(), strict=True)]
             yield ords[text[keep]], hashes[text[keep]], offset[keep], h[keep].view(np.int64), parts
+            keep = np.flatnonzero(split)
+            if len(keep):
+                sizes = stop[keep] - first[keep]
+                keep, step = np.repeat(keep, sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                parts = [joined[s : s + length] for s in (first[keep] + step).tolist()]
+                anchors = np.array([_window_key(p) for p in parts], np.uint64).view(np.int64)
+                yield ords[text[keep]], hashes[text[keep]], offset[keep] + step, anchors, parts
 
 
 def _digest(part: bytes) -> bytes:
@@ -313,7 +361,7 @@ def removals(rows: DataFrame, total_bytes: int, length: int, shard_bytes: int, m
     # Rows that share a bit with a copy are looked up; those that are none go on with the rest.
     kept = text.mapInArrow(_shared_slot(skipped), text.schema).join(again, ["ord", "hash"], "left_anti")
     work = text.unionByName(cut(kept.withColumn("slot", F.lit(-1).cast("long"))))
-    seen = context.broadcast(slot_filter(repeated_anchors(work, skipped, length), F.col("anchor"), SLOT_BITS))
+    seen = context.broadcast(_anchor_filters(repeated_anchors(work, skipped, length)))
     shards = max(1, -(-total_bytes // shard_bytes))
     parts = snippets(work, skipped, seen, length).withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard")
     merged = parts.groupBy("shard", "anchor", "bytes").agg(F.min("first").alias("first"), F.max("last").alias("last"))

@@ -194,6 +194,33 @@ def test_windows_of_a_text_cut_into_segments(monkeypatch):
     assert len(seen) == sum(max(0, len(t) - 49) for t in texts)
 
 
+def test_anchor_with_many_continuations_is_dealt_by_window(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    letters = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = letters(150)
+    rows = [(i, letters(60) + passage + letters(60)) for i in range(600)]
+    rows += [(600, None), (None, passage), (601, passage)]
+    settle = suffix_dedup._settle
+
+    def watched(length, memory_bytes):
+        inner = settle(length, memory_bytes)
+
+        def run(t):
+            _, times = np.unique(t.column("anchor").to_numpy(), return_counts=True)
+            if times.max() > 100:
+                raise AssertionError(f"one anchor brings {times.max()} snippets to a task")
+            return inner(t)
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    monkeypatch.setattr(suffix_dedup, "SKETCH_BITS", 0)
+    monkeypatch.setattr(suffix_dedup, "_settle", watched)
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=20_000)
+    got = [(x["doc_id"], bytes(x["kept"]), x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got.collect()]
+    assert sorted(got, key=str) == slow_removed(rows, 50)
+
+
 def test_substrings_of_no_rows(none):
     assert suffix_dedup.dedup_substrings(none).count() == 0
 
