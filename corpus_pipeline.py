@@ -1,13 +1,16 @@
 """Corpus pipeline: language ID, exact dedup, near-dedup, mixing and packing of the documents table.
 
 Each stage takes what its predecessor kept, as written to Parquet and read again; all but the last return the
-columns of documents.
+columns of documents. A row is told by its id and the SHA-256 of its lower-cased text, so that rows of one id, or of
+none, are rows of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,25 @@ from signalspark.llm.common import ensure_checkpoint_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _with_sha(docs: DataFrame) -> DataFrame:
+    """Rows with ``sha``, as ``lsm_dedup`` takes it: of the text's bytes with A-Z lower-cased, null as empty."""
+    names = [*COLUMNS, "sha"]
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([hashlib.sha256(t.lower() if t else b"").digest() for t in texts], pa.binary())], names)
+
+    rows = docs.select(COLUMNS)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, sha binary")
+
+
+def _same_row(rows: DataFrame, other: DataFrame):
+    """Whether a row is the one that (of_id, of_sha) of ``other`` names."""
+    return rows["doc_id"].eqNullSafe(other["of_id"]) & (rows["sha"] == other["of_sha"])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those without letters, or without a likely language, go."""
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -24,25 +46,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest id of each group of equal ones, once."""
-    kept = lsm_dedup.exact_duplicates(docs, keep="largest").where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
+    """The document with the largest id of each group of equal ones, once; a null id only if none has another."""
+    kept = lsm_dedup.exact_duplicates(docs, keep="largest").where("kept").select(F.col("doc_id").alias("of_id"), F.unhex("sha").alias("of_sha"))
+    rows = _with_sha(docs)
+    rows = rows.join(kept, _same_row(rows, kept), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("text"))
     return rows.withColumn("copy", first).where("copy = 1").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = found.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["kept_id"]), "left_semi").select(COLUMNS)
+    """The document with the smallest id of each near-duplicate component, null last; of one id, that of the least sha."""
+    rows = _with_sha(docs)
+    found = simhash.near_duplicates(rows, carry=["sha"])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("least")
+    stays = found.groupBy("root").agg(least).select(F.col("least.doc_id").alias("of_id"), F.col("least.sha").alias("of_sha"))
+    return rows.join(stays, _same_row(rows, stays), "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; sources weigh 5, 2, 1 in turn."""
-    taken = mixing.mix(docs, whole_documents=True).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("taken_id"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    rows = _with_sha(docs)
+    taken = mixing.mix(rows, whole_documents=True, carry=["sha"]).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("of_id"), F.col("sha").alias("of_sha"), (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = rows.join(taken, _same_row(rows, taken))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 

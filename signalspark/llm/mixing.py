@@ -51,6 +51,7 @@ def mix(
     seed: str = "mix",
     whole_documents: bool = False,
     bucket_rows: int = 4096,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per input row: (doc_id, source, size, source_size, target, taken).
 
@@ -58,8 +59,10 @@ def mix(
     rounded to a word, as the last epoch stops inside the document where the budget ends. With
     ``whole_documents`` that document is used whole if at least half of it lies within the budget. Null texts
     have size 0 and are never taken; null sources form a source of their own, last in order. Rows with equal
-    ids follow each other by size; equal rows share one place in any order. No rows: no result rows."""
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
+    ids follow each other by size; equal rows share one place in any order. Columns to ``carry`` tell rows of one id apart and come
+    last. No rows: no result rows."""
+    carry = carry or []
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *carry))
     bits = max(0, min(16, (max(1, sized.count()) // bucket_rows).bit_length()))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
     keyed = sized.withColumn("key", key)
@@ -71,7 +74,7 @@ def mix(
     t = targets.withColumnRenamed("source", "of")
     starts = starts.join(t, starts["source"].eqNullSafe(t["of"])).select(F.col("source").alias("of"), F.col("bucket").alias("place"), "start", "source_size", "target")
     rows = keyed.join(starts, keyed["source"].eqNullSafe(starts["of"]) & (keyed["bucket"] == starts["place"]))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.col("start") + F.sum("size").over(inside) - F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("epochs", epochs)
@@ -79,7 +82,7 @@ def mix(
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
     if whole_documents:
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), *carry)
 
 
 #: op2 for DuckDB.

@@ -55,16 +55,18 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row (doc_id, fp) per input row; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """One row (doc_id, fp) per input row, and the columns to ``carry``; fp is the fingerprint's bits as a signed long."""
+    carry = carry or []
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"doc_id long, fp long{kinds}")
 
 
 def _shell(block: Column) -> Column:
@@ -201,19 +203,20 @@ def links(classes: DataFrame, max_distance: int = 3, shard_rows: int = 20_000) -
     return out[0] if len(out) == 1 else out[0].union(out[1])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3, shard_rows: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3, shard_rows: int = 20_000, carry: list[str] | None = None) -> DataFrame:
     """One row per input row: (doc_id, fp, component_id, fingerprint).
 
     component_id is the smallest id reachable by links of ``max_distance`` bits or fewer, the row's own
     included. Null and wordless texts have fingerprint 0 and link like any other; a text of fewer words than a
     shingle is one shingle. Repeated rows each give a row. A null id never becomes a component_id unless all
-    ids of the component are null. An empty table gives no rows; further columns are ignored."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    ids of the component are null. An empty table gives no rows; further columns are ignored, but those to
+    ``carry`` come last, after ``root``, one number for each component."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, carry))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(links(classes, max_distance, shard_rows))
     roots = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = cut(roots)
     low = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = roots.join(low, "root").select("fp", "component_id")
+    ids = roots.join(low, "root").select("fp", "component_id", "root")
     out = rows.join(ids, "fp")
-    return out.select("doc_id", "fp", "component_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
+    return out.select("doc_id", "fp", "component_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), *(["root", *carry] if carry else []))

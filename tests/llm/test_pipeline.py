@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import corpus_pipeline
@@ -68,3 +69,17 @@ def test_no_rows_pass_all_stages(spark, none, tmp_path):
         stage(spark, df, SF).write.parquet(str(tmp_path / name))
         df = spark.read.parquet(str(tmp_path / name))
     assert df.count() == 0
+
+
+def test_rows_of_one_id_or_none_stay_if_texts_differ(spark, tmp_path):
+    r = random.Random(5)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    rows = [(None, text(), "en", "a", 1) for _ in range(6)] + [(7, text(), "en", "a", 1) for _ in range(3)] + [(8, text(), "en", "a", 1)]
+    odd = [rows[0], (None, rows[1][1].upper(), "en", "a", 1), (9, rows[6][1], "en", "a", 1), (7, rows[7][1], "en", "a", 1)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted([(i, t) for i, t, *_ in rows if t != rows[6][1]] + [(9, rows[6][1])], key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("exact_dedup", "near_dedup", "mixing"):
+        stages[name](spark, df, SF).write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        assert sorted(((x["doc_id"], x["text"].lower()) for x in df.collect()), key=str) == want
