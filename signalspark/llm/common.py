@@ -17,10 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; a folder of its own only where none is named, as in tests."""
+    """Uses the folder that the cluster names; a folder of its own only in local mode, where all share one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,13 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """Like ``cut`` but as compressed Parquet in the same folder, for larger tables."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined with a ``table`` of one row per key, which comes ``salts`` times so that the rows of one key are
+    dealt to as many tasks by the columns ``spread``."""
+    left = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "salt"], how).drop("salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII takes the fast built-in; the rest is translated letter by letter."""
     ascii_only = F.octet_length(text) == F.char_length(text)

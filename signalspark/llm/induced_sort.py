@@ -6,7 +6,9 @@ whose keys, the first characters, only grow (or only fall): it keeps one run of
 with its neighbour) per character, in the order of arrival. Tuples beyond ``memory_bytes`` go to a temporary
 file and come back when their character's turn comes. Common prefixes are carried along: a suffix induced
 from another shares with its neighbour in the queue one character more than the least value passed on the
-way between the two that induced them. They are capped at ``cap``.
+way between the two that induced them. They are capped at ``cap``. What the first pass found waits in such runs
+too, and arrays of the text's length that exceed the limit are mapped files, so a text may be far longer than
+memory.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ class BucketQueue:
         if self.held > self.memory_bytes:
             self._spill()
 
+    def put(self, key: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
+        """Tuples of one key."""
+        self.push(np.full(len(positions), key), positions, prefixes)
+
     def _spill(self) -> None:
         self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115  closed with the queue
         self.file.seek(0, 2)
@@ -122,17 +128,30 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> n
     return out.astype(np.uint8) if cap < 256 else out
 
 
-def types(text: np.ndarray) -> np.ndarray:
+def room(n: int, kind, memory_bytes: int) -> np.ndarray:
+    """An array; a mapped scratch file beyond the limit."""
+    if n * np.dtype(kind).itemsize <= memory_bytes:
+        return np.empty(n, kind)
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, kind, "w+", shape=n)
+
+
+def types(text: np.ndarray, memory_bytes: int = 1 << 30, step: int = 1 << 20) -> np.ndarray:
     """True for S-type: smaller than the next suffix. The end counts as smaller than all, so the last is L-type."""
     n = len(text)
-    up = np.zeros(n, bool)
-    if n < 2:
-        return up
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    nearest = np.searchsorted(differs, np.arange(n))  # first place from here on where the next one differs
-    has = nearest < len(differs)
-    d = differs[nearest[has]]
-    up[has] = text[d] < text[d + 1]
+    up = room(n, bool, memory_bytes)
+    after = False  # of the place behind the piece
+    for s in range((n - 1) // step * step, -1, -step):
+        part = np.asarray(text[s : s + step + 1])
+        m = min(step, n - s)
+        differs = np.flatnonzero(part[:-1] != part[1:])
+        nearest = np.searchsorted(differs, np.arange(m))  # first place from here on where the next one differs
+        has = nearest < len(differs)
+        piece = np.full(m, after)
+        d = differs[nearest[has]]
+        piece[has] = part[d] < part[d + 1]
+        up[s : s + m] = piece
+        after = bool(piece[0])
     return up
 
 
@@ -174,9 +193,10 @@ def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.n
     ascending = BucketQueue(memory_bytes)
     push = pusher(ascending, ~small)
     push(np.array([n]), np.zeros(1, np.uint8))  # the text's end, before all suffixes
-    ells = {}
+    ells = BucketQueue(memory_bytes)
     for c in present.tolist():
-        positions, values = ells[c] = _pop_all(ascending, c, push)
+        positions, values = _pop_all(ascending, c, push)
+        ells.put(c, positions.astype(dtype), values)
         s, e = lms_at[c]
         if e > s:
             values = prefixes[s:e].copy()
@@ -185,9 +205,10 @@ def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.n
     ascending.close()
     descending = BucketQueue(memory_bytes)
     push = pusher(descending, small)
-    out = []
+    order, prefix, end = room(n, dtype, memory_bytes), room(n, np.uint8, memory_bytes), n
     for c in present[::-1].tolist():
-        positions, values = ells.pop(c)
+        positions, values = ells.pop(c) or (np.empty(0, dtype), np.empty(0, np.uint8))
+        values = values.copy()
         falling, shared = _pop_all(descending, c, push)
         edge = np.zeros(1, np.uint8)  # of the largest L-type suffix with the smallest S-type one
         if len(positions) and len(falling):
@@ -197,9 +218,11 @@ def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.n
         if len(falling):
             positions, values = np.r_[positions, falling[::-1]], np.r_[values, edge, shared[1:][::-1]]
         values[0] = 0
-        out.append((positions, values))
+        at, end = end - len(positions), end - len(positions)
+        order[at : at + len(positions)], prefix[at : at + len(positions)] = positions, values
+    ells.close()
     descending.close()
-    return np.concatenate([x[0] for x in out[::-1]]), np.concatenate([x[1] for x in out[::-1]])
+    return order, prefix
 
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
@@ -222,20 +245,20 @@ def suffix_order(text: np.ndarray, cap: int = 64, memory_bytes: int = 64 << 20,
     """(suffixes in order, common prefix of each with the one before, at most ``cap`` < 255) of an integer text.
 
     The recursion ends at strings of ``base`` names, which are sorted in memory by doubling."""
-    text = np.ascontiguousarray(text)
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.uint8)
-    small = types(text)
+    small = types(text, memory_bytes)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
         by_first = lms[np.argsort(text[lms], kind="stable")]
         # Any order under equal first characters sorts the substrings between leftmost S-type places.
         order, _ = _passes(text, small, by_first, np.ones(len(lms), np.uint8), cap, memory_bytes)
-        is_lms = np.zeros(n + 1, bool)
+        is_lms = room(n, bool, memory_bytes)
+        is_lms[:] = False
         is_lms[lms] = True
         sorted_lms = order[is_lms[order]]
-        length = np.empty(n, np.int64)
+        length = room(n, np.int64, memory_bytes)
         length[lms] = np.r_[np.diff(lms) + 1, n - lms[-1] + 1]
         a, b = sorted_lms[:-1], sorted_lms[1:]
         same = length[a] == length[b]
@@ -243,7 +266,7 @@ def suffix_order(text: np.ndarray, cap: int = 64, memory_bytes: int = 64 << 20,
             longest = int(length[lms].max())
             same[same] = common_prefix(text, a[same], b[same], longest).astype(np.int64) >= length[a[same]]
         name = np.r_[0, np.cumsum(~same)]
-        names = np.empty(n, np.int64)
+        names = room(n, np.int64, memory_bytes)
         names[sorted_lms] = name
         if name[-1] == len(lms) - 1:
             lms = sorted_lms

@@ -1,44 +1,44 @@
 """Substring dedup: bytes covered by long strings that start in an earlier document too.
 
-Exact copies are told by digest first and leave the work to their first document. In the others, every
-``length``-byte window belongs to the ``GRAM``-byte string in it with the least hash, its anchor, so equal
-windows have equal anchors wherever they stand. A first pass counts anchors; windows whose anchor occurs once
-in the corpus cannot repeat. What the others cover is cut into snippets, one per stretch of windows with the
-same anchor. Equal snippets of a task are merged, keeping the earliest and latest document, and dealt to shards
-by anchor: all copies of a window meet in one shard, and a passage that a third of all documents share brings
-it one row per task. An anchor with a single distinct snippet is settled by that. The snippets of all others
-are sorted by induced sorting (``induced_sort``), with queues on disk beyond a memory limit; suffixes that share
-``length`` bytes with their neighbours are copies of one window, and the earliest document among them is the
-window's. Joined back to where each snippet occurs, that gives the ranges to remove.
-
-An anchor that occurs very often among different bytes, as at the end of a passage that many documents share and
-go on from in their own ways, would bring one shard a snippet per document. Its stretches are cut into single
-windows, each dealt by a hash of its own bytes: equal windows still meet, and no anchor's rows are unbounded.
-
-Bit sets of bounded size tell tasks which rows, anchors and snippets can matter. Where they fill up, more rows
-are passed on than need be, and the exact joins behind them still decide.
+Texts are stored once, in blocks of bounded size that are bucketed by block, so that what is found out about a block
+comes back to its texts without moving them again. Then
+
+1. exact copies are told by digest and leave the work to their first document;
+2. every ``length``-byte window belongs to the ``GRAM``-byte string in it with the least hash, its anchor, so equal
+   windows have equal anchors wherever they stand. Blocks send the hashes of their anchors to parts of the hash range,
+   four bytes each; the part replies which occur more than once in the corpus. This is an exact join, not a filter;
+3. stretches of windows with a repeated anchor go as snippets to shards chosen by anchor, where all copies of a
+   window meet. The snippets of a shard are sorted by induced sorting (``induced_sort``), with queues on disk beyond
+   a memory limit; suffixes that share ``length`` bytes with their neighbours are copies of one window, and the
+   earliest document among them is the window's. Snippets that can share no window with another one of their anchor
+   are left out of the sort;
+4. shards reply to blocks with the ranges to remove.
+
+An anchor that occurs among very many different bytes, as at the end of a passage that many documents share and go
+on from in their own ways, would bring one shard a snippet per document. Its stretches are cut into single windows,
+each dealt by a hash of its own bytes: equal windows still meet, and no anchor's rows are unbounded.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, slot_filter, store
+from signalspark.llm.common import salted_join, shared_folder
 from signalspark.llm.induced_sort import suffix_order
 
 GRAM = 20
-SLOT_BITS = 27
-ROW_BITS = 26
-FLUSH = 100_000  # distinct snippets that a task holds before it passes them on
 SEGMENT = 1 << 17  # bytes hashed at once, so that arrays stay in the cache; positions take 24 bits
-SLICE = 1000  # rows of a batch whose texts are Python objects at a time
-HOT = 20_000  # an anchor in more places than that, with many different snippets, is dealt by window
-SKETCH_BITS = 4  # one snippet in 2 ** SKETCH_BITS counts in the sketch of how many an anchor has
-SORT_BYTES = 1 << 20  # bytes of snippets sorted at once, but never less than all of an anchor
+HOT = 20_000  # an anchor with more different snippets than that is dealt by window
+PART_BYTES = 16 << 20  # bytes of text whose anchors make one part
+COMPARED_BYTES = 1 << 20  # bytes of snippets looked through at once
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
@@ -113,159 +113,218 @@ def _segments(texts: list[bytes], length: int):
         yield group
 
 
-def _stretched(texts: list[bytes], length: int, contents: bool = False):
-    """Per group: joined bytes, first and last+1 windows, hashes, text numbers and each stretch's offset in its text;
-    with ``contents`` a hash of each stretch's bytes too."""
+def text_stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, offset of the first window, windows, anchor hash, content hash) of all stretches."""
+    out = []
     for group in _segments(texts, length):
-        joined = b"".join(g[2] for g in group)
         ends = np.cumsum([len(g[2]) for g in group])
-        first, stop, h, content = stretches(np.frombuffer(joined, np.uint8), ends, length)
+        first, stop, h, content = stretches(np.frombuffer(b"".join(g[2] for g in group), np.uint8), ends, length)
         part = np.searchsorted(ends, first, "right")
         shift = np.array([g[1] for g in group]) - np.r_[0, ends[:-1]]
-        out = joined, first, stop, h, np.array([g[0] for g in group])[part], first + shift[part]
-        yield (*out, content) if contents else out
+        out.append((np.array([g[0] for g in group])[part], first + shift[part], stop - first, h, content))
+    if not out:
+        return (*(np.empty(0, np.int64) for _ in range(3)), *(np.empty(0, np.uint64) for _ in range(2)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, hash, text, doc_id, slot): a row is told by its id (null last) and its text's hash."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("hash"), text.cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    return rows.withColumn("slot", F.shiftrightunsigned(F.xxhash64("ord", "hash"), 64 - ROW_BITS))
+# --- blocks ---------------------------------------------------------------------------------------------------
+BLOCK = "block long, no int, ord long, doc_id long, size long, sha binary, text binary"
 
 
-def _set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return ((bits[slots >> 3] >> (slots & 7)) & 1).astype(bool)
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
+    """Rows told by (block, no), stored as a table bucketed by block; ``ord`` is the id, a null id last."""
+    names = [c.split()[0] for c in BLOCK.split(", ")]
 
-
-def copies(rows: DataFrame) -> DataFrame:
-    """(ord, hash, size): rows whose whole text an earlier document has."""
-    ids = cut(rows.select("ord", "hash", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha")))
+    def run(batches):
+        block, no, held = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            where, nos = [], []
+            for t in texts:
+                if held and held + len(t) > block_bytes:
+                    block, no, held = block + 1, 0, 0
+                where.append(block)
+                nos.append(no)
+                no, held = no + 1, held + len(t)
+            sha = [hashlib.sha256(t).digest() for t in texts]
+            ords = b.column(0).fill_null(LAST)
+            cols = [pa.array(where, pa.int64()), pa.array(nos, pa.int32()), ords, b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.binary()), b.column(1)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, BLOCK)
+    spark, name = docs.sparkSession, f"text_blocks_{uuid.uuid4().hex}"
+    writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(buckets, "block").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and ``table`` knows its buckets
+    return table
+
+
+def copies(blocks: DataFrame) -> DataFrame:
+    """(block, nos): rows whose whole text an earlier document has."""
+    ids = blocks.select("block", "no", "ord", "sha")
     firsts = ids.groupBy("sha").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    return cut(ids.join(firsts, "sha").where("ord > first").select("ord", "hash", "size").distinct())
+    return salted_join(ids, firsts, ["sha"], ["block", "no"]).where("ord > first").groupBy("block").agg(F.collect_list("no").alias("nos"))
 
 
-def _pieces(batches, skipped: np.ndarray | None = None):
-    """Batches of SLICE rows at most, less the rows whose slot (third column; -1: always passed) the bit set holds."""
-    for b in batches:
-        if skipped is not None:
-            slots = b.column(2).to_numpy()
-            b = b.filter(pa.array((slots < 0) | ~_set(skipped, np.maximum(slots, 0))))
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+INFO = "block long, part int, nos array<int>, marks binary, starts array<int>, stops array<int>"
 
 
-def _shared_slot(skipped):
-    """Rows whose slot the bit set holds."""
+def _info(df: DataFrame) -> DataFrame:
+    """What is sent to blocks, in one shape."""
+    kinds = dict(c.split() for c in INFO.split(", "))
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
 
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(_set(skipped.value, b.column(2).to_numpy())))
 
-    return run
+def _with_blocks(blocks: DataFrame, info: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """``work(block table, info table)`` per block. Blocks stay in their buckets; only ``info`` is shuffled."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return work(rows.sort_by("no"), found) if rows.num_rows else fields.empty_table()
 
-def repeated_anchors(rows: DataFrame, skipped, length: int) -> DataFrame:
-    """(anchor, hot): hashes that anchor windows in more than one place; hot if in over HOT places with many different
-    snippets: so many that they set all 32 bits of ``kinds``, as over HOT different ones do. A snippet sets one bit or,
-    mostly, none, so that the column packs well; with 4 SKETCH_BITS about 2000 set all."""
+    left = blocks.select("block", *columns).groupBy("block")
+    return left.cogroup(_info(info).groupBy("block")).applyInArrow(run, schema)
 
-    def run(batches):
-        for b in _pieces(batches, skipped.value):
-            for _, _, _, h, _, _, content in _stretched(b.column(3).to_pylist(), length, contents=True):
-                order = np.argsort(h, kind="stable")
-                starts = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]][: len(order)])
-                times = np.diff(np.append(starts, len(order)))
-                mixed = (content[order] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 5 - SKETCH_BITS)).astype(np.int64)
-                bit = np.where(mixed & ((1 << SKETCH_BITS) - 1), 0, np.left_shift(1, mixed >> SKETCH_BITS))
-                bits = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
-                cols = [pa.array(h[order[starts]].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(bits.astype(np.uint32).view(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "times", "kinds"])
-
-    counts = rows.mapInArrow(run, "anchor long, times int, kinds int")
-    counts = counts.groupBy("anchor").agg(F.sum("times").alias("times"), F.bit_or("kinds").alias("kinds"))
-    return counts.where("times > 1").select("anchor", ((F.col("times") > HOT) & (F.col("kinds") == -1)).alias("hot"))
-
-
-def _anchor_filters(anchors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(bit set of the slots of all anchors, sorted slots of the hot ones) from one pass over ``anchors``."""
-    half = F.shiftrightunsigned("anchor", 1)
-    marks = F.when(F.col("hot"), F.array(half, half.bitwiseOR(F.lit(-(1 << 63))))).otherwise(F.array(half))
-    both = slot_filter(anchors.select(F.explode(marks).alias("mark")), F.col("mark"), SLOT_BITS + 1)
-    seen, hot = np.split(both, 2)
-    some = np.flatnonzero(hot)
-    at, bit = np.nonzero(np.unpackbits(hot[some, None], axis=1, bitorder="little"))
-    return seen.copy(), some[at] * 8 + bit
-
-
-def _window_key(window: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(window)
-
-
-def _cut_out(batches, skipped: np.ndarray, seen: tuple[np.ndarray, np.ndarray], length: int):
-    """(ords, hashes, offsets, anchors, bytes) of the snippets whose anchor may be repeated, by stretch of text.
-
-    A hot anchor's windows are a snippet each, with a hash of their bytes as anchor."""
-    repeated, hot = seen
-    for b in _pieces(batches, skipped):
-        ords, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for joined, first, stop, h, text, offset in _stretched(b.column(3).to_pylist(), length):
-            slots = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            taken = _set(repeated, slots)
-            split = taken & np.isin(slots, hot)
-            keep = np.flatnonzero(taken & ~split)
-            parts = [joined[s:e] for s, e in zip(first[keep].tolist(), (stop[keep] + length - 1).tolist(), strict=True)]
-            yield ords[text[keep]], hashes[text[keep]], offset[keep], h[keep].view(np.int64), parts
-            keep = np.flatnonzero(split)
-            if len(keep):
-                sizes = stop[keep] - first[keep]
-                keep, step = np.repeat(keep, sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                parts = [joined[s : s + length] for s in (first[keep] + step).tolist()]
-                anchors = np.array([_window_key(p) for p in parts], np.uint64).view(np.int64)
-                yield ords[text[keep]], hashes[text[keep]], offset[keep] + step, anchors, parts
-
-
-def _digest(part: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(part)[:12]
-
-
-def snippets(rows: DataFrame, skipped, seen, length: int) -> DataFrame:
-    """(anchor, bytes, first, last): distinct snippets of each task with their earliest and latest document."""
 
-    def run(batches):
-        table: dict = {}
+def _fresh_texts(rows: pa.Table, found: pa.Table) -> list[bytes]:
+    """Texts by number, those of copies empty."""
+    texts = rows.column("text").to_pylist()
+    for nos in found.column("nos").to_pylist():
+        for k in nos or ():
+            texts[k] = b""
+    return texts
 
-        def out():
-            if table:
-                keys, values = zip(*table.items(), strict=True)
-                first, last, anchors = zip(*values, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(keys, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["anchor", "bytes", "first", "last"])
-                table.clear()
 
-        for ords, _, _, anchors, parts in _cut_out(batches, skipped.value, seen.value, length):
-            for o, a, p in zip(ords.tolist(), anchors.tolist(), parts, strict=True):
-                old = table.get(p)
-                table[p] = (o, o, a) if old is None else (min(o, old[0]), max(o, old[1]), a)
-            if len(table) > FLUSH:
-                yield from out()
-        yield from out()
+# --- anchors ----------------------------------------------------------------------------------------------------
+def _slots(h: np.ndarray, part_bits: int) -> np.ndarray:
+    """An anchor's part and its 32 bits in the part, as one number."""
+    return (h >> np.uint64(32 - part_bits)).astype(np.uint64)
 
-    return rows.mapInArrow(run, "anchor long, bytes binary, first long, last long")
 
+def anchors(blocks: DataFrame, skipped: DataFrame, length: int, part_bits: int) -> DataFrame:
+    """(block, part, slots, kinds): per block and part, the sorted anchors; kinds is 0 if the block has the anchor once,
+    else the number of its different stretches there."""
 
-def places(rows: DataFrame, skipped, seen, wanted, length: int) -> DataFrame:
-    """(snippet, ord, hash, offset): where the snippets stand whose digests are wanted."""
+    def work(rows: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, _, h, content = text_stretches(_fresh_texts(rows, found), length)
+        slot = _slots(h, part_bits)
+        order = np.argsort(slot, kind="stable")
+        slot, content = slot[order], content[order]
+        starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
+        times = np.diff(np.append(starts, len(slot)))
+        kinds = np.zeros(len(starts), np.int64)
+        many = np.repeat(times > 1, times)
+        if many.any():
+            of, c = np.repeat(np.arange(len(starts)), times)[many], content[many]
+            again = np.lexsort((c, of))
+            of, c = of[again], c[again]
+            np.add.at(kinds, of[np.r_[True, (of[1:] != of[:-1]) | (c[1:] != c[:-1])]], 1)
+        slot = slot[starts]
+        part = (slot >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+        low, kinds = slot.astype(np.uint32), np.minimum(kinds, 65535).astype(np.uint16)
+        spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True)) if len(cuts) else []
+        cols = [
+            pa.array([rows.column("block")[0].as_py()] * len(spans), pa.int64()),
+            pa.array(part[cuts].astype(np.int32)),
+            pa.array([low[s:e].tobytes() for s, e in spans], pa.binary()),
+            pa.array([kinds[s:e].tobytes() for s, e in spans], pa.binary()),
+        ]
+        return pa.table(cols, ["block", "part", "slots", "kinds"])
 
-    def run(batches):
-        for ords, hashes, offset, _, parts in _cut_out(batches, skipped.value, seen.value, length):
-            digests = [_digest(p) for p in parts]
-            slots = np.array([int.from_bytes(d[:8], "big") >> (64 - ROW_BITS) for d in digests], np.int64)
-            k = np.flatnonzero(_set(wanted.value, slots)) if len(slots) else slots
-            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in k.tolist()], pa.binary()), pa.array(ords[k]), pa.array(hashes[k]), pa.array(offset[k])], ["snippet", "ord", "hash", "offset"])
+    return _with_blocks(blocks, skipped, ["no", "text"], work, "block long, part int, slots binary, kinds binary")
 
-    return rows.mapInArrow(run, "snippet binary, ord long, hash int, offset long")
 
+def repeated(sent: DataFrame) -> DataFrame:
+    """(block, part, marks): a byte per anchor sent: 0 if it is nowhere else, 2 if hot, else 1. Nothing for all 0."""
 
-def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> list[tuple[list[int], list[int], list[int]]]:
+    def run(t: pa.Table) -> pa.Table:
+        slots = np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in t.column("slots")])
+        kinds = np.concatenate([np.frombuffer(b.as_buffer(), np.uint16) for b in t.column("kinds")]).astype(np.int64)
+        sizes = np.array([len(b.as_buffer()) // 4 for b in t.column("slots")])
+        order = np.argsort(slots, kind="stable")
+        starts = np.flatnonzero(np.r_[True, slots[order[1:]] != slots[order[:-1]]])
+        times = np.diff(np.append(starts, len(order)))
+        again = (times > 1) | (np.maximum.reduceat(kinds[order], starts) > 0)
+        hot = np.add.reduceat(np.maximum(kinds[order], 1), starts) > HOT
+        marks = np.empty(len(slots), np.uint8)
+        marks[order] = np.repeat(np.where(again & hot, 2, again).astype(np.uint8), times)
+        parts = np.split(marks, np.cumsum(sizes)[:-1])
+        some = np.array([k for k, p in enumerate(parts) if p.any()], np.int64)
+        return pa.table([t.column("block").take(some), t.column("part").take(some), pa.array([parts[k].tobytes() for k in some.tolist()], pa.binary())], ["block", "part", "marks"])
+
+    return sent.groupBy("part").applyInArrow(run, "block long, part int, marks binary")
+
+
+# --- snippets ---------------------------------------------------------------------------------------------------
+def _marks_of(slot: np.ndarray, found: pa.Table) -> np.ndarray:
+    """The mark of each stretch's anchor."""
+    kinds, of = np.unique(slot, return_inverse=True)
+    marks = np.zeros(len(kinds), np.uint8)
+    for part, m in zip(found.column("part").to_pylist(), found.column("marks").to_pylist(), strict=True):
+        if m is not None:
+            at = np.searchsorted(kinds, np.uint64(part << 32))
+            marks[at : at + len(m)] = np.frombuffer(m, np.uint8)
+    return marks[of]
+
+
+def _blob(a: np.ndarray, kind) -> bytes:
+    return np.ascontiguousarray(a, kind).tobytes()
+
+
+SNIPPETS = "shard long, block long, anchors binary, sizes binary, bytes binary, times binary, nos binary, ords binary, offsets binary"
+
+
+def snippets(blocks: DataFrame, info: DataFrame, length: int, part_bits: int, shards: int) -> DataFrame:
+    """Per shard and block, packed: distinct snippets (anchor, size, bytes, times they occur) and, snippet by snippet,
+    where they occur (row, its ord, offset)."""
+
+    def work(rows: pa.Table, found: pa.Table) -> pa.Table:
+        texts, ords = _fresh_texts(rows, found), rows.column("ord").to_numpy()
+        no, offset, size, h, _ = text_stretches(texts, length)
+        mark = _marks_of(_slots(h, part_bits), found)
+        keep, split = np.flatnonzero(mark == 1), np.flatnonzero(mark == 2)
+        ns = size[split]
+        step = np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+        hot_no, hot_offset = np.repeat(no[split], ns), np.repeat(offset[split], ns) + step
+        hot = [texts[k][o : o + length] for k, o in zip(hot_no.tolist(), hot_offset.tolist(), strict=True)]
+        parts = [texts[k][o : o + s] for k, o, s in zip(no[keep].tolist(), offset[keep].tolist(), (size[keep] + length - 1).tolist(), strict=True)] + hot
+        anchor = np.r_[h[keep], np.array([xxhash.xxh3_64_intdigest(p) for p in hot], np.uint64)]
+        no, offset = np.r_[no[keep], hot_no], np.r_[offset[keep], hot_offset]
+        table: dict = {}
+        of = np.array([table.setdefault(p, len(table)) for p in parts], np.int64)
+        kinds = list(table)
+        first = np.full(len(kinds), len(of))
+        np.minimum.at(first, of, np.arange(len(of)))
+        anchor = anchor[first]
+        shard = ((anchor >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+        by_shard = np.argsort(shard, kind="stable")
+        place = np.empty(len(kinds), np.int64)
+        place[by_shard] = np.arange(len(kinds))
+        occurrences = np.argsort(place[of], kind="stable")
+        times = np.bincount(place[of], minlength=len(kinds))
+        sizes = np.array([len(k) for k in kinds], np.int64)[by_shard]
+        kinds, anchor, shard = [kinds[k] for k in by_shard.tolist()], anchor[by_shard], shard[by_shard]
+        no, offset = no[occurrences], offset[occurrences]
+        ends = np.r_[0, np.cumsum(times)]
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
+        out = [[] for _ in SNIPPETS.split(", ")]
+        block = rows.column("block")[0].as_py()
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True) if len(cuts) else ():
+            a, b = ends[s], ends[e]
+            row = (int(shard[s]), block, _blob(anchor[s:e], np.uint64), _blob(sizes[s:e], np.int32), b"".join(kinds[s:e]), _blob(times[s:e], np.int32), _blob(no[a:b], np.int32), _blob(ords[no[a:b]], np.int64), _blob(offset[a:b], np.int32))
+            for c, v in zip(out, row, strict=True):
+                c.append(v)
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], [c.split()[0] for c in SNIPPETS.split(", ")])
+
+    return _with_blocks(blocks, info, ["no", "ord", "text"], work, SNIPPETS)
+
+
+def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each snippet, runs (first window, windows, earliest document) over its windows, by sorting all suffixes."""
     sizes = np.array([len(p) for p in parts])
     # Byte values count from 1; a zero ends each snippet, so no window reaches over it.
@@ -285,22 +344,10 @@ def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: i
     for e, n in zip(ends.tolist(), sizes.tolist(), strict=True):
         docs = found[e - n : e - length + 1]
         cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        out.append((cuts.tolist(), np.diff(np.r_[cuts, len(docs)]).tolist(), docs[cuts].tolist()))
+        out.append((cuts, np.diff(np.r_[cuts, len(docs)]), docs[cuts]))
     return out
 
 
-def _chunks(rows: np.ndarray, anchor: np.ndarray, parts: list[bytes]):
-    """Row numbers in groups of about SORT_BYTES that keep the rows of an anchor together."""
-    rows = rows[np.argsort(anchor[rows], kind="stable")]
-    if not len(rows):
-        return
-    kinds = anchor[rows]
-    before = np.cumsum([len(parts[i]) for i in rows.tolist()]) - len(parts[rows[0]])
-    starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-    bin_of = before[starts] // SORT_BYTES
-    yield from np.split(rows, starts[1:][bin_of[1:] != bin_of[:-1]])
-
-
 def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
     """Whether a snippet may share a window with another one of its anchor.
 
@@ -309,7 +356,7 @@ def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarra
     left, right = (np.zeros(len(parts), np.uint64) for _ in range(2))
     has_left, has_right = (np.zeros(len(parts), bool) for _ in range(2))
     before = np.cumsum([0, *map(len, parts)])
-    bounds = np.unique(np.searchsorted(before, np.arange(0, before[-1], SORT_BYTES)))
+    bounds = np.unique(np.searchsorted(before, np.arange(0, before[-1], COMPARED_BYTES)))
     for s, e in zip(bounds, [*bounds[1:], len(parts)], strict=True):
         if e == s:
             continue
@@ -328,53 +375,57 @@ def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarra
 
 
 def _settle(length: int, memory_bytes: int):
-    """A shard's snippets -> (snippet, at, windows, earliest) of those that take something from a document."""
+    """A shard's snippets -> (block, nos, starts, stops): ranges that an earlier document has too."""
 
     def run(t: pa.Table) -> pa.Table:
-        anchors, parts = t.column("anchor").to_numpy(), t.column("bytes").to_pylist()
-        first, last = t.column("first").to_numpy(), t.column("last").to_numpy()
-        kinds, of, times = np.unique(anchors, return_inverse=True, return_counts=True)
-        rows = []
-        alone = times[of] == 1
-        some = np.flatnonzero(~alone)
-        if len(some):
-            alone[some] = ~comparable([parts[i] for i in some.tolist()], of[some], length)
-        for i in np.flatnonzero(alone & (first < last)).tolist():
-            rows.append((_digest(parts[i]), [0], [len(parts[i]) - length + 1], [int(first[i])]))
-        for mixed in _chunks(np.flatnonzero(~alone), of, parts):
-            runs = earliest([parts[i] for i in mixed.tolist()], first[mixed], length, memory_bytes)
-            rows += [(_digest(parts[i]), *r) for i, r in zip(mixed.tolist(), runs, strict=True) if min(r[2]) < last[i]]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        types = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["snippet", "at", "windows", "earliest"])
+        arrays = lambda name, kind: [np.frombuffer(b.as_buffer(), kind) for b in t.column(name)]
+        table: dict = {}
+        of, anchor = [], []
+        for blob, sizes, keys in zip(t.column("bytes"), arrays("sizes", np.int32), arrays("anchors", np.uint64), strict=True):
+            data, at = blob.as_py(), 0
+            for n, a in zip(sizes.tolist(), keys.tolist(), strict=True):
+                p = data[at : at + n]
+                at += n
+                k = table.get(p)
+                if k is None:
+                    k = table[p] = len(table)
+                    anchor.append(a)
+                of.append(k)
+        parts, times = list(table), np.concatenate(arrays("times", np.int32))
+        of = np.repeat(np.array(of, np.int64), times)  # by occurrence
+        ords, offsets, nos = np.concatenate(arrays("ords", np.int64)), np.concatenate(arrays("offsets", np.int32)), np.concatenate(arrays("nos", np.int32))
+        block = np.repeat(t.column("block").to_numpy(), [len(b) // 4 for b in map(lambda s: s.as_buffer(), t.column("nos"))])
+        first = np.full(len(parts), LAST)
+        np.minimum.at(first, of, ords)
+        # Runs of windows with one earliest document: of each snippet the whole, or what the sort says.
+        n_windows = np.array([len(p) - length + 1 for p in parts], np.int64)
+        runs = [(np.zeros(1, np.int64), n_windows[k : k + 1], first[k : k + 1]) for k in range(len(parts))]
+        _, kinds, together = np.unique(np.array(anchor, np.uint64), return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(together[kinds] > 1)
+        if len(mixed):
+            mixed = mixed[comparable([parts[i] for i in mixed.tolist()], kinds[mixed], length)]
+        if len(mixed):
+            for i, r in zip(mixed.tolist(), earliest([parts[i] for i in mixed.tolist()], first[mixed], length, memory_bytes), strict=True):
+                runs[i] = r
+        sizes = np.array([len(r[0]) for r in runs], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        at, windows, low = (np.concatenate([r[k] for r in runs]) for k in range(3))
+        per = sizes[of]
+        run_of = np.repeat(begin[of], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        owner = np.repeat(np.arange(len(of)), per)
+        hit = low[run_of] < ords[owner]
+        run_of, owner = run_of[hit], owner[hit]
+        start = offsets[owner] + at[run_of]
+        stop = start + windows[run_of] + length - 1
+        by_block = np.argsort(block[owner], kind="stable")
+        blocks = block[owner][by_block]
+        cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]][: len(blocks)])
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(blocks)].astype(np.int32)), pa.array(v[by_block].astype(np.int32)))
+        return pa.table([pa.array(blocks[cuts], pa.int64()), lists(nos[owner]), lists(start), lists(stop)], ["block", "nos", "starts", "stops"])
 
     return run
 
 
-def removals(rows: DataFrame, total_bytes: int, length: int, shard_bytes: int, memory_bytes: int) -> DataFrame:
-    """(ord, hash, cut): for rows that lose bytes, ranges (start, stop) that cover what goes; they may overlap."""
-    context = rows.sparkSession.sparkContext
-    again = copies(rows)
-    whole = again.where(F.col("size") >= length).select("ord", "hash", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))).alias("cut"))
-    skipped = context.broadcast(slot_filter(again, F.xxhash64("ord", "hash"), ROW_BITS))
-    text = rows.select("ord", "hash", "slot", "text")
-    # Rows that share a bit with a copy are looked up; those that are none go on with the rest.
-    kept = text.mapInArrow(_shared_slot(skipped), text.schema).join(again, ["ord", "hash"], "left_anti")
-    work = text.unionByName(cut(kept.withColumn("slot", F.lit(-1).cast("long"))))
-    seen = context.broadcast(_anchor_filters(repeated_anchors(work, skipped, length)))
-    shards = max(1, -(-total_bytes // shard_bytes))
-    parts = snippets(work, skipped, seen, length).withColumn("shard", F.pmod("anchor", F.lit(shards))).repartition("shard")
-    merged = parts.groupBy("shard", "anchor", "bytes").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    settled = store(merged.groupBy("shard").applyInArrow(_settle(length, memory_bytes), "snippet binary, at array<int>, windows array<int>, earliest array<long>"))
-    head = F.conv(F.hex(F.substring("snippet", 1, 8)), 16, -10).cast("long")
-    wanted = context.broadcast(slot_filter(settled, head, ROW_BITS))
-    hit = places(work, skipped, seen, wanted, length).join(settled, "snippet")
-    hit = hit.select("ord", "hash", "offset", F.explode(F.arrays_zip("at", "windows", "earliest")).alias("r")).where("r.earliest < ord")
-    start = F.col("offset") + F.col("r.at")
-    hit = hit.select("ord", "hash", start.alias("start"), (start + F.col("r.windows") + (length - 1)).alias("stop"))
-    return hit.groupBy("ord", "hash").agg(F.collect_set(F.struct("start", "stop")).alias("cut")).unionByName(whole)
-
-
 def strip(text: bytes, starts, stops) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal removed runs)."""
     edges = np.zeros(len(text) + 1, np.int64)
@@ -385,36 +436,57 @@ def strip(text: bytes, starts, stops) -> tuple[bytes, int, int]:
     return kept, int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 2 << 20, memory_bytes: int = 64 << 20) -> DataFrame:
+RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+
+
+def _strip_block(length: int):
+    """Rows of a block without the ranges found; rows with ``nos`` but no ranges are copies."""
+
+    def work(rows: pa.Table, found: pa.Table) -> pa.Table:
+        texts = rows.column("text").to_pylist()
+        whole: set = set()
+        owner, start, stop = [], [], []
+        for nos, s, e in zip(*(found.column(c) for c in ("nos", "starts", "stops")), strict=True):
+            if s.is_valid:
+                for to, v in ((owner, nos), (start, s), (stop, e)):
+                    to.append(v.values.to_numpy())
+            else:
+                whole.update(nos.as_py() or ())
+        owner, start, stop = (np.concatenate(v) if v else np.empty(0, np.int32) for v in (owner, start, stop))
+        order = np.argsort(owner, kind="stable")
+        owner, start, stop = owner[order], start[order], stop[order]
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        out = []
+        for k, t in enumerate(texts):
+            a, b = bounds[k], bounds[k + 1]
+            if k in whole and len(t) >= length:
+                out.append((b"", len(t), 1))
+            else:
+                out.append(strip(t, start[a:b], stop[a:b]) if b > a else (t, 0, 0))
+        kept, removed, spans = zip(*out, strict=True)
+        cols = [rows.column("doc_id"), pa.array(kept, pa.binary()), rows.column("size"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+        return pa.table(cols, [c.split()[0] for c in RESULT.split(", ")])
+
+    return work
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shard_bytes: int = 16 << 20, memory_bytes: int = 4 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: (doc_id, kept, n_bytes, n_removed, n_spans), kept the bytes that stay.
 
     A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller id, by the
-    texts as they came in. Rows of one id are one document to each other; a null id comes after all others.
-    Null texts are empty; texts shorter than ``length`` stay whole. No rows: no result rows; further columns
-    are ignored."""
-    rows = _rows(docs, id_col, text_col)
+    texts as they came in. Rows of one id, repeated rows too, are one document to each other; a null id comes after
+    all others. Null texts are empty; texts shorter than ``length`` stay whole; a text longer than ``block_bytes`` is
+    a block of its own and is hashed in pieces that overlap. Ties: equal strings of the same document remove nothing.
+    No rows: no result rows; further columns are ignored, whatever their names. ``shard_bytes``: bytes of text whose
+    repeated snippets are sorted together; ``memory_bytes``: what the sort's queues hold before they go to disk."""
+    spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    cuts = store(removals(rows, total, length, shard_bytes, memory_bytes))
-    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(cuts, F.xxhash64("ord", "hash"), ROW_BITS))
-    names = ["ord", "hash", "text", "doc_id", "maybe"]
-
-    def split(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(_set(seen.value, b.column(4).to_numpy()))], names)
-
-    rows = rows.mapInArrow(split, "ord long, hash int, text binary, doc_id long, maybe boolean")
-    hit = rows.where("maybe").join(cuts, ["ord", "hash"], "left").select("doc_id", "text", F.col("cut.start").alias("starts"), F.col("cut.stop").alias("stops"))
-
-    def take(batches):
-        for b in batches:
-            out = []
-            for t, s, e in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                out.append((*(strip(t, s, e) if s else (t, 0, 0)), len(t)))
-            kept, removed, runs, size = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    done = hit.mapInArrow(take, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-    zero = F.lit(0).cast("long")
-    clean = rows.where("not maybe").select("doc_id", F.col("text").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"))
-    return clean.unionByName(done)
-
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * block_bytes)))
+    blocks = text_blocks(docs, id_col, text_col, block_bytes, buckets)
+    part_bits = max(0, (total // PART_BYTES).bit_length())
+    skipped = copies(blocks)
+    marks = repeated(anchors(blocks, skipped, length, part_bits))
+    shards = max(1, -(-total // shard_bytes))
+    sent = snippets(blocks, _info(skipped).unionByName(_info(marks)), length, part_bits, shards)
+    ranges = sent.groupBy("shard").applyInArrow(_settle(length, memory_bytes), "block long, nos array<int>, starts array<int>, stops array<int>")
+    return _with_blocks(blocks, _info(skipped).unionByName(_info(ranges)), ["no", "doc_id", "size", "text"], _strip_block(length), RESULT)

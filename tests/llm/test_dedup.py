@@ -175,7 +175,7 @@ def slow_removed(rows, length):
 
 
 def test_substrings_match_brute_force(docs, rows):
-    got = suffix_dedup.dedup_substrings(docs, shard_bytes=20_000, memory_bytes=4096)
+    got = suffix_dedup.dedup_substrings(docs, shard_bytes=20_000, memory_bytes=4096, block_bytes=5000)
     got = [(r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got.collect()]
     assert sorted(got, key=str) == slow_removed(rows, 50)
 
@@ -184,14 +184,21 @@ def test_windows_of_a_text_cut_into_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
     r = np.random.default_rng(1)
     texts = [bytes(r.integers(97, 100, n, dtype=np.uint8)) for n in (0, 10, 49, 50, 51, 300, 64, 1000)]
-    seen = set()
-    for joined, first, stop, _, text, offset in suffix_dedup._stretched(texts, 50):
-        for s, e, t, o in zip(first.tolist(), stop.tolist(), text.tolist(), offset.tolist(), strict=True):
-            for k in range(e - s):
-                assert joined[s + k : s + k + 50] == texts[t][o + k : o + k + 50]
-                assert (t, o + k) not in seen
-                seen.add((t, o + k))
+    seen, anchors = set(), defaultdict(set)
+    for t, o, n, h, _ in zip(*(a.tolist() for a in suffix_dedup.text_stretches(texts, 50)), strict=True):
+        for k in range(n):
+            assert (t, o + k) not in seen
+            seen.add((t, o + k))
+            anchors[texts[t][o + k : o + k + 50]].add(h)
     assert len(seen) == sum(max(0, len(t) - 49) for t in texts)
+    assert all(len(a) == 1 for a in anchors.values())  # equal windows have equal anchors
+
+
+def test_sort_on_disk_gives_the_same_order():
+    r = np.random.default_rng(5)
+    t = np.tile(r.integers(0, 5, 700), 3)
+    order, shared = suffix_order(t, 64, memory_bytes=64, base=1 << 20)
+    assert isinstance(order, np.memmap) and (order.tolist(), shared.tolist()) == slow_order(t, 64)
 
 
 def test_anchor_with_many_continuations_is_dealt_by_window(spark, monkeypatch):
@@ -206,7 +213,8 @@ def test_anchor_with_many_continuations_is_dealt_by_window(spark, monkeypatch):
         inner = settle(length, memory_bytes)
 
         def run(t):
-            _, times = np.unique(t.column("anchor").to_numpy(), return_counts=True)
+            keys = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("anchors")]
+            _, times = np.unique(np.concatenate(keys), return_counts=True)
             if times.max() > 100:
                 raise AssertionError(f"one anchor brings {times.max()} snippets to a task")
             return inner(t)
@@ -214,13 +222,19 @@ def test_anchor_with_many_continuations_is_dealt_by_window(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(suffix_dedup, "HOT", 100)
-    monkeypatch.setattr(suffix_dedup, "SKETCH_BITS", 0)
     monkeypatch.setattr(suffix_dedup, "_settle", watched)
-    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=20_000)
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=20_000, block_bytes=20_000)
     got = [(x["doc_id"], bytes(x["kept"]), x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got.collect()]
     assert sorted(got, key=str) == slow_removed(rows, 50)
 
 
+def test_substrings_when_nothing_repeats(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, bytes(r.integers(97, 123, 200, dtype=np.uint8)).decode()) for i in range(20)]
+    got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], bytes(x["kept"]).decode(), x["n_removed"]) for x in got) == [(*row, 0) for row in rows]
+
+
 def test_substrings_of_no_rows(none):
     assert suffix_dedup.dedup_substrings(none).count() == 0
 
