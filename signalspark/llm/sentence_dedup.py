@@ -2,9 +2,11 @@
 
 Every run of ``span`` consecutive sentences is hashed (128 bits), the hashes are joined over the whole corpus,
 and a sentence goes if a span that covers it is not the first of its kind. The first is the one with the least
-(doc_id, place). Counts and firsts come from a partial aggregate, so a span that a third of all documents
-share costs each task one row. Texts are shuffled only for rows that lose something, told from the others by a
-bit set of bounded size.
+(doc_id, digest of the text, place).
+
+Texts are stored once in blocks (``blocks``). A block sends each digest once, with its first place in the block, to the
+part of the hash range that the digest falls in; the part replies whose place is the first in the corpus. So a span
+that a third of all documents share costs each block one entry, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,13 +17,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, slot_filter
+from signalspark.llm.blocks import part_bits_of, text_blocks, with_blocks
 
 #: A sentence with the white space that follows it; a line end ends one too.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|\n\s*|[.!?]+|$)")
-SLOT_BITS = 26
 
 
 def sentences(text: str) -> list[str]:
@@ -29,99 +29,124 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s]
 
 
-def spans(parts: list[str], span: int, min_words: int, long_words: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences covered, digest) of the run that starts at each sentence.
-
-    A run has ``span`` sentences, or more until it has ``min_words`` words, or fewer as soon as it has
-    ``long_words`` words. Sentences without letters or digits belong to runs but are not counted; case and white
-    space do not matter. Runs that the text's end cuts short are left out, but for a text that is one such run."""
-    words = [p.lower().split() for p in parts]
-    solid = [i for i, w in enumerate(words) if any(c.isalnum() for x in w for c in x)]
-    sizes = [len(words[i]) for i in solid]
-    out, end, total = [], 0, 0
-    for k in range(len(solid)):
-        while end < len(solid) and total < long_words and (end - k < span or total < min_words):
-            total += sizes[end]
-            end += 1
-        whole = total >= long_words or (end - k >= span and total >= min_words)
-        if not whole and (k or total < min_words):
-            break
-        run = solid[k:end]
-        inside = " ".join([x for i in run for x in words[i]])
-        out.append((run[0], run[-1] - run[0] + 1, xxhash.xxh3_128_digest(inside.encode())))
-        total -= sizes[k]
-        # The next run starts at its own sentence and may end earlier.
-        while end - 1 > k + 1 and (total - sizes[end - 1] >= long_words or (end - 1 - (k + 1) >= span and total - sizes[end - 1] >= min_words)):
-            end -= 1
-            total -= sizes[end]
-    return out
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 12, long_words: int = 30) -> DataFrame:
-    """(ord, row, cut): for rows that lose sentences, the ranges of them as (first, number)."""
-
-    def run(batches):
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for first, n, digest in spans(sentences(t), span, min_words, long_words) if t else ():
-                    for c, v in zip(cols, (i, r, first, n, digest), strict=True):
-                        c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "first", "n", "digest"])
-
-    found = _rows(docs, id_col, text_col).select("ord", "row", "text").mapInArrow(run, "ord long, row long, first int, n int, digest binary")
-    place = F.struct("ord", "row", "first")
-    firsts = found.groupBy("digest").agg(F.min(place).alias("leader"), F.count("*").alias("times")).where("times > 1")
-    again = found.join(firsts.select("digest", "leader"), "digest").where(F.struct("ord", "row", "first") != F.col("leader"))
-    return again.groupBy("ord", "row").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("cut"))
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, row, text, doc_id): a row is told by its id (null last) and its text's hash."""
-    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(F.coalesce(ident, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(text).alias("row"), text.alias("text"), ident.alias("doc_id"))
-
-
-def strip(text: str, cuts) -> tuple[str, int, int]:
+def spans(parts: list[str], span: int) -> tuple[list[int], list[bytes]]:
+    """(places of the counted sentences, digest of the run of ``span`` of them that starts at each).
+
+    Sentences without letters or digits are not counted, but a run covers those inside it; case and white space do
+    not matter. A text of fewer counted sentences than ``span`` has no run."""
+    plain = [" ".join(p.lower().split()) for p in parts]
+    solid = [i for i, w in enumerate(plain) if any(map(str.isalnum, w))]
+    encoded = [plain[i].encode() for i in solid]
+    return solid, [xxhash.xxh3_128_digest(b"\0".join(encoded[k : k + span])) for k in range(len(solid) - span + 1)]
+
+
+def _block_spans(rows: pa.Table, span: int):
+    """(parts of each text, counted sentences of each text, then by run: row, first counted sentence, digest as two
+    numbers)."""
+    texts = [sentences(t.decode()) if t else [] for t in rows.column("text").to_pylist()]
+    solids, row, first, digests = [], [], [], []
+    for k, parts in enumerate(texts):
+        solid, found = spans(parts, span)
+        solids.append(solid)
+        row += [k] * len(found)
+        first += range(len(found))
+        digests += found
+    both = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+    return texts, solids, np.array(row, np.int64), np.array(first, np.int64), both[:, 0], both[:, 1]
+
+
+def _leaders(rows: pa.Table, row: np.ndarray, first: np.ndarray, high: np.ndarray, low: np.ndarray):
+    """(runs ordered by digest and place, where each digest starts, ords and text hashes by run)."""
+    ords = rows.column("ord").to_numpy()[row]
+    text = np.array([int.from_bytes(s[:8], "big", signed=True) for s in rows.column("sha").to_pylist()], np.int64)[row]
+    order = np.lexsort((first, text, ords, low, high))
+    high, low = high[order], low[order]
+    starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])][: len(order)])
+    return order, starts, ords, text
+
+
+SENT = "block long, part int, high binary, low binary, ords binary, texts binary, firsts binary"
+COLUMNS = ["no", "ord", "doc_id", "sha", "text"]
+
+
+def send(blocks: DataFrame, span: int, part_bits: int) -> DataFrame:
+    """Per block and part, packed and in order: each digest and its first place in the block."""
+
+    def work(rows: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, row, first, high, low = _block_spans(rows, span)
+        order, starts, ords, text = _leaders(rows, row, first, high, low)
+        lead = order[starts]
+        cols = [high[lead], low[lead], ords[lead], text[lead], first[lead].astype(np.int32)]
+        part = (cols[0] >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(lead), np.int64)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+        ends = [*cuts[1:].tolist(), len(part)]
+        packed = [pa.array([c[s:e].tobytes() for s, e in zip(cuts.tolist(), ends, strict=False)], pa.binary()) for c in cols]
+        block = pa.array([rows.column("block")[0].as_py()] * len(cuts), pa.int64())
+        return pa.table([block, pa.array(part[cuts].astype(np.int32)), *packed], [c.split()[0] for c in SENT.split(", ")])
+
+    return with_blocks(blocks, blocks.select("block").where("false"), ["no", "ord", "sha", "text"], work, SENT)
+
+
+def judge(sent: DataFrame) -> DataFrame:
+    """(block, part, marks): a byte per digest sent: 1 if another block has the first place. Nothing for all 0."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kinds = {"high": np.uint64, "low": np.uint64, "ords": np.int64, "texts": np.int64, "firsts": np.int32}
+        high, low, ords, texts, firsts = (np.concatenate([np.frombuffer(b.as_buffer(), k) for b in t.column(c)]) for c, k in kinds.items())
+        sizes = np.array([len(b.as_buffer()) // 8 for b in t.column("high")])
+        order = np.lexsort((firsts, texts, ords, low, high))
+        new = np.r_[True, (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])]
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        marks = np.empty(len(order), np.uint8)
+        marks[order] = (ords[order] != ords[lead]) | (texts[order] != texts[lead]) | (firsts[order] != firsts[lead])
+        parts = np.split(marks, np.cumsum(sizes)[:-1])
+        some = np.array([k for k, p in enumerate(parts) if p.any()], np.int64)
+        return pa.table([t.column("block").take(some), t.column("part").take(some), pa.array([parts[k].tobytes() for k in some.tolist()], pa.binary())], ["block", "part", "marks"])
+
+    return sent.groupBy("part").applyInArrow(run, "block long, part int, marks binary")
+
+
+def _strip(parts: list[str], gone: np.ndarray) -> tuple[str, int, int]:
     """(what is left, sentences removed, maximal runs of removed sentences)."""
-    parts = sentences(text)
-    gone = np.zeros(len(parts) + 1, bool)
-    for c in cuts:
-        gone[c["first"] : c["first"] + c["n"]] = True
-    gone[len(parts) :] = False
-    kept = "".join(p for p, g in zip(parts, gone, strict=False) if not g)
-    return kept, int(gone.sum()), int((gone & ~np.roll(gone, 1)).sum())
+    kept = "".join(p for p, g in zip(parts, gone, strict=True) if not g)
+    return kept, int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
 
 
-def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, min_words: int = 12, long_words: int = 30) -> DataFrame:
-    """One row per input row: (doc_id, text, n_sentences, n_removed, n_spans), text without the repeated sentences.
+RESULT = "doc_id long, text binary, n_sentences long, n_removed long, n_spans long"
 
-    n_removed counts sentences, n_spans maximal runs of removed ones. Null texts stay null with no sentences;
-    empty and wordless ones are left alone. Rows with equal id and text are one document. Runs are those of ``spans``. No rows: no result rows; further columns are ignored."""
-    cuts = cut(removals(docs, id_col, text_col, span, min_words, long_words))
-    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(cuts, F.xxhash64("ord", "row"), SLOT_BITS))
-    slot = F.shiftrightunsigned(F.xxhash64("ord", "row"), 64 - SLOT_BITS)
-    schema = "ord long, row long, text string, doc_id long, n_sentences long, maybe boolean"
-
-    def count(batches):
-        for b in batches:
-            slots, texts = b.column(4).to_numpy(), b.column(2).to_pylist()
-            maybe = (seen.value[slots >> 3] >> (slots & 7)) & 1 if len(slots) else slots
-            n = [len(sentences(t)) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.array(maybe.astype(bool))], names)
-
-    names = ["ord", "row", "text", "doc_id", "n_sentences", "maybe"]
-    rows = _rows(docs, id_col, text_col).withColumn("slot", slot).mapInArrow(count, schema)
-    hit = rows.where("maybe").join(cuts, ["ord", "row"], "left")
-
-    def take(batches):
-        for b in batches:
-            out = [strip(t, c) if c else (t, 0, 0) for t, c in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            text, removed, runs = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), b.column(2), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed", "n_spans"])
-
-    done = hit.select("doc_id", "text", "n_sentences", "cut").mapInArrow(take, "doc_id long, text string, n_sentences long, n_removed long, n_spans long")
-    clean = rows.where("not maybe").select("doc_id", "text", "n_sentences", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return clean.unionByName(done)
 
+def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row per input row: (doc_id, text, n_sentences, n_removed, n_spans), text without the repeated sentences.
+
+    n_removed counts sentences, n_spans maximal runs of removed ones. Null texts stay null with no sentences; empty and
+    wordless texts, and those of fewer than ``span`` sentences, are left alone. A very long text is a block of its own.
+    Rows with equal id and text, repeated rows too, are one document: each keeps what is first in it. Of equal ids (null
+    comes last) with different texts, the text of the least SHA-256 counts as first. No rows: no result rows; further
+    columns are ignored, whatever their names."""
+    blocks, total = text_blocks(docs, id_col, text_col, block_bytes)
+    part_bits = part_bits_of(total)
+
+    def work(rows: pa.Table, found: pa.Table) -> pa.Table:
+        texts, solids, row, first, high, low = _block_spans(rows, span)
+        order, starts, ords, text = _leaders(rows, row, first, high, low)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        lead = order[starts][of] if len(order) else order
+        again = (ords[order] != ords[lead]) | (text[order] != text[lead]) | (first[order] != first[lead])
+        part = (high[order[starts]] >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(starts), np.int64)
+        marks = np.zeros(len(starts), bool)
+        for p, m in zip(found.column("part").to_pylist(), found.column("marks").to_pylist(), strict=True):
+            at = np.searchsorted(part, p)
+            marks[at : at + len(m)] = np.frombuffer(m, np.uint8) > 0
+        hit = order[again | marks[of]]
+        gone = [np.zeros(len(p), bool) for p in texts]
+        for r, k in zip(row[hit].tolist(), first[hit].tolist(), strict=True):
+            gone[r][solids[r][k] : solids[r][k + span - 1] + 1] = True
+        out = [_strip(p, g) for p, g in zip(texts, gone, strict=True)]
+        kept, removed, runs = zip(*out, strict=True)
+        null = rows.column("text").is_null().to_pylist()
+        kept = pa.array([None if n else t.encode() for n, t in zip(null, kept, strict=True)], pa.binary())
+        cols = [rows.column("doc_id"), kept, pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+        return pa.table(cols, [c.split()[0] for c in RESULT.split(", ")])
+
+    out = with_blocks(blocks, judge(send(blocks, span, part_bits)), COLUMNS, work, RESULT)
+    return out.withColumn("text", out["text"].cast("string"))

@@ -21,25 +21,20 @@ each dealt by a hash of its own bytes: equal windows still meet, and no anchor's
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import salted_join, shared_folder
+from signalspark.llm.blocks import LAST, info, part_bits_of, text_blocks, with_blocks
+from signalspark.llm.common import salted_join
 from signalspark.llm.induced_sort import suffix_order
 
 GRAM = 20
 SEGMENT = 1 << 17  # bytes hashed at once, so that arrays stay in the cache; positions take 24 bits
 HOT = 20_000  # an anchor with more different snippets than that is dealt by window
-PART_BYTES = 16 << 20  # bytes of text whose anchors make one part
 COMPARED_BYTES = 1 << 20  # bytes of snippets looked through at once
-LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -127,40 +122,6 @@ def text_stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-# --- blocks ---------------------------------------------------------------------------------------------------
-BLOCK = "block long, no int, ord long, doc_id long, size long, sha binary, text binary"
-
-
-def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
-    """Rows told by (block, no), stored as a table bucketed by block; ``ord`` is the id, a null id last."""
-    names = [c.split()[0] for c in BLOCK.split(", ")]
-
-    def run(batches):
-        block, no, held = TaskContext.get().partitionId() << 32, 0, 0
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            where, nos = [], []
-            for t in texts:
-                if held and held + len(t) > block_bytes:
-                    block, no, held = block + 1, 0, 0
-                where.append(block)
-                nos.append(no)
-                no, held = no + 1, held + len(t)
-            sha = [hashlib.sha256(t).digest() for t in texts]
-            ords = b.column(0).fill_null(LAST)
-            cols = [pa.array(where, pa.int64()), pa.array(nos, pa.int32()), ords, b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.binary()), b.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, BLOCK)
-    spark, name = docs.sparkSession, f"text_blocks_{uuid.uuid4().hex}"
-    writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    writer.bucketBy(buckets, "block").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, and ``table`` knows its buckets
-    return table
-
-
 def copies(blocks: DataFrame) -> DataFrame:
     """(block, nos): rows whose whole text an earlier document has."""
     ids = blocks.select("block", "no", "ord", "sha")
@@ -168,30 +129,9 @@ def copies(blocks: DataFrame) -> DataFrame:
     return salted_join(ids, firsts, ["sha"], ["block", "no"]).where("ord > first").groupBy("block").agg(F.collect_list("no").alias("nos"))
 
 
-INFO = "block long, part int, nos array<int>, marks binary, starts array<int>, stops array<int>"
-
-
-def _info(df: DataFrame) -> DataFrame:
-    """What is sent to blocks, in one shape."""
-    kinds = dict(c.split() for c in INFO.split(", "))
-    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
-
-
-def _with_blocks(blocks: DataFrame, info: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
-    """``work(block table, info table)`` per block. Blocks stay in their buckets; only ``info`` is shuffled."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return work(rows.sort_by("no"), found) if rows.num_rows else fields.empty_table()
-
-    left = blocks.select("block", *columns).groupBy("block")
-    return left.cogroup(_info(info).groupBy("block")).applyInArrow(run, schema)
-
-
 def _fresh_texts(rows: pa.Table, found: pa.Table) -> list[bytes]:
     """Texts by number, those of copies empty."""
-    texts = rows.column("text").to_pylist()
+    texts = [t or b"" for t in rows.column("text").to_pylist()]
     for nos in found.column("nos").to_pylist():
         for k in nos or ():
             texts[k] = b""
@@ -235,7 +175,7 @@ def anchors(blocks: DataFrame, skipped: DataFrame, length: int, part_bits: int)
         ]
         return pa.table(cols, ["block", "part", "slots", "kinds"])
 
-    return _with_blocks(blocks, skipped, ["no", "text"], work, "block long, part int, slots binary, kinds binary")
+    return with_blocks(blocks, skipped, ["no", "text"], work, "block long, part int, slots binary, kinds binary")
 
 
 def repeated(sent: DataFrame) -> DataFrame:
@@ -278,7 +218,7 @@ def _blob(a: np.ndarray, kind) -> bytes:
 SNIPPETS = "shard long, block long, anchors binary, sizes binary, bytes binary, times binary, nos binary, ords binary, offsets binary"
 
 
-def snippets(blocks: DataFrame, info: DataFrame, length: int, part_bits: int, shards: int) -> DataFrame:
+def snippets(blocks: DataFrame, found_out: DataFrame, length: int, part_bits: int, shards: int) -> DataFrame:
     """Per shard and block, packed: distinct snippets (anchor, size, bytes, times they occur) and, snippet by snippet,
     where they occur (row, its ord, offset)."""
 
@@ -321,7 +261,7 @@ def snippets(blocks: DataFrame, info: DataFrame, length: int, part_bits: int, sh
         types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], [c.split()[0] for c in SNIPPETS.split(", ")])
 
-    return _with_blocks(blocks, info, ["no", "ord", "text"], work, SNIPPETS)
+    return with_blocks(blocks, found_out, ["no", "ord", "text"], work, SNIPPETS)
 
 
 def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -443,7 +383,7 @@ def _strip_block(length: int):
     """Rows of a block without the ranges found; rows with ``nos`` but no ranges are copies."""
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
-        texts = rows.column("text").to_pylist()
+        texts = [t or b"" for t in rows.column("text").to_pylist()]
         whole: set = set()
         owner, start, stop = [], [], []
         for nos, s, e in zip(*(found.column(c) for c in ("nos", "starts", "stops")), strict=True):
@@ -479,14 +419,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a block of its own and is hashed in pieces that overlap. Ties: equal strings of the same document remove nothing.
     No rows: no result rows; further columns are ignored, whatever their names. ``shard_bytes``: bytes of text whose
     repeated snippets are sorted together; ``memory_bytes``: what the sort's queues hold before they go to disk."""
-    spark = docs.sparkSession
-    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * block_bytes)))
-    blocks = text_blocks(docs, id_col, text_col, block_bytes, buckets)
-    part_bits = max(0, (total // PART_BYTES).bit_length())
+    blocks, total = text_blocks(docs, id_col, text_col, block_bytes)
+    part_bits = part_bits_of(total)
     skipped = copies(blocks)
     marks = repeated(anchors(blocks, skipped, length, part_bits))
     shards = max(1, -(-total // shard_bytes))
-    sent = snippets(blocks, _info(skipped).unionByName(_info(marks)), length, part_bits, shards)
+    sent = snippets(blocks, info(skipped).unionByName(info(marks)), length, part_bits, shards)
     ranges = sent.groupBy("shard").applyInArrow(_settle(length, memory_bytes), "block long, nos array<int>, starts array<int>, stops array<int>")
-    return _with_blocks(blocks, _info(skipped).unionByName(_info(ranges)), ["no", "doc_id", "size", "text"], _strip_block(length), RESULT)
+    return with_blocks(blocks, info(skipped).unionByName(info(ranges)), ["no", "doc_id", "size", "text"], _strip_block(length), RESULT)

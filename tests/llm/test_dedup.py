@@ -240,47 +240,34 @@ def test_substrings_of_no_rows(none):
 
 
 # --- sentences -----------------------------------------------------------------------------------------------
-def slow_sentences(rows, span, min_words, long_words):
+def slow_sentences(rows, span):
     order = lambda i: (1 << 63) - 1 if i is None else i
     ident = lambda r: (order(r[0]), r[1])
     runs = defaultdict(set)
     for r in rows:
-        parts = sentence_dedup.sentences(r[1] or "")
-        words = [p.lower().split() for p in parts]
+        words = [p.lower().split() for p in sentence_dedup.sentences(r[1] or "")]
         solid = [i for i, w in enumerate(words) if any(c.isalnum() for x in w for c in x)]
-        for k in range(len(solid)):
-            total, whole = 0, False
-            for end in range(k, len(solid)):
-                total += len(words[solid[end]])
-                if total >= long_words or (end - k + 1 >= span and total >= min_words):
-                    whole = True
-                    break
-            if whole or (k == 0 and total >= min_words):
-                run = solid[k : end + 1]
-                runs[" ".join(x for i in run for x in words[i])].add((ident(r), run[0], run[-1]))
+        for k in range(len(solid) - span + 1):
+            runs[tuple(" ".join(words[i]) for i in solid[k : k + span])].add((ident(r), k, solid[k], solid[k + span - 1]))
     gone = defaultdict(set)
     for places in runs.values():
-        key = lambda p: (p[0][0], xxh(p[0][1]), p[1])
+        key = lambda p: (p[0][0], int.from_bytes(hashlib.sha256((p[0][1] or "").encode()).digest()[:8], "big", signed=True), p[1])
         for p in sorted(places, key=key)[1:]:
-            gone[p[0]] |= set(range(p[1], p[2] + 1))
+            gone[p[0]] |= set(range(p[2], p[3] + 1))
     out = []
     for r in rows:
         parts = sentence_dedup.sentences(r[1] or "")
         g = gone[ident(r)]
         text = None if r[1] is None else "".join(p for i, p in enumerate(parts) if i not in g)
-        out.append((r[0], text, len(parts), len(g)))
+        out.append((r[0], text, len(parts), len(g), sum(i - 1 not in g for i in g)))
     return sorted(out, key=str)
 
 
-def xxh(t):
-    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def test_sentence_spans_match_brute_force(docs, rows):
-    got = sentence_dedup.dedup_sentences(docs).collect()
-    got = sorted(((r["doc_id"], r["text"], r["n_sentences"], r["n_removed"]) for r in got), key=str)
-    assert got == slow_sentences(rows, 3, 12, 30)
+@pytest.mark.parametrize("block_bytes", [2000, 8 << 20])
+def test_sentence_spans_match_brute_force(docs, rows, block_bytes):
+    got = sentence_dedup.dedup_sentences(docs, block_bytes=block_bytes).collect()
+    got = sorted(((r["doc_id"], r["text"], r["n_sentences"], r["n_removed"], r["n_spans"]) for r in got), key=str)
+    assert got == slow_sentences(rows, 3)
     assert any(g[3] for g in got)
 
 
