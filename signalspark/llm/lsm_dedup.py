@@ -1,10 +1,11 @@
 """Exact dedup over a log-structured merge index of text digests.
 
 Memtables fill from the input and are flushed as sorted runs of (digest, first id, last id, count), written as
-Parquet with a Bloom filter on the digest. Compaction merges runs by digest and keeps the smallest identifier
-and, beside it, the largest. A lookup that hits is verified on bytes: the texts of groups with more than one
-row are compared with the text of the row that stays; where a digest covers different texts, its rows are
-grouped by text instead.
+Parquet with a Bloom filter on the digest. Compaction merges sorted runs, each range of digests in one pass over its
+entries in order, and keeps the smallest identifier and, beside it, the largest. A lookup consults the index's
+filter, a bit set of bounded size over the digests asked for; what it rejects is settled, and only the rest is joined
+with the entries. A lookup that hits is verified on bytes: the texts of groups with more than one row are compared
+with the text of the row that stays; where a digest covers different texts, its rows are grouped by text instead.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, ensure_checkpoint_dir, slot_filter
+from signalspark.llm.common import cut, salted_join, shared_folder, slot_filter, store
 
 SLOT_BITS = 26
 RUN_SCHEMA = "run string, digest binary, first_id long, last_id long, n long"
@@ -27,10 +29,8 @@ class DigestIndex:
     """Runs lie under ``path`` in folders level=0 (as flushed) and level=1 (compacted)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, memtable_rows: int = 100_000):
-        ensure_checkpoint_dir(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         self.spark, self.memtable_rows = spark, memtable_rows
-        self.path = path or f"{base}/digest-index-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}"
         self.flushed: list[str] = []
         self.compacted: str | None = None
 
@@ -44,22 +44,14 @@ class DigestIndex:
         limit = self.memtable_rows
 
         def flush(table: dict) -> pa.RecordBatch:
-            digests = sorted(table)
-            first, last, n = zip(*(table[d] for d in digests), strict=True)
-            arrays = [pa.array([uuid.uuid4().hex] * len(digests)), pa.array(digests, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(n, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["run", "digest", "first_id", "last_id", "n"])
+            return _run_batch(uuid.uuid4().hex, [(d, *table[d]) for d in sorted(table)])
 
         def run(batches: Iterator[pa.RecordBatch]):
             table: dict = {}
             for b in batches:
                 for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     old = table.get(d)
-                    if old is None:
-                        table[d] = (i, i, 1)
-                    elif i is None:
-                        table[d] = (*old[:2], old[2] + 1)
-                    else:
-                        table[d] = (i if old[0] is None else min(old[0], i), i if old[1] is None else max(old[1], i), old[2] + 1)
+                    table[d] = (i, i, 1) if old is None else (_least(old[0], i, min), _least(old[1], i, max), old[2] + 1)
                     if len(table) >= limit:
                         yield flush(table)
                         table = {}
@@ -73,10 +65,9 @@ class DigestIndex:
         runs = [*self.flushed, *([self.compacted] if self.compacted else [])]
         if not runs:
             return
-        merged = self.spark.read.schema(RUN_SCHEMA).parquet(*runs).groupBy("digest")
-        merged = merged.agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n"))
-        merged = merged.sortWithinPartitions("digest").withColumn("run", F.lit(uuid.uuid4().hex))
-        self.compacted, self.flushed = self._write(merged.select("run", "digest", "first_id", "last_id", "n"), 1), []
+        entries = self.spark.read.schema(RUN_SCHEMA).parquet(*runs).select("digest", "first_id", "last_id", "n")
+        merged = entries.repartitionByRange("digest").sortWithinPartitions("digest").mapInArrow(_merge(uuid.uuid4().hex), RUN_SCHEMA)
+        self.compacted, self.flushed = self._write(merged, 1), []
 
     def entries(self) -> DataFrame:
         """(digest, first_id, last_id, n), compacted first if runs were flushed since."""
@@ -86,6 +77,66 @@ class DigestIndex:
             return self.spark.createDataFrame([], RUN_SCHEMA).drop("run")
         return self.spark.read.schema(RUN_SCHEMA).parquet(self.compacted).drop("run")
 
+    def lookup(self, rows: DataFrame, wanted: DataFrame, spread: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Rows with a ``digest`` -> (those that the filter over ``wanted``, entries of the index, rejects; the others, with
+        the entry's columns or nulls). Rows of one digest are dealt to several tasks by the columns ``spread``."""
+        seen = self.spark.sparkContext.broadcast(slot_filter(wanted, _head(), SLOT_BITS))
+        size = len(rows.columns)
+
+        def run(batches):
+            for b in batches:
+                slots = np.array([_slot(d) for d in b.column("digest").to_pylist()], np.int64)
+                yield b.append_column("hit", pa.array(_filled(seen.value, slots)))
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        marked = rows.mapInArrow(run, f"{kinds}, hit boolean")
+        found = salted_join(marked.where("hit").drop("hit"), wanted, ["digest"], spread, "left")
+        return marked.where("not hit").select(marked.columns[:size]), found
+
+
+def _head():
+    """The first 32 bits of a digest, at the top of a long."""
+    return F.shiftleft(F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long"), 32)
+
+
+def _slot(digest: bytes) -> int:
+    return int.from_bytes(digest[:4].ljust(4, b"\0"), "big") >> (32 - SLOT_BITS)
+
+
+def _filled(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> 3] >> (slots & 7)) & 1).astype(bool)
+
+
+def _least(a, b, pick):
+    return b if a is None else a if b is None else pick(a, b)
+
+
+def _merge(name: str):
+    """Entries in order of digest -> one entry per digest. Only the entry in hand is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        hand = None
+        for b in batches:
+            out: list[tuple] = []
+            for d, first, last, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if hand is not None and hand[0] == d:
+                    hand = (d, _least(hand[1], first, min), _least(hand[2], last, max), hand[3] + n)
+                else:
+                    if hand is not None:
+                        out.append(hand)
+                    hand = (d, first, last, n)
+            yield _run_batch(name, out)
+        if hand is not None:
+            yield _run_batch(name, [hand])
+
+    return run
+
+
+def _run_batch(name: str, entries: list[tuple]) -> pa.RecordBatch:
+    digest, first, last, n = zip(*entries, strict=True) if entries else ((),) * 4
+    arrays = [pa.array([name] * len(digest), pa.string()), pa.array(digest, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, ["run", "digest", "first_id", "last_id", "n"])
+
 
 def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
     """(doc_id, sha, digest) per row."""
@@ -102,9 +153,7 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> D
 
 def _texts_of_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
     """(digest, doc_id, text) of the rows whose digest the filter lets through; other texts are not shuffled."""
-    # The first 32 bits of a digest, at the top of a long.
-    head = F.shiftleft(F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long"), 32)
-    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(hits, head, SLOT_BITS))
+    seen = docs.sparkSession.sparkContext.broadcast(slot_filter(hits, _head(), SLOT_BITS))
     size = digest_bits // 8
 
     def run(batches):
@@ -114,7 +163,7 @@ def _texts_of_hits(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str,
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = t.lower() if t else b""
                 digest = hashlib.sha256(text).digest()[:size]
-                slot = int.from_bytes(digest[:4].ljust(4, b"\0"), "big") >> (32 - SLOT_BITS)
+                slot = _slot(digest)
                 if filled[slot >> 3] >> (slot & 7) & 1:
                     out.append((digest, i, text))
             if out:
@@ -130,7 +179,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when their bytes are, after lower-casing A-Z; null counts as empty. ``keep`` says whether the
     smallest or largest id of a group stays. Of repeated rows with the id that stays one is kept. Null ids stay
-    only in groups without any other. ``digest_bits`` (a multiple of 8, 8 to 256) is the length of the indexed
+    only in groups without any other. Very long texts are hashed whole; further columns are ignored, whatever their
+    names. ``digest_bits`` (a multiple of 8, 8 to 256) is the length of the indexed
     digest; short ones collide and rely on the byte verification. No rows: no result rows."""
     if keep not in ("smallest", "largest") or digest_bits % 8 or not 8 <= digest_bits <= 256:
         raise ValueError("keep is smallest or largest; digest_bits a multiple of 8 from 8 to 256")
@@ -140,31 +190,31 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.add(rows)
     entry = F.col("first_id" if keep == "smallest" else "last_id")
     hits = cut(index.entries().where("n > 1").select("digest", entry.alias("best_id"), "n"))
-    split = None
-    if not hits.isEmpty():
-        texts = _texts_of_hits(docs, hits, id_col, text_col, digest_bits).join(hits, "digest")
-        stays = texts.where(F.col("doc_id").eqNullSafe(F.col("best_id"))).groupBy("digest").agg(F.min("text").alias("its_text"))
-        odd = texts.join(stays, "digest").where("text <> its_text").select("digest").distinct()
-        odd = cut(odd)
-        if not odd.isEmpty():  # one digest, several texts
-            by_text = texts.join(odd, "digest", "left_semi").groupBy(F.sha2("text", 256).alias("hex"), "text", "digest")
-            by_text = by_text.agg(best("doc_id").alias("best_id"), F.count("*").alias("n"))
-            split = cut(by_text.select(F.unhex("hex").alias("sha"), "digest", "best_id", "n"))
-    same = rows.groupBy("sha", "digest", "doc_id").agg(F.count("*").alias("times"))
-    if split is None:
-        found = same.join(hits, "digest", "left")
-    else:
-        usual = hits.join(split, "digest", "left_anti")
-        found = same.join(split.select("sha", "best_id", "n"), "sha").unionByName(same.join(split.select("digest").distinct(), "digest", "left_anti").join(usual, "digest", "left").select("sha", "digest", "doc_id", "times", "best_id", "n"))
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    alone, found = index.lookup(rows, hits, ["doc_id"])
+    # One entry per digest is a group of one: it has no hit, whatever the filter says.
+    same = found.groupBy("sha", "digest", "doc_id").agg(F.count("*").alias("times"), F.first("best_id").alias("best_id"), F.first("n").alias("n"))
+    texts = _texts_of_hits(docs, hits, id_col, text_col, digest_bits)
+    texts = store(salted_join(texts, hits, ["digest"], ["doc_id"]))
+    stays = texts.where(F.col("doc_id").eqNullSafe(F.col("best_id"))).groupBy("digest").agg(F.min("text").alias("its_text"))
+    odd = cut(salted_join(texts, stays, ["digest"], ["doc_id"]).where("text <> its_text").select("digest").distinct())
+    if not odd.isEmpty():  # one digest, several texts
+        by_text = salted_join(texts, odd, ["digest"], ["doc_id"], "left_semi").groupBy(F.sha2("text", 256).alias("hex"), "text")
+        by_text = by_text.agg(best("doc_id").alias("best_of_text"), F.count("*").alias("n_of_text"))
+        split = cut(by_text.select(F.unhex("hex").alias("sha"), "best_of_text", "n_of_text"))
+        same = salted_join(same, split, ["sha"], ["doc_id"], "left")
+        same = same.withColumn("best_id", F.when(F.col("n_of_text").isNull(), F.col("best_id")).otherwise(F.col("best_of_text"))).withColumn("n", F.coalesce("n_of_text", "n"))
+    found = same.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
-    return found.select(
+    found = found.select(
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep_id) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("sha"),
     )
+    one = F.lit(1).cast("long")
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("sha"))
+    return alone.unionByName(found)
 
 
 #: op4 for DuckDB.
