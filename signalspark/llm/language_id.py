@@ -1,12 +1,14 @@
 """Language identification: word scores first, character n-grams for unseen words.
 
-A word that the model knows scores its smoothed log frequency in each language. An unknown word backs off to
+A word that the training rows hold scores its smoothed log frequency in each language. An unseen word backs off to
 its character n-grams, longest first: it takes the longest order of which the model knows one of its n-grams
 and scores their mean log frequency there (a penalty for the orders passed over would be the same in every
 language). A text's score in a language is the sum over its words and the language's log share of documents.
 
-Counts cover all training rows; what a prediction uses is bounded: the ``max_words`` words and, per order, the
-``max_ngrams`` n-grams with the largest share in any language. That table is what is sent to the tasks.
+The model is two tables, of all words and of all n-grams of the training rows; nothing is cut off. Every distinct word
+of the texts to predict is scored once, by joins with these tables, and joined to the frequencies of each text. The
+``hot_words`` most frequent ones, a table of bounded size, are joined inside the task that reads the text; the others
+by a shuffle. Texts are told by digest, so that copies share one result.
 """
 
 from __future__ import annotations
@@ -16,19 +18,23 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, most_frequent
+from signalspark.llm.common import cut, most_frequent, salted_join, store
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, by Unicode category, and of marks that follow them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PLAIN = re.compile(r"[a-z]+")
 ORDERS = (4, 3, 2, 1)
 FLUSH = 200_000  # distinct entries that a task holds before it passes them on
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
-    return LETTERS.findall(text.lower())
+    low = text.lower()
+    return (PLAIN if low.isascii() else LETTERS).findall(low)
 
 
 def _word_counts(labelled: DataFrame, langs: list[str]) -> DataFrame:
@@ -55,87 +61,136 @@ def _word_counts(labelled: DataFrame, langs: list[str]) -> DataFrame:
     return counts.groupBy("word").agg(F.array(*per_lang).alias("n"))
 
 
-def _ngrams(counts: DataFrame, order: int, langs: list[str]) -> DataFrame:
-    """(word, n) -> (gram, n) for the n-grams of one order, with marks at the ends of a word."""
-    marked = counts.select(F.concat(F.lit("\x02"), "word", F.lit("\x03")).alias("marked"), "n").where(F.length("marked") >= order)
-    cuts = F.transform(F.sequence(F.lit(1), F.length("marked") - (order - 1)), lambda i: F.substring("marked", i, F.lit(order)))
-    sums = [F.sum(F.col("n")[i]) for i in range(len(langs))]
-    return marked.select("n", F.explode(cuts).alias("word")).groupBy("word").agg(F.array(*sums).alias("n"))
+def _cut_up(table: DataFrame, *columns: str) -> DataFrame:
+    """(word, ...) -> (order, gram, ...) for the n-grams of all orders, with marks at the ends of a word."""
+    marked = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.struct(F.lit(n).alias("order"), F.substring(marked, i, F.lit(n)).alias("gram")))
+    some = [F.when(F.length(marked) >= n, grams(n)).otherwise(F.array().cast("array<struct<order:int,gram:string>>")) for n in ORDERS]
+    return table.select(*columns, F.explode(F.concat(*some)).alias("g")).select(*columns, "g.order", "g.gram")
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 60_000, max_ngrams: int = 16_000) -> dict:
-    """A model from all rows with a text and a language; an empty one if there are none."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
+    """A model from all rows with a text and a language: languages, log shares, and the tables ``words`` (word, s) and
+    ``grams`` (order, gram, s), s the log frequency by language. Without such rows there are no languages."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(shares)
-    model: dict = {"langs": langs, "prior": np.log(np.array([shares[x] for x in langs], float) / max(1, sum(shares.values()))), "table": {n: {} for n in (0, *ORDERS)}, "scores": np.zeros((0, len(langs)))}
     if not langs:
-        return model
+        return {"langs": []}
+    per = range(len(langs))
     counts = cut(_word_counts(rows, langs))
-    scores: list[np.ndarray] = []
-    for order, limit in ((0, max_words), *((n, max_ngrams) for n in ORDERS)):
-        entries = _ngrams(counts, order, langs) if order else counts
-        entries = entries if order == 0 else cut(entries)
-        totals = np.array(entries.agg(*(F.sum(F.col("n")[i]) for i in range(len(langs)))).first(), dtype=object)
-        totals = np.array([t or 0 for t in totals], float)
-        share = F.greatest(*(F.col("n")[i] / F.lit(float(max(1.0, t))) for i, t in enumerate(totals)), F.lit(0.0))
-        for r in most_frequent(entries, share, limit).toLocalIterator():
-            model["table"][order][r["word"]] = len(scores)
-            scores.append(np.log(np.array(r["n"], float) + 1.0) - np.log(totals + 1.0))
-    model["scores"] = np.array(scores).reshape(-1, len(langs))
-    return model
-
-
-def look_up(word: str, table: dict[int, dict[str, int]]) -> list[int]:
-    """Rows of the score matrix for a word: its own, or those of its n-grams of the longest order that has any."""
-    known = table[0].get(word)
-    if known is not None:
-        return [known]
-    marked = f"\x02{word}\x03"
-    for n in ORDERS:
-        get = table[n].get
-        found = [i for k in range(len(marked) - n + 1) if (i := get(marked[k : k + n])) is not None]
-        if found:
-            return found
-    return []
-
-
-def predict_text(text: str | None, model: dict) -> tuple[str, float]:
-    """(language, share of it among all languages); ("und", 0.0) without letters or a model."""
-    counts = Counter(words(text)) if text else None
-    if not counts or not model["langs"]:
-        return "und", 0.0
-    table, rows, weights = model["table"], [], []
-    known = table[0].get
-    for w, n in counts.items():
-        i = known(w)
-        if i is not None:
-            rows.append(i)
-            weights.append(n)
-        else:
-            found = look_up(w, table)
-            rows += found
-            weights += [n / len(found)] * len(found) if found else []
-    total = model["prior"] + np.array(weights, float) @ model["scores"][np.array(rows, np.int64)] if rows else model["prior"]
-    best = int(total.argmax())
-    return model["langs"][best], float(1.0 / np.exp(total - total[best]).sum())
-
-
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score appended (columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    grams = _cut_up(counts, "n").groupBy("order", "gram").agg(F.array(*(F.sum(F.col("n")[i]) for i in per)).alias("n"))
+    grams = cut(grams)
+
+    def logs(table: DataFrame, *keys: str) -> DataFrame:
+        """Counts to smoothed log frequencies, by language; ``order`` tells tables apart that have their own totals."""
+        totals = {r["order"]: [r[f"t{i}"] or 0 for i in per] for r in table.groupBy("order").agg(*(F.sum(F.col("n")[i]).alias(f"t{i}") for i in per)).collect()}
+        s = F.array(*(F.ln(F.col("n")[i] + 1.0) - F.ln(F.element_at(F.create_map(*(F.lit(x) for o, t in totals.items() for x in (o, t[i] + 1.0))), F.col("order"))) for i in per))
+        return table.select(*keys, s.alias("s"))
+
+    prior = np.log(np.array([shares[x] for x in langs], float) / sum(shares.values()))
+    if counts.isEmpty():
+        return {"langs": langs, "prior": prior, "words": counts.select("word", F.col("n").cast("array<double>").alias("s")), "grams": grams.select("order", "gram", F.col("n").cast("array<double>").alias("s"))}
+    return {"langs": langs, "prior": prior, "words": logs(counts.withColumn("order", F.lit(0)), "word"), "grams": logs(grams, "order", "gram")}
+
+
+def score_words(vocabulary: DataFrame, model: dict) -> DataFrame:
+    """(word, ...) of distinct words -> with s: the word's own log frequencies, or the mean of those of its n-grams of
+    the longest order that has any, or zeros."""
+    per = range(len(model["langs"]))
+    known = vocabulary.join(model["words"], "word", "left")
+    unseen = known.where("s is null").select("word")
+    near = salted_join(_cut_up(unseen, "word"), model["grams"], ["order", "gram"], ["word"])
+    means = near.groupBy("word", "order").agg(F.array(*(F.avg(F.col("s")[i]) for i in per)).alias("mean"))
+    best = means.groupBy("word").agg(F.max(F.struct("order", "mean"))["mean"].alias("mean"))
+    zeros = F.array(*(F.lit(0.0) for _ in per))
+    return known.join(best, "word", "left").withColumn("s", F.coalesce("s", "mean", zeros)).drop("mean")
+
+
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """(digest, text) -> (word, n): all words with their frequency."""
 
     def run(batches):
-        for b in batches:
-            found = [predict_text(t, sent.value) for t in b.column("text to score").to_pylist()]
-            langs, scores = zip(*found, strict=True) if found else ((), ())
-            rest = b.drop_columns(["text to score"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest.schema.names, "lang_pred", "score"])
+        table: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.withColumn("text to score", F.col(text_col).cast("string"))
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return rows.mapInArrow(run, schema)
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                if t:
+                    table.update(words(t))
+                if len(table) > FLUSH:
+                    yield out()
+                    table.clear()
+        yield out()
+
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def score_texts(texts: DataFrame, model: dict, hot_words: int = 1 << 17) -> DataFrame:
+    """(digest, text) -> (digest, lang_pred, score), a row per digest."""
+    langs, prior = model["langs"], model["prior"]
+    scored = store(score_words(_vocabulary(texts), model))
+    hot: dict = {}
+    values: list = []
+    for r in most_frequent(scored, F.col("n"), hot_words).select("word", "s").toLocalIterator():
+        hot[r["word"]] = len(values)
+        values.append(r["s"])
+    sent = texts.sparkSession.sparkContext.broadcast((hot, np.array(values, float).reshape(-1, len(langs))))
+
+    def frequencies(batches):
+        """A row per text with the sums over its hot words, then one per other word."""
+        table, matrix = sent.value
+        get = table.get
+        for b in batches:
+            digests, keys, ns, sums, letters = [], [], [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts = Counter(words(t)) if t else {}
+                at, weight = [], []
+                for w, n in counts.items():
+                    k = get(w)
+                    if k is None:
+                        digests.append(d)
+                        keys.append(w)
+                        ns.append(n)
+                        sums.append(None)
+                        letters.append(None)
+                    else:
+                        at.append(k)
+                        weight.append(n)
+                digests.append(d)
+                keys.append("\n" + d.hex())  # no word; spreads these rows over the join
+                ns.append(None)
+                sums.append((np.array(weight, float) @ matrix[at]).tolist() if at else [0.0] * len(langs))
+                letters.append(bool(counts))
+            cols = [pa.array(digests, pa.binary()), pa.array(keys, pa.string()), pa.array(ns, pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(letters, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["digest", "word", "times", "hot", "letters"])
+
+    found = texts.mapInArrow(frequencies, "digest binary, word string, times long, hot array<double>, letters boolean")
+    found = found.join(scored.select("word", "s"), "word", "left")
+    # Copies of a text come as often as there are of them.
+    total = [(F.sum(F.coalesce(F.col("hot")[i], F.col("times") * F.col("s")[i])) / F.count("letters") + float(p)).alias(f"t{i}") for i, p in enumerate(prior)]
+    sums = found.groupBy("digest").agg(F.max("letters").alias("letters"), *total)
+    names = F.array(*map(F.lit, langs))
+    values = F.array(*(F.col(f"t{i}") for i in range(len(langs))))
+    best = F.array_max(values)
+    share = 1.0 / F.aggregate(F.transform(values, lambda v: F.exp(v - best)), F.lit(0.0), lambda a, v: a + v)
+    und = ~F.col("letters")
+    return sums.select("digest", F.when(und, "und").otherwise(F.get(names, F.array_position(values, best).cast("int") - 1)).alias("lang_pred"), F.when(und, 0.0).otherwise(share).alias("score"))
+
+
+def predict(docs: DataFrame, model: dict, text_col: str = "text", spread: list[str] | None = None, hot_words: int = 1 << 17) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score appended (columns of these names are replaced). Rows with equal
+    texts are dealt to several tasks by the columns ``spread``."""
+    docs = docs.drop("lang_pred", "score")
+    if not model["langs"]:
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn("digest of text", F.unhex(F.md5(text.cast("binary"))))
+    texts = rows.select(F.col("digest of text").alias("digest"), text.alias("text"))
+    found = score_texts(texts, model, hot_words).withColumnRenamed("digest", "digest of text")
+    return salted_join(rows, found, ["digest of text"], spread or [text_col]).select(*docs.columns, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -143,12 +198,14 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hot_words: int = 1 << 17) -> DataFrame:
     """One row per input row: (doc_id, held_out, lang_pred, score).
 
     Learns from rows that are not held out and have text and language; predicts all rows from text alone.
-    Null texts and texts without letters are ``und`` with score 0, as is everything where nothing can be learned.
-    Repeated rows count as often as they come. Equal scores go to the first language in order."""
+    Null texts and texts without letters (Unicode category L) are ``und`` with score 0, as is everything where nothing
+    can be learned. Very long texts are read whole. Repeated rows count as often as they come and each give a row.
+    Equal scores go to the first language in order. No rows: no result rows; further columns are ignored, whatever
+    their names. Rows are told by their text, so a second reading may deliver them in another order."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", held_out())
     model = fit(rows.where("not held_out"))
-    return predict(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows.select("doc_id", "held_out", "text"), model, "text", ["doc_id"], hot_words).select("doc_id", "held_out", "lang_pred", "score")

@@ -2,12 +2,13 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 
 from signalspark.llm import language_id, license_scan, matroska, mixing, packing, token_counts
 from tests.llm.conftest import SCHEMA
@@ -154,12 +155,53 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= g["score"] <= 1 for g in got.values())
 
 
-def test_unknown_words_back_off_to_the_longest_known_ngrams(spark):
-    df = spark.createDataFrame([("abcd", "x"), ("bcde", "y")], "text string, lang string")
-    table = language_id.fit(df)["table"]
-    assert language_id.look_up("abcd", table) == [table[0]["abcd"]]
-    assert language_id.look_up("zbcd", table) == [table[4]["bcd\x03"]]
-    assert language_id.look_up("zzcz", table) == [table[1]["\x02"], table[1]["c"], table[1]["\x03"]]
+def slow_languages(rows):
+    """(doc_id, held out, language, score) by counting in dicts."""
+    letters = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    cut_up = lambda w, n: [f"\x02{w}\x03"[k : k + n] for k in range(len(w) + 3 - n)]
+    held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 4 == 2 for r in rows]
+    learned = [r for r, h in zip(rows, held, strict=True) if not h and r[1] is not None and r[2] is not None]
+    langs = sorted({r[2] for r in learned})
+    tables = {n: {x: Counter() for x in langs} for n in (0, 4, 3, 2, 1)}
+    for r in learned:
+        for w in letters(r[1]):
+            tables[0][r[2]][w] += 1
+            for n in (4, 3, 2, 1):
+                tables[n][r[2]].update(cut_up(w, n))
+
+    def score(keys, n):
+        return np.array([np.mean([np.log(tables[n][x][k] + 1) - np.log(sum(tables[n][x].values()) + 1) for k in keys]) for x in langs])
+
+    def of(word):
+        for n in (0, 4, 3, 2, 1):
+            seen = [k for k in ([word] if n == 0 else cut_up(word, n)) if any(tables[n][x][k] for x in langs)]
+            if seen:
+                return score(seen, n)
+        return np.zeros(len(langs))
+
+    out = []
+    for r, h in zip(rows, held, strict=True):
+        found = letters(r[1])
+        if not found:
+            out.append((r[0], h, "und", 0.0))
+            continue
+        total = sum((of(w) for w in found), np.log([sum(x == q[2] for q in learned) / len(learned) for x in langs]))
+        out.append((r[0], h, langs[int(total.argmax())], round(float(1 / np.exp(total - total.max()).sum()), 6)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [0, 1 << 17])
+def test_language_matches_brute_force(spark, hot):
+    r = random.Random(4)
+    stock = {"en": ["the", "and", "thing", "water"], "hi": ["पानी", "और", "क्या"], "fr": ["être", "où", "chose", "the"]}
+    rows = []
+    for i in range(80):
+        lang = r.choice(list(stock))
+        rows.append((i, " ".join(r.choice(stock[lang]) + r.choice(["", "", "x", "qy"]) for _ in range(r.randint(1, 9))), r.choice([lang, lang, None])))
+    rows += [(90, "½ ² ① 12", "en"), (91, None, "en"), (92, "", None), (93, "ज़़", None), (94, "İstanbul", "fr"), (None, "water", "en"), (95, "zzz " * 3000, "en"), rows[0], rows[0]]
+    df = spark.createDataFrame([(*row, "x", 1.0, True) for row in rows], "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
+    got = [(g["doc_id"], g["held_out"], g["lang_pred"], round(g["score"], 6)) for g in language_id.identify(df, hot_words=hot).collect()]
+    assert sorted(got, key=str) == slow_languages(rows)
 
 
 def test_language_without_labels_or_rows(spark, none):
