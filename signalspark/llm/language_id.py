@@ -6,7 +6,7 @@ and scores their mean log frequency there (a penalty for the orders passed over
 language). A text's score in a language is the sum over its words and the language's log share of documents.
 
 The model is two tables, of all words and of all n-grams of the training rows; nothing is cut off. Every distinct word
-of the texts to predict is scored once, by joins with these tables, and joined to the frequencies of each text. The
+of the texts to predict is scored once and joined to the frequencies of each text. The
 ``hot_words`` most frequent ones, a table of bounded size, are joined inside the task that reads the text; the others
 by a shuffle. Texts are told by digest, so that copies share one result.
 """
@@ -19,10 +19,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.common import cut, most_frequent, salted_join, store
+from signalspark.llm.common import most_frequent, salted_join, store
 
 #: Runs of letters, by Unicode category, and of marks that follow them.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -37,9 +37,9 @@ def words(text: str) -> list[str]:
     return (PLAIN if low.isascii() else LETTERS).findall(low)
 
 
-def _word_counts(labelled: DataFrame, langs: list[str]) -> DataFrame:
-    """(lang, text) -> (word, n), n an array of counts in the order of ``langs``, summed over all rows."""
-    at = {lang: i for i, lang in enumerate(langs)}
+def _word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, text) -> (word, n), n an array of counts in the order of ``langs``, then that of rows without language."""
+    at = {lang: i for i, lang in enumerate([*langs, None])}
 
     def run(batches):
         table: dict[int, Counter] = defaultdict(Counter)
@@ -52,86 +52,131 @@ def _word_counts(labelled: DataFrame, langs: list[str]) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 table[at[lang]].update(words(text))
-            if sum(map(len, table.values())) > FLUSH:
-                yield from out()
+                if sum(map(len, table.values())) > FLUSH:
+                    yield from out()
         yield from out()
 
-    counts = labelled.mapInArrow(run, "lang int, word string, n long")
-    per_lang = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)) for i in range(len(langs))]
-    return counts.groupBy("word").agg(F.array(*per_lang).alias("n"))
+    counts = rows.mapInArrow(run, "lang int, word string, n long")
+    return counts.groupBy("word").agg(F.array(*(F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)) for i in range(len(at)))).alias("n"))
 
 
-def _cut_up(table: DataFrame, *columns: str) -> DataFrame:
-    """(word, ...) -> (order, gram, ...) for the n-grams of all orders, with marks at the ends of a word."""
-    marked = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.struct(F.lit(n).alias("order"), F.substring(marked, i, F.lit(n)).alias("gram")))
-    some = [F.when(F.length(marked) >= n, grams(n)).otherwise(F.array().cast("array<struct<order:int,gram:string>>")) for n in ORDERS]
-    return table.select(*columns, F.explode(F.concat(*some)).alias("g")).select(*columns, "g.order", "g.gram")
+def cut_up(word: str, order: int) -> list[str]:
+    """n-grams of a word, with marks at its ends."""
+    marked = f"\x02{word}\x03"
+    return [marked[k : k + order] for k in range(len(marked) - order + 1)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """A model from all rows with a text and a language: languages, log shares, and the tables ``words`` (word, s) and
-    ``grams`` (order, gram, s), s the log frequency by language. Without such rows there are no languages."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(shares)
-    if not langs:
-        return {"langs": []}
-    per = range(len(langs))
-    counts = cut(_word_counts(rows, langs))
-    grams = _cut_up(counts, "n").groupBy("order", "gram").agg(F.array(*(F.sum(F.col("n")[i]) for i in per)).alias("n"))
-    grams = cut(grams)
+def _gram_counts(counts: DataFrame, n_langs: int) -> DataFrame:
+    """(word, n) -> (order, gram, n). A task adds up the n-grams of its words before it passes them on."""
+
+    def run(batches):
+        tables: list[dict] = [defaultdict(int) for _ in range(n_langs)]
 
-    def logs(table: DataFrame, *keys: str) -> DataFrame:
-        """Counts to smoothed log frequencies, by language; ``order`` tells tables apart that have their own totals."""
-        totals = {r["order"]: [r[f"t{i}"] or 0 for i in per] for r in table.groupBy("order").agg(*(F.sum(F.col("n")[i]).alias(f"t{i}") for i in per)).collect()}
-        s = F.array(*(F.ln(F.col("n")[i] + 1.0) - F.ln(F.element_at(F.create_map(*(F.lit(x) for o, t in totals.items() for x in (o, t[i] + 1.0))), F.col("order"))) for i in per))
-        return table.select(*keys, s.alias("s"))
+        def out():
+            for lang, table in enumerate(tables):
+                cols = [pa.array(map(len, table), pa.int32()), pa.array(list(table), pa.string()), pa.array([lang] * len(table), pa.int32()), pa.array(list(table.values()), pa.int64())]
+                table.clear()
+                yield pa.RecordBatch.from_arrays(cols, ["order", "gram", "lang", "n"])
 
-    prior = np.log(np.array([shares[x] for x in langs], float) / sum(shares.values()))
-    if counts.isEmpty():
-        return {"langs": langs, "prior": prior, "words": counts.select("word", F.col("n").cast("array<double>").alias("s")), "grams": grams.select("order", "gram", F.col("n").cast("array<double>").alias("s"))}
-    return {"langs": langs, "prior": prior, "words": logs(counts.withColumn("order", F.lit(0)), "word"), "grams": logs(grams, "order", "gram")}
+        for b in batches:
+            for word, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pieces = None
+                for table, n in zip(tables, counts, strict=False):
+                    if n:
+                        pieces = pieces or [g for order in ORDERS for g in cut_up(word, order)]
+                        for g in pieces:
+                            table[g] += n
+            if sum(map(len, tables)) > FLUSH:
+                yield from out()
+        yield from out()
 
+    rows = counts.select("word", "n").mapInArrow(run, "order int, gram string, lang int, n long")
+    return rows.groupBy("order", "gram").agg(F.array(*(F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)) for i in range(n_langs))).alias("n"))
 
-def score_words(vocabulary: DataFrame, model: dict) -> DataFrame:
-    """(word, ...) of distinct words -> with s: the word's own log frequencies, or the mean of those of its n-grams of
-    the longest order that has any, or zeros."""
-    per = range(len(model["langs"]))
-    known = vocabulary.join(model["words"], "word", "left")
-    unseen = known.where("s is null").select("word")
-    near = salted_join(_cut_up(unseen, "word"), model["grams"], ["order", "gram"], ["word"])
-    means = near.groupBy("word", "order").agg(F.array(*(F.avg(F.col("s")[i]) for i in per)).alias("mean"))
-    best = means.groupBy("word").agg(F.max(F.struct("order", "mean"))["mean"].alias("mean"))
-    zeros = F.array(*(F.lit(0.0) for _ in per))
-    return known.join(best, "word", "left").withColumn("s", F.coalesce("s", "mean", zeros)).drop("mean")
 
+def _logs(table: DataFrame, n_langs: int) -> DataFrame:
+    """(order, n, ...) -> also s: smoothed log frequencies by language, in all that is counted of that order."""
+    per = range(n_langs)
+    totals = table.groupBy("order").agg(*(F.sum(F.col("n")[i]).alias(f"t{i}") for i in per)).collect()
+    by_order = [F.create_map(*(F.lit(v) for r in totals for v in (r["order"], float(r[f"t{i}"] + 1)))) for i in per] if totals else []
+    s = F.array(*(F.ln(F.col("n")[i] + 1.0) - F.ln(F.element_at(m, F.col("order"))) for i, m in enumerate(by_order)))
+    return table.withColumn("s", s.cast("array<double>"))
 
-def _vocabulary(texts: DataFrame) -> DataFrame:
-    """(digest, text) -> (word, n): all words with their frequency."""
 
-    def run(batches):
-        table: Counter = Counter()
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn: Column | None = None) -> dict:
+    """A model from the rows with a text and a language, where ``learn`` holds if it is given: languages, log shares,
+    and the tables ``words`` (word, n, s) and ``grams`` (order, gram, n, s), s the log frequencies by language.
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["word", "n"])
+    The words of other rows are in ``words`` too, n their frequency and s null where no row that counts has them."""
+    lang = F.col(lang_col).cast("string")
+    rows = docs.select((lang if learn is None else F.when(learn, lang)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    shares = {r["lang"]: r["count"] for r in rows.where("lang is not null").groupBy("lang").count().collect()}
+    langs = sorted(shares)
+    if not langs:
+        return {"langs": []}
+    size = len(langs)
+    counts = store(_word_counts(rows, langs))
+    grams = store(_gram_counts(counts, size))
+    learned = F.exists(F.slice("n", 1, size), lambda v: v > 0)
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, v: a + v)
+    own = _logs(counts.withColumn("order", F.lit(0)), size)
+    prior = np.log(np.array([shares[x] for x in langs], float) / sum(shares.values()))
+    return {"langs": langs, "prior": prior, "words": own.select("word", total.alias("n"), F.when(learned, F.col("s")).alias("s")), "grams": _logs(grams, size)}
+
+
+def _back_off(unseen: DataFrame, grams: DataFrame, n_langs: int, small: int) -> DataFrame:
+    """(word) -> (word, mean) for words with a known n-gram. A table of up to ``small`` n-grams goes to all tasks; a
+    larger one is joined."""
+    if grams.count() <= small:
+        table = unseen.sparkSession.sparkContext.broadcast({r["gram"]: r["s"] for r in grams.select("gram", "s").toLocalIterator()})
+
+        def run(batches):
+            get = table.value.get
+            for b in batches:
+                found = []
+                for w in b.column(0).to_pylist():
+                    for order in ORDERS:
+                        s = [v for g in cut_up(w, order) if (v := get(g)) is not None]
+                        if s:
+                            found.append((w, np.mean(s, axis=0).tolist()))
+                            break
+                names, means = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(means, pa.list_(pa.float64()))], ["word", "mean"])
+
+        return unseen.mapInArrow(run, "word string, mean array<double>")
+    near = unseen.mapInArrow(_pieces, "word string, order int, gram string")
+    near = salted_join(near, grams.select("order", "gram", "s"), ["order", "gram"], ["word"])
+    means = near.groupBy("word", "order").agg(F.array(*(F.avg(F.col("s")[i]) for i in range(n_langs))).alias("mean"))
+    return means.groupBy("word").agg(F.max(F.struct("order", "mean"))["mean"].alias("mean"))
+
+
+def _pieces(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            rows = [(w, n, g) for w in b.column(0).slice(at, 1000).to_pylist() for n in ORDERS for g in cut_up(w, n)]
+            w, n, g = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int32()), pa.array(g, pa.string())], ["word", "order", "gram"])
+
+
+def score_words(vocabulary: DataFrame, model: dict, small: int = 1 << 17) -> DataFrame:
+    """(word, n, s) of distinct words -> s where it is null: the mean of the log frequencies of the word's n-grams of
+    the longest order that has any, or zeros."""
+    size = len(model["langs"])
+    best = _back_off(vocabulary.where("s is null").select("word"), model["grams"], size, small)
+    zeros = F.array(*(F.lit(0.0) for _ in range(size)))
+    return vocabulary.join(best, "word", "left").select("word", "n", F.coalesce("s", "mean", zeros).alias("s"))
 
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                if t:
-                    table.update(words(t))
-                if len(table) > FLUSH:
-                    yield out()
-                    table.clear()
-        yield out()
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def vocabulary(texts: DataFrame, model: dict) -> DataFrame:
+    """(text) -> (word, n, s) of all words, s as the model has it."""
+    counts = _word_counts(texts.select(F.lit(None).cast("string").alias("lang"), "text"), []).select("word", F.col("n")[0].alias("n"))
+    return counts.join(model["words"].select("word", "s"), "word", "left")
 
 
-def score_texts(texts: DataFrame, model: dict, hot_words: int = 1 << 17) -> DataFrame:
-    """(digest, text) -> (digest, lang_pred, score), a row per digest."""
+def score_texts(texts: DataFrame, model: dict, seen: bool, hot_words: int = 1 << 17) -> DataFrame:
+    """(digest, text) -> (digest, lang_pred, score), a row per digest; ``seen``: the model has all words of the texts."""
     langs, prior = model["langs"], model["prior"]
-    scored = store(score_words(_vocabulary(texts), model))
+    scored = store(score_words(model["words"] if seen else vocabulary(texts, model), model, hot_words))
     hot: dict = {}
     values: list = []
     for r in most_frequent(scored, F.col("n"), hot_words).select("word", "s").toLocalIterator():
@@ -180,16 +225,17 @@ def score_texts(texts: DataFrame, model: dict, hot_words: int = 1 << 17) -> Data
     return sums.select("digest", F.when(und, "und").otherwise(F.get(names, F.array_position(values, best).cast("int") - 1)).alias("lang_pred"), F.when(und, 0.0).otherwise(share).alias("score"))
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text", spread: list[str] | None = None, hot_words: int = 1 << 17) -> DataFrame:
+def predict(docs: DataFrame, model: dict, text_col: str = "text", spread: list[str] | None = None, seen: bool = False, hot_words: int = 1 << 17) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score appended (columns of these names are replaced). Rows with equal
-    texts are dealt to several tasks by the columns ``spread``."""
+    texts are dealt to several tasks by the columns ``spread``. ``seen``: the model was fitted over these rows, whether
+    it learned from them or not, so that it has their words."""
     docs = docs.drop("lang_pred", "score")
     if not model["langs"]:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("digest of text", F.unhex(F.md5(text.cast("binary"))))
     texts = rows.select(F.col("digest of text").alias("digest"), text.alias("text"))
-    found = score_texts(texts, model, hot_words).withColumnRenamed("digest", "digest of text")
+    found = score_texts(texts, model, seen, hot_words).withColumnRenamed("digest", "digest of text")
     return salted_join(rows, found, ["digest of text"], spread or [text_col]).select(*docs.columns, "lang_pred", "score")
 
 
@@ -207,5 +253,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Equal scores go to the first language in order. No rows: no result rows; further columns are ignored, whatever
     their names. Rows are told by their text, so a second reading may deliver them in another order."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", held_out())
-    model = fit(rows.where("not held_out"))
-    return predict(rows.select("doc_id", "held_out", "text"), model, "text", ["doc_id"], hot_words).select("doc_id", "held_out", "lang_pred", "score")
+    model = fit(rows, learn=~F.col("held_out"))
+    return predict(rows.select("doc_id", "held_out", "text"), model, "text", ["doc_id"], True, hot_words).select("doc_id", "held_out", "lang_pred", "score")

@@ -202,6 +202,10 @@ def test_language_matches_brute_force(spark, hot):
     df = spark.createDataFrame([(*row, "x", 1.0, True) for row in rows], "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
     got = [(g["doc_id"], g["held_out"], g["lang_pred"], round(g["score"], 6)) for g in language_id.identify(df, hot_words=hot).collect()]
     assert sorted(got, key=str) == slow_languages(rows)
+    rest = df.drop("lang_pred", "score", "held_out")
+    model = language_id.fit(rest.where(~language_id.held_out()))
+    other = language_id.predict(rest, model, hot_words=hot).collect()
+    assert sorted((g["doc_id"], g["lang_pred"], round(g["score"], 6)) for g in other if g["doc_id"]) == sorted((g[0], *g[2:]) for g in got if g[0])
 
 
 def test_language_without_labels_or_rows(spark, none):
