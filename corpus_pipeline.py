@@ -41,8 +41,8 @@ def _same_row(rows: DataFrame, other: DataFrame):
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those without letters, or without a likely language, go."""
-    model = language_id.fit(docs.where(~language_id.held_out()))
-    return language_id.predict(docs, model).where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
+    model = language_id.fit(docs, learn=~language_id.held_out())
+    return language_id.predict(docs, model, spread=["doc_id"], seen=True).where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
