@@ -38,7 +38,7 @@ def gaussian_mi(samples: DataFrame, keys: list[str], chan: str, t: str, value: s
     Ranks are percent ranks within key and channel, so the measure does not depend on the values' scale."""
     ranked = samples.withColumn("rank of", F.percent_rank().over(Window.partitionBy(*keys, chan).orderBy(value)))
     r = correlation(ranked, keys, chan, t, "rank of")
-    return r.select(*keys, "a", "b", F.when(F.abs("r") < 1, -0.5 * F.log2(1 - F.col("r") * F.col("r"))).alias("mi"))
+    return r.select(*keys, "a", "b", F.when(1 - F.col("r") * F.col("r") > 1e-12, -0.5 * F.log2(1 - F.col("r") * F.col("r"))).alias("mi"))
 
 
 def phase_metrics(samples: DataFrame, keys: list[str], chan: str, t: str, re: str = "re", im: str = "im") -> DataFrame:

@@ -27,11 +27,15 @@ def with_segments(df: DataFrame, size: int, overlap: int = 0, t: str = "t") -> D
 
 
 def map_segments(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray, list, np.ndarray, dict], pd.DataFrame], schema: str, chan: str = "chan", t: str = "t", value: str = "x") -> DataFrame:
-    """``kernel(matrix channels x times, channels, times, key values)`` per group; missing samples are 0."""
+    """``kernel(matrix channels x times, channels, times, key values)`` per group; missing samples are 0 to the kernel.
+
+    Where the kernel returns samples (channel and time), those that were not in the input are left out."""
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
         wide = part.pivot_table(index=chan, columns=t, values=value, aggfunc="mean", fill_value=0.0)
         out = kernel(wide.to_numpy(float), wide.index.tolist(), wide.columns.to_numpy(), dict(zip(keys, key, strict=True)))
+        if chan in out and t in out:
+            out = out.merge(part[[chan, t]].drop_duplicates(), on=[chan, t])
         return out.assign(**dict(zip(keys, key, strict=True)))
 
     full = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + f", {schema}"
@@ -111,7 +115,7 @@ def reconstruct(x: np.ndarray, mixing: np.ndarray, limits: np.ndarray, max_share
 
 def subspace_clean(df: DataFrame, model: DataFrame, keys: list[str], size: int, chan: str = "chan", t: str = "t", value: str = "x") -> DataFrame:
     """(keys, chan, t, x): recordings with artifact directions rebuilt, in stretches of ``size`` samples that overlap by
-    half and are blended by raised cosines."""
+    half and are blended by raised cosines. Samples that did not come in do not come out."""
     half = size // 2
     seg = with_segments(df.select(*keys, chan, t, value), half, 0, t).withColumn("segment", F.explode(F.array(F.col("segment"), F.col("segment") - 1)))
     rows = seg.join(model, keys)
@@ -128,6 +132,7 @@ def subspace_clean(df: DataFrame, model: DataFrame, keys: list[str], size: int,
         weight = 0.5 - 0.5 * np.cos(2 * np.pi * (at + 0.5) / (2 * half))
         out = long_frame(x * weight, wide.index.tolist(), times, chan, t, value)
         out["weight"] = np.tile(weight, len(names))
+        out = out.merge(part[[chan, t]].drop_duplicates(), on=[chan, t])
         return out.assign(**dict(zip(keys, key[:-1], strict=True)))[[*keys, chan, t, value, "weight"]]
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (*keys, chan, t)}

@@ -67,16 +67,22 @@ def pure_windows(df: DataFrame, keys: list[str], order: str, label: str, size: i
     return df.where((F.col("seen") == size) & (F.col("least") == F.col("most"))).drop("seen", "least", "most")
 
 
-def sequence_graph(df: DataFrame, keys: list[str], order: str, symbol: str, kappa: float, reach: int = 16) -> DataFrame:
-    """(keys, u, v, weight): sequence graph transform, (mean of exp(-kappa gap))**(1/kappa) per pair of symbols.
+def sequence_graph(df: DataFrame, keys: list[str], order: str, symbol: str, kappa: float) -> DataFrame:
+    """(keys, u, v, weight, n): sequence graph transform, (mean of exp(-kappa gap))**(1/kappa) over all n pairs of u before v.
 
-    Pairs up to ``reach`` places apart, beyond which the weight exp(-kappa gap) is nothing; lags make them, not a
-    join of the sequence with itself."""
+    Pairs are counted by running counts of each symbol, events times symbols rows. The sum takes gaps up to 40 / kappa by
+    lags: what lies further apart adds less than 1e-17 a pair, below what a double resolves beside 1."""
     w = Window.partitionBy(*keys).orderBy(order)
+    reach = max(1, math.ceil(40 / kappa))
     ahead = F.array(*(F.struct(F.lit(g).alias("gap"), F.lead(symbol, g).over(w).alias("v")) for g in range(1, reach + 1)))
-    p = df.select(*keys, F.col(symbol).alias("u"), ahead.alias("ahead")).select(*keys, "u", F.explode("ahead").alias("p")).where("p.v is not null")
-    weight = F.pow(F.avg(F.exp(-kappa * F.col("p.gap"))), F.lit(1 / kappa))
-    return p.groupBy(*keys, "u", F.col("p.v").alias("v")).agg(weight.alias("weight"), F.count("*").alias("n"))
+    near = df.select(*keys, F.col(symbol).alias("u"), ahead.alias("ahead")).select(*keys, "u", F.explode("ahead").alias("p")).where("p.v is not null")
+    near = near.groupBy(*keys, "u", F.col("p.v").alias("v")).agg(F.sum(F.exp(-kappa * F.col("p.gap"))).alias("near"))
+    first = df.groupBy(*keys, F.col(symbol).alias("u")).agg(F.count("*").alias("of u"))
+    before = Window.partitionBy(*keys, "u").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    pairs = df.select(*keys, order, F.col(symbol).alias("v")).join(first, keys).withColumn("k", F.coalesce(F.sum((F.col("v") == F.col("u")).cast("long")).over(before), F.lit(0)))
+    pairs = pairs.groupBy(*keys, "u", "v").agg(F.sum("k").alias("n")).where("n > 0")
+    weight = F.pow(F.coalesce("near", F.lit(0.0)) / F.col("n"), F.lit(1 / kappa))
+    return pairs.join(near, [*keys, "u", "v"], "left").select(*keys, "u", "v", weight.alias("weight"), "n")
 
 
 def quantile_rank(df: DataFrame, keys: list[str], value: str, out: str = "q") -> DataFrame:

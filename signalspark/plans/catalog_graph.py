@@ -40,10 +40,10 @@ def covariance_matrix(spark, d):
     with_(EVT, HOURLY)
     + """, rk AS (SELECT g, chan, h, PERCENT_RANK() OVER (PARTITION BY g, chan ORDER BY x) AS x FROM hr),
 rr AS (SELECT a.g, a.chan AS a, b.chan AS b, corr(a.x, b.x) AS r FROM rk a JOIN rk b ON a.g = b.g AND a.h = b.h AND a.chan < b.chan GROUP BY 1, 2, 3)
-SELECT g, a, b, ROUND(-0.5 * LOG2(1 - r * r), 6) + 0.0 AS mi FROM rr"""
+SELECT g, a, b, CASE WHEN 1 - r * r > 1e-12 THEN ROUND(-0.5 * LOG2(1 - r * r), 6) + 0.0 END AS mi FROM rr"""
 )
 def gaussian_mi(spark, d):
-    m = connectivity.gaussian_mi(_hourly(spark, d), ["g"], "chan", "h")
+    m = connectivity.gaussian_mi(_hourly(spark, d), ["g"], "chan", "h")  # null where the ranks agree wholly
     return m.select("g", "a", "b", rnd(F.col("mi")).alias("mi"))
 
 
@@ -143,7 +143,7 @@ def clustering_coeff(spark, d):
 @query(
     "WITH RECURSIVE "
     + GRAPH
-    + """, path(g, a, b, d) AS (SELECT g, a, b, 1 FROM bw UNION SELECT p.g, p.a, bw.b, p.d + 1 FROM path p JOIN bw ON bw.g = p.g AND bw.a = p.b WHERE p.d < 4),
+    + """, path(g, a, b, d) AS (SELECT g, a, b, 1 FROM bw UNION SELECT p.g, p.a, bw.b, p.d + 1 FROM path p JOIN bw ON bw.g = p.g AND bw.a = p.b WHERE p.d < 40),
 sh AS (SELECT g, a, b, MIN(d) AS d FROM path WHERE a <> b GROUP BY 1, 2, 3)
 SELECT nn.g, ROUND(COALESCE(SUM(1.0 / d), 0) / (MAX(n) * (MAX(n) - 1)), 6) + 0.0 AS efficiency FROM nn LEFT JOIN sh USING (g) GROUP BY 1"""
 )
@@ -241,7 +241,7 @@ def window_purity(spark, d):
 @query(
     with_(EVT)
     + """, o AS (SELECT user_id, chan, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY t) AS p FROM evt)
-SELECT a.user_id, a.chan AS u, b.chan AS v, COUNT(*) AS n, ROUND(POWER(AVG(EXP(-2.0 * (b.p - a.p))), 0.5), 6) + 0.0 AS weight FROM o a JOIN o b ON a.user_id = b.user_id AND b.p - a.p BETWEEN 1 AND 16 GROUP BY 1, 2, 3"""
+SELECT a.user_id, a.chan AS u, b.chan AS v, COUNT(*) AS n, ROUND(POWER(AVG(EXP(-2.0 * (b.p - a.p))), 0.5), 6) + 0.0 AS weight FROM o a JOIN o b ON a.user_id = b.user_id AND b.p > a.p GROUP BY 1, 2, 3"""
 )
 def sequence_graph_transform(spark, d):
     s = stats.sequence_graph(event_series(spark, d), ["user_id"], "t", "chan", 2.0)
@@ -337,7 +337,7 @@ def stage_relabel(spark, d):
     return table(spark, d, "events").select("event_id", stage_code(raw).alias("code"))
 
 
-@query("SELECT l_orderkey, l_linenumber, ROUND(raw * 0.25 - 10, 6) + 0.0 AS value, FLOOR((raw * 0.25 - 10 + 10) / 0.25 + 0.5)::BIGINT AS back FROM (SELECT l_orderkey, l_linenumber, GREATEST(-100, LEAST(100, l_quantity::BIGINT * 3)) AS raw FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, ROUND((raw * 0.25 - 10)::DOUBLE, 6) + 0.0 AS value, FLOOR((raw * 0.25 - 10 + 10) / 0.25 + 0.5)::BIGINT AS back FROM (SELECT l_orderkey, l_linenumber, GREATEST(-100, LEAST(100, l_quantity::BIGINT * 3)) AS raw FROM lineitem)")
 def calibration_affine(spark, d):
     """Raw samples clamped to the digital range, calibrated and taken back."""
     from signalspark.sources.sleep import clamp, from_raw, to_raw

@@ -154,7 +154,7 @@ MF = with_(
     SUP,
     WALK,
     _scales(10, 1.25),
-    f"qs AS (SELECT UNNEST({QS}) AS q)",
+    f"qs AS (SELECT UNNEST({QS}::DOUBLE[]) AS q)",
     """fq AS (SELECT chan, q, scale, CASE WHEN q = 0 THEN EXP(AVG(LN(v)) FILTER (v > 1e-20) / 2) ELSE POWER(AVG(POWER(v, q / 2)) FILTER (v > 0), 1 / NULLIF(q, 0)) END AS f FROM blk, qs GROUP BY 1, 2, 3),
 h AS (SELECT chan, q, regr_slope(LOG10(f), LOG10(scale)) AS h FROM fq WHERE f > 0 GROUP BY 1, 2)""",
 )

@@ -7,6 +7,7 @@ their headers and cut into ranges, so that a task reads some records of one file
 from __future__ import annotations
 
 import glob
+import math
 import os
 import struct
 from datetime import datetime, timedelta
@@ -94,20 +95,32 @@ def _field(v, width: int) -> bytes:
     return str(v)[:width].ljust(width).encode("latin-1")
 
 
+def _eight(v: float, towards) -> str:
+    """A number in at most eight characters, rounded by ``towards`` at its last digit."""
+    for digits in range(6, -1, -1):
+        text = f"{towards(v * 10**digits) / 10**digits:.{digits}f}"
+        if len(text) <= 8:
+            return text
+    raise ValueError(f"{v} does not fit in a header")
+
+
 def edf_bytes(channels: list[tuple[str, str, float, list[float]]], start: datetime) -> bytes:
-    """A file of one-second records from (label, unit, srate, samples) per channel; the last record is padded."""
+    """A plain EDF file of one-second records from (label, unit, srate, samples) per channel; the last record is padded.
+
+    The header has eight characters for a range, so values all below 0.01 are written in millionths, as uV for V."""
     n = len(channels)
+    tiny = [0 < max((abs(v) for v in c[3]), default=0.0) < 0.01 for c in channels]
+    channels = [(label, f"u{unit}", rate, [v * 1e6 for v in x]) if small else (label, unit, rate, x) for (label, unit, rate, x), small in zip(channels, tiny, strict=True)]
     spans = []
     for _, _, _, x in channels:
         lo, hi = min(x, default=0.0), max(x, default=1.0)
         spans.append((lo, hi if hi > lo else lo + 1.0))
-    # What stands in the header's eight characters is what counts.
-    spans = [(float(f"{lo:.6g}"[:8]) - (hi - lo) * 1e-5, float(f"{hi:.6g}"[:8]) + (hi - lo) * 1e-5) for lo, hi in spans]
-    texts = [(f"{lo:.6f}"[:8], f"{hi:.6f}"[:8]) for lo, hi in spans]
+    # What stands in the header's eight characters is what counts: it encloses the values.
+    texts = [(_eight(lo, math.floor), _eight(hi, math.ceil)) for lo, hi in spans]
     rates = [int(round(c[2])) for c in channels]
     records = max((-(-len(c[3]) // r) for c, r in zip(channels, rates, strict=True)), default=0)
     head = _field("0", 8) + _field("X X X X", 80) + _field("Startdate X X X X", 80) + start.strftime("%d.%m.%y%H.%M.%S").encode()
-    head += _field(256 * (n + 1), 8) + _field("EDF+C", 44) + _field(records, 8) + _field(1, 8) + _field(n, 4)
+    head += _field(256 * (n + 1), 8) + _field("", 44) + _field(records, 8) + _field(1, 8) + _field(n, 4)
     columns = {
         "label": [c[0] for c in channels], "transducer": [""] * n, "unit": [c[1] for c in channels], "pmin": [t[0] for t in texts], "pmax": [t[1] for t in texts],
         "dmin": ["-32768"] * n, "dmax": ["32767"] * n, "filter": [""] * n, "samples": rates, "reserved": [""] * n,

@@ -90,3 +90,23 @@ def test_segments_overlap(spark):
     df = spark.range(10).select(F.col("id").alias("t"))
     got = mc.with_segments(df, 4, 1).groupBy("segment").count().orderBy("segment").collect()
     assert [(r[0], r[1]) for r in got] == [(0, 5), (1, 5), (2, 2)]
+
+
+def test_absent_samples_are_not_invented(spark):
+    r = np.random.default_rng(2)
+    df = long(spark, r.normal(size=(4, 256))).where("not (chan = 2 and t between 70 and 90)")
+    want = {(x["chan"], x["t"]) for x in df.collect()}
+    model = mc.subspace_model(df, ["rec"], 64, 6.0)
+    got = mc.subspace_clean(df, model, ["rec"], 64).collect()
+    assert len(got) == len(want) and {(x["chan"], x["t"]) for x in got} == want
+    same = mc.map_segments(mc.with_segments(df, 64), ["rec", "segment"], lambda m, c, t, k: mc.long_frame(m, c, t), "chan int, t long, x double").collect()
+    assert len(same) == len(want) and {(x["chan"], x["t"]) for x in same} == want
+
+
+def test_efficiency_of_a_long_path(spark):
+    edges = spark.createDataFrame([(0, k, k + 1) for k in range(8)], "g int, a int, b int")
+    nodes = spark.createDataFrame([(0, k) for k in range(9)], "g int, node int")
+    want = 2 * sum((9 - d) / d for d in range(1, 9)) / 72
+    assert graph.global_efficiency(edges, nodes, ["g"]).first()["efficiency"] == pytest.approx(want)
+    with pytest.raises(RuntimeError):
+        graph.components(edges, nodes, ["g"], max_rounds=1)

@@ -111,3 +111,15 @@ def test_from_arrays(spark):
     got = tables.from_arrays(df, "e", ["Fz", "Cz"], 2.0).collect()
     assert [(g["chan"], g["x"]) for g in got] == [("Fz", [1.0, 2.0]), ("Cz", [3.0])]
     assert math.isclose(got[0]["srate"], 2.0)
+
+
+def test_edf_of_volts_is_written_in_microvolts():
+    from datetime import datetime
+
+    from signalspark.sources.recordings import edf_bytes
+
+    x = [5e-5 * math.sin(k / 5) for k in range(256)]
+    data = edf_bytes([("C3", "V", 256.0, x)], datetime(2020, 1, 1))
+    assert data[192:236].strip() == b"" and data[352:360].strip() == b"uV"
+    low, high = float(data[360:368]), float(data[368:376])
+    assert low <= min(x) * 1e6 and high >= max(x) * 1e6 and high - low < 101
