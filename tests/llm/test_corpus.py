@@ -310,14 +310,13 @@ def slow_scan(rows):
             hits = [i for i in range(len(w)) if w[i : i + len(p)] == p]
             at += hits
             base |= {label} if hits else set()
-        for line in t.split("\n"):
-            have = set(split(line))
-            for label, text in license_scan.TEMPLATES:
-                tokens = set(text.split())
-                share = len(have & tokens) / len(tokens)
-                if share >= 0.8:
-                    more.add(label)
-                    best = max(best, share)
+        for label, text, must in license_scan.TEMPLATES:
+            tokens, n = set(text.split()), len(text.split())
+            stretches = (set(w[i : i + n + n // 4]) for i in range(len(w)))
+            share = max((len(s & tokens) / len(tokens) for s in stretches if set(must.split()) <= s), default=0.0)
+            if share >= 0.8:
+                more.add(label)
+                best = max(best, share)
         out.append((r[0], len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if at else best))
     return out
 
@@ -328,6 +327,11 @@ def test_license_scan(spark, docs, rows):
         (901, "x This work is licensed under GNU General  Public\nLicense version 3", None, None, None),
         (902, "Licensed under CC BY-NC 4.0.", None, None, None),
         (903, "Redistribution and use in source and binary forms with or without modification are permitted provided the conditions are met", None, None, None),
+        (904, "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and\n# associated documentation files (the", None, None, None),
+        (905, "Licensed under CC BY 4.0.", None, None, None),
+        (906, "It was released under the license of the city", None, None, None),
+        (907, "released " + "far " * 60 + "under the mit, license", None, None, None),
+        (908, "of the and to " * 3000 + "This is free and unencumbered software\r\nreleased into the public domain." + " to the" * 500, None, None, None),
     ]
     extra = [(*e, "x", 1, 2, 0.5, 3, "k", 4, 5) for e in extra]
     both = rows + extra
@@ -335,6 +339,34 @@ def test_license_scan(spark, docs, rows):
     assert sorted(map(tuple, got), key=str) == sorted(slow_scan(both), key=str)
     labels = {g["doc_id"]: g["labels"] for g in got}
     assert labels[900] == "apache,mit" and labels[902] == "cc-by-nc" and "bsd" in labels[903]
+    assert labels[904] == "mit" and labels[905] == labels[906] == "" and labels[908] == "unlicense"
+
+
+@pytest.mark.parametrize("threshold", [0.5, 1.0])
+def test_license_thresholds_and_own_templates(spark, threshold):
+    table = [("one", "a b c d", ""), ("two", "c d e a f g h", "e"), ("three", "b b b z", "")]
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghxyz") for _ in range(r.randint(0, 40))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {g["doc_id"]: (g["labels"], g["score"]) for g in license_scan.scan(docs, table=table, threshold=threshold).collect()}
+    for i, t in enumerate(texts):
+        w, want = t.split(), {}
+        for label, text, must in table:
+            tokens, n = set(text.split()), len(text.split())
+            stretches = (set(w[k : k + n + n // 4]) for k in range(len(w)))
+            share = max((len(s & tokens) / len(tokens) for s in stretches if set(must.split()) <= s), default=0.0)
+            if share >= threshold:
+                want[label] = share
+        assert got[i] == (",".join(sorted(want)), max(want.values(), default=0.0))
+
+
+def test_licenses_equal_their_sql(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    got = license_scan.scan(spark.read.parquet(path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({license_scan.oracle_sql()})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_license_scan_plan_has_no_python(docs):
