@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.functions.arrays import let, mean
 from signalspark.operators.joins import range_join
 from signalspark.operators.series import by_order
 
@@ -67,6 +68,35 @@ def quadrant_summary(beats: DataFrame, keys: list[str], order: str, rr: str = "r
     return out.select(*keys, (F.col("n2") - F.col("n4")).alias("arrest"), (F.col("n3") - F.col("n1")).alias("acceleration"), entropy.alias("entropy"))
 
 
+def breath_features(df: DataFrame, keys: list[str], srate: float, order: str = "i", value: str = "x") -> DataFrame:
+    """(keys, 13 features): rate, durations in seconds, amplitudes and areas of inspiration and expiration, their ratios.
+
+    Each mean is that of the percentiles 30 to 69 over the breaths. Areas lie above the trough that bounds the half breath,
+    by the trapezoid rule; they come from running sums of the signal, so no breath is joined with its samples."""
+    from signalspark.operators.series import local_extrema
+
+    w = by_order(keys, order)
+    both = (F.col(value) + F.lag(value).over(w)) / 2
+    area = F.sum(F.coalesce(both, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    e = local_extrema(df, keys, order, value).join(df.select(*keys, order, area.alias("area")), [*keys, order])
+    nexts = [F.lead(c, s).over(w).alias(f"{c}{s}") for c in (order, value, "area") for s in (1, 2)]
+    c = e.select(*keys, "kind", order, value, "area", F.lead("kind").over(w).alias("kind1"), *nexts)
+    whole = F.expr(f"kind = 'trough' and kind1 = 'peak' and {order}2 is not null")
+    col = lambda base, s: F.col(base if s == 0 else f"{base}{s}")
+    ins, exp = (col(order, 1) - col(order, 0)) / srate, (col(order, 2) - col(order, 1)) / srate
+    up, down = col(value, 1) - col(value, 0), col(value, 1) - col(value, 2)
+    area_in = col("area", 1) - col("area", 0) - col(value, 0) * (col(order, 1) - col(order, 0))
+    area_ex = col("area", 2) - col("area", 1) - col(value, 2) * (col(order, 2) - col(order, 1))
+    parts = {"cycle_duration": ins + exp, "in_duration": ins, "ex_duration": exp, "in_amplitude": up, "ex_amplitude": down, "in_area": area_in, "ex_area": area_ex}
+    parts |= {"duration_ratio": F.try_divide(ins, exp), "amplitude_ratio": F.try_divide(up, down), "area_ratio": F.try_divide(area_in, area_ex)}
+    marks = [k / 100 for k in range(30, 70)]
+    got = c.select(*keys, "kind", *(F.when(whole, v.cast("double")).alias(k) for k, v in parts.items()))
+    got = got.groupBy(*keys).agg(F.greatest(F.count_if(F.col("kind") == "peak"), F.count_if(F.col("kind") == "trough")).alias("cycles"), *(F.percentile(k, F.array(*map(F.lit, marks))).alias(k) for k in parts))
+    rate = F.transform("cycle_duration", lambda v: 60 / v)
+    m = let(mean(rate), lambda v: F.sqrt(mean(F.transform(rate, lambda r: (r - v) * (r - v)))))
+    return got.select(*keys, mean(rate).alias("rate_mean"), m.alias("rate_sd"), *(mean(F.col(k)).alias(k) for k in parts), "cycles")
+
+
 def breath_cycles(df: DataFrame, keys: list[str], order: str = "i", value: str = "x") -> DataFrame:
     """(keys, trough, peak, next_trough, rise, inspiration, expiration): alternating extrema as breaths."""
     from signalspark.operators.series import local_extrema
@@ -110,6 +140,7 @@ def running_rate(beats: DataFrame, keys: list[str], seconds: int, ts: str = "ts"
 
 __all__ = [
     "breath_cycles",
+    "breath_features",
     "hrv_time",
     "lag_design",
     "poincare",

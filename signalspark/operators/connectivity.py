@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.operators.stats import normal_quantile
+
 
 def pairs(samples: DataFrame, keys: list[str], chan: str, t: str, columns: list[str]) -> DataFrame:
     """(keys, a, b, t, <column>_a, <column>_b): samples of each two channels at the same time."""
@@ -41,6 +43,17 @@ def gaussian_mi(samples: DataFrame, keys: list[str], chan: str, t: str, value: s
     return r.select(*keys, "a", "b", F.when(1 - F.col("r") * F.col("r") > 1e-12, -0.5 * F.log2(1 - F.col("r") * F.col("r"))).alias("mi"))
 
 
+def copula_mi(samples: DataFrame, keys: list[str], chan: str, t: str, value: str = "x") -> DataFrame:
+    """(keys, a, b, n, mi): mutual information in bits of a Gaussian copula. Ranks within key and channel become normal
+    quantiles; null where two channels agree wholly or one is constant."""
+    w = Window.partitionBy(*keys, chan)
+    place = (F.rank().over(w.orderBy(value)) - 0.5) / F.count(value).over(w)
+    scores = samples.withColumn("score of", normal_quantile(place))
+    r = correlation(scores, keys, chan, t, "score of")
+    left = 1 - F.col("r") * F.col("r")
+    return r.select(*keys, "a", "b", "n", F.when(left > 1e-12, -0.5 * F.log2(left)).alias("mi"))
+
+
 def phase_metrics(samples: DataFrame, keys: list[str], chan: str, t: str, re: str = "re", im: str = "im") -> DataFrame:
     """(keys, a, b, coh, plv, ciplv, pli, wpli) from analytic signals (re, im) of each channel."""
     p = pairs(samples, keys, chan, t, [re, im])

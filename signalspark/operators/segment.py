@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,35 @@ def coarse_grain(df: DataFrame, keys: list[str], scale: int, order: str = "i", v
     """Means of whole groups of ``scale`` successive samples."""
     out = df.groupBy(*keys, F.floor(F.col(order) / scale).alias(order)).agg(F.avg(value).alias(value), F.count(value).alias("n"))
     return out.where(F.col("n") == scale).drop("n")
+
+
+def sliding_windows(df: DataFrame, size: int, step: int, order: str = "i", number: str = "window") -> DataFrame:
+    """Rows with each ``window`` they stand in: window w covers places [w step, w step + size), also past the end.
+
+    A row is listed size / step times, so windows of any length are groups of a plain aggregate."""
+    last = F.floor(F.col(order) / step)
+    first = F.greatest(F.lit(0), F.floor((F.col(order) - size) / step) + 1)
+    return df.withColumn(number, F.explode(F.when(last >= first, F.sequence(first, last))))
+
+
+def half_shift_epochs(df: DataFrame, keys: list[str], size: int, order: str = "i") -> DataFrame:
+    """Rows twice, as members of two streams of whole epochs: from the first sample and from half an epoch later.
+
+    Columns ``stream``, ``epoch``, ``u`` (place in it) and ``weight`` (raised cosine; the weights of both streams add up to 1).
+    Before the second stream starts and after it ends the first has weight 1; samples past the last whole epoch of the first
+    are left out."""
+    ends = df.groupBy(*(F.col(k).alias(f"{k} of") for k in keys)).agg(F.count("*").alias("n"))
+    df = df.join(ends, [df[k].eqNullSafe(ends[f"{k} of"]) for k in keys]).drop(*(f"{k} of" for k in keys))
+    half, whole = size // 2, F.floor(F.col("n") / size) * size
+    rows = df.where(F.col(order) < whole).withColumn("stream", F.explode(F.array(F.lit(0), F.lit(1))))
+    at = F.col(order) - F.col("stream") * half
+    inside = (F.col(order) >= half) & (F.col(order) < whole - half)
+    rows = rows.where((F.col("stream") == 0) | inside)
+    rows = rows.withColumn("epoch", F.floor(at / size)).withColumn("u", F.pmod(at, F.lit(size)))
+    cosine = 0.5 - 0.5 * F.cos(2 * math.pi * (F.col("u") + 1) / size)
+    return rows.withColumn("weight", F.when(inside, cosine).otherwise(1.0)).drop("n")
+
+
+def overlap_add(rows: DataFrame, keys: list[str], order: str = "i", value: str = "x") -> DataFrame:
+    """(keys, order, value): the weighted sum of both streams."""
+    return rows.groupBy(*keys, order).agg(F.sum(F.col(value) * F.col("weight")).alias(value))

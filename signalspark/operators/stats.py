@@ -53,6 +53,54 @@ def normal_two_sided(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t for a whole number of degrees of freedom, by its finite series in the angle
+    atan(t / sqrt(dof)); null below one degree."""
+    nu = dof.cast("int")
+    c = F.sqrt(nu / (nu + t * t))
+    s = F.abs(t) / F.sqrt(nu + t * t)
+    odd = nu % 2
+    terms = F.greatest(F.lit(0), F.floor((nu - 2 - odd) / 2).cast("int"))
+
+    def longer(a: Column, k: Column) -> Column:
+        # Even: (2k - 1) / 2k, odd: 2k / (2k + 1); each step also takes the square of the cosine.
+        term = a["term"] * c * c * (2 * k - 1 + odd) / (2 * k + odd)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    first = F.when(odd == 1, c).otherwise(F.lit(1.0))
+    steps = F.filter(F.sequence(F.lit(0), terms), lambda k: k > 0)
+    series = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), longer)["sum"]
+    angle = F.atan2(F.abs(t), F.sqrt(nu.cast("double")))
+    inner = F.when(odd == 0, s * series).when(nu == 1, 2 / math.pi * angle).otherwise(2 / math.pi * (angle + s * series))
+    return F.when(nu >= 1, F.greatest(F.lit(0.0), 1 - inner))
+
+
+# The published coefficients of Acklam's rational approximation of the normal quantile.
+QUANTILE_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+QUANTILE_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+QUANTILE_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+QUANTILE_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+
+
+def normal_quantile(p: Column) -> Column:
+    """Quantile of the standard normal, relative error below 1.2e-9; null outside (0, 1)."""
+
+    def poly(factors: list[float], x: Column) -> Column:
+        out = F.lit(factors[0])
+        for f in factors[1:]:
+            out = out * x + f
+        return out
+
+    def tail(x: Column) -> Column:
+        q = F.sqrt(-2 * F.ln(x))
+        return poly(QUANTILE_C, q) / poly(QUANTILE_D, q)
+
+    q = p - 0.5
+    middle = q * poly(QUANTILE_A, q * q) / poly(QUANTILE_B, q * q)
+    inner = F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(middle)
+    return F.when((p > 0) & (p < 1), inner)
+
+
 def label_encode(df: DataFrame, value: str, out: str = "code") -> DataFrame:
     """Codes 0 .. k-1 in the order of the values. The list of distinct values is ranked, not the rows."""
     values = df.select(value).where(F.col(value).isNotNull()).distinct()

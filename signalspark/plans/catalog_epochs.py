@@ -230,14 +230,14 @@ def katz_fd(spark, d):
 
 @query(
     with_(SIG)
-    + """, km AS (SELECT k, m, (64 - m - 1) // k AS nm FROM (SELECT UNNEST(range(1, 7)) AS k), (SELECT UNNEST(range(0, 6)) AS m) WHERE m < k),
+    + """, km AS (SELECT k, m, (64 - m - 1) // k AS nm FROM (SELECT UNNEST(range(1, 11)) AS k), (SELECT UNNEST(range(0, 10)) AS m) WHERE m < k),
 l AS (SELECT a.vec_id, k, m, SUM(ABS(b.x - a.x)) / k * 63 / (k * ANY_VALUE(nm)) AS l FROM sig a, km, sig b
   WHERE a.vec_id = b.vec_id AND a.i % k = m AND b.i = a.i + k AND (a.i - m) // k < nm - 1 GROUP BY 1, 2, 3)
 SELECT vec_id, ROUND(regr_slope(LN(l), LN(1.0 / k)), 6) + 0.0 AS fd FROM (SELECT vec_id, k, AVG(l) AS l FROM l GROUP BY 1, 2) GROUP BY 1"""
 )
 def higuchi_fd(spark, d):
-    """Higuchi dimension with six lags."""
-    return epochs(spark, d).select("vec_id", rnd(nl.higuchi_fd(F.col("x"), 6)).alias("fd"))
+    """Higuchi dimension with ten lags."""
+    return epochs(spark, d).select("vec_id", rnd(nl.higuchi_fd(F.col("x"))).alias("fd"))
 
 
 @query(

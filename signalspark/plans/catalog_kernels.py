@@ -71,12 +71,6 @@ def parameterised_spectra(spark, d):
     return _rounded(k.map_epochs(epochs(spark, d), ["vec_id"], kernel, ", ".join(f"{n} double" for n in names)), ["vec_id"], names)
 
 
-@query()
-def multitaper_psd(spark, d):
-    out = k.map_epochs(epochs(spark, d), ["vec_id"], lambda x: {"p": k.multitaper(x, SRATE)[1]}, "p array<double>")
-    return out.select("vec_id", F.posexplode("p").alias("k", "p")).select("vec_id", F.col("k").cast("long").alias("k"), rnd(F.col("p")).alias("p"))
-
-
 @query()
 def band_envelopes(spark, d):
     """Mean and peak of the power envelope of the alpha band."""

@@ -68,13 +68,6 @@ def perturbational_complexity(spark, d):
     return out.select("label", "segment", rnd(F.col("pci")).alias("pci"))
 
 
-@query()
-def betweenness_centrality(spark, d):
-    e, n = _graph(spark, d)
-    out = mc.betweenness(graph.percentile_graph(e, n, ["g"]), ["g"])
-    return out.select("g", "node", rnd(F.col("betweenness")).alias("betweenness"))
-
-
 @query()
 def cluster_enhancement(spark, d):
     """Cluster enhancement of node strengths over the graph itself."""

@@ -149,7 +149,7 @@ def dfa(spark, d):
     return series.dfa(supplier_series(spark, d), ["chan"]).select("chan", rnd(F.col("alpha")).alias("alpha"))
 
 
-QS = [-4.0, -3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0]
+QS = [k / 2 for k in range(-10, 11)]
 MF = with_(
     SUP,
     WALK,
