@@ -27,15 +27,17 @@ def map_epochs(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], di
     def run(batches):
         for b in batches:
             signals = b.column(b.num_columns - 1)
-            sizes = np.array([len(s) if s is not None and s.is_valid else 0 for s in signals])
+            starts = signals.offsets.to_numpy()
+            flat = signals.values.to_numpy(zero_copy_only=False)  # nulls as NaN
+            sizes = np.where(signals.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
             cols = {n: [None] * len(sizes) for n in names}
             for size in np.unique(sizes[sizes > 0]).tolist():
                 at = np.flatnonzero(sizes == size)
-                block = np.array([signals[i].as_py() for i in at.tolist()], float)
+                block = flat[starts[at][:, None] + np.arange(size)]
                 got = kernel(block)
                 for n in names:
                     for i, v in zip(at.tolist(), got[n], strict=True):
-                        cols[n][i] = v.tolist() if isinstance(v, np.ndarray) else None if v != v else v.item() if hasattr(v, "item") else v
+                        cols[n][i] = v if isinstance(v, np.ndarray) else None if v != v else v.item() if hasattr(v, "item") else v
             types = [pa.list_(pa.float64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() for f in fields]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(cols[n], t) for n, t in zip(names, types, strict=True))], [*b.schema.names[:-1], *names])
 
@@ -232,6 +234,25 @@ def lempel_ziv_normalised(x: np.ndarray) -> np.ndarray:
     return np.array([lempel_ziv(v > v.mean()) for v in x]) * np.log2(max(n, 2)) / n
 
 
+def epoch_dfa(x: np.ndarray, least: int = 4, factor: float = 1.2) -> np.ndarray:
+    """Detrended fluctuation exponent of each epoch, scales from ``least`` to a tenth of its length; NaN with fewer than two."""
+    n = x.shape[1]
+    y = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1)
+    steps = range(int(np.log(n * 0.1 / least) / np.log(factor)) + 1) if n * 0.1 >= least else ()
+    scales = sorted({int(least * factor**k) for k in steps})
+    if len(scales) < 2:
+        return np.full(len(x), np.nan)
+    logs = []
+    for s in scales:
+        parts = y[:, : n // s * s].reshape(len(x), -1, s)
+        t = np.arange(s) - (s - 1) / 2
+        c = parts - parts.mean(axis=2, keepdims=True)
+        left = (c**2).sum(axis=2) - (c @ t) ** 2 / (t @ t)
+        logs.append(np.log(np.sqrt(np.maximum(left / s, 0).mean(axis=1)) + 1e-300))
+    u = np.log(scales) - np.log(scales).mean()
+    return np.array(logs).T @ u / (u @ u)
+
+
 def dictionary_size(bits: np.ndarray) -> int:
     """Size of the dictionary that Lempel-Ziv-Welch builds over a bit string."""
     known, word = {b"\0", b"\1"}, b""

@@ -7,20 +7,52 @@ from pyspark.sql import functions as F
 
 from signalspark.functions import kernels as k
 from signalspark.functions.arrays import rnd
-from signalspark.plans.catalog_epochs import PSD
+from signalspark.plans.catalog_epochs import PSD, ROUND_SQL
 from signalspark.plans.features import generate_features
 from signalspark.plans.inputs import SIG, SRATE, N, epochs, with_
-from signalspark.plans.registry import query
+from signalspark.plans.registry import ORACLES, query
+from signalspark.schema import BANDS, FURTHER, FeatureSpec
 
 
 def _rounded(df, keys, names, digits=6):
     return df.select(*keys, *(rnd(F.col(n), digits).alias(n) for n in names))
 
 
-@query()
+NONLINEAR = {"perm_entropy": ("pe", "PermEntropy"), "svd_entropy": ("svd", "SVDEntropy"), "petrosian_fd": ("fd", "PetrosianFD"), "katz_fd": ("fd", "KatzFD"), "higuchi_fd": ("fd", "HiguchiFD"), "plzc": ("plzc", "PLZC")}
+
+
+def _table_sql() -> str:
+    """The feature table as a join of the SQL of its families."""
+    bands = ", ".join(f"MAX(power) FILTER (band = '{n}') AS \"{n}_PSD\"" for _, _, n in BANDS)
+    edge = "SELECT vec_id, MIN(k - 1)::BIGINT AS \"SpectralEdge\" FROM (SELECT vec_id, k, SUM(p) OVER (PARTITION BY vec_id ORDER BY k) AS c, SUM(p) OVER (PARTITION BY vec_id) AS t FROM psd WHERE k BETWEEN 1 AND 32) WHERE c >= 0.5 * t GROUP BY 1"
+    points = "pts0 AS (SELECT vec_id, LOG10(k) AS f, CASE WHEN p <= 1e-20 THEN -20 ELSE LOG10(p) END AS p FROM psd WHERE k BETWEEN 1 AND 31)"
+    line = 'SELECT vec_id, ROUND(regr_intercept(p, f), 6) + 0.0 AS "Offset", ROUND(-regr_slope(p, f), 6) + 0.0 AS "Exponent", ROUND(regr_r2(p, f), 6) + 0.0 AS "FitR2" FROM pts2 GROUP BY 1'
+    parts = [
+        f"SELECT vec_id, {bands} FROM ({ORACLES['bandpower_relative']}) GROUP BY 1",
+        f"SELECT vec_id, total AS \"TotalAbsPow\" FROM ({ORACLES['total_power_log']})",
+        with_(PSD) + edge,
+        with_(PSD, points, ROUND_SQL.format(n=1, m=0), ROUND_SQL.format(n=2, m=1)) + line,
+        *(f'SELECT vec_id, {c} AS "{new}" FROM ({ORACLES[q]})' for q, (c, new) in NONLINEAR.items()),
+        f"SELECT vec_id, acw AS \"ACW\" FROM ({ORACLES['acw']})",
+        f"SELECT vec_id, activity AS \"Activity\", mobility AS \"Mobility\", complexity AS \"Complexity\" FROM ({ORACLES['hjorth']})",
+    ]
+    return "SELECT * FROM (SELECT vec_id, label FROM embeddings) " + " ".join(f"JOIN ({p}) AS part{i} USING (vec_id)" for i, p in enumerate(parts))
+
+
+def _table(df):
+    return df.select(*(F.col(c) if c in ("vec_id", "label") else F.col(c).cast("long").alias(c) if c == "SpectralEdge" else rnd(F.col(c)).alias(c) for c in df.columns))
+
+
+@query(_table_sql())
 def feature_table(spark, d):
-    """The flagship: all feature families per epoch."""
-    return generate_features(epochs(spark, d), ["vec_id", "label"], SRATE, N)
+    """The flagship: spectral, aperiodic, complexity and time features per epoch."""
+    return _table(generate_features(epochs(spark, d), ["vec_id", "label"], SRATE, N))
+
+
+@query()
+def feature_table_further(spark, d):
+    """Sample entropy, Lempel-Ziv, fluctuation, parameterised and resampled spectra, canonical characteristics."""
+    return _table(generate_features(epochs(spark, d), ["vec_id", "label"], SRATE, N, FeatureSpec(families=FURTHER)))
 
 
 @query(with_(PSD) + "SELECT vec_id, k::BIGINT AS k, ROUND(p, 6) + 0.0 AS p FROM psd")

@@ -207,14 +207,14 @@ def quantile_normal(spark, d):
 
 @query(
     with_(SUP)
-    + """, c AS (SELECT chan, i, x, COUNT(*) OVER (PARTITION BY chan) // 16 * 16 AS m FROM sup),
-a AS (SELECT chan, i, x, i // 16 AS e, CASE WHEN i >= 8 AND i < m - 8 THEN 0.5 - 0.5 * COS(2 * PI() * (i % 16 + 1) / 16) ELSE 1 END AS w, 0 AS s FROM c WHERE i < m
-UNION ALL SELECT chan, i, x, (i - 8) // 16, 0.5 - 0.5 * COS(2 * PI() * ((i - 8) % 16 + 1) / 16), 1 FROM c WHERE i >= 8 AND i < m - 8)
+    + """, c AS (SELECT chan, i, x, COUNT(*) OVER (PARTITION BY chan) // 20 * 20 AS m FROM sup),
+a AS (SELECT chan, i, x, i // 20 AS e, CASE WHEN i >= 10 AND i < m - 10 THEN 0.5 - 0.5 * COS(2 * PI() * (i % 20 + 1) / 20) ELSE 1 END AS w, 0 AS s FROM c WHERE i < m
+UNION ALL SELECT chan, i, x, (i - 10) // 20, 0.5 - 0.5 * COS(2 * PI() * ((i - 10) % 20 + 1) / 20), 1 FROM c WHERE i >= 10 AND i < m - 10)
 SELECT chan, i, ROUND(SUM((x - mean) * w), 6) + 0.0 AS x FROM (SELECT *, AVG(x) OVER (PARTITION BY chan, s, e) AS mean FROM a) GROUP BY 1, 2"""
 )
 def overlap_add(spark, d):
-    """Epochs of 16 samples in two half-shifted streams, each without its mean, put together by raised cosines."""
-    rows = segment.half_shift_epochs(supplier_series(spark, d), ["chan"], 16)
+    """Epochs of 20 samples in two half-shifted streams, each without its mean, put together by raised cosines."""
+    rows = segment.half_shift_epochs(supplier_series(spark, d), ["chan"], 20)
     rows = series.with_stats(rows, ["chan", "stream", "epoch"], mean=F.avg("x")).withColumn("x", F.col("x") - F.col("mean"))
     return segment.overlap_add(rows, ["chan"]).select("chan", F.col("i").cast("long").alias("i"), rnd(F.col("x")).alias("x"))
 

@@ -18,6 +18,8 @@ BANDS = [
 ]
 
 FAMILIES = ("psd", "aperiodic", "nonlinear", "acw", "hjorth")
+#: Families that are computed where they are asked for.
+FURTHER = ("complexity", "parameterised", "irasa", "canonical")
 
 EPOCHS = T.StructType(
     [
@@ -39,7 +41,7 @@ class FeatureSpec:
     relative: bool = True
 
     def __post_init__(self):
-        unknown = set(self.families) - set(FAMILIES)
+        unknown = set(self.families) - {*FAMILIES, *FURTHER}
         if unknown:
             raise ValueError(f"unknown feature families: {sorted(unknown)}")
 

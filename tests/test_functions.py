@@ -163,3 +163,19 @@ def test_frames(spark):
     p = spark.createDataFrame([("Cz", 0.0, 0.0, 1.0), ("Fpz", 0.0, 1.0, 0.0)], "chan string, x double, y double, z double")
     uv = {r["chan"]: (r["u"], r["v"]) for r in frames.scalp_frame(p).collect()}
     assert uv["Cz"] == pytest.approx((0, 0)) and uv["Fpz"] == pytest.approx((0, 1))
+
+
+def test_further_families(spark, signals):
+    """Kernel families come beside the others; null and empty epochs give nulls, gaps of lengths are grouped."""
+    spec = FeatureSpec(families=("psd", "complexity", "parameterised", "irasa", "canonical"))
+    rows = signals.select("name", "x").union(spark.createDataFrame([("none", None), ("empty", [])], "name string, x array<double>"))
+    out = {r["name"]: r for r in generate_features(rows, ["name"], 128.0, 128, spec).collect()}
+    assert out["none"]["DFA"] is None and out["empty"]["SampleEntropy"] is None and out["none"]["Alpha_PSD"] is None
+    assert 0.3 < out["noise"]["DFA"] < 0.8 and out["noise"]["LempelZiv"] > out["sine"]["LempelZiv"]
+
+
+def test_fluctuation_of_a_walk():
+    walk = np.cumsum(np.random.default_rng(1).normal(size=(4, 4000)), axis=1)
+    assert kernels.epoch_dfa(walk) == pytest.approx(1.5, abs=0.15)
+    assert kernels.epoch_dfa(np.diff(walk)) == pytest.approx(0.55, abs=0.12)
+    assert np.isnan(kernels.epoch_dfa(np.zeros((1, 20)))).all()
