@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from signalspark.functions import kernels as k
 from signalspark.functions.arrays import rnd
 from signalspark.operators import cardiac, connectivity, graph, segment, series, stats, timeline
-from signalspark.plans.catalog_graph import GRAPH, TRIPLES, _graph, _hourly, _triples
+from signalspark.plans.catalog_graph import BLOCKS, GRAPH, TRIPLES, _channels, _graph, _hourly, _triples
 from signalspark.plans.catalog_series import DZ, EXT
+from signalspark.plans.cleaning import clean, run_log
 from signalspark.plans.inputs import EVT, SIG, SRATE, SUP, daily_series, epochs, event_series, samples, supplier_series, table, with_
 from signalspark.plans.registry import query
 
@@ -386,3 +387,33 @@ def clipped_mean(spark, d):
     """Mean of what lies above the epoch's mean, the rest clipped to zero."""
     s = series.with_stats(samples(spark, d), ["vec_id"], mean=F.avg("x"))
     return s.groupBy("vec_id").agg(rnd(F.avg(F.greatest(F.col("x") - F.col("mean"), F.lit(0.0)))).alias("above"))
+
+
+CLEANED = """c0 AS (SELECT label, chan, t, x FROM ch WHERE t < 320 AND chan <> 3),
+c1 AS (SELECT label, chan, t, 0.6 * x + 0.4 * COALESCE(LAG(x) OVER (PARTITION BY label, chan ORDER BY t), 0) AS x FROM c0),
+c2 AS (SELECT label, chan, t // 4 AS t, AVG(x) AS x FROM c1 GROUP BY 1, 2, 3 HAVING COUNT(*) = 4),
+sd AS (SELECT label, chan, STDDEV_POP(x) AS s FROM c2 GROUP BY 1, 2),
+lm AS (SELECT label, quantile_cont(s, 0.5) AS m, (quantile_cont(s, 0.75) - quantile_cont(s, 0.25)) / 1.35 AS w FROM sd GROUP BY 1),
+c3 AS (SELECT c2.* FROM c2 JOIN sd USING (label, chan) JOIN lm USING (label) WHERE NOT (w > 0 AND ABS(s - m) >= 1.5 * w)),
+c4 AS (SELECT label, chan, t, x - AVG(x) OVER (PARTITION BY label, t) AS x FROM c3)"""
+CLEANING = [("drop_channels", {"names": [3]}), ("crop", {"start": 0, "stop": 320}), ("drop_flat", {}), ("filter", {"taps": [0.6, 0.4]}), ("downsample", {"factor": 4}), ("drop_outliers", {"limit": 1.5}), ("reference", {})]
+
+
+@query(with_(SIG, BLOCKS, CLEANED) + "SELECT label, chan, t, ROUND(x, 6) + 0.0 AS x FROM c4")
+def cleaning_steps(spark, d):
+    """An ordered list of steps: crop, channels, filter, resample, outliers, reference."""
+    out = clean(_channels(spark, d), ["label"], CLEANING)
+    return out.select("label", F.col("chan").cast("long").alias("chan"), F.col("t").cast("long").alias("t"), rnd(F.col("x")).alias("x"))
+
+
+@query(
+    with_(SIG, BLOCKS, CLEANED)
+    + " UNION ALL ".join(
+        f"SELECT label, {step} AS step, '{name}' AS name, COUNT(DISTINCT chan) AS channels, COUNT(*) AS samples, ROUND(SQRT(AVG(x * x)), 6) + 0.0 AS rms FROM {source} GROUP BY 1"
+        for step, name, source in ((0, "input", "ch"), (1, "filter", "(SELECT label, chan, t, 0.6 * x + 0.4 * COALESCE(LAG(x) OVER (PARTITION BY label, chan ORDER BY t), 0) AS x FROM ch)"), (2, "reference", "(SELECT label, chan, t, x - AVG(x) OVER (PARTITION BY label, t) AS x FROM (SELECT label, chan, t, 0.6 * x + 0.4 * COALESCE(LAG(x) OVER (PARTITION BY label, chan ORDER BY t), 0) AS x FROM ch))"))
+    )
+)
+def cleaning_log(spark, d):
+    """What each cleaning step leaves."""
+    out = run_log(_channels(spark, d), ["label"], [("filter", {"taps": [0.6, 0.4]}), ("reference", {})])
+    return out.select("label", "step", "name", "channels", "samples", rnd(F.col("rms")).alias("rms"))

@@ -37,6 +37,37 @@ def locked_samples(samples: DataFrame, stimuli: DataFrame, by: list[str], before
     return joined.drop(*(f"{k} of" for k in by))
 
 
+def running_average(locked: DataFrame, keys: list[str], step: float, ts: str = "ts", onset: str = "onset", value: str = "x") -> DataFrame:
+    """(keys, place, mean, n): the average of stimulus-locked samples so far, by steps of ``step`` seconds from the stimulus.
+
+    Its state is one sum per key and place, however many stimuli there are; write it in update or complete mode."""
+    after = F.col(ts).cast("double") - F.col(onset).cast("double")
+    grouped = locked.groupBy(*keys, F.floor(after / step + 1e-6).alias("place"))
+    return grouped.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def smoothed_trail(features: DataFrame, key: str, width: int, ts: str = "ts", value: str = "x") -> DataFrame:
+    """(key, ts, y): each value's mean with up to ``width`` - 1 before it, carried from batch to batch.
+
+    The state of a key is its last ``width`` - 1 values. Nulls are passed on as null and not averaged."""
+    kind, stamp = features.schema[key].dataType.simpleString(), features.schema[ts].dataType.simpleString()
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(ts, kind="stable")
+        out = []
+        for x in rows[value]:
+            if pd.isna(x):
+                out.append(None)
+                continue
+            last = [*last, float(x)][-width:]
+            out.append(sum(last) / len(last))
+        state.update((last[-(width - 1) :] if width > 1 else [],))
+        yield pd.DataFrame({key: name[0], ts: rows[ts].to_numpy(), "y": pd.Series(out, dtype=float).to_numpy()})
+
+    return features.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} {stamp}, y double", "z array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def filtered(samples: DataFrame, key: str, coefficients: tuple[list[float], list[float]], ts: str = "ts", value: str = "x") -> DataFrame:
     """(key, ts, y): a recursive filter per channel whose state is carried from batch to batch.
 

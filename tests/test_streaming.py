@@ -71,3 +71,19 @@ def test_closed_loop(spark, stream, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen and all(r["error"] == pytest.approx(r["mean"] - 0.5) for r in seen)
+
+
+def test_trail_is_smoothed_over_batches(spark, stream):
+    s, _ = stream(samples(), SAMPLES, "s6")
+    got = run(features.smoothed_trail(s, "chan", 4), "w6", spark)
+    x = [np.sin(i / 3) for i in range(1, 200, 2)]
+    want = [np.mean(x[max(0, k - 3) : k + 1]) for k in range(len(x))]
+    assert [r["y"] for r in got.where("chan = 'a'").orderBy("ts").collect()] == pytest.approx(want)
+
+
+def test_running_average_equals_the_batch_result(spark, stream):
+    rows = [("a", T0 + timedelta(milliseconds=250 * i), T0 + timedelta(seconds=i // 8 * 2), float(i)) for i in range(64)]
+    s, b = stream(rows, "chan string, ts timestamp, onset timestamp, x double", "s7")
+    got = run(features.running_average(s, ["chan"], 0.5), "w7", spark, "complete")
+    want = features.running_average(b, ["chan"], 0.5)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 4

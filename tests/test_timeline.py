@@ -71,3 +71,49 @@ def test_distribution_functions(spark):
     assert [round(r.p, 4) for r in p] == [0.05, 0.05, 0.05, 0.05, 0.05, 1.0]
     q = spark.createDataFrame([(0.975,), (0.5,), (0.001,), (0.0,)], "p double").select(stats.normal_quantile(F.col("p")).alias("q")).collect()
     assert [None if r.q is None else round(r.q, 6) for r in q] == [1.959964, 0.0, -3.090232, None]
+
+
+def test_event_records(spark):
+    """Records as the format lays them out."""
+    import struct
+    from datetime import datetime
+
+    from signalspark.sources import event_records
+
+    def event(k, name):
+        return struct.pack("<HHIddIbxxx", k, 7, 70000, 1.5 * k, 0.25, 9, -1) + name.encode("utf-16-le").ljust(78, b"\0") + b"\0\0"
+
+    rows = [("a", event(1, "SLEEP-S0") + event(2, "apnea")), ("b", b""), ("c", None)]
+    got = event_records.event_records(spark.createDataFrame(rows, "rec string, data binary"), ["rec"]).orderBy("n").collect()
+    assert [(r.rec, r.n, r.location, r.start, r.creator, r.name) for r in got] == [("a", 0, 1, 1.5, -1, "SLEEP-S0"), ("a", 1, 2, 3.0, -1, "apnea")]
+    stamps = struct.pack("<HBBBBBxI", 2020, 2, 29, 23, 59, 58, 123456) + struct.pack("<HBBBBBxI", 2020, 2, 30, 0, 0, 0, 0)
+    got = event_records.start_times(spark.createDataFrame([("a", stamps)], "rec string, data binary"), ["rec"]).orderBy("n").collect()
+    assert [r.t for r in got] == [datetime(2020, 2, 29, 23, 59, 58, 123456), None]
+    with pytest.raises(Exception, match="no whole records"):
+        event_records.event_records(spark.createDataFrame([("a", b"123")], "rec string, data binary"), ["rec"]).collect()
+
+
+def test_cleaning_steps(spark):
+    from signalspark.plans.cleaning import clean
+
+    rows = [("r", c, t, float(c * (t % 5))) for c in range(3) for t in range(20)]
+    df = spark.createDataFrame(rows, "rec string, chan long, t long, x double")
+    assert clean(df, ["rec"], []).count() == 60
+    out = clean(df, ["rec"], [("drop_flat", {}), ("crop", {"start": 5, "stop": 15}), ("reference", {})])
+    assert {r.chan for r in out.collect()} == {1, 2} and out.count() == 20
+    assert out.groupBy("t").agg(F.sum("x").alias("s")).where("abs(s) > 1e-12").isEmpty()
+    w = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5)], "target long, chan long, w double")
+    made = clean(df, ["rec"], [("interpolate", {"weights": w})])
+    assert made.count() == 60 and made.where("chan = 0").agg(F.max("x")).first()[0] == 6.0
+    with pytest.raises(ValueError, match="nope"):
+        clean(df, ["rec"], [("nope", {})])
+
+
+def test_model_bundle(spark, tmp_path):
+    from signalspark.operators import models
+
+    rows = [(k, float(k % 7), float(k % 2) * 5, "on" if k % 2 else "off") for k in range(60)] + [(60, None, 1.0, "on")]
+    df = spark.createDataFrame(rows, "id long, f double, g double, state string")
+    models.train(df, ["f", "g"], "state", str(tmp_path / "m"), trees=5)
+    got = models.predict(df.drop("state"), ["f", "g"], str(tmp_path / "m"), ["id"]).collect()
+    assert len(got) == 60 and all(r.predicted == ("on" if r.id % 2 else "off") for r in got)
