@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalspark.llm import language_id, license_scan, lsm_dedup, matroska, mixing, packing, sentence_dedup, simhash, suffix_dedup, token_counts
+from signalspark.llm import (
+    conversation_trie,
+    language_id,
+    license_scan,
+    line_dedup,
+    lsm_dedup,
+    matroska,
+    mixing,
+    packing,
+    phrases,
+    sentence_dedup,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
 from signalspark.llm.common import documents
 
 
@@ -65,6 +79,23 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt so that twenty share their first turns."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_trie.prefix_trie(conversation_trie.shared_starts(conversation_trie.paths(turns)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to four words of each language, by the cohesion of their weakest cut."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten documents or more hold, as digests."""
+    out = line_dedup.dedup_lines(documents(spark, sf_dir), min_docs=10, with_text=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -77,8 +108,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_sentence_dedup": op10_sentence_dedup,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_collocations": op12_collocations,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL, "op4_exact_dedup": lsm_dedup.DEDUP_SQL, "op9_license_scan": license_scan.oracle_sql()}
+    return {
+        "op2_mixing": mixing.MIX_SQL,
+        "op4_exact_dedup": lsm_dedup.DEDUP_SQL,
+        "op9_license_scan": license_scan.oracle_sql(),
+        "op11_conversation_trie": conversation_trie.TRIE_SQL,
+        "op12_collocations": phrases.PHRASES_SQL,
+        "op13_line_dedup": line_dedup.LINES_SQL,
+    }
