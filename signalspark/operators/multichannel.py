@@ -2,7 +2,7 @@
 
 A stretch is a segment of bounded length; recordings are cut into segments first (``with_segments``), so a task
 holds channels x segment samples and not a recording. What is learned from a whole recording (covariances,
-thresholds) comes from distributed aggregates of block statistics, of which a bounded, even sample is used.
+thresholds) comes from distributed aggregates of block statistics (``subspace``).
 """
 
 from __future__ import annotations
@@ -68,79 +68,6 @@ def geometric_median(points: np.ndarray, tol: float = 1e-5, max_iter: int = 500)
     return y
 
 
-# --- artifact subspace reconstruction ------------------------------------------------------------------------
-def subspace_model(df: DataFrame, keys: list[str], block: int, cutoff: float, max_blocks: int = 2000, chan: str = "chan", t: str = "t", value: str = "x") -> DataFrame:
-    """(keys, chans, mixing, limits): per recording the mixing matrix M, the square root of a robust mean covariance, and
-    the limits T, amplitudes of its components above which a direction counts as an artifact.
-
-    Blocks are summed up where their samples are; up to ``max_blocks`` of them, spread by a hash of their number,
-    come together per recording."""
-    blocks = df.withColumn("block", F.floor(F.col(t) / block))
-
-    def sums(m, channels, times, key):
-        c = m @ m.T / max(1, m.shape[1])
-        return pd.DataFrame({"chans": [[str(x) for x in channels]], "cov": [c.ravel().tolist()]})
-
-    covs = map_segments(blocks, [*keys, "block"], sums, "chans array<string>, cov array<double>", chan, t, value)
-
-    def learn(key, part: pd.DataFrame) -> pd.DataFrame:
-        most = part["chans"].map(len).max()
-        part = part[part["chans"].map(len) == most]
-        part = part.iloc[np.argsort((part["block"].to_numpy(np.int64) * 2654435761) % (1 << 32))[:max_blocks]]
-        c = np.stack([np.array(v) for v in part["cov"]])
-        n = int(round(np.sqrt(c.shape[1])))
-        centre = geometric_median(c).reshape(n, n)
-        w, v = np.linalg.eigh((centre + centre.T) / 2)
-        mixing = (v * np.sqrt(np.maximum(w, 0))) @ v.T
-        rms = np.sqrt(np.maximum(np.einsum("bij,ik,jk->bk", c.reshape(-1, n, n), v, v), 0))
-        middle = np.median(rms, axis=0)
-        spread = np.maximum((np.quantile(rms, 0.75, axis=0) - np.quantile(rms, 0.25, axis=0)) / 1.35, 1e-12)
-        limits = (middle + cutoff * spread)[:, None] * v.T
-        row = dict(zip(keys, key, strict=True)) | {"chans": part["chans"].iloc[0], "mixing": mixing.ravel().tolist(), "limits": limits.ravel().tolist()}
-        return pd.DataFrame([row])
-
-    heads = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return covs.groupBy(*keys).applyInPandas(learn, f"{heads}, chans array<string>, mixing array<double>, limits array<double>")
-
-
-def reconstruct(x: np.ndarray, mixing: np.ndarray, limits: np.ndarray, max_share: float = 0.66) -> np.ndarray:
-    """A stretch with the directions beyond their limits rebuilt from the others."""
-    n = len(x)
-    d, v = np.linalg.eigh(x @ x.T / max(1, x.shape[1]))
-    keep = (d < ((limits @ v) ** 2).sum(axis=0)) | (np.arange(n) < n - round(max_share * n))
-    if keep.all():
-        return x
-    return mixing @ np.linalg.pinv(keep[:, None] * (v.T @ mixing)) @ v.T @ x
-
-
-def subspace_clean(df: DataFrame, model: DataFrame, keys: list[str], size: int, chan: str = "chan", t: str = "t", value: str = "x") -> DataFrame:
-    """(keys, chan, t, x): recordings with artifact directions rebuilt, in stretches of ``size`` samples that overlap by
-    half and are blended by raised cosines. Samples that did not come in do not come out."""
-    half = size // 2
-    seg = with_segments(df.select(*keys, chan, t, value), half, 0, t).withColumn("segment", F.explode(F.array(F.col("segment"), F.col("segment") - 1)))
-    rows = seg.join(model, keys)
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot_table(index=chan, columns=t, values=value, aggfunc="mean", fill_value=0.0)
-        chans = list(part["chans"].iloc[0])
-        x, times = wide.to_numpy(float), wide.columns.to_numpy()
-        names = [str(c) for c in wide.index]
-        if names == chans:
-            n = len(chans)
-            x = reconstruct(x, np.array(part["mixing"].iloc[0]).reshape(n, n), np.array(part["limits"].iloc[0]).reshape(n, n))
-        at = times - key[-1] * half
-        weight = 0.5 - 0.5 * np.cos(2 * np.pi * (at + 0.5) / (2 * half))
-        out = long_frame(x * weight, wide.index.tolist(), times, chan, t, value)
-        out["weight"] = np.tile(weight, len(names))
-        out = out.merge(part[[chan, t]].drop_duplicates(), on=[chan, t])
-        return out.assign(**dict(zip(keys, key[:-1], strict=True)))[[*keys, chan, t, value, "weight"]]
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (*keys, chan, t)}
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", {value} double, weight double"
-    parts = rows.groupBy(*keys, "segment").applyInPandas(run, schema)
-    return parts.groupBy(*keys, chan, t).agg((F.sum(value) / F.sum("weight")).alias(value))
-
-
 # --- denoising against a reference covariance -----------------------------------------------------------------
 def reference_denoise(x: np.ndarray, reference: np.ndarray, limit: float, mix: float = 0.05) -> np.ndarray:
     """A stretch without the generalised components whose power over the reference is ``limit`` or more.

@@ -118,19 +118,30 @@ def pure_windows(df: DataFrame, keys: list[str], order: str, label: str, size: i
 def sequence_graph(df: DataFrame, keys: list[str], order: str, symbol: str, kappa: float) -> DataFrame:
     """(keys, u, v, weight, n): sequence graph transform, (mean of exp(-kappa gap))**(1/kappa) over all n pairs of u before v.
 
-    Pairs are counted by running counts of each symbol, events times symbols rows. The sum takes gaps up to 40 / kappa by
-    lags: what lies further apart adds less than 1e-17 a pair, below what a double resolves beside 1."""
+    Pairs are counted by running counts of each symbol, events times symbols rows. The decayed sums run inside blocks of
+    300 / kappa events, where exp(kappa place) stays in range; a block hands on one decayed sum per symbol, which the two blocks
+    behind it add (further ones are below what a double can hold). So every pair counts, however far apart."""
     w = Window.partitionBy(*keys).orderBy(order)
-    reach = max(1, math.ceil(40 / kappa))
-    ahead = F.array(*(F.struct(F.lit(g).alias("gap"), F.lead(symbol, g).over(w).alias("v")) for g in range(1, reach + 1)))
-    near = df.select(*keys, F.col(symbol).alias("u"), ahead.alias("ahead")).select(*keys, "u", F.explode("ahead").alias("p")).where("p.v is not null")
-    near = near.groupBy(*keys, "u", F.col("p.v").alias("v")).agg(F.sum(F.exp(-kappa * F.col("p.gap"))).alias("near"))
-    first = df.groupBy(*keys, F.col(symbol).alias("u")).agg(F.count("*").alias("of u"))
-    before = Window.partitionBy(*keys, "u").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = df.select(*keys, order, F.col(symbol).alias("v")).join(first, keys).withColumn("k", F.coalesce(F.sum((F.col("v") == F.col("u")).cast("long")).over(before), F.lit(0)))
-    pairs = pairs.groupBy(*keys, "u", "v").agg(F.sum("k").alias("n")).where("n > 0")
-    weight = F.pow(F.coalesce("near", F.lit(0.0)) / F.col("n"), F.lit(1 / kappa))
-    return pairs.join(near, [*keys, "u", "v"], "left").select(*keys, "u", "v", weight.alias("weight"), "n")
+    size = max(1, int(300 / kappa))
+    place = F.row_number().over(w) - 1
+    rows = df.select(*keys, order, F.col(symbol).alias("v"), F.floor(place / size).alias("c"), (place % size).alias("o"))
+    first = rows.groupBy(*keys, F.col("v").alias("u")).agg(F.count("*").alias("of u"))
+    grown, decayed = F.exp(F.lit(kappa) * F.col("o")), F.exp(F.lit(-kappa) * F.col("o"))
+    is_u = F.col("v") == F.col("u")
+
+    def before(*by: str) -> Window:
+        return Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    pairs = rows.join(first, keys).withColumn("k", F.coalesce(F.sum(is_u.cast("long")).over(before("u")), F.lit(0)))
+    pairs = pairs.withColumn("near", decayed * F.coalesce(F.sum(F.when(is_u, grown)).over(before("u", "c")), F.lit(0.0)))
+    pairs = pairs.groupBy(*keys, "u", "v").agg(F.sum("k").alias("n"), F.sum("near").alias("near")).where("n > 0")
+    blocks = rows.groupBy(*keys, "c", "v").agg(F.sum(grown).alias("up"), F.sum(decayed).alias("down"))
+    behind = F.explode(F.array(*(F.struct((F.col("c") + d).alias("c"), (F.col("up") * math.exp(-kappa * size * d)).alias("carry")) for d in (1, 2))))
+    carried = blocks.select(*keys, F.col("v").alias("u"), behind.alias("b")).select(*keys, "u", "b.*").groupBy(*keys, "u", "c").agg(F.sum("carry").alias("carry"))
+    far = carried.join(blocks, [*keys, "c"]).groupBy(*keys, "u", "v").agg(F.sum(F.col("carry") * F.col("down")).alias("far"))
+    total = F.col("near") + F.coalesce("far", F.lit(0.0))
+    weight = F.pow(total / F.col("n"), F.lit(1 / kappa))
+    return pairs.join(far, [*keys, "u", "v"], "left").select(*keys, "u", "v", weight.alias("weight"), "n")
 
 
 def quantile_rank(df: DataFrame, keys: list[str], value: str, out: str = "q") -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from signalspark.functions.arrays import rnd
-from signalspark.operators import cardiac, graph
+from signalspark.operators import cardiac, graph, subspace
 from signalspark.operators import multichannel as mc
 from signalspark.plans.catalog_graph import _channels, _graph
 from signalspark.plans.catalog_series import _two_types
@@ -15,9 +15,9 @@ from signalspark.plans.registry import query
 
 @query()
 def subspace_cleaning(spark, d):
-    """Artifact subspace reconstruction of the channels of each class."""
+    """Artifact subspace reconstruction of the channels of each class by a moving covariance."""
     x = _channels(spark, d)
-    out = mc.subspace_clean(x, mc.subspace_model(x, ["label"], 64, 3.0), ["label"], 64)
+    out = subspace.subspace_clean(x, subspace.subspace_model(x, ["label"], 64, 3.0), ["label"], window=128, step=32, ahead=64)
     return out.select("label", "chan", "t", rnd(F.col("x")).alias("x"))
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import graph
+from signalspark.operators import graph, subspace
 from signalspark.operators import multichannel as mc
 
 
@@ -16,8 +16,8 @@ def test_subspace_cleaning_removes_a_burst_and_nothing_else(spark):
     x = r.normal(size=(6, 6)) @ r.normal(size=(6, 1024))
     dirty = x.copy()
     dirty[:, 512:576] += 60 * r.normal(size=(6, 1)) * np.sin(np.arange(64) / 2)
-    model = mc.subspace_model(long(spark, x), ["rec"], 64, 6.0)
-    got = mc.subspace_clean(long(spark, dirty), model, ["rec"], 64).toPandas().pivot(index="chan", columns="t", values="x").to_numpy()
+    model = subspace.subspace_model(long(spark, x), ["rec"], 64, 6.0)
+    got = subspace.subspace_clean(long(spark, dirty), model, ["rec"], 64, 16, 32).toPandas().pivot(index="chan", columns="t", values="x").to_numpy()
     assert np.abs(got[:, :448] - x[:, :448]).max() < 1e-8
     assert np.abs(got[:, 520:568]).max() < 0.3 * np.abs(dirty[:, 520:568]).max()
 
@@ -96,8 +96,8 @@ def test_absent_samples_are_not_invented(spark):
     r = np.random.default_rng(2)
     df = long(spark, r.normal(size=(4, 256))).where("not (chan = 2 and t between 70 and 90)")
     want = {(x["chan"], x["t"]) for x in df.collect()}
-    model = mc.subspace_model(df, ["rec"], 64, 6.0)
-    got = mc.subspace_clean(df, model, ["rec"], 64).collect()
+    model = subspace.subspace_model(df, ["rec"], 64, 6.0)
+    got = subspace.subspace_clean(df, model, ["rec"], 64, 16, 32).collect()
     assert len(got) == len(want) and {(x["chan"], x["t"]) for x in got} == want
     same = mc.map_segments(mc.with_segments(df, 64), ["rec", "segment"], lambda m, c, t, k: mc.long_frame(m, c, t), "chan int, t long, x double").collect()
     assert len(same) == len(want) and {(x["chan"], x["t"]) for x in same} == want
