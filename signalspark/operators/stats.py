@@ -132,9 +132,9 @@ def sequence_graph(df: DataFrame, keys: list[str], order: str, symbol: str, kapp
     def before(*by: str) -> Window:
         return Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-    pairs = rows.join(first, keys).withColumn("k", F.coalesce(F.sum(is_u.cast("long")).over(before("u")), F.lit(0)))
+    pairs = rows.join(first, keys).withColumn("count of u", F.coalesce(F.sum(is_u.cast("long")).over(before("u")), F.lit(0)))
     pairs = pairs.withColumn("near", decayed * F.coalesce(F.sum(F.when(is_u, grown)).over(before("u", "c")), F.lit(0.0)))
-    pairs = pairs.groupBy(*keys, "u", "v").agg(F.sum("k").alias("n"), F.sum("near").alias("near")).where("n > 0")
+    pairs = pairs.groupBy(*keys, "u", "v").agg(F.sum("count of u").alias("n"), F.sum("near").alias("near")).where("n > 0")
     blocks = rows.groupBy(*keys, "c", "v").agg(F.sum(grown).alias("up"), F.sum(decayed).alias("down"))
     behind = F.explode(F.array(*(F.struct((F.col("c") + d).alias("c"), (F.col("up") * math.exp(-kappa * size * d)).alias("carry")) for d in (1, 2))))
     carried = blocks.select(*keys, F.col("v").alias("u"), behind.alias("b")).select(*keys, "u", "b.*").groupBy(*keys, "u", "c").agg(F.sum("carry").alias("carry"))

@@ -11,7 +11,7 @@ def test_far_pairs_have_their_weight(spark, kappa):
     r = random.Random(1)
     near = [r.choice("ab") for _ in range(700)]
     rows = [("s", i, c) for i, c in enumerate(near)] + [("t", i, "x" if i == 0 else "y" if i == 60 else "z") for i in range(61)]
-    got = {(g["k"], g["u"], g["v"]): g for g in stats.sequence_graph(spark.createDataFrame(rows, "k string, i long, c string"), ["k"], "i", "c", kappa).collect()}
+    got = {(g["rec"], g["u"], g["v"]): g for g in stats.sequence_graph(spark.createDataFrame(rows, "rec string, i long, sym string"), ["rec"], "i", "sym", kappa).collect()}
     want: dict = {}
     for key in "st":
         seq = [c for k, _, c in rows if k == key]
