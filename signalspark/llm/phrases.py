@@ -233,7 +233,7 @@ def send(blocks: DataFrame, replies: DataFrame | None, k: int, part_bits: int) -
 
     def work(row: dict, found: pa.Table) -> pa.Table:
         level = Phrases(row, found, part_bits, k).levels[k]
-        high, low, counts = level.high[level.order], level.low[level.order], level.counts[level.order].astype(np.int64)
+        high, low, counts = level.high[level.order], level.low[level.order].astype(np.uint32), level.counts[level.order].astype(np.int32)
         part = _parts(high, part_bits)
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
         ends = [*cuts[1:].tolist(), len(part)]
@@ -245,11 +245,12 @@ def send(blocks: DataFrame, replies: DataFrame | None, k: int, part_bits: int) -
 
 def count(sent: DataFrame, k: int, least: int) -> DataFrame:
     """Per block and range: a byte per key sent (0 rare, 1 frequent, 2 frequent and this block's to tell) and the
-    corpus counts of the frequent ones."""
+    corpus counts of the frequent ones. Keys have 96 bits."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
-        high, low, counts = (np.concatenate([np.frombuffer(b.as_buffer(), d) for b in t.column(c)]) for c, d in (("high", U), ("low", U), ("counts", np.int64)))
+        high, low, counts = (np.concatenate([np.frombuffer(b.as_buffer(), d) for b in t.column(c)]) for c, d in (("high", U), ("low", np.uint32), ("counts", np.int32)))
+        low = low.astype(U)
         sizes = np.array([len(b.as_buffer()) // 8 for b in t.column("high")])
         table = PerfectHash(high, low)
         slots = table.slots(high, low)
