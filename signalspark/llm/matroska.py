@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 # Element ids of the Matroska specification (RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x4282, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
+MUXING_APP, WRITING_APP = 0x4D80, 0x5741
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -240,7 +241,7 @@ def _lace(frames: list[bytes], turn: int) -> tuple[int, bytes]:
 def build(payload: bytes) -> bytes:
     """A file with one track of 8-bit samples at 8 kHz: frames of 1,024 bytes, laced by eight, four blocks a cluster."""
     head = element(EBML, element(DOC_TYPE, b"matroska"))
-    info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000))
+    info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"signalspark") + element(WRITING_APP, b"signalspark"))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, b"\x45\xfa\x00\x00") + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))
     step = FRAME * 1_000_000_000 // RATE
     entry = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + unsigned(DEFAULT_DURATION, step) + audio
@@ -292,7 +293,10 @@ def packets(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): texts as UTF-8, null as empty, padded with zero bytes to a positive multiple of 64."""
+    """(doc_id, n_bytes, media): texts as UTF-8, null as empty, padded with zero bytes to a positive multiple of 64.
+
+    One row per input row, repeated rows too; null ids stay null. A very long text is one file, built whole in its task.
+    Further columns are ignored, whatever their names. No rows: no result rows."""
 
     def run(batches):
         for b in batches:
@@ -307,23 +311,29 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def read_back(stored: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) -> digests of the payload as cut out of the packets, and a feature string.
 
-    feature: packets, laced packets, clusters, cues that point at a cluster, duration in ms, codec."""
+    feature: packets, laced packets, clusters, cues that point at a cluster, duration in ms, codec. A null medium has null
+    digests; equal media have equal ones, whatever their rows; a file without packets has an empty payload, and one that
+    is not well formed is an error, as ``store`` makes none. Long media are read whole. Further columns are ignored. No rows: no
+    result rows."""
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
             for m in b.column(2).to_pylist():
+                if m is None:
+                    out.append((None,) * 6)
+                    continue
                 media = parse(m)
                 payload = b"".join([m[o : o + n] for _, _, o, n, _, _, _ in media.packets])
                 good = sum(at in media.clusters for _, _, at in media.cues)
-                last = media.packets[-1]
-                ms = last[1] // 1_000_000 + last[3] * 1000 // RATE
+                last = media.packets[-1] if media.packets else None
+                ms = last[1] // 1_000_000 + last[3] * 1000 // RATE if last else 0
                 laced = sum(p[5] > 0 for p in media.packets)
-                feature = f"packets={len(media.packets)};laced={laced};clusters={len(media.clusters)};cues={good};ms={ms};codec={media.tracks[last[0]]['codec']}"
+                feature = f"packets={len(media.packets)};laced={laced};clusters={len(media.clusters)};cues={good};ms={ms};codec={media.tracks[last[0]]['codec'] if last else ''}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -261,6 +261,15 @@ def test_media_of_no_rows(none):
     assert matroska.read_back(matroska.store(none)).count() == 0
 
 
+def test_media_that_are_null_or_have_no_packets(spark):
+    empty = matroska.element(matroska.EBML, matroska.element(matroska.DOC_TYPE, b"matroska")) + matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, b""))
+    rows = [(1, 2, None), (None, 2, matroska.build(b"x" * 64)), (3, 0, empty)]
+    got = {r["doc_id"]: r for r in matroska.read_back(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["payload_bytes"] is None and got[1]["feature"] is None
+    assert got[None]["payload_sha256"] == hashlib.sha256(b"x" * 64).hexdigest()
+    assert got[3]["payload_bytes"] == 0 and got[3]["feature"].startswith("packets=0;")
+
+
 # --- tokens --------------------------------------------------------------------------------------------------
 tokenizers = pytest.importorskip("public_tokenizers")
 

@@ -83,3 +83,35 @@ def test_rows_of_one_id_or_none_stay_if_texts_differ(spark, tmp_path):
         stages[name](spark, df, SF).write.parquet(str(tmp_path / name))
         df = spark.read.parquet(str(tmp_path / name))
         assert sorted(((x["doc_id"], x["text"].lower()) for x in df.collect()), key=str) == want
+
+
+def test_each_stage_alone_takes_repeated_rows(spark):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    rows = [(i, text(), "en", r.choice("ab"), 1) for i in range(12)] + [(None, text(), None, None, None)]
+    rows += [rows[0]] * 2 + [rows[12]] * 2 + [(1, rows[1][1], "en", "b" if rows[1][3] == "a" else "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("exact_dedup", "near_dedup"):
+        got = [(x["doc_id"], x["text"]) for x in stages[name](spark, df, SF).collect()]
+        assert sorted(got, key=str) == sorted({x[:2] for x in rows}, key=str)
+    sizes, want = defaultdict(int), defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    mixed = stages["mixing"](spark, df, SF).collect()
+    for x in mixed:
+        want[x["source"]] += 40
+    for s, t in slow_targets(sizes).items():
+        assert abs(want[s] - t) <= 40
+
+
+def test_run_equals_its_stages_and_every_query_gives_whole_tables(spark):
+    from signalspark.llm import queries
+
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert len(packed) and packed.groupby("bin_id").n_tokens.sum().max() <= 4096
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    per_document = ["op1_simhash", "op2_mixing", "op4_exact_dedup", "op5_language_id", "op6_matroska", "op7_token_counts", "op8_suffix_dedup", "op9_license_scan", "op10_sentence_dedup", "op13_line_dedup"]
+    for name in per_document:
+        ids = [x["doc_id"] for x in queries.queries()[name](spark, SF).select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) == n, name
