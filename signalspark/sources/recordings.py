@@ -1,30 +1,26 @@
-"""Python data sources for binary recordings: EDF (read and write), EBM channels, Curry.
+"""Python data sources for binary recordings: EDF and BDF (read and write), Curry; ``register`` adds EBM channels and containers.
 
-``spark.dataSource.register`` makes them ``spark.read.format("edf")`` and so on. Files are planned on the driver by
-their headers and cut into ranges, so that a task reads some records of one file.
+Files are planned on the driver by their headers and cut into ranges, so that a task reads some records of one file.
+Filters on ``path``, ``chan`` and ``start`` reach the plan: only those bytes are read.
 """
 
 from __future__ import annotations
 
-import glob
 import math
 import os
-import struct
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from signalspark.sources.storage import Wanted, exists, files, open_read
+
 SEGMENTS = "path string, chan string, unit string, srate double, seg_no long, start timestamp, x array<double>"
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
-
-
-def _files(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
+    def __init__(self, path: str, first: int, last: int, header: dict | None = None, chans: set | None = None):
+        self.path, self.first, self.last, self.header, self.chans = path, first, last, header, chans
 
 
 # --- EDF -----------------------------------------------------------------------------------------------------
@@ -33,11 +29,11 @@ SIGNAL_FIELDS = [("label", 16), ("transducer", 80), ("unit", 8), ("pmin", 8), ("
 
 
 def edf_header(path: str) -> dict:
-    with open(path, "rb") as f:
+    with open_read(path) as f:
         head = f.read(256)
         n = int(head[252:256])
         raw = f.read(256 * n)
-    start = datetime.strptime(head[168:184].decode("latin-1"), "%d.%m.%y%H.%M.%S")
+    start = datetime.strptime(head[168:184].decode("latin-1"), "%d.%m.%y%H.%M.%S").replace(tzinfo=timezone.utc)
     out = {"start": start, "records": int(head[236:244]), "seconds": float(head[244:252]), "bytes": int(head[184:192]), "wide": head[0] == 255}
     at = 0
     for name, width in SIGNAL_FIELDS:
@@ -47,21 +43,32 @@ def edf_header(path: str) -> dict:
     return out
 
 
-def edf_records(path: str, header: dict, first: int, last: int):
-    """(record, channel, calibrated samples) of a range of records."""
+def edf_records(path: str, header: dict, first: int, last: int, chans: set | None = None, raw: bool = False):
+    """(record, channel, calibrated samples) of a range of records; with ``chans`` only the bytes of those are read.
+
+    Annotation channels are left out, or, with ``raw``, all but them, as bytes."""
     width = 3 if header["wide"] else 2
     size = width * sum(header["samples"])
-    with open(path, "rb") as f:
-        f.seek(header["bytes"] + first * size)
+    ends = np.cumsum(np.array(header["samples"], np.int64) * width)
+    use = [k for k, c in enumerate(header["label"]) if c.endswith("Annotations") == raw and (chans is None or c in chans)]
+    spans = [(int(ends[k]) - header["samples"][k] * width, header["samples"][k] * width) for k in use]
+    whole = sum(n for _, n in spans) * 2 > size
+    with open_read(path) as f:
         for r in range(first, last):
-            raw = f.read(size)
-            if len(raw) < size:
-                return
-            at = 0
-            for k, n in enumerate(header["samples"]):
-                part = raw[at : at + width * n]
-                at += width * n
-                if header["label"][k].endswith("Annotations"):
+            if whole:
+                f.seek(header["bytes"] + r * size)
+                record = f.read(size)
+                parts = [record[a : a + n] for a, n in spans]
+            else:
+                parts = []
+                for a, n in spans:
+                    f.seek(header["bytes"] + r * size + a)
+                    parts.append(f.read(n))
+            for k, part, (_, n) in zip(use, parts, spans, strict=True):
+                if len(part) < n:
+                    return
+                if raw:
+                    yield r, k, part
                     continue
                 if width == 2:
                     v = np.frombuffer(part, "<i2").astype(float)
@@ -74,21 +81,41 @@ def edf_records(path: str, header: dict, first: int, last: int):
 
 
 class EdfReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.records = options["path"], int(options.get("recordsPerTask", "600"))
+    def __init__(self, options, annotations: bool = False):
+        self.path, self.records, self.annotations = options["path"], int(options.get("recordsPerTask", "600")), annotations
+        self.wanted = Wanted()
+
+    def pushFilters(self, filters):
+        self.wanted = Wanted(filters)
+        return filters
 
     def partitions(self):
         out = []
-        for path in _files(self.path):
-            n = edf_header(path)["records"]
-            out += [Part(path, a, min(n, a + self.records)) for a in range(0, n, self.records)]
-        return out
+        for path in files(self.path):
+            if self.wanted.takes("path", path):
+                h = edf_header(path)
+                rows = self.wanted.rows(h["start"], h["seconds"], h["records"]) if h["seconds"] else range(h["records"])
+                out += [Part(path, a, min(rows.stop, a + self.records), h, self.wanted.names.get("chan")) for a in range(rows.start, rows.stop, self.records)]
+        return out or [Part("", 0, 0)]
 
     def read(self, partition):
-        h = edf_header(partition.path)
-        for r, k, v in edf_records(partition.path, h, partition.first, partition.last):
-            start = h["start"] + timedelta(seconds=r * h["seconds"])
-            yield partition.path, h["label"][k], h["unit"][k], h["samples"][k] / h["seconds"], r, start, v.tolist()
+        h = partition.header
+        for r, k, v in edf_records(partition.path, h, partition.first, partition.last, partition.chans, self.annotations) if h else ():
+            if self.annotations:
+                yield from ((partition.path, r, *found) for found in edf_annotations(v))
+            else:
+                start = h["start"] + timedelta(seconds=r * h["seconds"])
+                yield partition.path, h["label"][k], h["unit"][k], h["samples"][k] / h["seconds"], r, start, v.tolist()
+
+
+def edf_annotations(signal: bytes):
+    """(onset, duration, text) of an annotation signal's record; the stamp of the record itself has no text and is left out."""
+    for entry in signal.split(b"\x00"):
+        stamp, *texts = entry.split(b"\x14")
+        onset, _, duration = stamp.partition(b"\x15")
+        for text in texts:
+            if text and onset:
+                yield float(onset), float(duration) if duration else None, text.decode("utf-8")
 
 
 def _field(v, width: int) -> bytes:
@@ -135,8 +162,8 @@ def edf_bytes(channels: list[tuple[str, str, float, list[float]]], start: dateti
 
 
 class EdfWriter(DataSourceWriter):
-    """Writes rows of the segment schema; a task writes one file per recording (path) that it holds, so rows should be
-    repartitioned by path and sorted by channel and segment."""
+    """Writes short recordings: a task writes one file per recording (path) that it holds, in memory, so rows should be
+    repartitioned by path. ``edf_export.write_edf`` writes recordings of any length."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -172,75 +199,25 @@ class EdfSource(DataSource):
         return EdfWriter(self.options)
 
 
-# --- EBM -----------------------------------------------------------------------------------------------------
-#: Markers of an EBM channel file.
-EBM_DATA, EBM_START, EBM_RATE, EBM_SCALE, EBM_NAME, EBM_UNIT = 0x20, 0x84, 0x81, 0x80, 0x90, 0x91
-
-
-def ebm_records(data: bytes):
-    """(marker, payload) of the records behind the header: magic ended by 0x1A, endian byte, width byte."""
-    at = data.index(b"\x1a") + 1
-    order = ">" if data[at : at + 1] == b"\xff" else "<"
-    wide = data[at + 1] == 255
-    at += 2
-    size = 8 if wide else 5
-    while at + size <= len(data):
-        marker, n = struct.unpack_from(order + ("II" if wide else "BI"), data, at)
-        at += size
-        yield marker, data[at : at + n], order
-        at += n
-
-
-def ebm_sequences(data: bytes):
-    """(name, unit, srate, sequence, start, samples): a new start begins a new uninterrupted sequence."""
-    name, unit, srate, scale, start, seq = "", "", 1.0, 1.0, datetime(1970, 1, 1), -1
-    for marker, body, order in ebm_records(data):
-        if marker == EBM_NAME:
-            name = body.rstrip(b"\0").decode("latin-1")
-        elif marker == EBM_UNIT:
-            unit = body.rstrip(b"\0").decode("latin-1")
-        elif marker == EBM_RATE:
-            srate = struct.unpack_from(order + "I", body)[0] / 1000
-        elif marker == EBM_SCALE:
-            scale = struct.unpack_from(order + "i", body)[0] * 1e-9
-        elif marker == EBM_START:
-            y, mo, d, h, mi, s, cs = struct.unpack_from(order + "H6B", body)
-            start, seq = datetime(y, mo, d, h, mi, s, cs * 10_000), seq + 1
-        elif marker == EBM_DATA:
-            yield name, unit, srate, max(seq, 0), start, np.frombuffer(body, order + "i2").astype(float) * scale
-
-
-class EbmReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
-
-    def partitions(self):
-        return [Part(p, 0, -1) for p in _files(self.path)]
-
-    def read(self, partition):
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        for name, unit, srate, seq, start, x in ebm_sequences(data):
-            yield partition.path, name, unit, srate, seq, start, x.tolist()
+class EdfAnnotations(DataSource):
+    """Annotations of EDF+ and BDF+ files: (path, record, onset in seconds, duration, text)."""
 
-
-class EbmSource(DataSource):
     @classmethod
     def name(cls):
-        return "ebm"
+        return "edf_annotations"
 
     def schema(self):
-        return SEGMENTS
+        return "path string, seg_no long, onset double, duration double, text string"
 
     def reader(self, schema):
-        return EbmReader(self.options)
+        return EdfReader(self.options, annotations=True)
 
 
 # --- Curry ---------------------------------------------------------------------------------------------------
 def curry_parameters(text: str) -> dict:
     """Sizes, rate, labels and events of a parameter file: 'key = value' lines and START_LIST/END_LIST blocks."""
     plain = {"numsamples": "samples", "num_samples": "samples", "numchannels": "channels", "num_channels": "channels", "samplefreqhz": "srate", "sample_freq_hz": "srate"}
-    out: dict = {"samples": 0, "channels": 0, "srate": 0.0, "labels": [], "events": []}
+    out: dict = {"samples": 0, "channels": 0, "srate": 0.0, "labels": [], "events": [], "ascii": False}
     block = None
     for line in text.splitlines():
         words = line.split()
@@ -256,35 +233,52 @@ def curry_parameters(text: str) -> dict:
                 out["events"].append((n[0], n[2], n[4], n[5]))
         elif "=" in line and not block:
             key, value = (x.strip() for x in line.split("=", 1))
+            if key.lower() in ("dataformat", "data_format"):
+                out["ascii"] = value.upper().startswith("ASCII")
             if key.lower() in plain:
                 out[plain[key.lower()]] = float(value)
     return out
 
 
 class CurryReader(DataSourceReader):
-    """``path``: parameter files (.dpa, .dpo); the data lie beside them (.dat or .cdt), float32, one time after another."""
+    """``path``: parameter files (.dpa, .dpo); the data lie beside them (.dat or .cdt), float32, one time after another, or
+    as text (a line per time). Rows of ``samplesPerTask`` times; a filter on ``start`` reaches the plan."""
 
     def __init__(self, options):
-        self.path, self.rows = options["path"], int(options.get("samplesPerTask", "100000"))
+        self.path, self.rows, self.wanted = options["path"], int(options.get("samplesPerTask", "100000")), Wanted()
+
+    def pushFilters(self, filters):
+        self.wanted = Wanted(filters)
+        return filters
 
     def partitions(self):
         out = []
-        for path in _files(self.path):
-            if path.endswith((".dpa", ".dpo", ".dap")):
-                with open(path, encoding="latin-1") as f:
-                    n = int(curry_parameters(f.read())["samples"])
-                out += [Part(path, a, min(n, a + self.rows)) for a in range(0, n, self.rows)]
-        return out
+        for path in files(self.path):
+            if path.endswith((".dpa", ".dpo", ".dap")) and self.wanted.takes("path", path):
+                with open_read(path) as f:
+                    p = curry_parameters(f.read().decode("latin-1"))
+                base = os.path.splitext(path)[0]
+                data = next((d for d in (f"{base}.dat", f"{base}.cdt", base) if exists(d)), None)
+                if data is None:
+                    raise FileNotFoundError(f"no data beside {path}")
+                n, p = int(p["samples"]), p | {"data": data, "start": datetime(1970, 1, 1, tzinfo=timezone.utc)}
+                blocks = self.wanted.rows(p["start"], self.rows / (p["srate"] or 1.0), -(-n // self.rows))
+                out += [Part(path, b * self.rows, min(n, (b + 1) * self.rows), p) for b in blocks]
+        return out or [Part("", 0, 0)]
 
     def read(self, partition):
-        with open(partition.path, encoding="latin-1") as f:
-            p = curry_parameters(f.read())
-        base, n = os.path.splitext(partition.path)[0], int(p["channels"])
-        data = next((d for d in (f"{base}.dat", f"{base}.cdt", base) if os.path.isfile(d)), None)
-        if data is None:
-            raise FileNotFoundError(f"no data beside {partition.path}")
-        block = np.fromfile(data, "<f4", (partition.last - partition.first) * n, offset=4 * n * partition.first).reshape(-1, n)
-        start = datetime(1970, 1, 1) + timedelta(seconds=partition.first / (p["srate"] or 1.0))
+        p = partition.header
+        if not p:
+            return
+        n, times = int(p["channels"]), partition.last - partition.first
+        with open_read(p["data"]) as f:
+            if not p["ascii"]:
+                f.seek(4 * n * partition.first)
+                block = np.frombuffer(f.read(4 * n * times), "<f4").reshape(-1, n)
+            else:
+                lines = (line for k, line in enumerate(f.read().decode("latin-1").splitlines()) if partition.first <= k < partition.last)
+                block = np.array([[float(v) for v in line.split()] for line in lines])
+        start = p["start"] + timedelta(seconds=partition.first / (p["srate"] or 1.0))
         for k in range(n):
             label = p["labels"][k] if k < len(p["labels"]) else f"ch{k}"
             yield partition.path, label, "uV", p["srate"], partition.first // self.rows, start, block[:, k].astype(float).tolist()
@@ -303,6 +297,11 @@ class CurrySource(DataSource):
 
 
 def register(spark) -> None:
-    """Makes the formats edf, ebm and curry known to a session."""
-    for source in (EdfSource, EbmSource, CurrySource):
+    """Makes the formats edf, edf_annotations, curry, ebm, ebm_header, ebm_sequences and container known to a session, and lets
+    filters reach them."""
+    from signalspark.sources.container import ContainerSource
+    from signalspark.sources.ebm import EbmHeaders, EbmSequences, EbmSource
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (EdfSource, EdfAnnotations, CurrySource, EbmSource, EbmHeaders, EbmSequences, ContainerSource):
         spark.dataSource.register(source)
