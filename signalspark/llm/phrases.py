@@ -3,7 +3,8 @@
 Texts become blocks of word numbers, one language a block, stored once. Phrases are counted level by level, words first.
 At level k a block takes the places where both (k-1)-word phrases inside are frequent: no phrase that reaches the least
 count is missed (Apriori). It numbers its distinct phrases (slots), bincounts them, and sends keys and counts to ranges of
-the key's hash. A range puts the keys into a minimal perfect hash that stores them, so that a key finds its slot only if
+the key's hash. Pairs, the bulk, are screened before: a range adds up counts by 32 further bits of the hash, and only pairs
+whose sum reaches the least count, which holds for every frequent one, send their keys. A range puts the keys into a minimal perfect hash that stores them, so that a key finds its slot only if
 the stored one is the same, and adds up the blocks' counts by slot. Blocks get the sums of their frequent phrases back.
 In the end a block reads the counts of both sides of every cut by slot, for the phrases that it was the first to send.
 
@@ -30,6 +31,7 @@ from signalspark.llm.common import shared_folder, store
 BREAK = b"\xff"  # ends a piece; no byte of UTF-8
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 LONGEST = 4
+SCREENED = (2,)  # levels whose keys are sent only if their short hashes are frequent
 SCALE = 2_000_000
 U = np.uint64
 
@@ -164,7 +166,7 @@ class _Level:
 class Phrases:
     """The phrases of a block, level by level as far as replies have come."""
 
-    def __init__(self, row: dict, replies: pa.Table, part_bits: int, levels: int):
+    def __init__(self, row: dict, replies: pa.Table, part_bits: int, levels: int, screened: bool = True):
         self.words = np.frombuffer(row["words"], np.int32)
         self.vocabulary = row["vocabulary"].split(b" ") if row["vocabulary"] else []
         lang = row["lang"].encode() + BREAK
@@ -176,6 +178,8 @@ class Phrases:
         self._read(1, replies, part_bits)
         for k in range(2, levels + 1):
             self.levels.append(self._next(k))
+            if k in SCREENED and (screened or k < levels):
+                self._screen(k, replies, part_bits)
             self._read(k, replies, part_bits)
 
     def _next(self, k: int) -> _Level:
@@ -191,6 +195,17 @@ class Phrases:
         low = mix(below.low[head] + U(k), word.low[tail])
         return _Level(slot, high, low, at[first])
 
+    def _screen(self, k: int, replies: pa.Table, part_bits: int) -> None:
+        """Leaves in the level's order the phrases that the ranges let through."""
+        level = self.levels[k]
+        parts = _parts(level.high[level.order], part_bits)
+        keep = np.zeros(len(parts), bool)
+        for n, p, m in zip(*(replies.column(c).to_pylist() for c in ("level", "part", "marks")), strict=True):
+            if n == -k:
+                a, b = np.searchsorted(parts, [p, p + 1])
+                keep[a:b] = np.unpackbits(np.frombuffer(m, np.uint8), count=int(b - a))
+        level.order = level.order[keep]
+
     def _read(self, k: int, replies: pa.Table, part_bits: int) -> None:
         level = self.levels[k]
         parts = _parts(level.high[level.order], part_bits)
@@ -228,17 +243,53 @@ def _over_blocks(blocks: DataFrame, replies: DataFrame | None, work, schema: str
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
+def _packed(block: int, part: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+    """A row per range with the columns' values as bytes."""
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    ends = [*cuts[1:].tolist(), len(part)]
+    packed = [pa.array([c[s:e].tobytes() for s, e in zip(cuts.tolist(), ends, strict=False)], pa.binary()) for c in columns]
+    return pa.table([pa.array([block] * len(cuts), pa.int64()), pa.array(part[cuts].astype(np.int32)), *packed], [c.split()[0] for c in SENT.split(", ")])
+
+
+def send_short(blocks: DataFrame, replies: DataFrame | None, k: int, part_bits: int, least: int) -> DataFrame:
+    """Per block and range: 32 bits of the candidates' hashes behind those of the range, and counts up to ``least``."""
+    kind = np.min_scalar_type(least)
+
+    def work(row: dict, found: pa.Table) -> pa.Table:
+        level = Phrases(row, found, part_bits, k, screened=False).levels[k]
+        high = level.high[level.order]
+        short = ((high << U(part_bits)) >> U(32)).astype(np.uint32)
+        counts = np.minimum(level.counts[level.order], least).astype(kind)
+        return _packed(row["block"], _parts(high, part_bits), [short, np.empty(0, np.uint32), counts])
+
+    return _over_blocks(blocks, replies, work, SENT)
+
+
+def screen(sent: DataFrame, k: int, least: int) -> DataFrame:
+    """Per block and range: a bit per candidate, 1 where all with its short hash together reach ``least``."""
+    kind = np.min_scalar_type(least)
+
+    def run(t: pa.Table) -> pa.Table:
+        short, counts = (np.concatenate([np.frombuffer(b.as_buffer(), d) for b in t.column(c)]) for c, d in (("high", np.uint32), ("counts", kind)))
+        sizes = np.array([len(b.as_buffer()) // 4 for b in t.column("high")])
+        _, slots = np.unique(short, return_inverse=True)
+        enough = (np.bincount(slots, weights=counts) >= least)[slots]
+        parts = np.split(enough, np.cumsum(sizes)[:-1])
+        some = [i for i, p in enumerate(parts) if p.any()]
+        cols = [t.column("block").take(pa.array(some, pa.int64())), pa.array([-k] * len(some), pa.int32()), t.column("part").take(pa.array(some, pa.int64()))]
+        cols += [pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary()), pa.array([b""] * len(some), pa.binary())]
+        return pa.table(cols, [c.split()[0] for c in REPLY.split(", ")])
+
+    return sent.groupBy("part").applyInArrow(run, REPLY)
+
+
 def send(blocks: DataFrame, replies: DataFrame | None, k: int, part_bits: int) -> DataFrame:
     """Per block and range, packed and in order: keys of the k-word candidates and their counts in the block."""
 
     def work(row: dict, found: pa.Table) -> pa.Table:
         level = Phrases(row, found, part_bits, k).levels[k]
         high, low, counts = level.high[level.order], level.low[level.order].astype(np.uint32), level.counts[level.order].astype(np.int32)
-        part = _parts(high, part_bits)
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-        ends = [*cuts[1:].tolist(), len(part)]
-        packed = [pa.array([c[s:e].tobytes() for s, e in zip(cuts.tolist(), ends, strict=False)], pa.binary()) for c in (high, low, counts)]
-        return pa.table([pa.array([row["block"]] * len(cuts), pa.int64()), pa.array(part[cuts].astype(np.int32)), *packed], [c.split()[0] for c in SENT.split(", ")])
+        return _packed(row["block"], _parts(high, part_bits), [high, low, counts])
 
     return _over_blocks(blocks, replies, work, SENT)
 
@@ -315,10 +366,11 @@ def collocations(
     phrase's bytes. No rows, or no frequent phrase: no result rows. Further columns are ignored, whatever their names."""
     blocks, total = word_blocks(docs, lang_col, text_col, block_bytes)
     part_bits = part_bits_of(total)
-    replies = None
-    for k in range(1, LONGEST + 1):
-        new = store(count(send(blocks, replies, k, part_bits), k, least))
-        replies = new if replies is None else replies.unionByName(new)
+    replies = store(count(send(blocks, None, 1, part_bits), 1, least))
+    for k in range(2, LONGEST + 1):
+        if k in SCREENED:
+            replies = replies.unionByName(store(screen(send_short(blocks, replies, k, part_bits, least), k, least)))
+        replies = replies.unionByName(store(count(send(blocks, replies, k, part_bits), k, least)))
     told = tell(blocks, replies, part_bits, percent).groupBy("lang", "phrase")
     told = told.agg(*(F.max(c).alias(c) for c in ("a", "l", "r", "score", "inside"))).where("not inside and a is not null")
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
