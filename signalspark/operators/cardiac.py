@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,78 @@ def quadrant_summary(beats: DataFrame, keys: list[str], order: str, rr: str = "r
     return out.select(*keys, (F.col("n2") - F.col("n4")).alias("arrest"), (F.col("n3") - F.col("n1")).alias("acceleration"), entropy.alias("entropy"))
 
 
+#: Bands of heart rate variability in Hz.
+HRV_BANDS = {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4), "vhf": (0.4, 0.5)}
+
+
+def periodogram(beats: DataFrame, keys: list[str], order: list[str], step: float, top: float, rr: str = "rr") -> DataFrame:
+    """(keys, f, p): Lomb-Scargle power of the intervals (ms) at f = step, 2 step, ... up to ``top`` Hz.
+
+    A beat's time is the sum of the intervals up to it. One aggregate over beats times frequencies: the mean and the phase
+    shift are taken out of its sums afterwards, so no second pass is needed. Null intervals are left out; keys with fewer
+    than five beats have no rows."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = beats.where(F.col(rr).isNotNull()).select(*keys, F.col(rr).alias("y"), (F.sum(rr).over(w) / 1000).alias("at"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(top / step + 1e-9)))))
+    angle = F.col("k") * F.lit(2 * math.pi * step) * F.col("at")
+    sums = rows.groupBy(*keys, "k").agg(
+        F.count("*").alias("n"), F.avg("y").alias("m"), F.sum(F.cos(angle)).alias("c"), F.sum(F.sin(angle)).alias("s"),
+        F.sum(F.col("y") * F.cos(angle)).alias("yc"), F.sum(F.col("y") * F.sin(angle)).alias("ys"), F.sum(F.cos(2 * angle)).alias("c2"), F.sum(F.sin(2 * angle)).alias("s2"),
+    ).where("n >= 5")
+    half = F.atan2("s2", "c2") / 2
+    yc, ys = F.col("yc") - F.col("m") * F.col("c"), F.col("ys") - F.col("m") * F.col("s")
+    even, odd = yc * F.cos(half) + ys * F.sin(half), ys * F.cos(half) - yc * F.sin(half)
+    r = F.sqrt(F.col("c2") * F.col("c2") + F.col("s2") * F.col("s2"))
+    power = F.coalesce(F.try_divide(even * even, F.col("n") + r), F.lit(0.0)) + F.coalesce(F.try_divide(odd * odd, F.col("n") - r), F.lit(0.0))
+    return sums.select(*keys, (F.col("k") * step).alias("f"), power.alias("p"))
+
+
+def hrv_frequency(beats: DataFrame, keys: list[str], order: list[str], step: float = 0.005, rr: str = "rr") -> DataFrame:
+    """(keys, vlf, lf, hf, vhf, total, lf_hf, lf_share, peak): band powers of the periodogram by sums times ``step``, the ratio of low
+    to high, the share of low in both, and the frequency of most power (the lowest of equal ones)."""
+    p = periodogram(beats, keys, order, step, HRV_BANDS["vhf"][1], rr)
+    power = {n: F.coalesce(F.sum(F.when((F.col("f") >= a - 1e-9) & (F.col("f") < b - 1e-9), F.col("p"))), F.lit(0.0)) * step for n, (a, b) in HRV_BANDS.items()}
+    out = p.groupBy(*keys).agg(*(c.alias(n) for n, c in power.items()), F.max(F.struct("p", (-F.col("f")).alias("g"))).alias("most"))
+    lf, hf = F.col("lf"), F.col("hf")
+    ratios = [F.try_divide(lf, hf).alias("lf_hf"), F.try_divide(lf, lf + hf).alias("lf_share"), (-F.col("most.g")).alias("peak")]
+    return out.select(*keys, *HRV_BANDS, (F.col("vlf") + lf + hf + F.col("vhf")).alias("total"), *ratios)
+
+
+def recurrence(series: DataFrame, keys: list[str], order: list[str], radius: float, dimension: int = 3, delay: int = 1, least: int = 2, value: str = "rr") -> DataFrame:
+    """(keys, n, recurrence_rate, determinism, mean_line, longest_line, line_entropy) of the delay vectors of a series.
+
+    Two vectors recur if no coordinate differs by more than ``radius``. They are found by an equi-join on the first coordinate's
+    bucket and its neighbours; diagonals of at least ``least`` are runs along equal distance in order. The work grows with the
+    recurrences, so long series are cut into windows by ``keys``. Vectors with nulls and series of fewer than two vectors are left
+    out; rates are over pairs of different vectors, the entropy natural; lines are null where there are none."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = series.select(*keys, F.row_number().over(w).alias("i"), *(F.lead(value, d * delay).over(w).alias(f"v{d}") for d in range(dimension)))
+    rows = rows.where(" and ".join(f"v{d} is not null" for d in range(dimension)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2")
+    bucket = F.floor(F.col("v0") / radius)
+    left = rows.withColumn("bucket", bucket)
+    right = rows.select(*keys, F.col("i").alias("j"), *(F.col(f"v{d}").alias(f"u{d}") for d in range(dimension)), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    near = [F.abs(F.col(f"v{d}") - F.col(f"u{d}")) <= radius for d in range(dimension)]
+    pairs = left.join(right, [*keys, "bucket"]).where("i < j")
+    for c in near:
+        pairs = pairs.where(c)
+    apart = Window.partitionBy(*keys, "apart").orderBy("i")
+    runs = pairs.select(*keys, "i", (F.col("j") - F.col("i")).alias("apart")).withColumn("run", F.col("i") - F.row_number().over(apart))
+    lines = runs.groupBy(*keys, "apart", "run").agg(F.count("*").alias("length")).groupBy(*keys, "length").agg(F.count("*").alias("lines"))
+    long = F.col("length") >= least
+    shares = lines.groupBy(*keys).agg(
+        F.sum(F.col("length") * F.col("lines")).alias("points"), F.sum(F.when(long, F.col("length") * F.col("lines"))).alias("on_lines"), F.sum(F.when(long, F.col("lines"))).alias("lines"),
+        F.max(F.when(long, F.col("length"))).alias("longest_line"), F.sum(F.when(long, F.col("lines") * F.ln("lines"))).alias("l"),
+    )
+    out = counts.join(shares, keys, "left")
+    total = F.col("n") * (F.col("n") - 1) / 2
+    entropy = F.ln("lines") - F.col("l") / F.col("lines")
+    return out.select(
+        *keys, "n", (F.coalesce("points", F.lit(0)) / total).alias("recurrence_rate"), F.try_divide(F.coalesce("on_lines", F.lit(0)), "points").alias("determinism"),
+        F.try_divide("on_lines", "lines").alias("mean_line"), "longest_line", entropy.alias("line_entropy"),
+    )
+
+
 def breath_features(df: DataFrame, keys: list[str], srate: float, order: str = "i", value: str = "x") -> DataFrame:
     """(keys, 13 features): rate, durations in seconds, amplitudes and areas of inspiration and expiration, their ratios.
 

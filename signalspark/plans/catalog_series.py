@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalspark.functions.arrays import rnd
@@ -303,6 +304,43 @@ def hrv_time_domain(spark, d):
     return h.select("user_id", "n", *(rnd(F.col(c)).alias(c) for c in ("mean_rr", "sdnn", "rmssd", "pnn50")))
 
 
+@query(
+    with_(EVT, BEATS)
+    + """, bs AS (SELECT user_id, rr AS y, SUM(rr) OVER (PARTITION BY user_id ORDER BY t, event_id) / 1000 AS s FROM bt),
+mn AS (SELECT user_id, AVG(y) AS m FROM bs GROUP BY 1 HAVING COUNT(*) >= 5),
+ph AS (SELECT user_id, k, 2 * PI() * 0.005 * k AS w, ATAN2(SUM(SIN(2 * 2 * PI() * 0.005 * k * s)), SUM(COS(2 * 2 * PI() * 0.005 * k * s))) / 2 AS h FROM bs JOIN mn USING (user_id), range(1, 101) g(k) GROUP BY 1, 2),
+pw AS (SELECT user_id, k, 0.5 * (SUM((y - m) * COS(w * s - h)) ** 2 / SUM(COS(w * s - h) ** 2) + SUM((y - m) * SIN(w * s - h)) ** 2 / SUM(SIN(w * s - h) ** 2)) AS p FROM bs JOIN mn USING (user_id) JOIN ph USING (user_id) GROUP BY 1, 2),
+bd AS (SELECT user_id, SUM(p) FILTER (WHERE k < 8) * 0.005 AS vlf, SUM(p) FILTER (WHERE k BETWEEN 8 AND 29) * 0.005 AS lf, SUM(p) FILTER (WHERE k BETWEEN 30 AND 79) * 0.005 AS hf, SUM(p) FILTER (WHERE k BETWEEN 80 AND 99) * 0.005 AS vhf FROM pw GROUP BY 1)
+SELECT user_id, ROUND(LN(vlf), 5) + 0.0 AS vlf, ROUND(LN(lf), 5) + 0.0 AS lf, ROUND(LN(hf), 5) + 0.0 AS hf, ROUND(LN(vhf), 5) + 0.0 AS vhf, ROUND(lf / hf, 5) + 0.0 AS lf_hf, ROUND(lf / (lf + hf), 6) + 0.0 AS lf_share FROM bd"""
+)
+def hrv_frequency(spark, d):
+    """Band powers (as logarithms) of the intervals' periodogram."""
+    h = cardiac.hrv_frequency(_beats(spark, d), ["user_id"], ["t", "event_id"])
+    logs = [rnd(F.ln(c), 5).alias(c) for c in cardiac.HRV_BANDS]
+    return h.select("user_id", *logs, rnd(F.col("lf_hf"), 5).alias("lf_hf"), rnd(F.col("lf_share")).alias("lf_share"))
+
+
+@query(
+    with_(EVT, BEATS)
+    + """, nb AS (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS b, rr FROM bt),
+em AS (SELECT * FROM (SELECT user_id, b // 128 AS win, b, rr AS v0, LEAD(rr) OVER w AS v1 FROM nb WINDOW w AS (PARTITION BY user_id, b // 128 ORDER BY b)) WHERE v1 IS NOT NULL),
+ct AS (SELECT user_id, win, COUNT(*) AS n FROM em GROUP BY ALL HAVING COUNT(*) >= 2),
+pr AS (SELECT x.user_id, x.win, x.b, y.b - x.b AS apart FROM em x JOIN em y ON x.user_id = y.user_id AND x.win = y.win AND x.b < y.b AND ABS(x.v0 - y.v0) <= 40 AND ABS(x.v1 - y.v1) <= 40),
+rn AS (SELECT user_id, win, apart, COUNT(*) AS len FROM (SELECT *, b - ROW_NUMBER() OVER (PARTITION BY user_id, win, apart ORDER BY b) AS run FROM pr) GROUP BY user_id, win, apart, run),
+ln AS (SELECT user_id, win, len, COUNT(*) AS c FROM rn GROUP BY ALL),
+tt AS (SELECT user_id, win, SUM(len * c) AS points, SUM(len * c) FILTER (WHERE len >= 2) AS on_lines, SUM(c) FILTER (WHERE len >= 2) AS c, MAX(len) FILTER (WHERE len >= 2) AS longest FROM ln GROUP BY ALL),
+en AS (SELECT user_id, win, -SUM(l.c / t.c * LN(l.c / t.c)) AS e FROM ln l JOIN tt t USING (user_id, win) WHERE l.len >= 2 GROUP BY ALL)
+SELECT user_id, win, n, ROUND(COALESCE(points, 0) / (n * (n - 1) / 2), 6) + 0.0 AS recurrence_rate, ROUND(COALESCE(on_lines, 0) / points, 6) + 0.0 AS determinism, ROUND(on_lines / c, 6) + 0.0 AS mean_line, longest AS longest_line, ROUND(e, 6) + 0.0 AS line_entropy
+FROM ct LEFT JOIN tt USING (user_id, win) LEFT JOIN en USING (user_id, win)"""
+)
+def hrv_recurrence(spark, d):
+    """Recurrence measures of pairs of intervals in windows of 128 beats."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1
+    b = _beats(spark, d).withColumn("b", place).withColumn("win", F.floor(F.col("b") / 128))
+    out = cardiac.recurrence(b, ["user_id", "win"], ["b"], 40.0, dimension=2)
+    return out.select("user_id", "win", "n", *(rnd(F.col(c)).alias(c) for c in ("recurrence_rate", "determinism", "mean_line")), "longest_line", rnd(F.col("line_entropy")).alias("line_entropy"))
+
+
 PC = """SELECT {k}, ROUND(sd1, 6) + 0.0 AS sd1, ROUND(sd2, 6) + 0.0 AS sd2, ROUND(sd2 / NULLIF(sd1, 0), 6) + 0.0 AS csi, ROUND(CASE WHEN sd1 * sd2 > 0 THEN LOG10(sd1 * sd2) END, 6) + 0.0 AS cvi FROM (
 SELECT {k}, SQRT(0.5 * VAR_SAMP(s)) AS sd1, CASE WHEN 2 * VAR_SAMP(rr) - 0.5 * VAR_SAMP(s) > 0 THEN SQRT(2 * VAR_SAMP(rr) - 0.5 * VAR_SAMP(s)) END AS sd2
 FROM (SELECT {k}, rr, LEAD(rr) OVER (PARTITION BY {k} ORDER BY t) - rr AS s FROM {src}) GROUP BY {k} HAVING COUNT(*) >= 5)"""
