@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.operators.lineage import cut
+
 Z95 = 1.959963984540054
 
 
@@ -102,9 +104,17 @@ def normal_quantile(p: Column) -> Column:
 
 
 def label_encode(df: DataFrame, value: str, out: str = "code") -> DataFrame:
-    """Codes 0 .. k-1 in the order of the values. The list of distinct values is ranked, not the rows."""
-    values = df.select(value).where(F.col(value).isNotNull()).distinct()
-    codes = values.select(F.col(value).alias("value of"), (F.row_number().over(Window.orderBy(value)) - 1).alias(out))
+    """Codes 0 .. k-1 in the order of the values, null for null.
+
+    The distinct values are ranked, not the rows: each of their ranges by itself, behind the values of the ranges before, so
+    no task holds all of them."""
+    values = df.select(F.col(value).alias("value of")).where(F.col(value).isNotNull()).distinct()
+    parts = cut(values.repartitionByRange("value of").withColumn("part of", F.spark_partition_id()))
+    counts = parts.groupBy("part of").agg(F.count("*").alias("n of"))
+    before = Window.orderBy("part of").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select("part of", F.coalesce(F.sum("n of").over(before), F.lit(0)).alias("start of"))
+    inside = F.row_number().over(Window.partitionBy("part of").orderBy("value of")) - 1
+    codes = parts.withColumn("place of", inside).join(starts, "part of").select("value of", (F.col("place of") + F.col("start of")).cast("int").alias(out))
     return df.join(codes, df[value] == codes["value of"], "left").drop("value of")
 
 

@@ -63,6 +63,27 @@ def phase_connectivity(spark, d):
     return m.select("g", "a", "b", *(rnd(F.col(c)).alias(c) for c in ("coh", "plv", "ciplv", "pli", "wpli")))
 
 
+@query(
+    """WITH ep AS (SELECT vec_id // 4 AS g, vec_id % 4 AS chan, UNNEST(embedding)::DOUBLE AS x, UNNEST(range(64)) AS i FROM embeddings),
+fq AS (SELECT k, 4 * POW(24 / 4.0, k / 14.0) AS f, FLOOR(3 * POW(12 / 3.0, k / 14.0) + 1e-9) AS cyc FROM range(15) t(k)),
+sg AS (SELECT k, f, cyc / (2 * PI() * f) AS sigma FROM fq),
+wv AS (SELECT k, f, j, EXP(-POW(j / 64.0, 2) / (2 * sigma * sigma)) AS e FROM (SELECT *, UNNEST(range(-CEIL(5 * sigma * 64)::BIGINT, CEIL(5 * sigma * 64)::BIGINT + 1)) AS j FROM sg)),
+ww AS (SELECT k, f, j, e / SQRT(SUM(e * e) OVER (PARTITION BY k)) AS e FROM wv),
+cf AS (SELECT g, chan, k, p, SUM(x * e * COS(2 * PI() * f * j / 64)) AS re, SUM(x * e * SIN(2 * PI() * f * j / 64)) AS im FROM ep, ww, LATERAL (SELECT i + j AS p) WHERE p BETWEEN 0 AND 63 AND p % 3 = 0 GROUP BY ALL),
+pr AS (SELECT a.g, a.k, a.chan AS a, b.chan AS b, a.re * b.re + a.im * b.im AS sr, a.im * b.re - a.re * b.im AS si, a.re * a.re + a.im * a.im AS pa, b.re * b.re + b.im * b.im AS pb FROM cf a JOIN cf b ON a.g = b.g AND a.k = b.k AND a.p = b.p AND a.chan < b.chan),
+m AS (SELECT g, k, a, b, AVG(sr) AS sr, AVG(si) AS si, AVG(sr / SQRT(sr * sr + si * si)) AS ur, AVG(si / SQRT(sr * sr + si * si)) AS ui, AVG(pa) AS pa, AVG(pb) AS pb, AVG(SIGN(si)) AS sg, AVG(ABS(si)) AS sz FROM pr GROUP BY ALL),
+bn AS (SELECT * FROM (VALUES ('Theta', 4.0, 8.0), ('Alpha', 8.0, 12.0), ('Beta', 12.0, 23.9)) v(band, fmin, fmax))
+SELECT g, band, a, b, ROUND(AVG(SQRT(sr * sr + si * si) / SQRT(pa * pb)), 6) + 0.0 AS coh, ROUND(AVG(SQRT(ur * ur + ui * ui)), 6) + 0.0 AS plv, ROUND(AVG(ABS(ui) / SQRT(1 - ur * ur)), 6) + 0.0 AS ciplv, ROUND(AVG(ABS(sg)), 6) + 0.0 AS pli, ROUND(AVG(ABS(si) / sz), 6) + 0.0 AS wpli
+FROM m JOIN fq USING (k) JOIN bn ON f BETWEEN fmin AND fmax GROUP BY g, band, a, b"""
+)
+def wavelet_connectivity(spark, d):
+    """Coherence and phase measures of wavelet coefficients at 15 frequencies, as means of bands."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("g"), (F.col("vec_id") % 4).alias("chan"), F.col("embedding").alias("x"))
+    bands = spark.createDataFrame([("Theta", 4.0, 8.0), ("Alpha", 8.0, 12.0), ("Beta", 12.0, 23.9)], "band string, fmin double, fmax double")
+    m = connectivity.wavelet_connectivity(e, ["g"], "chan", 64.0, bands, 4.0, 24.0)
+    return m.select("g", "band", "a", "b", *(rnd(F.col(c)).alias(c) for c in connectivity.MEASURES))
+
+
 @query(with_(EVT, HOURLY) + "SELECT g, ROUND(MAX(r) FILTER (a || '_' || b = 'click_view'), 6) + 0.0 AS r_click_view, ROUND(MAX(r) FILTER (a || '_' || b = 'click_purchase'), 6) + 0.0 AS r_click_purchase FROM ed GROUP BY 1")
 def pivot_features(spark, d):
     """Edges as columns of a wide table."""
