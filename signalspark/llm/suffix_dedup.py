@@ -14,6 +14,11 @@ comes back to its texts without moving them again. Then
    are left out of the sort;
 4. shards reply to blocks with the ranges to remove.
 
+A block sends a snippet once, for the first of its earliest rows that have it, however often it stands there. Rows of
+later documents in the block need no answer: they lose the snippet to the block's own earliest one. Further places in
+rows of that document follow the answer for the first. So a passage that very many documents share word for word brings
+its shard an entry a block, not one a document; what a block knows by itself goes past the shards.
+
 An anchor that occurs among very many different bytes, as at the end of a passage that many documents share and go
 on from in their own ways, would bring one shard a snippet per document. Its stretches are cut into single windows,
 each dealt by a hash of its own bytes: equal windows still meet, and no anchor's rows are unbounded.
@@ -215,12 +220,16 @@ def _blob(a: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 
 
-SNIPPETS = "shard long, block long, anchors binary, sizes binary, bytes binary, times binary, nos binary, ords binary, offsets binary"
+SNIPPETS = "shard long, block long, anchors binary, sizes binary, bytes binary, nos binary, ords binary, offsets binary"
+RANGES = "block long, nos array<int>, starts array<int>, stops array<int>, marks binary"
 
 
 def snippets(blocks: DataFrame, found_out: DataFrame, length: int, part_bits: int, shards: int) -> DataFrame:
-    """Per shard and block, packed: distinct snippets (anchor, size, bytes, times they occur) and, snippet by snippet,
-    where they occur (row, its ord, offset)."""
+    """Per shard and block, packed: distinct snippets (anchor, size, bytes) and where the first of the block's earliest
+    rows has them (row, its ord, offset).
+
+    Under a negative shard, a block's own: places (row, offset, size) that lose their bytes to the block itself, and places
+    that follow another one, with ``bytes`` the (row, offset) of that."""
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
         texts, ords = _fresh_texts(rows, found), rows.column("ord").to_numpy()
@@ -237,28 +246,36 @@ def snippets(blocks: DataFrame, found_out: DataFrame, length: int, part_bits: in
         table: dict = {}
         of = np.array([table.setdefault(p, len(table)) for p in parts], np.int64)
         kinds = list(table)
+        sizes = np.array([len(k) for k in kinds], np.int64)
+        row_ord = ords[no]
+        least = np.full(len(kinds), LAST)
+        np.minimum.at(least, of, row_ord)
+        early = np.flatnonzero(row_ord == least[of])
         first = np.full(len(kinds), len(of))
-        np.minimum.at(first, of, np.arange(len(of)))
-        anchor = anchor[first]
-        shard = ((anchor >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+        np.minimum.at(first, of[early], early)
+        shard = ((anchor[first] >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
         by_shard = np.argsort(shard, kind="stable")
-        place = np.empty(len(kinds), np.int64)
-        place[by_shard] = np.arange(len(kinds))
-        occurrences = np.argsort(place[of], kind="stable")
-        times = np.bincount(place[of], minlength=len(kinds))
-        sizes = np.array([len(k) for k in kinds], np.int64)[by_shard]
-        kinds, anchor, shard = [kinds[k] for k in by_shard.tolist()], anchor[by_shard], shard[by_shard]
-        no, offset = no[occurrences], offset[occurrences]
-        ends = np.r_[0, np.cumsum(times)]
+        first, shard = first[by_shard], shard[by_shard]
         cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
         out = [[] for _ in SNIPPETS.split(", ")]
         block = rows.column("block")[0].as_py()
-        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True) if len(cuts) else ():
-            a, b = ends[s], ends[e]
-            row = (int(shard[s]), block, _blob(anchor[s:e], np.uint64), _blob(sizes[s:e], np.int32), b"".join(kinds[s:e]), _blob(times[s:e], np.int32), _blob(no[a:b], np.int32), _blob(ords[no[a:b]], np.int64), _blob(offset[a:b], np.int32))
+
+        def send(*row):
             for c, v in zip(out, row, strict=True):
                 c.append(v)
-        types = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True) if len(cuts) else ():
+            at = first[s:e]
+            data = b"".join(kinds[k] for k in by_shard[s:e].tolist())
+            send(int(shard[s]), block, _blob(anchor[at], np.uint64), _blob(sizes[of[at]], np.int32), data, _blob(no[at], np.int32), _blob(row_ord[at], np.int64), _blob(offset[at], np.int32))
+        leader = np.empty(len(kinds), np.int64)
+        leader[by_shard] = first
+        late = np.flatnonzero(row_ord > least[of])
+        follows = early[leader[of[early]] != early]
+        for at, data in ((late, None), (follows, _blob(np.r_["0,2", no[leader[of[follows]]], offset[leader[of[follows]]]], np.int32))):
+            if len(at):
+                send(-1 - block, block, None, _blob(sizes[of[at]], np.int32), data, _blob(no[at], np.int32), None, _blob(offset[at], np.int32))
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], [c.split()[0] for c in SNIPPETS.split(", ")])
 
     return with_blocks(blocks, found_out, ["no", "ord", "text"], work, SNIPPETS)
@@ -315,10 +332,18 @@ def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarra
 
 
 def _settle(length: int, memory_bytes: int):
-    """A shard's snippets -> (block, nos, starts, stops): ranges that an earlier document has too."""
+    """A shard's snippets -> (block, nos, starts, stops): ranges that an earlier document has too.
+
+    What blocks know by themselves passes through; ``marks`` is set for places that follow another one."""
+    names = [c.split()[0] for c in RANGES.split(", ")]
 
     def run(t: pa.Table) -> pa.Table:
         arrays = lambda name, kind: [np.frombuffer(b.as_buffer(), kind) for b in t.column(name)]
+        if t.column("shard")[0].as_py() < 0:
+            nos, starts, sizes = (arrays(c, np.int32) for c in ("nos", "offsets", "sizes"))
+            stops = [a + b for a, b in zip(starts, sizes, strict=True)]
+            ints = pa.list_(pa.int32())
+            return pa.table([t.column("block"), *(pa.array(v, ints) for v in (nos, starts, stops)), t.column("bytes")], names)
         table: dict = {}
         of, anchor = [], []
         for blob, sizes, keys in zip(t.column("bytes"), arrays("sizes", np.int32), arrays("anchors", np.uint64), strict=True):
@@ -331,8 +356,7 @@ def _settle(length: int, memory_bytes: int):
                     k = table[p] = len(table)
                     anchor.append(a)
                 of.append(k)
-        parts, times = list(table), np.concatenate(arrays("times", np.int32))
-        of = np.repeat(np.array(of, np.int64), times)  # by occurrence
+        parts, of = list(table), np.array(of, np.int64)
         ords, offsets, nos = np.concatenate(arrays("ords", np.int64)), np.concatenate(arrays("offsets", np.int32)), np.concatenate(arrays("nos", np.int32))
         block = np.repeat(t.column("block").to_numpy(), [len(b) // 4 for b in map(lambda s: s.as_buffer(), t.column("nos"))])
         first = np.full(len(parts), LAST)
@@ -361,7 +385,7 @@ def _settle(length: int, memory_bytes: int):
         blocks = block[owner][by_block]
         cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]][: len(blocks)])
         lists = lambda v: pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(blocks)].astype(np.int32)), pa.array(v[by_block].astype(np.int32)))
-        return pa.table([pa.array(blocks[cuts], pa.int64()), lists(nos[owner]), lists(start), lists(stop)], ["block", "nos", "starts", "stops"])
+        return pa.table([pa.array(blocks[cuts], pa.int64()), lists(nos[owner]), lists(start), lists(stop), pa.nulls(len(cuts), pa.binary())], names)
 
     return run
 
@@ -379,22 +403,42 @@ def strip(text: bytes, starts, stops) -> tuple[bytes, int, int]:
 RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 
+def _followed(owner, start, stop, places, length: int):
+    """Ranges of places (row, start, stop, row followed, start there) that lose the windows which the place followed loses.
+
+    ``owner``, ``start``, ``stop``: ranges found, in order; one belongs to the place where its first window stands."""
+    no, at, end, of_no, of_at = (v.astype(np.int64) for v in places)
+    key = (owner.astype(np.int64) << 32) + start
+    lo = np.searchsorted(key, (of_no << 32) + of_at)
+    per = np.searchsorted(key, (of_no << 32) + of_at + (end - at - length + 1)) - lo
+    found = np.repeat(lo, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    shift = np.repeat(at - of_at, per)
+    return np.repeat(no, per), start[found] + shift, stop[found] + shift
+
+
 def _strip_block(length: int):
     """Rows of a block without the ranges found; rows with ``nos`` but no ranges are copies."""
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
         texts = [t or b"" for t in rows.column("text").to_pylist()]
         whole: set = set()
-        owner, start, stop = [], [], []
-        for nos, s, e in zip(*(found.column(c) for c in ("nos", "starts", "stops")), strict=True):
-            if s.is_valid:
+        owner, start, stop, following = [], [], [], []
+        for nos, s, e, m in zip(*(found.column(c) for c in ("nos", "starts", "stops", "marks")), strict=True):
+            if m.is_valid:
+                following.append((*(v.values.to_numpy() for v in (nos, s, e)), *np.frombuffer(m.as_buffer(), np.int32).reshape(2, -1)))
+            elif s.is_valid:
                 for to, v in ((owner, nos), (start, s), (stop, e)):
                     to.append(v.values.to_numpy())
             else:
                 whole.update(nos.as_py() or ())
         owner, start, stop = (np.concatenate(v) if v else np.empty(0, np.int32) for v in (owner, start, stop))
-        order = np.argsort(owner, kind="stable")
+        order = np.lexsort((start, owner))
         owner, start, stop = owner[order], start[order], stop[order]
+        if following:
+            more = _followed(owner, start, stop, map(np.concatenate, zip(*following, strict=True)), length)
+            owner, start, stop = (np.r_[a, b] for a, b in zip((owner, start, stop), more, strict=True))
+            order = np.argsort(owner, kind="stable")
+            owner, start, stop = owner[order], start[order], stop[order]
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         out = []
         for k, t in enumerate(texts):
@@ -425,5 +469,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = repeated(anchors(blocks, skipped, length, part_bits))
     shards = max(1, -(-total // shard_bytes))
     sent = snippets(blocks, info(skipped).unionByName(info(marks)), length, part_bits, shards)
-    ranges = sent.groupBy("shard").applyInArrow(_settle(length, memory_bytes), "block long, nos array<int>, starts array<int>, stops array<int>")
+    ranges = sent.groupBy("shard").applyInArrow(_settle(length, memory_bytes), RANGES)
     return with_blocks(blocks, info(skipped).unionByName(info(ranges)), ["no", "doc_id", "size", "text"], _strip_block(length), RESULT)
