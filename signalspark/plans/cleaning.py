@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.operators import cleaning, series, timeline
+from signalspark.operators import cleaning, filters, series, spatial, timeline
 from signalspark.operators.segment import coarse_grain
 
 
@@ -36,6 +36,11 @@ def _interpolate(df: DataFrame, keys: list[str], weights: DataFrame) -> DataFram
     return own.select(*keys, "chan", "t", "x").unionByName(made.select(*keys, F.col("target").alias("chan"), "t", "x"))
 
 
+def _drop_unpredicted(df: DataFrame, keys: list[str], positions: dict, size: int, **options) -> DataFrame:
+    bad = spatial.unpredicted_channels(df, keys, positions, size, **options).where("bad").select(*keys, "chan")
+    return df.join(bad, [*keys, "chan"], "left_anti")
+
+
 STEPS: dict[str, Callable[..., DataFrame]] = {
     "crop": lambda df, keys, start, stop: df.where((F.col("t") >= start) & (F.col("t") < stop)),
     "crop_centred": lambda df, keys, width: timeline.crop_centred(df, keys, width),
@@ -43,6 +48,10 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
     "drop_flat": _drop_flat,
     "drop_outliers": _drop_outliers,
     "filter": lambda df, keys, taps: cleaning.fir(df, [*keys, "chan"], list(taps), "t").drop("x").withColumnRenamed("y", "x"),
+    "band": lambda df, keys, srate, low, high: filters.fir_centred(df, [*keys, "chan"], filters.band_taps(srate, low, high)),
+    "notch": lambda df, keys, srate, freq: filters.fir_centred(df, [*keys, "chan"], filters.notch_taps(srate, freq)),
+    "drop_unpredicted": _drop_unpredicted,
+    "fill_channels": lambda df, keys, positions, segment=4096: spatial.fill_channels(df, keys, positions, segment),
     "detrend": lambda df, keys: series.detrend(df, [*keys, "chan"], "t").drop("x").withColumnRenamed("y", "x"),
     "downsample": lambda df, keys, factor: coarse_grain(df, [*keys, "chan"], factor, "t"),
     "mask_windows": _mask,
