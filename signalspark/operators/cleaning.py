@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.operators.scans import by_pieces, running_sum
 from signalspark.operators.series import by_order, with_stats
 
 
 def haar_levels(df: DataFrame, keys: list[str], levels: int, order: str = "i", value: str = "x") -> DataFrame:
     """Undecimated Haar details d1 .. dn and the rest an; samples before the first repeat it."""
-    w = by_order(keys, order)
-    df = df.withColumn("a0", F.col(value))
-    for k in range(1, levels + 1):
-        before = F.coalesce(F.lag(f"a{k - 1}", 1 << (k - 1)).over(w), F.first(f"a{k - 1}").over(w))
-        df = df.withColumn(f"a{k}", (F.col(f"a{k - 1}") + before) / 2).withColumn(f"d{k}", F.col(f"a{k - 1}") - F.col(f"a{k}"))
-    return df.drop(*(f"a{k}" for k in range(levels)))
+
+    def levels_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        w = by_order(keys, order)
+        rows = rows.withColumn("a0", F.col(value))
+        for k in range(1, levels + 1):
+            before = F.coalesce(F.lag(f"a{k - 1}", 1 << (k - 1)).over(w), F.first(f"a{k - 1}").over(w))
+            rows = rows.withColumn(f"a{k}", (F.col(f"a{k - 1}") + before) / 2).withColumn(f"d{k}", F.col(f"a{k - 1}") - F.col(f"a{k}"))
+        return rows.drop(*(f"a{k}" for k in range(levels)))
+
+    return by_pieces(df, keys, order, (1 << levels) - 1, 0, levels_of)
 
 
 def average_reference(df: DataFrame, keys: list[str], value: str = "x", full_rank: bool = False) -> DataFrame:
@@ -31,9 +36,11 @@ def flat_channels(df: DataFrame, keys: list[str], value: str = "x", least: float
 
 def flat_runs(df: DataFrame, keys: list[str], samples: int, order: str = "i", value: str = "x") -> DataFrame:
     """(keys, first, last): runs of at least ``samples`` equal values."""
-    w = by_order(keys, order)
-    new = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
-    runs = df.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def changes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return rows.withColumn("new", F.coalesce((F.col(value) != F.lag(value).over(by_order(keys, order))).cast("int"), F.lit(1)))
+
+    runs = running_sum(by_pieces(df, keys, order, 1, 0, changes), keys, F.col("new"), "run", order)
     out = runs.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
     return out.where(F.col("n") >= samples).drop("run")
 
@@ -71,5 +78,9 @@ def apply_weights(samples: DataFrame, weights: DataFrame, keys: list[str], chan:
 
 def fir(df: DataFrame, keys: list[str], taps: list[float], order: str = "i", value: str = "x", out: str = "y") -> DataFrame:
     """Causal FIR filter with zeros before the first sample, as a sum of lags; for short filters."""
-    w = by_order(keys, order)
-    return df.withColumn(out, sum((F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) * t for k, t in enumerate(taps) if k), F.col(value) * taps[0]))
+
+    def filtered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        w = by_order(keys, order)
+        return rows.withColumn(out, sum((F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) * t for k, t in enumerate(taps) if k), F.col(value) * taps[0]))
+
+    return by_pieces(df, keys, order, len(taps) - 1, 0, filtered)

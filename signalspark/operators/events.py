@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.operators.joins import drop_all_duplicates
+from signalspark.operators.scans import by_pieces, nearest, running_sum
 from signalspark.operators.series import by_order, local_extrema
 
 
@@ -13,12 +14,13 @@ def _crossings(df: DataFrame, keys: list[str], order: str, value: str) -> DataFr
     """Rows with prev_cross and next_cross: the last crossing before or at the row, the first at or after it.
 
     A crossing is the place before the sign changes."""
-    w = by_order(keys, order)
-    crosses = F.when((F.col(value) > 0) != (F.lead(value).over(w) > 0), F.col(order))
-    df = df.withColumn("cross", crosses)
-    before = F.last("cross", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("cross", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("prev_cross", before).withColumn("next_cross", after).drop("cross")
+
+    def crosses(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
+        return rows.withColumn("cross", F.when((F.col(value) > 0) != (F.lead(value).over(by_order(keys, row)) > 0), F.col(order)))
+
+    df = by_pieces(df, keys, order, 0, 1, crosses)
+    df = nearest(df, keys, F.col("cross"), "prev_cross", order, own=False)
+    return nearest(df, keys, F.col("cross"), "next_cross", order, ahead=True).drop("cross")
 
 
 def slow_waves(
@@ -95,16 +97,17 @@ def phase(df: DataFrame, keys: list[str], order: str = "i", value: str = "x") ->
     marks = ext.select(*(F.col(k).alias(f"{k} of") for k in keys), F.col(order).cast("long").alias("at"), "kind")
     rows = df.join(marks, [*(df[k].eqNullSafe(marks[f"{k} of"]) for k in keys), df[order] == marks["at"]], "left").drop(*(f"{k} of" for k in keys))
     mark = F.when(F.col("kind").isNotNull(), F.struct(F.col("at").alias("at"), F.when(F.col("kind") == "peak", 0.5).otherwise(0.0).alias("phase")))
-    w = by_order(keys, order)
-    rows = rows.withColumn("last", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("next", F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = nearest(rows, keys, mark, "last", order)
+    rows = nearest(rows, keys, mark, "next", order, ahead=True, own=False)
     step = 0.5 * (F.col(order) - F.col("last.at")) / (F.col("next.at") - F.col("last.at"))
     return rows.withColumn("phase", F.when(F.col("next").isNotNull(), F.col("last.phase") + step)).drop("at", "kind", "last", "next")
 
 
 def runs(df: DataFrame, keys: list[str], state: str, order: str = "i") -> DataFrame:
     """(keys, state, first, last, n): stretches of one state, by gaps and islands."""
-    w = by_order(keys, order)
-    new = F.coalesce((~F.col(state).eqNullSafe(F.lag(state).over(w))).cast("int"), F.lit(1))
-    islands = df.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def changes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return rows.withColumn("new", F.coalesce((~F.col(state).eqNullSafe(F.lag(state).over(by_order(keys, order)))).cast("int"), F.lit(1)))
+
+    islands = running_sum(by_pieces(df, keys, order, 1, 0, changes), keys, F.col("new"), "run", order)
     return islands.groupBy(*keys, state, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run")

@@ -1,7 +1,7 @@
 """Operators on long series (keys, order, value).
 
 Statistics of a whole series come from a grouped aggregate that is joined back, so a long channel is combined
-on the map side; windows are used where neighbours matter.
+on the map side; running sums and windows of neighbours go by stretches (``scans``), so it runs on many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalspark.operators.scans import by_pieces, running_sum
+
 
 def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
     """Joins aggregates per key to all rows; null keys match each other."""
@@ -34,26 +36,33 @@ def by_order(keys: list[str], order: str = "i"):
 
 def box_smooth(df: DataFrame, keys: list[str], width: int, order: str = "i", value: str = "x", out: str = "y") -> DataFrame:
     """Moving sum over ``width`` samples, zeros beyond the ends, divided by width."""
-    frame = by_order(keys, order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumn(out, F.sum(value).over(frame) / width)
+    back, ahead = width // 2, (width - 1) // 2
+
+    def smooth(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return rows.withColumn(out, F.sum(value).over(by_order(keys, order).rowsBetween(-back, ahead)) / width)
+
+    return by_pieces(df, keys, order, back, ahead, smooth)
 
 
 def trailing_mean(df: DataFrame, keys: list[str], width: int, order: str = "i", value: str = "x", out: str = "y") -> DataFrame:
     """Mean over the last ``width`` samples, with zeros before the first."""
-    return df.withColumn(out, F.sum(value).over(by_order(keys, order).rowsBetween(1 - width, 0)) / width)
+
+    def smooth(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return rows.withColumn(out, F.sum(value).over(by_order(keys, order).rowsBetween(1 - width, 0)) / width)
+
+    return by_pieces(df, keys, order, width - 1, 0, smooth)
 
 
 def walk(df: DataFrame, keys: list[str], order: str = "i", value: str = "x", out: str = "y") -> DataFrame:
     """Running sum of what is left after the mean."""
     df = with_stats(df, keys, mean=F.avg(value), n=F.count(value))
-    frame = by_order(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(F.col(value) - F.col("mean")).over(frame)).drop("mean")
+    return running_sum(df, keys, F.col(value) - F.col("mean"), out, order).drop("mean")
 
 
 def zero_crossings(df: DataFrame, keys: list[str], order: str = "i", value: str = "x") -> DataFrame:
     """Rows after which the sign (above zero or not) changes."""
-    after = F.lead(value).over(by_order(keys, order))
-    return df.withColumn("after", after).where(F.col("after").isNotNull() & ((F.col(value) > 0) != (F.col("after") > 0))).drop("after")
+    df = by_pieces(df, keys, order, 0, 1, lambda rows, keys, order: rows.withColumn("after", F.lead(value).over(by_order(keys, order))))
+    return df.where(F.col("after").isNotNull() & ((F.col(value) > 0) != (F.col("after") > 0))).drop("after")
 
 
 def local_extrema(df: DataFrame, keys: list[str], order: str = "i", value: str = "x", low: float | None = None, high: float | None = None) -> DataFrame:
@@ -61,12 +70,17 @@ def local_extrema(df: DataFrame, keys: list[str], order: str = "i", value: str =
 
     ``low`` and ``high`` bound the height: the value of a peak, minus the value of a trough. Runs of equal values
     are islands; an island is an extremum if both neighbours lie on the same side of it."""
-    w = by_order(keys, order)
-    new = F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1))
-    df = df.withColumn("island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def changes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return rows.withColumn("new", F.coalesce((F.col(value) != F.lag(value).over(by_order(keys, order))).cast("int"), F.lit(1)))
+
+    def neighbours(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        w = by_order(keys, order)
+        return rows.withColumn("before", F.lag(value).over(w)).withColumn("next", F.lead(value).over(w))
+
+    df = running_sum(by_pieces(df, keys, order, 1, 0, changes), keys, F.col("new"), "island", order)
     islands = df.groupBy(*keys, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min(value).alias(value))
-    w = Window.partitionBy(*keys).orderBy("island")
-    islands = islands.withColumn("before", F.lag(value).over(w)).withColumn("next", F.lead(value).over(w))
+    islands = by_pieces(islands, keys, "island", 1, 1, neighbours)
     kind = F.when((F.col(value) > F.col("before")) & (F.col(value) > F.col("next")), "peak").when((F.col(value) < F.col("before")) & (F.col(value) < F.col("next")), "trough")
     out = islands.withColumn("kind", kind).where("kind is not null")
     height = F.when(F.col("kind") == "peak", F.col(value)).otherwise(-F.col(value))
