@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from signalspark.functions.arrays import rnd
-from signalspark.operators import cardiac, graph, subspace
+from signalspark.operators import cardiac, cleaning, denoising, graph, subspace
 from signalspark.operators import multichannel as mc
 from signalspark.plans.catalog_graph import _channels, _graph
 from signalspark.plans.catalog_series import _two_types
@@ -21,19 +21,39 @@ def subspace_cleaning(spark, d):
     return out.select("label", "chan", "t", rnd(F.col("x")).alias("x"))
 
 
+def _others(x):
+    """(label, a, b, cov): covariances of the channels over the samples of all other classes."""
+    a, b = (x.select("label", "t", F.col("chan").alias(c), F.col("x").alias(v)) for c, v in (("a", "u"), ("b", "v")))
+    own = a.join(b, ["label", "t"]).groupBy("label", "a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("s"), F.count("*").alias("n"))
+    every = own.groupBy("a", "b").agg(F.sum("s").alias("ss"), F.sum("n").alias("nn"))
+    return own.join(every, ["a", "b"]).select("label", "a", "b", ((F.col("ss") - F.col("s")) / F.greatest(F.col("nn") - F.col("n"), F.lit(1))).alias("cov"))
+
+
+def _denoised(spark, d):
+    x = _channels(spark, d)
+    return x, _others(x), *denoising.denoise(x, ["label"], _others(x), 64, 300.0)
+
+
 @query()
 def reference_denoising(spark, d):
-    """Components far above a reference covariance taken out, per segment."""
-    import numpy as np
+    """Components far above the covariance of the other classes taken out, as a whole and by Haar bands, limits by search."""
+    _, _, clean, _ = _denoised(spark, d)
+    return clean.select("label", "chan", "t", rnd(F.col("x")).alias("x"))
 
-    def clean(m, chans, times, key):
-        n = len(m)
-        ref = 0.6 ** np.abs(np.subtract.outer(np.arange(n), np.arange(n))) * m.var()
-        return mc.long_frame(mc.reference_denoise(m, ref, 6.0), chans, times)
 
-    x = mc.with_segments(_channels(spark, d), 256)
-    out = mc.map_segments(x, ["label", "segment"], clean, "chan int, t long, x double")
-    return out.select("label", "chan", "t", rnd(F.col("x")).alias("x"))
+@query()
+def denoising_limits(spark, d):
+    """Thresholds that the search finds per class and band, with their scores."""
+    _, _, _, found = _denoised(spark, d)
+    return found.select("label", "band", rnd(F.col("threshold"), 4).alias("threshold"), rnd(F.col("score"), 4).alias("score"))
+
+
+@query()
+def denoising_scores(spark, d):
+    """How much more alike the reference the cleaned samples are than what was taken out, per class."""
+    x, ref, clean, _ = _denoised(spark, d)
+    x = cleaning.average_reference(x, ["label", "t"], full_rank=True)
+    return denoising.denoising_score(x, clean, ["label"], ref, 64).select("label", rnd(F.col("score"), 4).alias("score"))
 
 
 @query()
