@@ -96,6 +96,7 @@ def reference_matrices(reference: DataFrame, on: list[str], chan: str) -> tuple[
     A pair that is given twice has its mean, one that is missing 0."""
     both = reference.select(*on, "a", "b", "cov").dropna()
     both = both.unionByName(both.where("a <> b").select(*on, F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+    both = cut(both)
     names = both.groupBy(*on).agg(F.array_sort(F.collect_set("a")).alias("names"))
     places = names.select(*on, F.size("names").alias("n"), F.posexplode("names").alias("c", chan))
     at = both.groupBy(*on, "a", "b").agg(F.avg("cov").alias("cov")).join(places.withColumnRenamed(chan, "a").withColumnRenamed("c", "ca"), [*on, "a"])

@@ -113,15 +113,22 @@ def independent_components(x: np.ndarray, keep: float = 0.99, seed: int = 0, rou
 
 
 # --- clusters and perturbational complexity --------------------------------------------------------------------
-def tfce(values: DataFrame, adjacency: DataFrame, keys: list[str], step: float, extent: float = 0.5, height: float = 2.0) -> DataFrame:
-    """(keys, node, score): threshold-free cluster enhancement of positive values (keys, node, v).
+def tfce(values: DataFrame, adjacency: DataFrame, keys: list[str], step: float, extent: float = 0.5, height: float = 2.0, both: bool = False) -> DataFrame:
+    """(keys, node, score): threshold-free cluster enhancement of positive values (keys, node, v), or of ``both`` sides, each by
+    itself, negative values with negative scores. ``adjacency`` (a, b, both ways) may have some or all of the keys; a node without
+    a value or a neighbour scores by itself or 0.
 
     Thresholds step, 2 step, ... are rows; clusters of all thresholds are found together as components of the
     active nodes, and a node sums extent**E x h**H x step over the thresholds it passes."""
+    if both:
+        signed = values.withColumns({"_side": F.signum("v"), "v": F.abs("v")})
+        scores = tfce(signed, adjacency, [*keys, "_side"], step, extent, height)
+        return scores.select(*keys, "node", F.coalesce(F.col("score") * F.col("_side"), F.lit(0.0)).alias("score"))
+    on = [k for k in keys if k in adjacency.columns]
     rows = values.where(F.col("v") > step).withColumn("level", F.explode(F.sequence(F.lit(1), F.ceil(F.col("v") / step).cast("int") - 1)))
     active = rows.select(*keys, "level", "node")
     a, b = active.withColumnRenamed("node", "a"), active.withColumnRenamed("node", "b")
-    edges = a.join(adjacency, "a").join(b, [*keys, "level", "b"]).select(*keys, "level", "a", "b").where("a < b")
+    edges = a.join(adjacency, [*on, "a"]).join(b, [*keys, "level", "b"]).select(*keys, "level", "a", "b").where("a < b")
     found = components(edges, active, [*keys, "level"])
     sizes = found.groupBy(*keys, "level", "component").agg(F.count("*").alias("n"))
     h = F.col("level") * F.lit(float(step))

@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from signalspark.functions.arrays import rnd
-from signalspark.operators import cardiac, cleaning, denoising, graph, subspace
+from signalspark.operators import cardiac, cleaning, denoising, graph, lineage, series, subspace
 from signalspark.operators import multichannel as mc
-from signalspark.plans.catalog_graph import _channels, _graph
+from signalspark.plans.catalog_graph import GRAPH, _channels, _graph
 from signalspark.plans.catalog_series import _two_types
 from signalspark.plans.registry import query
 
@@ -88,15 +88,27 @@ def perturbational_complexity(spark, d):
     return out.select("label", "segment", rnd(F.col("pci")).alias("pci"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + GRAPH
+    + """, st AS (SELECT nd.g, nd.node, COALESCE(SUM(w), 0) / MAX(n) AS s FROM nd JOIN nn USING (g) LEFT JOIN (SELECT g, a, w FROM we UNION ALL SELECT g, b, w FROM we) u ON u.g = nd.g AND u.a = nd.node GROUP BY 1, 2),
+dv AS (SELECT g, node, s - AVG(s) OVER (PARTITION BY g) AS v FROM st),
+sp AS (SELECT MAX(ABS(v)) / 9.5 AS step FROM dv),
+lv AS (SELECT g, node, SIGN(v) AS side, UNNEST(range(1, CEIL(ABS(v) / step)::BIGINT)) AS level FROM dv, sp),
+reach(g, side, level, a, b) AS (SELECT g, side, level, node, node FROM lv
+  UNION SELECT r.g, r.side, r.level, r.a, bw.b FROM reach r JOIN bw ON bw.g = r.g AND bw.a = r.b JOIN lv ON lv.g = r.g AND lv.side = r.side AND lv.level = r.level AND lv.node = bw.b),
+cl AS (SELECT g, side, level, a AS node, COUNT(*) AS size FROM reach GROUP BY 1, 2, 3, 4),
+sc AS (SELECT g, node, SUM(side * SQRT(size) * POWER(level * step, 2) * step) AS score FROM cl, sp GROUP BY 1, 2)
+SELECT g, node, ROUND(COALESCE(score, 0), 4) + 0.0 AS score FROM dv LEFT JOIN sc USING (g, node)"""
+)
 def cluster_enhancement(spark, d):
-    """Cluster enhancement of node strengths over the graph itself."""
+    """Node strengths above and below the graph's mean, enhanced by clusters over the graph's own edges."""
     e, n = _graph(spark, d)
-    strength = graph.intensity(e, n, ["g"]).select("g", "node", (F.col("intensity")).alias("v"))
-    top = strength.agg(F.max("v")).first()[0] or 1.0
-    ring = spark.range(40).select(F.col("id").alias("a"), ((F.col("id") + 1) % 40).alias("b"))
-    ring = ring.union(ring.select("b", "a"))
-    out = mc.tfce(strength, ring, ["g"], top / 10)
+    strength = graph.intensity(e, n, ["g"]).select("g", "node", F.col("intensity").alias("v"))
+    strength = lineage.cut(series.with_stats(strength, ["g"], centre=F.avg("v")).select("g", "node", (F.col("v") - F.col("centre")).alias("v")))
+    edges = graph.both_ways(graph.percentile_graph(e, n, ["g"]), ["g"], "w").select("g", "a", "b")
+    step = (strength.agg(F.max(F.abs("v"))).first()[0] or 9.5) / 9.5
+    out = mc.tfce(strength, edges, ["g"], step, both=True)
     return out.select("g", "node", rnd(F.col("score"), 4).alias("score"))
 
 

@@ -54,6 +54,17 @@ def test_enhancement_of_a_plateau(spark):
     assert got[3] == pytest.approx(want) and got[0] == 0
 
 
+def test_cluster_enhancement_of_both_sides_over_keyed_edges(spark):
+    v = spark.createDataFrame([("k", i, x) for i, x in enumerate([1.0, 1.0, -1.0, -1.0, 0.0, 1.0])] + [("m", 0, 1.0), ("m", 1, 1.0), ("m", 2, None)], "k string, node long, v double")
+    edges = [("k", i, i + 1) for i in range(5)]
+    ring = spark.createDataFrame([e for k, a, b in edges for e in ((k, a, b), (k, b, a))], "k string, a long, b long")
+    got = {(r["k"], r["node"]): r["score"] for r in mc.tfce(v, ring, ["k"], 0.4, both=True).collect()}
+    one = sum((j * 0.4) ** 2 * 0.4 for j in (1, 2))
+    two = 2**0.5 * one
+    want = {("k", 0): two, ("k", 1): two, ("k", 2): -two, ("k", 3): -two, ("k", 4): 0, ("k", 5): one, ("m", 0): one, ("m", 1): one, ("m", 2): 0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_ridge_from_sums(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 2))
