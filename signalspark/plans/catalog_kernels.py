@@ -75,7 +75,15 @@ def sample_entropy(spark, d):
     return _rounded(out, ["vec_id"], ["sampen"])
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + SIG
+    + """, bits AS (SELECT vec_id, STRING_AGG(CASE WHEN x > m THEN '1' ELSE '0' END, '' ORDER BY i) AS s FROM (SELECT *, AVG(x) OVER (PARTITION BY vec_id) AS m FROM sig) GROUP BY 1),
+lz(vec_id, s, pos, size, c) AS (SELECT vec_id, s, 0, 1, 0 FROM bits UNION ALL
+  SELECT vec_id, s, CASE WHEN longer THEN pos ELSE pos + size END, CASE WHEN longer THEN size + 1 ELSE 1 END, CASE WHEN longer THEN c ELSE c + 1 END
+  FROM (SELECT *, pos + size <= 64 AND CONTAINS(SUBSTR(s, 1, pos + size - 1), SUBSTR(s, pos + 1, size)) AS longer FROM lz WHERE pos < 64))
+SELECT vec_id, ROUND(MAX(c) * LOG2(64) / 64, 6) + 0.0 AS lz FROM lz GROUP BY 1"""
+)
 def lz76(spark, d):
     """Lempel-Ziv complexity of the epochs above their mean."""
     out = k.map_epochs(epochs(spark, d), ["vec_id"], lambda x: {"lz": k.lempel_ziv_normalised(x)}, "lz double")
