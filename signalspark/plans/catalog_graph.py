@@ -391,7 +391,11 @@ def union_all_long(spark, d):
 
 @query("SELECT event_type, max_by(event_id, value) AS top, min_by(event_id, value) AS low FROM events GROUP BY 1")
 def arg_extremes(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.max_by("event_id", "value").alias("top"), F.min_by("event_id", "value").alias("low"))
+    """Events of greatest and least value; of equal values the least event_id, which the SQL leaves open."""
+    known = F.when(F.col("value").isNotNull() & F.col("event_id").isNotNull(), F.col("value"))
+    top = F.max_by("event_id", F.when(known.isNotNull(), F.struct(known.alias("v"), (-F.col("event_id")).alias("id"))))
+    low = F.min_by("event_id", F.when(known.isNotNull(), F.struct(known.alias("v"), F.col("event_id").alias("id"))))
+    return table(spark, d, "events").groupBy("event_type").agg(top.alias("top"), low.alias("low"))
 
 
 @query(with_(EVT) + "SELECT user_id, event_id, r FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY x DESC, event_id) AS r FROM evt) WHERE r <= 3")

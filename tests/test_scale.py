@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalspark.operators import graph
+from signalspark.plans import catalog
 
 
 def shares(rows):
@@ -36,3 +37,10 @@ def test_pairs_of_items_are_not_shuffled(spark):
     assert written.count() == 3000 * 2999 // 2
     assert len(got.groupBy(F.spark_partition_id()).count().collect()) > 2
     assert graph.coassociation(rows.limit(0), "id", "model", "label").count() == 0
+
+
+def test_extremes_with_ties_take_the_least_id(spark, tmp_path):
+    rows = [(i, "a", float(v)) for i, v in ((5, 2), (3, 2), (9, 2), (4, 1), (2, 1), (8, 1))] + [(1, "a", None), (6, "b", None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_type"]: (r["top"], r["low"]) for r in catalog.QUERIES["arg_extremes"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (3, 2), "b": (None, None)}
