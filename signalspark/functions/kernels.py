@@ -1,7 +1,8 @@
 """Array kernels for what columns cannot express: long transforms, recursive filters, iterative fits.
 
 Each works on a block (epochs x samples) of equal length. ``map_epochs`` brings them to a DataFrame: Arrow
-batches go straight from the scan to the kernel, nothing is shuffled, and a task holds one batch at a time.
+batches go straight from the scan to the kernel, nothing is shuffled, and a task holds one batch at a time, of which a kernel
+sees ``BLOCK`` samples at once, as kernels need many times the room of their samples.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Samples that a kernel is given at once, but whole epochs.
+BLOCK = 1 << 14
+
+
 def map_epochs(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, value: str = "x") -> DataFrame:
     """(keys, <schema>) for each row. ``kernel`` takes a block and returns columns; null or empty arrays give nulls.
 
-    Rows of a batch are grouped by length, so epochs of several lengths may come mixed."""
+    Rows of a batch are grouped by length, so epochs of several lengths may come mixed; a kernel gets some of them at a time."""
     rows = df.select(*keys, F.col(value).cast("array<double>").alias("signal of row"))
     fields = T._parse_datatype_string(schema).fields
     out = T.StructType([*rows.drop("signal of row").schema.fields, *fields])
@@ -32,12 +37,12 @@ def map_epochs(df: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], di
             sizes = np.where(signals.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
             cols = {n: [None] * len(sizes) for n in names}
             for size in np.unique(sizes[sizes > 0]).tolist():
-                at = np.flatnonzero(sizes == size)
-                block = flat[starts[at][:, None] + np.arange(size)]
-                got = kernel(block)
-                for n in names:
-                    for i, v in zip(at.tolist(), got[n], strict=True):
-                        cols[n][i] = v if isinstance(v, np.ndarray) else None if v != v else v.item() if hasattr(v, "item") else v
+                of_size, some = np.flatnonzero(sizes == size), max(1, BLOCK // size)
+                for at in (of_size[k : k + some] for k in range(0, len(of_size), some)):
+                    got = kernel(flat[starts[at][:, None] + np.arange(size)])
+                    for n in names:
+                        for i, v in zip(at.tolist(), got[n], strict=True):
+                            cols[n][i] = v if isinstance(v, np.ndarray) else None if v != v else v.item() if hasattr(v, "item") else v
             types = [pa.list_(pa.float64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64() for f in fields]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(cols[n], t) for n, t in zip(names, types, strict=True))], [*b.schema.names[:-1], *names])
 

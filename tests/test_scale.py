@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signalspark.functions import kernels
 from signalspark.operators import coupling, graph
 from signalspark.plans import catalog
 
@@ -51,3 +52,16 @@ def test_penalties_of_equal_error_go_to_the_first(spark):
     rows = [(i, *map(float, r.normal(100, 40, 3))) for i in range(60)]  # one row a key: no other row to learn from
     got = coupling.ridge_loo(spark.createDataFrame(rows, "g int, a double, b double, y double"), ["g"], ["a", "b"], "y", [1e2, 1e5, 1e8])
     assert {r["alpha"] for r in got.collect()} == {1e2}
+
+
+def test_kernels_see_a_bounded_block_of_epochs(spark):
+    rows = spark.range(0, 3000, 1, 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.col("id") * k % 17).cast("double")).alias("x"))
+
+    def seen(x):
+        return {"n": np.full(len(x), float(x.size)), "s": x.sum(axis=1)}
+
+    got = kernels.map_epochs(rows, ["id"], seen, "n double, s double").collect()
+    assert len(got) == 3000 and max(r["n"] for r in got) <= kernels.BLOCK
+    assert all(r["s"] == sum(r["id"] * k % 17 for k in range(64)) for r in got)
+    long = spark.createDataFrame([(1, [1.0] * (kernels.BLOCK + 1))], "id int, x array<double>")
+    assert kernels.map_epochs(long, ["id"], seen, "n double, s double").first()["n"] == kernels.BLOCK + 1
