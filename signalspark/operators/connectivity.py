@@ -120,6 +120,11 @@ def growing_cycles(top: float, n: int) -> list[int]:
     return [int(v + 1e-9) for v in log_frequencies(3.0, top / 2, n)]
 
 
+def _slices(batches, rows: int = 128):
+    """Arrow batches of at most ``rows`` rows, as transforms and pairs need many times the room of a row."""
+    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+
 def wavelet_coefficients(epochs: DataFrame, keys: list[str], chan: str, srate: float, freqs: list[float], cycles: list[int], decim: int = 1, value: str = "x") -> DataFrame:
     """(keys, chan, re, im): coefficients of each epoch and channel, frequency after frequency, every ``decim`` th sample.
 
@@ -130,7 +135,7 @@ def wavelet_coefficients(epochs: DataFrame, keys: list[str], chan: str, srate: f
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, chan))
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             x = b.column(b.num_columns - 1)
             flat, offsets = x.flatten().to_numpy(), np.append(0, np.cumsum(x.value_lengths().to_numpy()))
             re, im = [None] * len(x), [None] * len(x)
@@ -183,7 +188,7 @@ def wavelet_connectivity(
         return coh, np.abs(u), ciplv, pli, wpli
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             found = [measures(*(np.asarray(v) for v in row)) for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns - 4, b.num_columns)), strict=True)]
             cols = [pa.array([m[k] for m in found], pa.list_(pa.float64())) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-4], *cols], [*b.schema.names[:-4], *MEASURES])

@@ -3,11 +3,12 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from signalspark.functions import kernels
-from signalspark.operators import coupling, graph
+from signalspark.operators import connectivity, coupling, graph
 from signalspark.plans import catalog
 
 
@@ -65,3 +66,9 @@ def test_kernels_see_a_bounded_block_of_epochs(spark):
     assert all(r["s"] == sum(r["id"] * k % 17 for k in range(64)) for r in got)
     long = spark.createDataFrame([(1, [1.0] * (kernels.BLOCK + 1))], "id int, x array<double>")
     assert kernels.map_epochs(long, ["id"], seen, "n double, s double").first()["n"] == kernels.BLOCK + 1
+
+
+def test_pairs_of_channels_reach_python_in_slices():
+    batches = [pa.record_batch({"v": list(range(n))}) for n in (300, 0, 5)]
+    got = list(connectivity._slices(iter(batches), 128))
+    assert max(b.num_rows for b in got) <= 128 and [v for b in got for v in b.column(0).to_pylist()] == [*range(300), *range(5)]
