@@ -213,15 +213,22 @@ def subspace_clean(
     last = mine.groupBy(*keys).agg(F.floor(F.max(t) / segment).alias("last segment"))
     seg = F.floor(F.col(t) / segment)
     both = F.when(F.col(t) >= (seg + 1) * segment - halo, F.array(seg, seg + 1)).otherwise(F.array(seg))
-    mine = mine.withColumn("segment", F.explode(both)).join(model.join(last, keys), keys).where(F.col("segment") <= F.col("last segment"))
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        chans, start = list(part["chans"].iloc[0]), int(key[-1]) * segment
+    # Where nothing lies in a segment, its neighbour's halo alone makes no rows.
+    mine = mine.withColumn("segment", F.explode(both))
+    # The model comes to a segment once, not with each sample.
+    group = [*keys, "segment"]
+    models = mine.select(*group).distinct().join(model.join(last, keys), keys)
+    models = models.select(*(F.col(k).alias(f"its {k}") for k in group), "chans", "mixing", "limits", "last segment")
+
+    def run(key, part: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or its.empty or key[-1] > its["last segment"].iloc[0]:
+            return pd.DataFrame({c: [] for c in (*keys, chan, t, value)})
+        chans, start = list(its["chans"].iloc[0]), int(key[-1]) * segment
         n, first = len(chans), max(0, start - halo)
-        final = key[-1] == part["last segment"].iloc[0]
+        final = key[-1] == its["last segment"].iloc[0]
         stop = int(part[t].max()) + 1 if final else start + segment
         x, there = _matrix(part, chans, np.arange(first, stop), chan, t, value)
-        c = Cleaner(np.array(part["mixing"].iloc[0]).reshape(n, n), np.array(part["limits"].iloc[0]).reshape(n, n), window, step, ahead, max_share, at=first)
+        c = Cleaner(np.array(its["mixing"].iloc[0]).reshape(n, n), np.array(its["limits"].iloc[0]).reshape(n, n), window, step, ahead, max_share, at=first)
         c.push(x[:, : start - first])
         told = c.push(x[:, start - first :]) + (c.flush() if final else [])
         out = []
@@ -233,6 +240,6 @@ def subspace_clean(
         return frame.assign(**dict(zip(keys, key[:-1], strict=True)))[[*keys, chan, t, value]]
 
     heads = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    done = mine.groupBy(*keys, "segment").applyInPandas(lambda key, part: run(key, part), f"{heads}, {chan} string, {t} long, {value} double")
+    done = mine.groupBy(*group).cogroup(models.groupBy(*(f"its {k}" for k in group))).applyInPandas(lambda key, part, its: run(key, part, its), f"{heads}, {chan} string, {t} long, {value} double")
     done = done.select(*keys, F.col(chan).cast(kinds[chan]).alias(chan), F.col(t).cast(kinds[t]).alias(t), value)
     return done.unionByName(others)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalspark.functions import kernels
-from signalspark.operators import connectivity, coupling, graph
+from signalspark.operators import connectivity, coupling, graph, subspace
 from signalspark.plans import catalog
 
 
@@ -72,3 +72,13 @@ def test_pairs_of_channels_reach_python_in_slices():
     batches = [pa.record_batch({"v": list(range(n))}) for n in (300, 0, 5)]
     got = list(connectivity._slices(iter(batches), 128))
     assert max(b.num_rows for b in got) <= 128 and [v for b in got for v in b.column(0).to_pylist()] == [*range(300), *range(5)]
+
+
+def test_a_segment_gets_its_model_once(spark):
+    rows = spark.range(0, 4000).select(F.lit("r").alias("rec"), (F.col("id") % 4).alias("chan"), F.floor(F.col("id") / 4).alias("t"), F.sin("id").alias("x"))
+    model = subspace.subspace_model(rows, ["rec"], 50, 3.0)
+    got = subspace.subspace_clean(rows, model, ["rec"], 64, 16, 32, 256)
+    sides = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in sides and "FlatMapGroupsInPandas" not in sides
+    whole = subspace.subspace_clean(rows, model, ["rec"], 64, 16, 32, 1 << 16)
+    assert [round(r["x"], 9) for r in got.orderBy("t", "chan").collect()] == [round(r["x"], 9) for r in whole.orderBy("t", "chan").collect()]
