@@ -6,10 +6,16 @@ on the map side; running sums and windows of neighbours go by stretches (``scans
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from signalspark.operators.scans import by_pieces, running_sum
+from signalspark.operators.scans import STRETCH, by_pieces, running_sum
+
+MOMENTS = ("part_n", "part_mi", "part_my", "part_ii", "part_iy", "part_yy")
 
 
 def with_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
@@ -122,13 +128,75 @@ def log_scales(n: Column, least: int, factor: float) -> Column:
     return F.when(top >= 0, F.array_distinct(powers)).otherwise(F.array().cast("array<bigint>"))
 
 
-def block_errors(df: DataFrame, keys: list[str], least: int, factor: float, order: str = "i", value: str = "x") -> DataFrame:
-    """(keys, n, scale, block, error): mean squared error about the line of each block of the walk, per scale."""
-    y = walk(df, keys, order, value)
-    y = y.withColumn("scale", F.explode(log_scales(F.col("n"), least, factor)))
-    y = y.withColumn("block", F.floor(F.col(order) / F.col("scale"))).where(F.col("block") < F.floor(F.col("n") / F.col("scale")))
-    sse = F.regr_syy("y", order) - F.pow(F.regr_sxy("y", order), F.lit(2)) / F.regr_sxx("y", order)
-    return y.groupBy(*keys, "n", "scale", "block").agg(sse.alias("sse")).withColumn("error", F.greatest(F.col("sse"), F.lit(0.0)) / F.col("scale")).drop("sse")
+def _moments(i: np.ndarray, y: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(block, n, mean of i, mean of y, and the sums of squares and products about them) of runs of equal blocks."""
+    starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+    n = np.diff(np.append(starts, len(block)))
+    mi, my = np.add.reduceat(i, starts) / n, np.add.reduceat(y, starts) / n
+    di, dy = i - np.repeat(mi, n), y - np.repeat(my, n)
+    return block[starts], n.astype(float), mi, my, *(np.add.reduceat(v, starts) for v in (di * di, di * dy, dy * dy))
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """Moments of two parts of a block."""
+    n, di, dy = a["n"] + b["n"], b["mi"] - a["mi"], b["my"] - a["my"]
+    w = a["n"] * b["n"] / n
+    parts = {"n": n, "mi": a["mi"] + di * b["n"] / n, "my": a["my"] + dy * b["n"] / n}
+    parts |= {"ii": a["ii"] + b["ii"] + w * di * di, "iy": a["iy"] + b["iy"] + w * di * dy, "yy": a["yy"] + b["yy"] + w * dy * dy}
+    return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+
+def block_errors(df: DataFrame, keys: list[str], least: int, factor: float, order: str = "i", value: str = "x", size: int = STRETCH) -> DataFrame:
+    """(keys, n, scale, error): mean squared error about the line of each block of the walk, per scale.
+
+    Series come to the kernel by stretches of ``size`` of their order, with the walk up to there from the stretches' sums. A block
+    inside a stretch is settled there, so a task keeps no row a block; of a block over several, moments are merged."""
+    rows = df.select(*keys, F.col(order).cast("double").alias("i"), F.col(value).cast("double").alias("v"), F.floor(F.col(order) / size).cast("long").alias("piece"))
+    group, every = [*keys, "piece"], Window.partitionBy(*keys)
+    sums = rows.groupBy(*group).agg(F.sum("v").alias("s"), F.count("v").alias("c")).withColumn("n", F.sum("c").over(every))
+    sums = sums.withColumn("mean", F.try_divide(F.sum("s").over(every), F.col("n")))
+    before = every.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("carry", F.sum(F.coalesce("s", F.lit(0.0)) - F.col("mean") * F.col("c")).over(before)).withColumn("seen", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    sums = sums.select(*(F.col(k).alias(f"its {k}") for k in group), "n", "mean", F.coalesce("carry", F.lit(0.0)).alias("carry"), "seen", log_scales(F.col("n"), least, factor).alias("scales"))
+    kinds = [df.schema[k] for k in keys]
+    found = {"n": "long", "scale": "long", "errors": "array<double>", "block": "long", **dict.fromkeys(MOMENTS, "double")}
+    out = T.StructType([*kinds, *(T.StructField(k, T._parse_datatype_string(t)) for k, t in found.items())])
+    arrow = to_arrow_schema(out)
+
+    def kernel(key, part: pa.Table, its: pa.Table, inside: bool) -> pa.Table:
+        rows, known = [], its.to_pylist()[0] if its.num_rows else {"scales": None}
+        i, v = (part.column(c).to_numpy() for c in ("i", "v"))
+        if known["scales"] and len(i):
+            v = np.where(part.column("v").is_valid().to_numpy(), v, np.nan) if part.column("v").null_count else v
+            at = np.argsort(i, kind="stable")
+            i, there = i[at], ~part.column("v").is_null().to_numpy()[at]
+            y = known["carry"] + np.cumsum(np.where(there, v[at] - known["mean"], 0.0))
+            ok = (np.cumsum(there) + known["seen"]) > 0
+            i, y = i[ok], y[ok]
+            first, stop = int(key[-1].as_py()) * size, (int(key[-1].as_py()) + 1) * size
+            for scale in known["scales"]:
+                block = np.floor(i / scale).astype(np.int64)
+                use = (block < known["n"] // scale) & (((block * scale >= first) & ((block + 1) * scale <= stop)) == inside)
+                if not use.any():
+                    continue
+                own, *m = _moments(i[use], y[use], block[use])
+                if inside:
+                    _, _, _, ii, iy, yy = m
+                    error = np.maximum(yy - np.divide(iy * iy, ii, out=yy.copy(), where=ii > 0), 0) / scale
+                    rows.append({"n": known["n"], "scale": scale, "errors": error})
+                else:
+                    rows += [{"n": known["n"], "scale": scale, "block": int(b), **dict(zip(MOMENTS, map(float, x), strict=True))} for b, *x in zip(own, *m, strict=True)]
+        names = {k.name: v.as_py() for k, v in zip(kinds, key, strict=False)}
+        return pa.Table.from_pylist([names | r for r in rows], arrow)
+
+    pairs = rows.groupBy(*group).cogroup(sums.groupBy(*(f"its {k}" for k in group)))
+    whole = pairs.applyInArrow(lambda key, part, its: kernel(key, part, its, True), out)
+    cut = pairs.applyInArrow(lambda key, part, its: kernel(key, part, its, False), out)
+    parts = cut.groupBy(*keys, "n", "scale", "block").agg(F.collect_list(F.struct(*(F.col(c).alias(k) for c, k in zip(MOMENTS, ("n", "mi", "my", "ii", "iy", "yy"), strict=True)))).alias("m"))
+    all_of = F.aggregate(F.slice("m", F.lit(2), F.size("m")), F.col("m")[0], _merge)
+    parts = parts.withColumn("m", all_of)
+    sse = F.col("m.yy") - F.coalesce(F.try_divide(F.pow("m.iy", F.lit(2)), F.col("m.ii")), F.col("m.yy"))
+    return whole.select(*keys, "n", "scale", F.explode("errors").alias("error")).unionByName(parts.select(*keys, "n", "scale", (F.greatest(sse, F.lit(0.0)) / F.col("scale")).alias("error")))
 
 
 def dfa(df: DataFrame, keys: list[str], order: str = "i", value: str = "x") -> DataFrame:
@@ -139,11 +207,13 @@ def dfa(df: DataFrame, keys: list[str], order: str = "i", value: str = "x") -> D
 
 def mfdfa(df: DataFrame, keys: list[str], orders: list[float], order: str = "i", value: str = "x") -> DataFrame:
     """(keys, q, h): generalised Hurst exponents over scales 10 1.25**k."""
-    e = block_errors(df, keys, 10, 1.25, order, value).withColumn("q", F.explode(F.array(*map(F.lit, orders))))
-    power = F.avg(F.when(F.col("error") > 0, F.pow("error", F.col("q") / 2)))
+    e = block_errors(df, keys, 10, 1.25, order, value)
+    powers = [F.avg(F.when(F.col("error") > 0, F.pow("error", F.lit(q / 2)))) for q in orders]
     still = F.avg(F.when(F.col("error") > 1e-20, F.ln("error")))
-    f = e.groupBy(*keys, "q", "scale").agg(power.alias("power"), still.alias("still"))
-    f = f.withColumn("f", F.when(F.abs("q") < 1e-9, F.exp(F.col("still") / 2)).otherwise(F.pow("power", 1 / F.col("q")))).where("f > 0")
+    # One group a scale for all orders, which become rows afterwards.
+    f = e.groupBy(*keys, "scale").agg(F.array(*(F.struct(F.lit(q).alias("q"), p.alias("power")) for q, p in zip(orders, powers, strict=True))).alias("all"), still.alias("still"))
+    f = f.select(*keys, "scale", "still", F.inline("all"))
+    f = f.withColumn("f", F.when(F.abs("q") < 1e-9, F.exp(F.col("still") / 2)).otherwise(F.pow("power", F.try_divide(F.lit(1.0), F.col("q"))))).where("f > 0")
     return f.groupBy(*keys, "q").agg(F.regr_slope(F.log10("f"), F.log10("scale")).alias("h"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalspark.functions import kernels
-from signalspark.operators import connectivity, coupling, graph, subspace
+from signalspark.operators import connectivity, coupling, graph, series, subspace
 from signalspark.plans import catalog
 
 
@@ -82,3 +82,12 @@ def test_a_segment_gets_its_model_once(spark):
     assert "FlatMapCoGroupsInPandas" in sides and "FlatMapGroupsInPandas" not in sides
     whole = subspace.subspace_clean(rows, model, ["rec"], 64, 16, 32, 1 << 16)
     assert [round(r["x"], 9) for r in got.orderBy("t", "chan").collect()] == [round(r["x"], 9) for r in whole.orderBy("t", "chan").collect()]
+
+
+def test_block_errors_do_not_depend_on_stretches(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, i, None if r.random() < 0.05 else float(v)) for k, n in (("a", 400), (None, 150), ("b", 3)) for i, v in enumerate(r.normal(size=n))]
+    df = spark.createDataFrame([("a", -1, None), *rows], "k string, i long, x double").where("i >= 0")
+    sizes = [{(g["k"], g["scale"], round(g["error"], 9)) for g in series.block_errors(df, ["k"], 4, 1.2, size=s).collect()} for s in (7, 64, 1 << 16)]
+    assert sizes[0] == sizes[1] == sizes[2] and {k for k, _, _ in sizes[0]} == {"a", None}
+    assert series.block_errors(df.limit(0), ["k"], 4, 1.2).count() == 0
