@@ -221,8 +221,9 @@ def subspace_clean(
     models = models.select(*(F.col(k).alias(f"its {k}") for k in group), "chans", "mixing", "limits", "last segment")
 
     def run(key, part: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({chan: pd.Series([], dtype=object), t: pd.Series([], dtype="int64"), value: pd.Series([], dtype=float)})
         if part.empty or its.empty or key[-1] > its["last segment"].iloc[0]:
-            return pd.DataFrame({c: [] for c in (*keys, chan, t, value)})
+            return none.assign(**{k: part[k].head(0).astype(object if isinstance(v, str) else part[k].dtype) for k, v in zip(keys, key[:-1], strict=True)})[[*keys, chan, t, value]]
         chans, start = list(its["chans"].iloc[0]), int(key[-1]) * segment
         n, first = len(chans), max(0, start - halo)
         final = key[-1] == its["last segment"].iloc[0]
@@ -236,8 +237,10 @@ def subspace_clean(
             # Chan and time as they came in: the names of rows of this stretch.
             i, j = np.nonzero(there[:, at - first : at - first + y.shape[1]])
             out.append(pd.DataFrame({chan: np.array(chans, object)[i], t: at + j, value: y[i, j]}))
-        frame = pd.concat(out) if out else pd.DataFrame({chan: [], t: [], value: []})
-        return frame.assign(**dict(zip(keys, key[:-1], strict=True)))[[*keys, chan, t, value]]
+        frame = pd.concat(out, ignore_index=True) if out else none
+        # As objects: pieces of strings put together would not reach Arrow as one array.
+        frame = frame.astype({chan: object}).assign(**{k: pd.Series([v] * len(frame), index=frame.index, dtype=object if isinstance(v, str) else None) for k, v in zip(keys, key[:-1], strict=True)})
+        return frame[[*keys, chan, t, value]]
 
     heads = ", ".join(f"{k} {kinds[k]}" for k in keys)
     done = mine.groupBy(*group).cogroup(models.groupBy(*(f"its {k}" for k in group))).applyInPandas(lambda key, part, its: run(key, part, its), f"{heads}, {chan} string, {t} long, {value} double")
