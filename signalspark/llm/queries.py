@@ -74,8 +74,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the sentences of repeated three-sentence spans, as digests."""
-    out = sentence_dedup.dedup_sentences(documents(spark, sf_dir))
+    """All documents without the sentences of repeated spans, as digests: three sentences, more up to 12 words, fewer from 20 words."""
+    out = sentence_dedup.dedup_sentences(documents(spark, sf_dir), min_words=12, long_words=20)
     return out.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -2,7 +2,8 @@
 
 Every run of ``span`` consecutive sentences is hashed (128 bits), the hashes are joined over the whole corpus,
 and a sentence goes if a span that covers it is not the first of its kind. The first is the one with the least
-(doc_id, digest of the text, place).
+(doc_id, digest of the text, place). Runs may adapt to the sentences' length (``run_ends``): a long passage may hold
+fewer whole sentences than ``span``, and a few short sentences say little.
 
 Texts are stored once in blocks (``blocks``). A block sends each digest once, with its first place in the block, to the
 part of the hash range that the digest falls in; the part replies whose place is the first in the corpus. So a span
@@ -29,30 +30,48 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s]
 
 
-def spans(parts: list[str], span: int) -> tuple[list[int], list[bytes]]:
-    """(places of the counted sentences, digest of the run of ``span`` of them that starts at each).
+def run_ends(sizes: np.ndarray, span: int, min_words: int, long_words: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs over counted sentences of ``sizes`` words, the end not included.
+
+    A run has ``span`` sentences, or more until it has ``min_words`` words, or fewer as soon as it has ``long_words``
+    words. Runs that the text's end cuts short are left out; a text too short for any run but of ``min_words`` words is one."""
+    n, upto = len(sizes), np.r_[0, np.cumsum(sizes)]
+    first = np.arange(n)
+    end = np.maximum(first + span, np.searchsorted(upto, upto[:-1] + min_words))
+    if long_words is not None:
+        end = np.minimum(end, np.searchsorted(upto, upto[:-1] + long_words))
+        if n and end[0] > n and upto[-1] >= min_words:
+            return first[:1], np.array([n])
+    return first[end <= n], end[end <= n]
+
+
+def spans(parts: list[str], span: int, min_words: int = 0, long_words: int | None = None) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes]]:
+    """(places of the counted sentences, first and end of the runs among them, digests of the runs).
 
     Sentences without letters or digits are not counted, but a run covers those inside it; case and white space do
-    not matter. A text of fewer counted sentences than ``span`` has no run."""
-    plain = [" ".join(p.lower().split()) for p in parts]
-    solid = [i for i, w in enumerate(plain) if any(map(str.isalnum, w))]
-    encoded = [plain[i].encode() for i in solid]
-    return solid, [xxhash.xxh3_128_digest(b"\0".join(encoded[k : k + span])) for k in range(len(solid) - span + 1)]
+    not matter. Without ``min_words`` and ``long_words`` a text of fewer counted sentences than ``span`` has no run."""
+    words = [p.lower().split() for p in parts]
+    solid = [i for i, w in enumerate(words) if any(any(map(str.isalnum, x)) for x in w)]
+    encoded = [" ".join(words[i]).encode() for i in solid]
+    first, end = run_ends(np.array([len(words[i]) for i in solid], np.int64), span, min_words, long_words)
+    return solid, first, end, [xxhash.xxh3_128_digest(b"\0".join(encoded[k:e])) for k, e in zip(first.tolist(), end.tolist(), strict=True)]
 
 
-def _block_spans(rows: pa.Table, span: int):
-    """(parts of each text, counted sentences of each text, then by run: row, first counted sentence, digest as two
+def _block_spans(rows: pa.Table, rule: tuple):
+    """(parts of each text, counted sentences of each text, then by run: row, first counted sentence, end, digest as two
     numbers)."""
     texts = [sentences(t.decode()) if t else [] for t in rows.column("text").to_pylist()]
-    solids, row, first, digests = [], [], [], []
+    solids, row, firsts, ends, digests = [], [], [], [], []
     for k, parts in enumerate(texts):
-        solid, found = spans(parts, span)
+        solid, first, end, found = spans(parts, *rule)
         solids.append(solid)
         row += [k] * len(found)
-        first += range(len(found))
+        firsts.append(first)
+        ends.append(end)
         digests += found
     both = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
-    return texts, solids, np.array(row, np.int64), np.array(first, np.int64), both[:, 0], both[:, 1]
+    none = np.zeros(0, np.int64)
+    return texts, solids, np.array(row, np.int64), np.concatenate([none, *firsts]), np.concatenate([none, *ends]), both[:, 0], both[:, 1]
 
 
 def _leaders(rows: pa.Table, row: np.ndarray, first: np.ndarray, high: np.ndarray, low: np.ndarray):
@@ -69,11 +88,11 @@ SENT = "block long, part int, high binary, low binary, ords binary, texts binary
 COLUMNS = ["no", "ord", "doc_id", "sha", "text"]
 
 
-def send(blocks: DataFrame, span: int, part_bits: int) -> DataFrame:
+def send(blocks: DataFrame, rule: tuple, part_bits: int) -> DataFrame:
     """Per block and part, packed and in order: each digest and its first place in the block."""
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
-        _, _, row, first, high, low = _block_spans(rows, span)
+        _, _, row, first, _, high, low = _block_spans(rows, rule)
         order, starts, ords, text = _leaders(rows, row, first, high, low)
         lead = order[starts]
         cols = [high[lead], low[lead], ords[lead], text[lead], first[lead].astype(np.int32)]
@@ -115,19 +134,19 @@ def _strip(parts: list[str], gone: np.ndarray) -> tuple[str, int, int]:
 RESULT = "doc_id long, text binary, n_sentences long, n_removed long, n_spans long"
 
 
-def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, block_bytes: int = 8 << 20) -> DataFrame:
+def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, block_bytes: int = 8 << 20, min_words: int = 0, long_words: int | None = None) -> DataFrame:
     """One row per input row: (doc_id, text, n_sentences, n_removed, n_spans), text without the repeated sentences.
 
     n_removed counts sentences, n_spans maximal runs of removed ones. Null texts stay null with no sentences; empty and
-    wordless texts, and those of fewer than ``span`` sentences, are left alone. A very long text is a block of its own.
+    wordless texts, and those of fewer than ``span`` sentences, are left alone, unless ``min_words`` and ``long_words`` (``run_ends``) say otherwise. A very long text is a block of its own.
     Rows with equal id and text, repeated rows too, are one document: each keeps what is first in it. Of equal ids (null
     comes last) with different texts, the text of the least SHA-256 counts as first. No rows: no result rows; further
     columns are ignored, whatever their names."""
     blocks, total = text_blocks(docs, id_col, text_col, block_bytes)
-    part_bits = part_bits_of(total)
+    part_bits, rule = part_bits_of(total), (span, min_words, long_words)
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
-        texts, solids, row, first, high, low = _block_spans(rows, span)
+        texts, solids, row, first, end, high, low = _block_spans(rows, rule)
         order, starts, ords, text = _leaders(rows, row, first, high, low)
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
         lead = order[starts][of] if len(order) else order
@@ -139,8 +158,8 @@ def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             marks[at : at + len(m)] = np.frombuffer(m, np.uint8) > 0
         hit = order[again | marks[of]]
         gone = [np.zeros(len(p), bool) for p in texts]
-        for r, k in zip(row[hit].tolist(), first[hit].tolist(), strict=True):
-            gone[r][solids[r][k] : solids[r][k + span - 1] + 1] = True
+        for r, k, e in zip(row[hit].tolist(), first[hit].tolist(), end[hit].tolist(), strict=True):
+            gone[r][solids[r][k] : solids[r][e - 1] + 1] = True
         out = [_strip(p, g) for p, g in zip(texts, gone, strict=True)]
         kept, removed, runs = zip(*out, strict=True)
         null = rows.column("text").is_null().to_pylist()
@@ -148,5 +167,5 @@ def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cols = [rows.column("doc_id"), kept, pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
         return pa.table(cols, [c.split()[0] for c in RESULT.split(", ")])
 
-    out = with_blocks(blocks, judge(send(blocks, span, part_bits)), COLUMNS, work, RESULT)
+    out = with_blocks(blocks, judge(send(blocks, rule, part_bits)), COLUMNS, work, RESULT)
     return out.withColumn("text", out["text"].cast("string"))

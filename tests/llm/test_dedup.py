@@ -303,6 +303,39 @@ def test_sentence_spans_match_brute_force(docs, rows, block_bytes):
     assert any(g[3] for g in got)
 
 
+def slow_run_ends(sizes, span, least, long):
+    out = []
+    for k in range(len(sizes)):
+        words = 0
+        for e in range(k, len(sizes)):
+            words += sizes[e]
+            if words >= long or (e + 1 - k >= span and words >= least):
+                out.append((k, e + 1))
+                break
+        else:
+            if k == 0 and words >= least:
+                return [(0, len(sizes))]
+    return out
+
+
+def test_runs_adapt_to_the_length_of_sentences():
+    r = np.random.default_rng(4)
+    for n in [0, 1, 1, 2, 2, 3, 3, *range(4, 30)] * 5:
+        sizes = r.integers(1, r.integers(2, 30), n)
+        got = sentence_dedup.run_ends(sizes, 3, 12, 20)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == slow_run_ends(sizes.tolist(), 3, 12, 20)
+
+
+def test_passages_of_fewer_whole_sentences_than_a_span_go(spark):
+    word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    passage = f"{word(0, 24)}. {word(1, 29)}."  # 53 words, two sentences
+    short = "Yes. No. Well then."
+    rows = [(1, f"{word(2, 9)}. {passage} {word(3, 9)}."), (2, f"{word(4, 9)}. {passage} {word(5, 9)}."), (3, f"{word(6, 9)}. {short} {word(7, 9)}."), (4, f"{word(8, 9)}. {short} {word(9, 9)}.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in sentence_dedup.dedup_sentences(docs, min_words=12, long_words=20).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, rows[1][1].replace(passage + " ", "")), 3: (0, rows[2][1]), 4: (0, rows[3][1])}
+
+
 def test_sentences_join_to_the_text(rows):
     for r in rows:
         assert "".join(sentence_dedup.sentences(r[1] or "")) == (r[1] or "")
