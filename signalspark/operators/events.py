@@ -5,22 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalspark.operators.joins import drop_all_duplicates
-from signalspark.operators.scans import by_pieces, nearest, running_sum
-from signalspark.operators.series import by_order, local_extrema
-
-
-def _crossings(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Rows with prev_cross and next_cross: the last crossing before or at the row, the first at or after it.
-
-    A crossing is the place before the sign changes."""
-
-    def crosses(rows: DataFrame, keys: list[str], row: str) -> DataFrame:
-        return rows.withColumn("cross", F.when((F.col(value) > 0) != (F.lead(value).over(by_order(keys, row)) > 0), F.col(order)))
-
-    df = by_pieces(df, keys, order, 0, 1, crosses)
-    df = nearest(df, keys, F.col("cross"), "prev_cross", order, own=False)
-    return nearest(df, keys, F.col("cross"), "next_cross", order, ahead=True).drop("cross")
+from signalspark.operators.marks import long_rows, marks, phases
+from signalspark.operators.scans import STRETCH, by_pieces, running_sum
+from signalspark.operators.series import by_order
 
 
 def slow_waves(
@@ -34,18 +21,20 @@ def slow_waves(
     dur_pos: tuple[float, float],
     order: str = "i",
     value: str = "x",
+    size: int = STRETCH,
 ) -> DataFrame:
     """(keys, start, neg_peak, mid, pos_peak, stop, val_neg, val_pos, ptp, duration, slope, frequency).
 
     A trough of depth in ``neg`` and the next peak of height in ``pos``, joined by a rising crossing; the crossing
     before the trough starts the wave and the one after the peak ends it. Durations are in seconds and exclusive,
     heights inclusive, peak-to-peak exclusive. Waves that share a start, then those that share an end, all go."""
-    marked = _crossings(df.select(*keys, order, value), keys, order, value)
-    extrema = local_extrema(df.select(*keys, order, value), keys, order, value)
-    trough = (F.col("kind") == "trough") & (-F.col(value)).between(*neg)
-    peak = (F.col("kind") == "peak") & F.col(value).between(*pos)
-    picks = extrema.withColumn("what", F.when(trough, "neg").when(peak, "pos")).where("what is not null")
-    picks = picks.select(*keys, F.col(order).cast("long").alias(order), "what").join(marked.withColumn(order, F.col(order).cast("long")), [*keys, order])
+    place, kind = df.schema[order].dataType, df.schema[value].dataType
+    found = marks(df.select(*keys, order, value).dropna(subset=keys), keys, order, value, size).where("here")
+    crossings = [F.col(c).cast(place).alias(c) for c in ("prev_cross", "next_cross")]
+    extrema = found.select(*keys, F.col("at").cast("long").alias(order), F.col("height").cast(kind).alias(value), "kind", *crossings)
+    trough = (F.col("kind") < 0) & (-F.col(value)).between(*neg)
+    peak = (F.col("kind") > 0) & F.col(value).between(*pos)
+    picks = extrema.withColumn("what", F.when(trough, "neg").when(peak, "pos")).where("what is not null").drop("kind")
     after = by_order(keys, order).rowsBetween(1, Window.unboundedFollowing)
     rise = F.when(F.col("what") == "pos", F.struct(F.col(order).alias("at"), F.col(value).alias("height"), F.col("prev_cross").alias("before"), F.col("next_cross").alias("after")))
     waves = picks.withColumn("pos", F.first(rise, ignorenulls=True).over(after)).where("what = 'neg' and pos is not null")
@@ -65,42 +54,36 @@ def slow_waves(
     waves = waves.withColumn("slope", F.try_divide(-F.col("val_neg"), (F.col("mid") - F.col("neg_peak")) / srate)).withColumn("frequency", F.try_divide(F.lit(1.0), F.col("duration")))
     good = (F.col("ptp") > ptp[0]) & (F.col("ptp") < ptp[1]) & (first > dur_neg[0]) & (first < dur_neg[1]) & (second > dur_pos[0]) & (second < dur_pos[1])
     good = good & (F.col("start") < F.col("neg_peak")) & (F.col("neg_peak") < F.col("mid")) & (F.col("mid") < F.col("pos_peak")) & (F.col("pos_peak") < F.col("stop")) & (F.col("slope") > 0)
-    return drop_all_duplicates(drop_all_duplicates(waves.where(good), [*keys, "start"]), [*keys, "stop"])
+    waves = waves.where(good)
+    for end in ("start", "stop"):
+        waves = waves.withColumn("_times", F.count("*").over(Window.partitionBy(*keys, end))).where("_times = 1").drop("_times")
+    return waves
 
 
-def evoked_peaks(df: DataFrame, keys: list[str], kind: str, latency: tuple[int, int], order: str = "i", value: str = "x") -> DataFrame:
+def evoked_peaks(df: DataFrame, keys: list[str], kind: str, latency: tuple[int, int], order: str = "i", value: str = "x", size: int = STRETCH) -> DataFrame:
     """(keys, at, amplitude, start, stop, area): extrema of one kind strictly inside a range of latencies.
 
     A peak reaches from the crossing before to the crossing after it, or to a nearer extremum of the other
     kind; the ends of the epoch stand for missing crossings. area: sum of the values after start up to stop."""
-    w = by_order(keys, order)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = _crossings(df.select(*keys, F.col(order).cast("long").alias(order), value), keys, order, value)
-    marked = marked.withColumn("running", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("low", F.first(order).over(every)).withColumn("high", F.last(order).over(every))
-    ext = local_extrema(df.select(*keys, order, value), keys, order, value).select(*keys, F.col(order).cast("long").alias(order), "kind")
-    ext = ext.withColumn("before", F.lag(order).over(w)).withColumn("after", F.lead(order).over(w))
-    peaks = ext.where((F.col("kind") == kind) & (F.col(order) > latency[0]) & (F.col(order) < latency[1])).join(marked, [*keys, order])
-    start = F.greatest(F.coalesce("prev_cross", "low"), F.coalesce("before", "low"))
-    stop = F.least(F.coalesce("next_cross", "high"), F.coalesce("after", "high"))
-    peaks = peaks.select(*keys, F.col(order).alias("at"), F.col(value).alias("amplitude"), start.alias("start"), stop.alias("stop"))
-    sums = marked.select(*keys, F.col(order).alias("place"), "running")
-    first = sums.select(*keys, F.col("place").alias("start"), F.col("running").alias("until_start"))
-    last = sums.select(*keys, F.col("place").alias("stop"), F.col("running").alias("until_stop"))
-    out = peaks.join(first, [*keys, "start"]).join(last, [*keys, "stop"])
-    return out.withColumn("area", F.col("until_stop") - F.col("until_start")).drop("until_start", "until_stop")
-
-
-def phase(df: DataFrame, keys: list[str], order: str = "i", value: str = "x") -> DataFrame:
+    df = df.select(*keys, F.col(order).cast("long").alias(order), value).dropna(subset=keys)
+    kind_of, inside = df.schema[value].dataType, (F.col("at") > latency[0]) & (F.col("at") < latency[1])
+    columns = [*keys, *(F.col(c).cast("long").alias(c) for c in ("at", "start", "stop")), F.col("height").cast(kind_of).alias("amplitude")]
+
+    def peaks(several_only: bool) -> DataFrame:
+        found = marks(df, keys, order, value, size, several_only).where("here").where((F.col("kind") > 0) == (kind == "peak"))
+        return found.where(inside & (F.col("open") == several_only)).select(*columns, "area")
+
+    # What reaches into other stretches meets the rows there.
+    parts = peaks(True).drop("area").withColumn("_piece", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("stop") / size))))
+    rows = long_rows(df, keys, order, value, size).select(*keys, F.col("at").alias("_at"), F.col("height").alias("_v"), F.floor(F.col("at") / size).alias("_piece"))
+    sums = parts.join(rows, [*keys, "_piece"]).where((F.col("_at") > F.col("start")) & (F.col("_at") <= F.col("stop")))
+    wide = sums.groupBy(*keys, "at", "start", "stop", "amplitude").agg(F.sum("_v").alias("area"))
+    return peaks(False).unionByName(wide).select(*keys, "at", "amplitude", "start", "stop", "area")
+
+
+def phase(df: DataFrame, keys: list[str], order: str = "i", value: str = "x", size: int = STRETCH) -> DataFrame:
     """Piecewise-linear phase: 0 at troughs, 0.5 at peaks, 1 at the next trough; null outside the first and last."""
-    ext = local_extrema(df.select(*keys, order, value), keys, order, value)
-    marks = ext.select(*(F.col(k).alias(f"{k} of") for k in keys), F.col(order).cast("long").alias("at"), "kind")
-    rows = df.join(marks, [*(df[k].eqNullSafe(marks[f"{k} of"]) for k in keys), df[order] == marks["at"]], "left").drop(*(f"{k} of" for k in keys))
-    mark = F.when(F.col("kind").isNotNull(), F.struct(F.col("at").alias("at"), F.when(F.col("kind") == "peak", 0.5).otherwise(0.0).alias("phase")))
-    rows = nearest(rows, keys, mark, "last", order)
-    rows = nearest(rows, keys, mark, "next", order, ahead=True, own=False)
-    step = 0.5 * (F.col(order) - F.col("last.at")) / (F.col("next.at") - F.col("last.at"))
-    return rows.withColumn("phase", F.when(F.col("next").isNotNull(), F.col("last.phase") + step)).drop("at", "kind", "last", "next")
+    return phases(df, keys, order, value, size)
 
 
 def runs(df: DataFrame, keys: list[str], state: str, order: str = "i") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from signalspark.operators.marks import marks
 from signalspark.operators.scans import STRETCH, by_pieces, running_sum
 
 MOMENTS = ("part_n", "part_mi", "part_my", "part_ii", "part_iy", "part_yy")
@@ -71,30 +72,18 @@ def zero_crossings(df: DataFrame, keys: list[str], order: str = "i", value: str
     return df.where(F.col("after").isNotNull() & ((F.col(value) > 0) != (F.col("after") > 0))).drop("after")
 
 
-def local_extrema(df: DataFrame, keys: list[str], order: str = "i", value: str = "x", low: float | None = None, high: float | None = None) -> DataFrame:
+def local_extrema(df: DataFrame, keys: list[str], order: str = "i", value: str = "x", low: float | None = None, high: float | None = None, size: int = STRETCH) -> DataFrame:
     """Local extrema with kind 'peak' or 'trough'; a plateau counts once, at its middle (rounded down).
 
-    ``low`` and ``high`` bound the height: the value of a peak, minus the value of a trough. Runs of equal values
-    are islands; an island is an extremum if both neighbours lie on the same side of it."""
-
-    def changes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-        return rows.withColumn("new", F.coalesce((F.col(value) != F.lag(value).over(by_order(keys, order))).cast("int"), F.lit(1)))
-
-    def neighbours(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w = by_order(keys, order)
-        return rows.withColumn("before", F.lag(value).over(w)).withColumn("next", F.lead(value).over(w))
-
-    df = running_sum(by_pieces(df, keys, order, 1, 0, changes), keys, F.col("new"), "island", order)
-    islands = df.groupBy(*keys, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min(value).alias(value))
-    islands = by_pieces(islands, keys, "island", 1, 1, neighbours)
-    kind = F.when((F.col(value) > F.col("before")) & (F.col(value) > F.col("next")), "peak").when((F.col(value) < F.col("before")) & (F.col(value) < F.col("next")), "trough")
-    out = islands.withColumn("kind", kind).where("kind is not null")
-    height = F.when(F.col("kind") == "peak", F.col(value)).otherwise(-F.col(value))
+    ``low`` and ``high`` bound the height: the value of a peak, minus the value of a trough. A run of equal values is an
+    extremum if both neighbours lie on the same side of it."""
+    out = marks(df, keys, order, value, size).withColumn("_height", F.when(F.col("kind") > 0, F.col("height")).otherwise(-F.col("height")))
     if low is not None:
-        out = out.where(height >= low)
+        out = out.where(F.col("_height") >= low)
     if high is not None:
-        out = out.where(height <= high)
-    return out.select(*keys, F.floor((F.col("first") + F.col("last")) / 2).alias(order), value, "kind")
+        out = out.where(F.col("_height") <= high)
+    kind = F.when(F.col("kind") > 0, "peak").otherwise("trough")
+    return out.select(*keys, F.col("at").cast("long").alias(order), F.col("height").cast(df.schema[value].dataType).alias(value), kind.alias("kind"))
 
 
 def binarise(df: DataFrame, keys: list[str], value: str = "x", out: str = "bit") -> DataFrame:
