@@ -19,14 +19,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from signalspark.operators.cleaning import average_reference, haar_levels
 from signalspark.operators.lineage import cut
 
 TOP = 3  # directions compared with the reference
 SHARE = 0.95  # of the components' powers that count as usual
+SLICE = 64  # epochs whose samples are handed on at once
 SHIFT = 100.0  # added to logarithms of powers, so that thresholds are shares of positive numbers
 
 
@@ -50,12 +54,20 @@ def likeness(cov: np.ndarray, template: np.ndarray, whole: bool = True) -> float
 
     Where ``cov`` has fewer directions than the template, missing ones count as orthogonal, so the likeness is 0. If not ``whole``
     only those there are count, and no direction at all gives 0."""
-    p, v = np.linalg.eigh((cov + cov.T) / 2)
+    return likenesses(cov[None], template, whole)[0]
+
+
+def likenesses(covs: np.ndarray, template: np.ndarray, whole: bool = True) -> list[float]:
+    """``likeness`` of each of many covariances."""
+    p, v = np.linalg.eigh((covs + covs.transpose(0, 2, 1)) / 2)
     k = template.shape[1]
-    there = min(k, int((p > 1e-12 * max(p[-1], 1e-300)).sum()))
-    if there == 0 or (whole and there < k):
-        return 0.0
-    return float(np.prod(np.linalg.svd(v[:, -there:].T @ template, compute_uv=False)))
+    there = np.minimum(k, (p > 1e-12 * np.maximum(p[:, -1:], 1e-300)).sum(axis=1))
+    out = np.zeros(len(covs))
+    for h in [k] if whole else range(1, k + 1):
+        at = np.flatnonzero(there == h)
+        if len(at):
+            out[at] = np.prod(np.linalg.svd(v[at][:, :, -h:].transpose(0, 2, 1) @ template, compute_uv=False), axis=1)
+    return out.tolist()
 
 
 def outcomes(cov: np.ndarray, faded: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, list[float], list[float]]:
@@ -64,14 +76,12 @@ def outcomes(cov: np.ndarray, faded: np.ndarray, ref: np.ndarray) -> tuple[np.nd
     ``faded`` is the covariance of the epoch under its weights, by which what stays is judged. What stays must hold all of the
     template's directions; what goes is judged by those it has, so that taking out one or two components has its price."""
     powers, filters, patterns = generalised(cov, ref)
-    template = np.linalg.eigh(ref)[1][:, -min(TOP, len(ref)) :]
-    stay, go = [], []
-    for k in range(len(ref) + 1):
-        out = patterns[:, :k] @ filters[:, :k].T
-        left = np.eye(len(ref)) - out
-        stay.append(likeness(left @ faded @ left.T, template) if k < len(ref) else 0.0)
-        go.append(likeness(out @ cov @ out.T, template, False) if k else 0.0)
-    return powers, stay, go
+    n = len(ref)
+    template = np.linalg.eigh(ref)[1][:, -min(TOP, n) :]
+    out = np.stack([patterns[:, :k] @ filters[:, :k].T for k in range(n + 1)])
+    left, out = (np.eye(n) - out)[:n], out[1:]
+    stay = likenesses(left @ faded @ left.transpose(0, 2, 1), template)
+    return powers, [*stay, 0.0], [0.0, *likenesses(out @ cov @ out.transpose(0, 2, 1), template, False)]
 
 
 def _cov(x: np.ndarray) -> np.ndarray:
@@ -128,20 +138,26 @@ def _epochs(samples: DataFrame, keys: list[str], matrices: DataFrame, on: list[s
     rows = shifted_epochs(samples, keys, size)
     group = [*keys, "stream", "epoch"]
 
-    def build(key, part: pd.DataFrame) -> pd.DataFrame:
-        times, at = np.unique(part["t"].to_numpy(), return_inverse=True)
-        c, n = part["c"].to_numpy(), int(part["n"].iloc[0])
+    heads = _heads(rows, group)
+    lists = "times array<bigint>, weights array<double>, x array<double>"
+    made = f"{heads}, {lists}, cov array<double>, faded array<double>"
+    fields = to_arrow_schema(T._parse_datatype_string(made))
+
+    def build(key, part):
+        t, c, weight, v = (part.column(k).to_numpy() for k in ("t", "c", "weight", "x"))
+        times, at = np.unique(t, return_inverse=True)
+        n = part.column("n")[0].as_py()
         x, count, weights = np.zeros((n, len(times))), np.zeros((n, len(times))), np.zeros(len(times))
-        np.add.at(x, (c, at), part["x"].to_numpy(float))
+        np.add.at(x, (c, at), v.astype(float))
         np.add.at(count, (c, at), 1)
-        weights[at] = part["weight"].to_numpy()
+        weights[at] = weight
         x /= np.maximum(count, 1)
-        row = (*key, times.tolist(), weights.tolist(), np.where(count > 0, x, np.nan).ravel().tolist(), _cov(x).ravel().tolist(), _cov(x * weights).ravel().tolist())
-        return pd.DataFrame([row], columns=[*group, "times", "weights", "x", "cov", "faded"])
+        row = (times, weights, np.where(count > 0, x, np.nan).ravel(), _cov(x).ravel(), _cov(x * weights).ravel())
+        values = [*([k.as_py()] for k in key), *([v] for v in row)]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], schema=fields)
 
-    heads = _heads(rows, group)
-    lists = "times array<bigint>, weights array<double>, x array<double>"
-    made = rows.select(*group, F.col("t").cast("long").alias("t"), "c", "n", "weight", "x").groupBy(*group).applyInPandas(lambda key, part: build(key, part), f"{heads}, {lists}, cov array<double>, faded array<double>")
+    members = rows.select(*group, F.col("t").cast("long").alias("t"), "c", "n", "weight", F.col("x").cast("double").alias("x"))
+    made = members.groupBy(*group).applyInArrow(build, made)
 
     def judge(parts):
         for p in parts:
@@ -210,19 +226,22 @@ def _clean(epochs: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
 
     def take_out(parts):
         for p in parts:
-            for i in range(len(p)):
-                r = p.iloc[i]
-                times = np.asarray(r["times"])
-                n = int(round(math.sqrt(len(r["matrix"]))))
-                raw = np.asarray(r["x"], float).reshape(n, len(times))
-                x = np.nan_to_num(raw)
-                gone = int((np.asarray(r["powers"]) >= r["limit"]).sum())
-                if gone:
-                    _, filters, patterns = generalised(_cov(x), regularised(np.asarray(r["matrix"], float).reshape(n, n)))
-                    x = x - patterns[:, :gone] @ (filters[:, :gone].T @ x)
-                c, at = np.nonzero(~np.isnan(raw))
-                part = pd.DataFrame({"c": c, "t": times[at], "x": x[c, at] * np.asarray(r["weights"])[at]})
-                yield part.assign(**{k: [r[k]] * len(part) for k in keys})[[*keys, "c", "t", "x"]]
+            for first in range(0, len(p), SLICE):
+                some, found = p.iloc[first : first + SLICE], []
+                for times, weights, raw, matrix, powers, limit in zip(*(some[c] for c in ("times", "weights", "x", "matrix", "powers", "limit")), strict=True):
+                    n = int(round(math.sqrt(len(matrix))))
+                    raw = np.asarray(raw, float).reshape(n, len(times))
+                    x = np.nan_to_num(raw)
+                    gone = int((np.asarray(powers) >= limit).sum())
+                    if gone:
+                        _, filters, patterns = generalised(_cov(x), regularised(np.asarray(matrix, float).reshape(n, n)))
+                        x = x - patterns[:, :gone] @ (filters[:, :gone].T @ x)
+                    c, at = np.nonzero(~np.isnan(raw))
+                    found.append((c, np.asarray(times)[at], x[c, at] * np.asarray(weights)[at]))
+                sizes = [len(c) for c, _, _ in found]
+                c, t, x = (np.concatenate(v) for v in zip(*found, strict=True))
+                own = some[keys].iloc[np.repeat(np.arange(len(some)), sizes)].reset_index(drop=True)
+                yield own.assign(c=c, t=t, x=x)[[*keys, "c", "t", "x"]]
 
     parts = rows.select(*keys, "times", "weights", "x", "matrix", "powers", "limit").mapInPandas(take_out, f"{_heads(rows, keys)}, c int, t bigint, x double")
     return parts.groupBy(*keys, "c", "t").agg(F.sum("x").alias("x"))

@@ -184,3 +184,19 @@ def test_arguments(spark):
         denoising.denoise(df, ["rec"], ref.drop("rec"), SIZE, 300.0)
     with pytest.raises(ValueError, match="even"):
         denoising.denoise(df, ["rec"], ref, 15, 300.0)
+
+
+def test_outcomes_of_an_epoch_are_judged_together():
+    r = np.random.default_rng(8)
+    m = r.normal(size=(9, 6, 6))
+    covs = m @ m.transpose(0, 2, 1)
+    covs[3] = np.outer(m[3, 0], m[3, 0])  # one direction
+    covs[5] = 0
+    template = np.linalg.qr(r.normal(size=(6, 3)))[0]
+    for whole in (True, False):
+        got = denoising.likenesses(covs, template, whole)
+        for cov, found in zip(covs, got, strict=True):
+            p, v = np.linalg.eigh(cov)
+            k = min(3, int((p > 1e-12 * max(p[-1], 1e-300)).sum()))
+            want = 0.0 if k == 0 or (whole and k < 3) else np.prod(np.linalg.svd(v[:, -k:].T @ template, compute_uv=False))
+            assert abs(found - want) < 1e-12
