@@ -26,6 +26,8 @@ each dealt by a hash of its own bytes: equal windows still meet, and no anchor's
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -145,8 +147,10 @@ def _fresh_texts(rows: pa.Table, found: pa.Table) -> list[bytes]:
 
 # --- anchors ----------------------------------------------------------------------------------------------------
 def _slots(h: np.ndarray, part_bits: int) -> np.ndarray:
-    """An anchor's part and its 32 bits in the part, as one number."""
-    return (h >> np.uint64(32 - part_bits)).astype(np.uint64)
+    """An anchor's part and its 32 bits in the part, as one number.
+
+    Anchors are least hashes, so their leading bits are mostly zero; mixed again, they fill all parts alike."""
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32 - part_bits)).astype(np.uint64)
 
 
 def anchors(blocks: DataFrame, skipped: DataFrame, length: int, part_bits: int) -> DataFrame:
@@ -281,28 +285,34 @@ def snippets(blocks: DataFrame, found_out: DataFrame, length: int, part_bits: in
     return with_blocks(blocks, found_out, ["no", "ord", "text"], work, SNIPPETS)
 
 
-def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each snippet, runs (first window, windows, earliest document) over its windows, by sorting all suffixes."""
+def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (first window, windows, earliest document) over the windows of each snippet, by sorting all suffixes: how
+    many a snippet has, and those of all snippets one after another."""
     sizes = np.array([len(p) for p in parts])
     # Byte values count from 1; a zero ends each snippet, so no window reaches over it.
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + 1
-    ends = np.cumsum(sizes + 1) - 1
+    ends, windows = np.cumsum(sizes + 1) - 1, sizes - length + 1
     text[ends] = 0
+    edges = np.zeros(len(text), np.int8)
+    edges[ends - sizes] = 1
+    edges[ends - length + 1] = -1
+    window = np.cumsum(edges, dtype=np.int8).view(bool)
     order, shared = suffix_order(text, length, memory_bytes)
-    group = np.cumsum(shared < length)
-    owner = np.searchsorted(ends, order, "right")
-    window = order + length <= ends[np.minimum(owner, len(ends) - 1)]
-    order, group, owner = order[window], group[window], owner[window]
+    keep = window[order]
+    group = np.cumsum(shared < length, dtype=np.int32 if len(text) < 2**31 else np.int64)[keep]
+    order = order[keep]
+    del shared, keep, text, edges
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    low = np.minimum.reduceat(first[owner], starts)
-    found = np.empty(len(text), np.int64)
-    found[order] = np.repeat(low, np.diff(np.r_[starts, len(order)]))
-    out = []
-    for e, n in zip(ends.tolist(), sizes.tolist(), strict=True):
-        docs = found[e - n : e - length + 1]
-        cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        out.append((cuts, np.diff(np.r_[cuts, len(docs)]), docs[cuts]))
-    return out
+    low = np.minimum.reduceat(first[np.searchsorted(ends, order, "right")], starts)
+    found = np.empty(len(order), np.int64)  # of each window, in the order of the snippets
+    found[np.cumsum(window, dtype=group.dtype)[order] - 1] = np.repeat(low, np.diff(np.r_[starts, len(order)]))
+    del order, group, starts, low
+    bounds = np.r_[0, np.cumsum(windows)]
+    new = np.r_[True, found[1:] != found[:-1]]
+    new[bounds[:-1]] = True
+    cuts = np.flatnonzero(new)
+    per = np.diff(np.searchsorted(cuts, bounds))
+    return per, cuts - np.repeat(bounds[:-1], per), np.diff(np.r_[cuts, len(found)]), found[cuts]
 
 
 def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
@@ -345,35 +355,37 @@ def _settle(length: int, memory_bytes: int):
             ints = pa.list_(pa.int32())
             return pa.table([t.column("block"), *(pa.array(v, ints) for v in (nos, starts, stops)), t.column("bytes")], names)
         table: dict = {}
-        of, anchor = [], []
-        for blob, sizes, keys in zip(t.column("bytes"), arrays("sizes", np.int32), arrays("anchors", np.uint64), strict=True):
+        of, new = array("q"), array("q")
+        for blob, sizes in zip(t.column("bytes"), arrays("sizes", np.int32), strict=True):
             data, at = blob.as_py(), 0
-            for n, a in zip(sizes.tolist(), keys.tolist(), strict=True):
+            for n in sizes.tolist():
                 p = data[at : at + n]
                 at += n
                 k = table.get(p)
                 if k is None:
                     k = table[p] = len(table)
-                    anchor.append(a)
+                    new.append(len(of))
                 of.append(k)
-        parts, of = list(table), np.array(of, np.int64)
+        parts, of = list(table), np.frombuffer(of, np.int64)
+        anchor = np.concatenate(arrays("anchors", np.uint64))[np.frombuffer(new, np.int64)]
+        del table
         ords, offsets, nos = np.concatenate(arrays("ords", np.int64)), np.concatenate(arrays("offsets", np.int32)), np.concatenate(arrays("nos", np.int32))
         block = np.repeat(t.column("block").to_numpy(), [len(b) // 4 for b in map(lambda s: s.as_buffer(), t.column("nos"))])
         first = np.full(len(parts), LAST)
         np.minimum.at(first, of, ords)
         # Runs of windows with one earliest document: of each snippet the whole, or what the sort says.
-        n_windows = np.array([len(p) - length + 1 for p in parts], np.int64)
-        runs = [(np.zeros(1, np.int64), n_windows[k : k + 1], first[k : k + 1]) for k in range(len(parts))]
-        _, kinds, together = np.unique(np.array(anchor, np.uint64), return_inverse=True, return_counts=True)
+        _, kinds, together = np.unique(anchor, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(together[kinds] > 1)
         if len(mixed):
             mixed = mixed[comparable([parts[i] for i in mixed.tolist()], kinds[mixed], length)]
+        begin, sizes = np.arange(len(parts)), np.ones(len(parts), np.int64)
+        at, windows, low = np.zeros(len(parts), np.int64), np.array([len(p) - length + 1 for p in parts], np.int64), first
         if len(mixed):
-            for i, r in zip(mixed.tolist(), earliest([parts[i] for i in mixed.tolist()], first[mixed], length, memory_bytes), strict=True):
-                runs[i] = r
-        sizes = np.array([len(r[0]) for r in runs], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        at, windows, low = (np.concatenate([r[k] for r in runs]) for k in range(3))
+            some = [parts[i] for i in mixed.tolist()]
+            del parts
+            sizes[mixed], *runs = earliest(some, first[mixed], length, memory_bytes)
+            begin[mixed] = len(at) + np.cumsum(sizes[mixed]) - sizes[mixed]
+            at, windows, low = (np.concatenate(v) for v in zip((at, windows, low), runs, strict=True))
         per = sizes[of]
         run_of = np.repeat(begin[of], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
         owner = np.repeat(np.arange(len(of)), per)

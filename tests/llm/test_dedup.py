@@ -195,6 +195,31 @@ def test_windows_of_a_text_cut_into_segments(monkeypatch):
     assert all(len(a) == 1 for a in anchors.values())  # equal windows have equal anchors
 
 
+def test_anchors_fill_their_parts_alike():
+    text = np.random.default_rng(9).integers(97, 123, 400_000, dtype=np.uint8).tobytes()
+    anchors = np.unique(suffix_dedup.text_stretches([text], 50)[3])
+    slots = suffix_dedup._slots(anchors, 4)
+    times = np.bincount((slots >> np.uint64(32)).astype(np.int64), minlength=16)
+    assert len(times) == 16 and times.max() < 1.2 * times.mean()  # least hashes begin with zeros
+    assert len(np.unique(slots)) == len(anchors)
+
+
+def test_runs_of_windows_with_their_earliest_document():
+    r = np.random.default_rng(10)
+    for _ in range(50):
+        parts = [bytes(r.integers(97, 99, n, dtype=np.uint8)) for n in r.integers(5, 12, r.integers(1, 20))]
+        ords = r.integers(0, 9, len(parts))
+        low: dict = {}
+        for p, o in zip(parts, ords.tolist(), strict=True):
+            for k in range(len(p) - 4):
+                low[p[k : k + 5]] = min(low.get(p[k : k + 5], 9), o)
+        per, at, windows, docs = suffix_dedup.earliest(parts, ords, 5, 64)
+        owner = np.repeat(np.arange(len(parts)), per)
+        assert np.repeat(docs, windows).tolist() == [low[p[k : k + 5]] for p in parts for k in range(len(p) - 4)]
+        assert [k for a, n in zip(at.tolist(), windows.tolist(), strict=True) for k in range(a, a + n)] == [k for p in parts for k in range(len(p) - 4)]
+        assert np.bincount(owner, windows).tolist() == [len(p) - 4 for p in parts]
+
+
 def test_sort_on_disk_gives_the_same_order():
     r = np.random.default_rng(5)
     t = np.tile(r.integers(0, 5, 700), 3)
