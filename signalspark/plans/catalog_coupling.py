@@ -49,9 +49,9 @@ def _sides(spark, d):
     + "SELECT event_id, ds.g, n, al AS alpha, ROUND(score, 4) + 0.0 AS score, ROUND(w0 * x0 + w1 * x1 + w2, 6) + 0.0 AS yhat FROM ds JOIN ft ON ds.g = ft.g"
 )
 def heart_to_brain(spark, d):
-    """One series from another at two lags, between its values; the penalty by leaving out each row."""
+    """One series from another at two lags, between its values; the penalty by leaving out each row, of a single row by the rounding of its errors."""
     left, series = _sides(spark, d)
-    rows, model = coupling.heart_to_brain(left, series, ["g"], ["x"], LAGS, ALPHAS)
+    rows, model = coupling.heart_to_brain(left, series, ["g"], ["x"], LAGS, ALPHAS, computed=True)
     m = model.select("g", "n", "alpha", F.array_min("scores").alias("score"))
     return rows.join(m, "g").select("event_id", "g", "n", "alpha", rnd(F.col("score"), 4).alias("score"), rnd(F.col("yhat")).alias("yhat"))
 

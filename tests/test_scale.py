@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -55,6 +56,22 @@ def test_penalties_of_equal_error_go_to_the_first(spark):
     assert {r["alpha"] for r in got.collect()} == {1e2}
 
 
+def test_the_penalty_of_single_rows_is_that_of_the_sql(spark, tmp_path):
+    r = np.random.default_rng(3)
+    rows = []
+    for u in range(200):
+        at = np.sort(r.integers(1, 86_400_000_000, 30))
+        rows += [(u, "view", int(t), float(v)) for t, v in zip(at, r.exponential(60, 30).round(2), strict=True)]
+        rows += [(u, "click", int(t), float(v)) for t, v in zip(r.integers(at[20], at[29], 1 + u % 2), r.exponential(60, 2).round(2), strict=False)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(rows)], "event_id long, user_id long, event_type string, us long, value double")
+    df.select("event_id", "user_id", "event_type", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["heart_to_brain"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES['heart_to_brain']})").fetchall()
+    assert len({w[3] for w in want if w[2] == 1}) == 3 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_kernels_see_a_bounded_block_of_epochs(spark):
     rows = spark.range(0, 3000, 1, 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.col("id") * k % 17).cast("double")).alias("x"))
 
