@@ -42,6 +42,20 @@ def test_pairs_of_items_are_not_shuffled(spark):
     assert graph.coassociation(rows.limit(0), "id", "model", "label").count() == 0
 
 
+def test_items_alike_share_one_comparison(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def shown(share):
+        seen.add(1)
+        return round(share, 3)
+
+    rows = spark.range(1200).select("id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("model")).select("id", "model", (F.col("id") % F.col("model")).alias("label"))
+    got = graph.coassociation(rows, "id", "model", "label", shown=shown).groupBy("share").count().collect()
+    assert {g["share"]: g["count"] for g in got} == {0.333: 400 * 600, 0.667: 600 * 400 // 2 + 400 * 600, 1.0: 6 * 200 * 199 // 2}
+    assert seen.value < 1000
+
+
 def test_extremes_with_ties_take_the_least_id(spark, tmp_path):
     rows = [(i, "a", float(v)) for i, v in ((5, 2), (3, 2), (9, 2), (4, 1), (2, 1), (8, 1))] + [(1, "a", None), (6, "b", None)]
     spark.createDataFrame(rows, "event_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
