@@ -115,8 +115,29 @@ class _Passed:
         return order, out
 
 
+LANES = np.array([1 << 16, 1 << 32, 1 << 48], np.uint64)
+AT_ONCE = 1 << 12  # of more pairs, four characters are compared at once
+
+
+def _by_fours(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """``common_prefix`` of characters of two bytes, none of them negative."""
+    padded = np.concatenate([text, np.full(4, -1, np.int16)])  # differs from all characters, as a and b differ
+    four = np.ndarray(len(text) + 1, "<u8", padded, strides=(2,))  # the four characters from each place on
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    while len(live):
+        apart = four[a[live] + out[live]] ^ four[b[live] + out[live]]
+        low = apart & (~apart + np.uint64(1))  # the lowest bit that differs, 0 if none does
+        out[live] += np.where(low == 0, 4, np.searchsorted(LANES, low, "right"))
+        live = live[(low == 0) & (out[live] < cap)]
+    out = np.minimum(out, cap)
+    return out.astype(np.uint8) if cap < 256 else out
+
+
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefixes of the suffixes at a and b, up to cap; the text's end differs from all."""
+    if len(a) > AT_ONCE and text.dtype == np.int16:
+        return _by_fours(text, a, b, cap)
     out = np.zeros(len(a), np.int64)
     live, n = np.arange(len(a)), len(text)
     while len(live):
@@ -170,10 +191,10 @@ def _pop_all(queue: BucketQueue, key: int, induce) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.ndarray, cap: int, memory_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.ndarray | None, cap: int, memory_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, from the leftmost S-type ones in order, with common prefixes.
 
-    ``prefixes``: of each of ``lms`` with the one before."""
+    ``prefixes``: of each of ``lms`` with the one before; None if only the order is asked for, prefixes then are 0."""
     n, n_keys = len(text), int(text.max()) + 1
     dtype = np.int32 if n < 2**31 else np.int64
 
@@ -183,8 +204,13 @@ def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.n
         def push(positions: np.ndarray, values: np.ndarray) -> None:
             ok = np.flatnonzero((positions > 0) & wanted[positions - 1])
             before = positions[ok] - 1
-            order, got = passed.induce(values, ok, text[before])
-            queue.push(text[before][order], before[order].astype(dtype), got)
+            keys = text[before]
+            if prefixes is None:
+                order = np.argsort(keys, kind="stable")
+                got = np.zeros(len(order), np.uint8)
+            else:
+                order, got = passed.induce(values, ok, keys)
+            queue.push(keys[order], before[order].astype(dtype), got)
 
         return push
 
@@ -199,8 +225,8 @@ def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.n
         ells.put(c, positions.astype(dtype), values)
         s, e = lms_at[c]
         if e > s:
-            values = prefixes[s:e].copy()
-            values[0] = common_prefix(text, positions[-1:], lms[s : s + 1], cap)[0] if len(positions) else 0
+            values = np.zeros(e - s, np.uint8) if prefixes is None else prefixes[s:e].copy()
+            values[0] = common_prefix(text, positions[-1:], lms[s : s + 1], cap)[0] if len(positions) and prefixes is not None else 0
             push(lms[s:e], values)
     ascending.close()
     descending = BucketQueue(memory_bytes)
@@ -211,7 +237,7 @@ def _passes(text: np.ndarray, small: np.ndarray, lms: np.ndarray, prefixes: np.n
         values = values.copy()
         falling, shared = _pop_all(descending, c, push)
         edge = np.zeros(1, np.uint8)  # of the largest L-type suffix with the smallest S-type one
-        if len(positions) and len(falling):
+        if len(positions) and len(falling) and prefixes is not None:
             edge = common_prefix(text, positions[-1:], falling[-1:], cap)
         if len(positions):
             push(positions[::-1], np.r_[edge, values[1:][::-1]])
@@ -253,7 +279,7 @@ def suffix_order(text: np.ndarray, cap: int = 64, memory_bytes: int = 64 << 20,
     if len(lms) > 1:
         by_first = lms[np.argsort(text[lms], kind="stable")]
         # Any order under equal first characters sorts the substrings between leftmost S-type places.
-        order, _ = _passes(text, small, by_first, np.ones(len(lms), np.uint8), cap, memory_bytes)
+        order, _ = _passes(text, small, by_first, None, cap, memory_bytes)
         is_lms = room(n, bool, memory_bytes)
         is_lms[:] = False
         is_lms[lms] = True

@@ -318,26 +318,31 @@ def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: i
 def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
     """Whether a snippet may share a window with another one of its anchor.
 
-    A shared window agrees around the anchor, so on one side of it in half of what a window has besides it."""
-    side = (length - GRAM) // 2
-    left, right = (np.zeros(len(parts), np.uint64) for _ in range(2))
-    has_left, has_right = (np.zeros(len(parts), bool) for _ in range(2))
-    before = np.cumsum([0, *map(len, parts)])
-    bounds = np.unique(np.searchsorted(before, np.arange(0, before[-1], COMPARED_BYTES)))
-    for s, e in zip(bounds, [*bounds[1:], len(parts)], strict=True):
-        if e == s:
-            continue
-        start, stop = before[s:e] - before[s], before[s + 1 : e + 1] - before[s]
-        h = _gram_hashes(np.frombuffer(b"".join(parts[s:e]), np.uint8))
-        keys = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-        at = (_least_in_windows(keys, length - GRAM + 1)[start] & np.uint64(0xFFFFFF)).astype(np.int64)
-        has_left[s:e], has_right[s:e] = at - side >= start, at + side + GRAM <= stop
-        left[s:e], right[s:e] = h[np.maximum(at - side, 0)], h[np.minimum(at + side, len(h) - 1)]
+    Equal windows have the same GRAM-byte strings at the same places, and so one sum of their hashes. Snippets are looked
+    through anchor by anchor, so that no more than some anchors' windows are held."""
     out = np.zeros(len(parts), bool)
-    for has, h in ((has_left, left), (has_right, right)):
-        rows = np.flatnonzero(has)
-        _, of, times = np.unique(h[rows] + anchor[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
-        out[rows] |= times[of] > 1
+    if not parts:
+        return out
+    places = [*range(0, length - GRAM, GRAM), length - GRAM]
+    order = np.argsort(anchor, kind="stable")
+    sizes = np.array([len(p) for p in parts], np.int64)[order]
+    before = np.cumsum(np.r_[0, sizes])
+    first = np.flatnonzero(np.r_[True, np.diff(anchor[order]) != 0])  # of each anchor
+    bounds = first[np.unique(np.searchsorted(before[first], np.arange(0, before[-1], COMPARED_BYTES)).clip(max=len(first) - 1))]
+    for s, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(parts)], strict=True):
+        of = order[s:e]
+        h = _gram_hashes(np.frombuffer(b"".join([parts[k] for k in of.tolist()]), np.uint8))
+        n = len(h) - (length - GRAM)
+        key = np.zeros(n, np.uint64)
+        for k, at in enumerate(places):
+            key += h[at : at + n] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
+        windows = sizes[s:e] - length + 1
+        owner = np.repeat(np.arange(e - s), windows)
+        key = key[np.arange(len(owner)) + owner * (length - 1)]
+        by_key = np.argsort(key)
+        key = key[by_key]
+        twice = np.flatnonzero(key[1:] == key[:-1])
+        out[of[owner[by_key[twice]]]] = out[of[owner[by_key[twice + 1]]]] = True
     return out
 
 

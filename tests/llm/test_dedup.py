@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from signalspark.llm import lsm_dedup, sentence_dedup, simhash, suffix_dedup
+from signalspark.llm import induced_sort, lsm_dedup, sentence_dedup, simhash, suffix_dedup
 from signalspark.llm.components import connected_components
 from signalspark.llm.induced_sort import BucketQueue, suffix_order
 
@@ -220,6 +220,44 @@ def test_runs_of_windows_with_their_earliest_document():
         assert np.bincount(owner, windows).tolist() == [len(p) - 4 for p in parts]
 
 
+def test_only_snippets_that_share_a_window_are_sorted(monkeypatch):
+    r = np.random.default_rng(11)
+    letters = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8))
+    parts, anchor = [], []
+    for k in range(60):
+        mid, left, right = letters(20), letters(30), letters(30)
+        for cut in (0, 12, 15, 25, 30):  # bytes that agree beside the anchor, fewer or more than a window's 30
+            for other in range(2):
+                both = int(r.integers(0, cut + 1))
+                parts.append(letters(30 - both) + left[30 - both :] + mid + right[: cut - both] + letters(30 - cut + both))
+                anchor.append(k)
+    times = defaultdict(set)
+    for i, p in enumerate(parts):
+        for o in range(len(p) - 49):
+            times[p[o : o + 50]].add(i)
+    want = {i for v in times.values() if len(v) > 1 for i in v}
+    order = r.permutation(len(parts))
+    parts, anchor = [parts[i] for i in order], np.array(anchor)[order]
+    for size in (1, 1000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "COMPARED_BYTES", size)
+        got = suffix_dedup.comparable(parts, anchor, 50)
+        assert {int(i) for i in order[got]} == want and 0 < len(want) < len(parts)
+    assert suffix_dedup.comparable([], np.empty(0, np.int64), 50).tolist() == []
+
+
+def test_prefixes_by_four_characters_at_once(monkeypatch):
+    r = np.random.default_rng(12)
+    for n, kinds, cap in ((3000, 1, 50), (3000, 2, 9), (500, 300, 254), (700, 1, 1000)):
+        t = r.integers(0, kinds, n).astype(np.int16)
+        t[r.integers(0, n, 9)] = kinds
+        a = r.integers(0, n, 5000)
+        b = (a + r.integers(1, n, 5000)) % n
+        fours = induced_sort.common_prefix(t, a, b, cap)
+        monkeypatch.setattr(induced_sort, "AT_ONCE", 1 << 30)
+        assert np.array_equal(fours, induced_sort.common_prefix(t, a, b, cap)) and fours.max() > 0
+        monkeypatch.undo()
+
+
 def test_sort_on_disk_gives_the_same_order():
     r = np.random.default_rng(5)
     t = np.tile(r.integers(0, 5, 700), 3)
