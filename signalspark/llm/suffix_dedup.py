@@ -10,8 +10,8 @@ comes back to its texts without moving them again. Then
 3. stretches of windows with a repeated anchor go as snippets to shards chosen by anchor, where all copies of a
    window meet. The snippets of a shard are sorted by induced sorting (``induced_sort``), with queues on disk beyond
    a memory limit; suffixes that share ``length`` bytes with their neighbours are copies of one window, and the
-   earliest document among them is the window's. Snippets that can share no window with another one of their anchor
-   are left out of the sort;
+   earliest document among them is the window's. Snippets that share no window with another one of their anchor, by
+   hashes of whole windows, are left out of the sort;
 4. shards reply to blocks with the ranges to remove.
 
 A block sends a snippet once, for the first of its earliest rows that have it, however often it stands there. Rows of
@@ -316,7 +316,7 @@ def earliest(parts: list[bytes], first: np.ndarray, length: int, memory_bytes: i
 
 
 def comparable(parts: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
-    """Whether a snippet may share a window with another one of its anchor.
+    """Whether a snippet may share a window with another one of its anchor; it does but for hashes that clash.
 
     Equal windows have the same GRAM-byte strings at the same places, and so one sum of their hashes. Snippets are looked
     through anchor by anchor, so that no more than some anchors' windows are held."""
